@@ -1 +1 @@
-
+"""Relational, statistical and screening operators."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from tallygrove.plans import screening
+
+MODULES: tuple = (screening,)
 
 
 def queries() -> dict:
