@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrove.llm import queries_records
+from tallygrove.llm import queries_quantiles, queries_records
 
-MODULES = (queries_records,)
+MODULES = (queries_records, queries_quantiles)
 
 
 def queries() -> dict:
