@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrove.llm import queries_quantiles, queries_records
+from tallygrove.llm import queries_quantiles, queries_records, queries_text
 
-MODULES = (queries_records, queries_quantiles)
+MODULES = (queries_records, queries_quantiles, queries_text)
 
 
 def queries() -> dict:
