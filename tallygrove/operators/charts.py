@@ -24,7 +24,7 @@ class Chart:
     `run` equal readings in a row are stuck. `block` rows of one source at most are charted in one piece.
     """
 
-    limit: float = 5.2
+    limit: float = 5.5
     clip: float = 3.0
     pace: float = 0.03
     scale_pace: float = 0.01
@@ -43,7 +43,7 @@ def _levels(x: np.ndarray, n: np.ndarray, c: Chart) -> tuple[np.ndarray, np.ndar
     Of the trimmed values the best split in two parts is taken as two levels if they lie apart, else all are one level.
     """
     rows, width = x.shape
-    cut = np.floor(c.trim * n).astype(np.int64)
+    cut = np.maximum(np.ceil(c.trim * n), 1).astype(np.int64)
     m = n - 2 * cut
     at = np.arange(width)
     shift = x[np.arange(rows), n // 2]  # sums around the median keep their digits
