@@ -1,0 +1,80 @@
+"""Genotype operators on long tables (individual, variant, dosage)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+COMPLEMENT = {"A": "T", "T": "A", "C": "G", "G": "C"}  #: fixed values
+
+
+def pair_counts(dosages: DataFrame, who: str, variant: str, dose: str, block: int = 64) -> DataFrame:
+    """Per pair of individuals: variants where both are heterozygous, where they are opposite homozygotes, heterozygous
+    counts of either side, and variants in common, from hard calls 0, 1 and 2.
+
+    A kinship table over all pairs is the result itself. Individuals fall into blocks; every variant's calls of a block
+    travel as one row of arrays, so a variant with many calls sends each block to its partners once, not each call.
+    """
+    calls = dosages.where(F.col(dose).isNotNull()).select(F.col(who).alias("i"), F.col(variant).alias("v"), F.round(F.col(dose)).cast("int").alias("g"))
+    packed = calls.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(block))).groupBy("v", "b").agg(F.collect_list(F.struct("i", "g")).alias("c"))
+    x, y = packed.select("v", F.col("b").alias("bx"), F.col("c").alias("cx")), packed.select("v", F.col("b").alias("by"), F.col("c").alias("cy"))
+    # inside one block each pair is met in both orders: keep one
+    within = x.join(y, (x.v == y.v) & (F.col("bx") == F.col("by"))).select(F.explode("cx").alias("p"), "cy").select("p", F.explode("cy").alias("q")).where("p.i < q.i")
+    across = x.join(y, (x.v == y.v) & (F.col("bx") < F.col("by"))).select(F.explode("cx").alias("p"), "cy").select("p", F.explode("cy").alias("q"))
+    pairs = within.unionByName(across)
+    low = F.col("p.i") < F.col("q.i")
+    shaped = pairs.select(F.least("p.i", "q.i").alias("a"), F.greatest("p.i", "q.i").alias("b"), F.when(low, F.col("p.g")).otherwise(F.col("q.g")).alias("ga"), F.when(low, F.col("q.g")).otherwise(F.col("p.g")).alias("gb"))
+    het = lambda c: (F.col(c) == 1).cast("long")
+    return shaped.groupBy("a", "b").agg(
+        F.sum(((F.col("ga") == 1) & (F.col("gb") == 1)).cast("long")).alias("het_het"),
+        F.sum((F.abs(F.col("ga") - F.col("gb")) == 2).cast("long")).alias("opposite"),
+        F.sum(het("ga")).alias("het_a"),
+        F.sum(het("gb")).alias("het_b"),
+        F.count("*").alias("n"),
+    )
+
+
+def king(counts: DataFrame) -> DataFrame:
+    """Robust kinship: (het-het - 2 opposite) / (het_a + het_b); null without heterozygotes."""
+    den = F.col("het_a") + F.col("het_b")
+    return counts.withColumn("kinship", F.when(den > 0, (F.col("het_het") - 2 * F.col("opposite")) / den))
+
+
+def flipped(allele: Column) -> Column:
+    """The complementary allele, base by base."""
+    return F.translate(F.upper(allele), "ACGT", "TGCA")
+
+
+def allele_match(a1: Column, a2: Column, ref: Column, alt: Column) -> Column:
+    """How effect allele a1 and other allele a2 fit a variant: `same` (a1 is ALT), `swapped`, `strand`, `strand_swapped`,
+    `palindromic` (A/T or C/G, strand unknown) or `none`."""
+    palindrome = flipped(a1) == F.upper(a2)
+    fit = lambda x, y: (F.upper(x) == F.upper(alt)) & (F.upper(y) == F.upper(ref))
+    return (
+        F.when(palindrome & (fit(a1, a2) | fit(a2, a1)), "palindromic").when(fit(a1, a2), "same").when(fit(a2, a1), "swapped").when(fit(flipped(a1), flipped(a2)), "strand").when(fit(flipped(a2), flipped(a1)), "strand_swapped").otherwise("none")
+    )
+
+
+def strongest_rows(catalog: DataFrame, protein: str, variant: str, strength: str) -> DataFrame:
+    """The strongest row per protein, then one protein per variant: the strongest, ties by smaller ids."""
+    by_protein = Window.partitionBy(protein).orderBy(F.desc_nulls_last(strength), F.asc(variant))
+    by_variant = Window.partitionBy(variant).orderBy(F.desc_nulls_last(strength), F.asc(protein))
+    best = catalog.withColumn("__tg_r", F.row_number().over(by_protein)).where("__tg_r = 1")
+    return best.withColumn("__tg_r", F.row_number().over(by_variant)).where("__tg_r = 1").drop("__tg_r")
+
+
+def by_priority(catalog: DataFrame, key: str, rank: str) -> DataFrame:
+    """All rows of each key's first-ranked catalog."""
+    first = catalog.groupBy(key).agg(F.min(rank).alias("__tg_first"))
+    return catalog.join(first, key).where(F.col(rank) == F.col("__tg_first")).drop("__tg_first")
+
+
+def allele_frequency(dosages: DataFrame, variant: str, dose: str) -> DataFrame:
+    """ALT frequency, minor allele frequency and calls per variant."""
+    af = F.sum(dose) / (2 * F.count(dose))
+    return dosages.groupBy(variant).agg(af.alias("alt_freq"), F.least(af, 1 - af).alias("maf"), F.count(dose).alias("calls"))
+
+
+def genotype_scores(dosages: DataFrame, weights: DataFrame, who: str, variant: str, dose: str) -> DataFrame:
+    """Predicted level per protein and individual: the sum of dosage times effect over the protein's variants."""
+    return dosages.join(weights, variant).where(F.col(dose).isNotNull()).groupBy("protein", who).agg(F.sum(F.col(dose) * F.col("beta")).alias("predicted"), F.count("*").alias("variants"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrove.plans import screening
+from tallygrove.plans import relational, screening, statistics
 
-MODULES: tuple = (screening,)
+MODULES: tuple = (relational, statistics, screening)
 
 
 def queries() -> dict:
