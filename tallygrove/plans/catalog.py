@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrove.plans import relational, screening, statistics
+from tallygrove.plans import domain_linkage, domain_models, domain_qc, relational, screening, statistics
 
-MODULES: tuple = (relational, statistics, screening)
+MODULES: tuple = (relational, statistics, domain_qc, domain_linkage, domain_models, screening)
 
 
 def queries() -> dict:

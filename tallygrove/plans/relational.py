@@ -315,10 +315,11 @@ def f1(spark, d):
     return a.select("trt01a", X.arm_name(F.col("trt01a")).alias("arm"), X.group_key([X.arm_name(F.col("trt01a")), F.col("sex")]).alias("key")).distinct()
 
 
-@query("f2_dates", "select row_id, cast(adt as date) as \"day\", adt_vendor, date_diff('day', adt_vendor, cast(adt as date)) gap, (select sum(case when substr(strftime(cast(adt as date), '%Y%m%d'), i, 1) <> substr(strftime(adt_vendor, '%Y%m%d'), i, 1) then 1 else 0 end)::int from range(1, 9) t(i)) digits, strptime(strftime(adt, '%d%b%Y'), '%d%b%Y')::date from_text from manifest where adt is not null and adt_vendor is not null")
+@query("f2_dates", "select row_id, strftime(cast(adt as date), '%Y-%m-%d') as \"day\", strftime(adt_vendor, '%Y-%m-%d') adt_vendor, date_diff('day', adt_vendor, cast(adt as date)) gap, (select sum(case when substr(strftime(cast(adt as date), '%Y%m%d'), i, 1) <> substr(strftime(adt_vendor, '%Y%m%d'), i, 1) then 1 else 0 end)::int from range(1, 9) t(i)) digits, strftime(strptime(strftime(adt, '%d%b%Y'), '%d%b%Y'), '%Y-%m-%d') from_text from manifest where adt is not null and adt_vendor is not null")
 def f2(spark, d):
     m = table(spark, d, "manifest").where("adt is not null and adt_vendor is not null").withColumn("day", F.to_date("adt"))
-    return m.select("row_id", "day", "adt_vendor", F.datediff("day", "adt_vendor").alias("gap"), X.digit_changes(F.col("day"), F.col("adt_vendor")).alias("digits"), X.any_date(F.date_format("day", "ddMMMyyyy")).alias("from_text"))
+    got = m.select("row_id", "day", "adt_vendor", F.datediff("day", "adt_vendor").alias("gap"), X.digit_changes(F.col("day"), F.col("adt_vendor")).alias("digits"), X.any_date(F.date_format("day", "ddMMMyyyy")).alias("from_text"))
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "adt_vendor", "from_text")})
 
 
 @query("f3_digest", "select row_id, sha256(trim(sampleid)) h from manifest where sampleid is not null")

@@ -168,7 +168,7 @@ def st37p(spark, d):
 
 @query("st42_axis_cap", "with t as (select assay, abs(v) a, row_number() over (partition by assay order by abs(v) desc) r from (select olinkid assay, npx v from olink_long where npx is not null and not isnan(npx))) select assay, case when max(a) filter (r = 2) > 0 and max(a) filter (r = 1) > 3 * max(a) filter (r = 2) then max(a) filter (r = 2) end cap, max(a) filter (r = 1) largest from t where r <= 2 group by 1")
 def st42(spark, d):
-    return S.axis_cap(table(spark, d, "olink_long").withColumnRenamed("olinkid", "assay"), "npx", ["assay"])
+    return S.axis_cap(table(spark, d, "olink_long").select(F.col("olinkid").alias("assay"), "npx"), "npx", ["assay"])
 
 
 @query("st43_regression_line", f"select assay, round(regr_slope(v, lod), 6) slope, round(regr_intercept(v, lod), 6) intercept from {OLINK_SQL} where not isnan(lod) group by 1")
