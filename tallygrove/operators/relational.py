@@ -100,7 +100,7 @@ def best_two(df: DataFrame, keys: Sequence[str], label: str, score: str) -> Data
 
 def tokens(df: DataFrame, key: str, text: Column, sep: str = r"[|,;]") -> DataFrame:
     """(key, token): distinct non-blank parts of a delimited text."""
-    parts = F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(F.col(f"`{key}`"), F.explode(F.array_distinct(parts)).alias("token"))
 
 

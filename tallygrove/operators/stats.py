@@ -116,27 +116,27 @@ def plate_cv(df: DataFrame, value: str, assay: Sequence[str], plate: str, log2_s
     """
     x = finite(F.col(value))
     ln2 = 0.6931471805599453
-    plates = df.select(*assay, F.col(plate), x.alias("__tg_x")).where("__tg_x is not null").groupBy(*assay, plate).agg(F.avg("__tg_x").alias("m"), F.stddev_samp("__tg_x").alias("s"), F.count("*").alias("n")).where("n >= 2")
+    plates = df.select(*assay, F.col(plate), x.alias("__tg_x")).where("__tg_x is not null").groupBy(*assay, plate).agg(F.avg("__tg_x").alias("__tg_m"), F.stddev_samp("__tg_x").alias("__tg_s"), F.count("*").alias("__tg_n")).where("__tg_n >= 2")
     log_cv = lambda s: F.sqrt(F.exp(F.pow(s * ln2, F.lit(2.0))) - 1) * 100
-    cv = log_cv(F.col("s")) if log2_scale else F.when(F.col("m") > 0, F.col("s") / F.col("m") * 100)
-    across = F.stddev_samp("m")
-    inter = log_cv(across) if log2_scale else F.when(F.avg("m") > 0, across / F.avg("m") * 100)
-    return plates.withColumn("cv", cv).groupBy(*assay).agg(F.avg("cv").alias("intra_cv"), inter.alias("inter_cv"), F.count("*").alias("plates"))
+    cv = log_cv(F.col("__tg_s")) if log2_scale else F.when(F.col("__tg_m") > 0, F.col("__tg_s") / F.col("__tg_m") * 100)
+    across = F.stddev_samp("__tg_m")
+    inter = log_cv(across) if log2_scale else F.when(F.avg("__tg_m") > 0, across / F.avg("__tg_m") * 100)
+    return plates.withColumn("__tg_cv", cv).groupBy(*assay).agg(F.avg("__tg_cv").alias("intra_cv"), inter.alias("inter_cv"), F.count("*").alias("plates"))
 
 
 def detection_rates(df: DataFrame, value: str, lod: str, assay: Sequence[str], group: str) -> DataFrame:
     """Per assay the best and overall share of finite values at or above the limit of detection, by group."""
     x, limit = finite(F.col(value)), finite(F.col(lod))
-    counted = df.select(*assay, F.col(group), x.alias("__tg_x"), limit.alias("__tg_l")).where("__tg_x is not null and __tg_l is not null").groupBy(*assay, group).agg(F.count(F.when(F.col("__tg_x") >= F.col("__tg_l"), 1)).alias("d"), F.count("*").alias("n"))
-    return counted.groupBy(*assay).agg(F.max(F.col("d") / F.col("n")).alias("best_rate"), (F.sum("d") / F.sum("n")).alias("all_rate"), F.count("*").alias("groups"))
+    counted = df.select(*assay, F.col(group), x.alias("__tg_x"), limit.alias("__tg_l")).where("__tg_x is not null and __tg_l is not null").groupBy(*assay, group).agg(F.count(F.when(F.col("__tg_x") >= F.col("__tg_l"), 1)).alias("__tg_d"), F.count("*").alias("__tg_n"))
+    return counted.groupBy(*assay).agg(F.max(F.col("__tg_d") / F.col("__tg_n")).alias("best_rate"), (F.sum("__tg_d") / F.sum("__tg_n")).alias("all_rate"), F.count("*").alias("groups"))
 
 
 def intraclass(df: DataFrame, value: str, unit: Sequence[str], subject: str) -> DataFrame:
     """Intraclass correlation per unit from within-subject pairs: sum over subjects of (s^2 - q) / 2 over sum of (n - 1) q / 2,
     with s the sum and q the sum of squares of a subject's values, over subjects with two values or more."""
     x = finite(F.col(value))
-    per = df.select(*unit, subject, x.alias("__tg_x")).where("__tg_x is not null").groupBy(*unit, subject).agg(F.sum("__tg_x").alias("s"), F.sum(F.col("__tg_x") ** 2).alias("q"), F.count("*").alias("n")).where("n >= 2")
-    num, den = F.sum((F.col("s") ** 2 - F.col("q")) / 2), F.sum((F.col("n") - 1) * F.col("q") / 2)
+    per = df.select(*unit, subject, x.alias("__tg_x")).where("__tg_x is not null").groupBy(*unit, subject).agg(F.sum("__tg_x").alias("__tg_s"), F.sum(F.col("__tg_x") ** 2).alias("__tg_q"), F.count("*").alias("__tg_n")).where("__tg_n >= 2")
+    num, den = F.sum((F.col("__tg_s") ** 2 - F.col("__tg_q")) / 2), F.sum((F.col("__tg_n") - 1) * F.col("__tg_q") / 2)
     return per.groupBy(*unit).agg(F.when(den > 0, num / den).alias("icc"), F.count("*").alias("subjects"))
 
 
@@ -163,8 +163,8 @@ def median_polish(df: DataFrame, value: str, unit: str, effects: Sequence[str],
 
 def simple_ols(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Slope, intercept and their standard errors per group, with sigma^2 = rss / max(n - 2, 1)."""
-    ok = df.select(*by, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where("x is not null and y is not null")
-    s = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy"))
+    ok = df.select(*by, finite(F.col(x)).alias("__tg_x"), finite(F.col(y)).alias("__tg_y")).where("__tg_x is not null and __tg_y is not null")
+    s = ok.groupBy(*by).agg(F.count("*").alias("n"), F.avg("__tg_x").alias("mx"), F.avg("__tg_y").alias("my"), F.var_pop("__tg_x").alias("vx"), F.var_pop("__tg_y").alias("vy"), F.covar_pop("__tg_x", "__tg_y").alias("cxy"))
     b = F.col("cxy") / F.col("vx")
     rss = F.greatest(F.col("n") * (F.col("vy") - F.col("cxy") ** 2 / F.col("vx")), F.lit(0.0))
     sigma2 = rss / F.greatest(F.col("n") - 2, F.lit(1))
@@ -175,17 +175,17 @@ def simple_ols(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
 def axis_cap(df: DataFrame, value: str, by: Sequence[str], ratio: float = 3.0) -> DataFrame:
     """Per group the second-largest absolute value where the largest exceeds it by the ratio, else null: where to cut an axis."""
     a = F.abs(finite(F.col(value)))
-    top = df.select(*by, a.alias("a")).where("a is not null").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("a")))).where("r <= 2")
-    first, second = F.max(F.when(F.col("r") == 1, F.col("a"))), F.max(F.when(F.col("r") == 2, F.col("a")))
+    top = df.select(*by, a.alias("__tg_a")).where("__tg_a is not null").withColumn("__tg_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__tg_a")))).where("__tg_r <= 2")
+    first, second = F.max(F.when(F.col("__tg_r") == 1, F.col("__tg_a"))), F.max(F.when(F.col("__tg_r") == 2, F.col("__tg_a")))
     return top.groupBy(*by).agg(F.when(second.isNotNull() & (second > 0) & (first > ratio * second), second).alias("cap"), first.alias("largest"))
 
 
 def upper_threshold(df: DataFrame, value: str, by: Sequence[str], rate: float) -> DataFrame:
     """The smallest cut such that at most `rate` of a group's values lie above it: the (k+1)-th largest, k = floor(rate * n)."""
-    own = df.select(*by, finite(F.col(value)).alias("x")).where("x is not null")
+    own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null")
     w = Window.partitionBy(*by)
-    ranked = own.withColumns({"r": F.row_number().over(w.orderBy(F.desc("x"))), "n": F.count("*").over(w)})
-    return ranked.where(F.col("r") == F.floor(F.lit(rate) * F.col("n")) + 1).select(*by, F.col("x").alias("cut"), "n")
+    ranked = own.withColumns({"__tg_r": F.row_number().over(w.orderBy(F.desc("__tg_x"))), "__tg_n": F.count("*").over(w)})
+    return ranked.where(F.col("__tg_r") == F.floor(F.lit(rate) * F.col("__tg_n")) + 1).select(*by, F.col("__tg_x").alias("cut"), F.col("__tg_n").alias("n"))
 
 
 def stable_fold(key: Column, folds: int, salt: str = "") -> Column:

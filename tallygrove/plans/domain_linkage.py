@@ -56,10 +56,10 @@ def d35(spark, d):
     return m.select("row_id", F.round(value, 6).alias("visit"), how.alias("how"))
 
 
-@query("d36_corrections_by_digest", "with c as (select sha256(trim(sampleid)) h, max(accessionnumber) v from manifest where row_id % 10 = 3 and sampleid is not null group by 1 having min(accessionnumber) = max(accessionnumber)) select m.row_id, coalesce('FIX-' || c.v, m.accessionnumber) accessionnumber, c.v is not null corrected from manifest m left join c on c.h = sha256(trim(m.sampleid))")
+@query("d36_corrections_by_digest", "with c as (select sha256(trim(sampleid)) h, max(accessionnumber) v from manifest where record_source = 'site_form' and sampleid is not null group by 1 having min(accessionnumber) = max(accessionnumber)) select m.row_id, coalesce('FIX-' || c.v, m.accessionnumber) accessionnumber, c.v is not null corrected from manifest m left join c on c.h = sha256(trim(m.sampleid))")
 def d36(spark, d):
-    m = table(spark, d, "manifest").select("row_id", "sampleid", "accessionnumber")
-    c = m.where("row_id % 10 = 3 and sampleid is not null").groupBy(digest(F.col("sampleid")).alias("digest")).agg(F.min("accessionnumber").alias("lo"), F.max("accessionnumber").alias("hi")).where("lo = hi")
+    m = table(spark, d, "manifest").select("row_id", "sampleid", "accessionnumber", "record_source")
+    c = m.where("record_source = 'site_form' and sampleid is not null").groupBy(digest(F.col("sampleid")).alias("digest")).agg(F.min("accessionnumber").alias("lo"), F.max("accessionnumber").alias("hi")).where("lo = hi")
     fixes = c.select("digest", F.lit("accessionnumber").alias("field"), F.concat(F.lit("FIX-"), "hi").alias("value"))
     return L.apply_corrections(m, fixes, "sampleid", ["accessionnumber"]).select("row_id", "accessionnumber", "corrected")
 
@@ -99,11 +99,11 @@ def d89(spark, d):
 
 
 # --- genotypes: parts stand for variants, suppliers for individuals -------------------------------------------------
-_DOSE = "(select l_suppkey iid, l_partkey % 60 variant, (sum(l_linenumber) % 3)::int dose from lineitem where l_suppkey <= 40 group by 1, 2)"
+_DOSE = "(select l_suppkey iid, l_partkey % 60 variant, (sum(l_linenumber) % 3)::int dose from lineitem group by 1, 2)"
 
 
 def doses(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey <= 40")
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("iid"), (F.col("l_partkey") % 60).alias("variant")).agg((F.sum("l_linenumber") % 3).cast("int").alias("dose"))
 
 
@@ -142,11 +142,11 @@ def d43(spark, d):
     return a.select("p_partkey", G.allele_match(F.col("a1"), F.col("a2"), F.col("ref"), F.col("alt")).alias("fit"))
 
 
-_CAT = "(select l_suppkey protein, l_partkey variant, max(l_extendedprice) nlp, (min(l_linenumber) % 3)::int rank from lineitem where l_partkey <= 300 group by 1, 2)"
+_CAT = "(select l_suppkey protein, l_partkey variant, max(l_extendedprice) nlp, (min(l_linenumber) % 3)::int rank from lineitem group by 1, 2)"
 
 
 def catalog(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey <= 300").groupBy(F.col("l_suppkey").alias("protein"), F.col("l_partkey").alias("variant")).agg(F.max("l_extendedprice").alias("nlp"), (F.min("l_linenumber") % 3).cast("int").alias("rank"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("protein"), F.col("l_partkey").alias("variant")).agg(F.max("l_extendedprice").alias("nlp"), (F.min("l_linenumber") % 3).cast("int").alias("rank"))
 
 
 @query("d44_strongest_rows", f"with b as (select *, row_number() over (partition by protein order by nlp desc, variant) r from {_CAT}) select protein, variant, nlp from (select *, row_number() over (partition by variant order by nlp desc, protein) q from b where r = 1) where q = 1")

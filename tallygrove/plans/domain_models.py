@@ -194,14 +194,21 @@ def st31(spark, d):
 
 @query("st27_sample_similarity")
 def st27(spark, d):
-    """Best and second-best partner of every study sample by ICC-weighted correlation of its polished, standardised values.
-
-    Blocks of samples meet as arrays, so each pair of blocks is one matrix product."""
-    v = S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE' and sample is not null and plate in ('SP00-00000', 'SP00-00001')"), "v", "assay", ["plate"])
-    cells = v.groupBy("assay", "sample").agg(F.avg("resid").alias("x"))
-    rows = cells.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("assay", "x"))).alias("c")).select("sample", F.transform("c", lambda c: c["x"]).alias("x")).where(F.size("x") == 20)
-    packed = rows.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(8))).groupBy("b").agg(F.collect_list(F.struct("sample", "x")).alias("rows"))
-    x, y = packed.select(F.col("b").alias("bx"), F.col("rows").alias("rx")), packed.select(F.col("b").alias("by"), F.col("rows").alias("ry"))
+    """Best and second-best partner, among all study samples, of each query sample (first row id divisible by 50) by the
+    correlation of polished, standardised values.
+
+    Samples are packed into blocks of arrays. The queries, a fixed fiftieth, meet every block once, and each meeting is one
+    matrix product that keeps two partners per query."""
+    v = S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE' and sample is not null"), "v", "assay", ["plate"])
+    cells = v.groupBy("assay", "sample").agg(F.avg("resid").alias("x"), F.min("row_id").alias("r"))
+    panel = cells.select("assay").distinct().agg(F.array_sort(F.collect_set("assay")).alias("panel"))  # the assays of one platform
+    full = cells.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("assay", "x"))).alias("m"), F.min("r").alias("r")).crossJoin(F.broadcast(panel))
+    rows = full.select("sample", "r", F.transform("panel", lambda a: F.coalesce(F.try_element_at("m", a), F.lit(0.0))).alias("x"))
+    pack = lambda df, n: df.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(n))).groupBy("b").agg(F.collect_list(F.struct("sample", "x")).alias("rows"))
+    n = cells.agg(F.count_distinct("sample")).first()[0]
+    wide, narrow = max(1, n // 2048), max(1, n // 50 // 512)  # samples of a block stay bounded as tables grow
+    x = pack(rows.where("r % 50 = 0"), narrow).select(F.col("b").alias("bx"), F.col("rows").alias("rx"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("by"))
+    y = pack(rows, wide).select(F.col("b").alias("by"), F.col("rows").alias("ry"))
 
     def product(batches):
         for pdf in batches:
@@ -216,7 +223,7 @@ def st27(spark, d):
 
     from tallygrove.operators.relational import best_two
 
-    return best_two(x.crossJoin(y).mapInPandas(product, "sample string, partner string, r double").where("r > -1e300"), ["sample"], "partner", "r")
+    return best_two(x.join(y, "by").select("rx", "ry").mapInPandas(product, "sample string, partner string, r double").where("r > -1e300"), ["sample"], "partner", "r")
 
 
 @query("st25_without_components")

@@ -122,11 +122,11 @@ def j8(spark, d):
     return R.null_safe_join(m, per, [("source_key", "k")]).select("row_id", "n")
 
 
-@query("j9_token_bridge", """with t as (select distinct p_partkey k, unnest(string_split(p_name, ' ')) t from part where p_partkey <= 400), u as (select distinct p_brand b, unnest(string_split(p_type, ' ')) t from part)
+@query("j9_token_bridge", """with t as (select distinct p_partkey k, unnest(string_split(p_name, ' ')) t from part), u as (select distinct p_brand b, unnest(string_split(p_type, ' ')) t from part)
   select k as p_partkey, b as p_brand, string_agg(t, '|' order by t) shared, count(*) n_shared from (select distinct k, b, t.t from t join u on upper(t.t) = upper(u.t)) group by 1, 2 """)
 def j9(spark, d):
     p = table(spark, d, "part")
-    names = R.tokens(p.where("p_partkey <= 400"), "p_partkey", F.col("p_name"), " ").withColumn("token", F.col("token"))
+    names = R.tokens(p, "p_partkey", F.col("p_name"), " ").withColumn("token", F.col("token"))
     types = R.tokens(p.select("p_brand", "p_type").distinct(), "p_brand", F.col("p_type"), " ").distinct()
     upper = lambda x: x.withColumns({"own": F.col("token"), "token": F.upper("token")})
     both = upper(names).join(upper(types).drop("own").distinct(), "token").select("p_partkey", "p_brand", F.col("own").alias("token")).distinct()
@@ -284,11 +284,11 @@ def t5(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.mapped(F.col("o_orderstatus"), {"F": 1, "P": 2, "O": 3}).alias("place")).orderBy("place", "o_orderkey").limit(100)
 
 
-@query("t6_union_relaxed", "select row_id, seqid assay, rfu as value, null as panel, 'soma' platform from soma_long where plateid = 'SP00-00001' and not isnan(rfu) union all select row_id, olinkid, npx, panel, 'olink' from olink_long where plateid = 'OP00-00001' and not isnan(npx)")
+@query("t6_union_relaxed", "select platform, assay, panel, count(*) n, min(value) lo, max(value) hi from (select seqid assay, rfu as value, null as panel, 'soma' platform from soma_long where not isnan(rfu) union all select olinkid, npx, panel, 'olink' from olink_long where not isnan(npx)) group by 1, 2, 3")
 def t6(spark, d):
-    s = nan_to_null(table(spark, d, "soma_long").where("plateid = 'SP00-00001'").select("row_id", F.col("seqid").alias("assay"), F.col("rfu").alias("value"), F.lit("soma").alias("platform"))).where("value is not null")
-    o = nan_to_null(table(spark, d, "olink_long").where("plateid = 'OP00-00001'").select("row_id", F.col("olinkid").alias("assay"), F.col("npx").alias("value"), "panel", F.lit("olink").alias("platform"))).where("value is not null")
-    return R.union_relaxed([s, o])
+    s = nan_to_null(table(spark, d, "soma_long").select(F.col("seqid").alias("assay"), F.col("rfu").alias("value"), F.lit("soma").alias("platform")))
+    o = nan_to_null(table(spark, d, "olink_long").select(F.col("olinkid").alias("assay"), F.col("npx").alias("value"), "panel", F.lit("olink").alias("platform")))
+    return R.union_relaxed([s, o]).where("value is not null").groupBy("platform", "assay", "panel").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
 @query("t8_distinct_union", "select usubjid from adsl where usubjid is not null union select usubjid from visit_records where usubjid is not null")
@@ -327,9 +327,9 @@ def f3(spark, d):
     return table(spark, d, "manifest").where("sampleid is not null").select("row_id", X.digest(F.col("sampleid")).alias("h"))
 
 
-@query("f4_math", "select row_id, round(log2(rfu), 6) l2, round(ln(rfu), 6) l, round(log10(rfu), 6) l10, round(sqrt(rfu), 6) s, round(pow(2, least(log2(rfu), 20)), 4) back from soma_long where plateid = 'SP00-00000' and rfu > 0.1 and rfu < 1000000 and not isnan(rfu)")
+@query("f4_math", "select row_id, round(log2(rfu), 6) l2, round(ln(rfu), 6) l, round(log10(rfu), 6) l10, round(sqrt(rfu), 6) s, round(pow(2, least(log2(rfu), 20)), 4) back from soma_long where rfu > 0.1 and rfu < 1000000 and not isnan(rfu)")
 def f4(spark, d):
-    s = table(spark, d, "soma_long").where("plateid = 'SP00-00000' and rfu > 0.1 and rfu < 1000000 and not isnan(rfu)")
+    s = table(spark, d, "soma_long").where("rfu > 0.1 and rfu < 1000000 and not isnan(rfu)")
     r = lambda x, n=6: F.round(x, n)
     return s.select("row_id", r(F.log2("rfu")).alias("l2"), r(F.log("rfu")).alias("l"), r(F.log10("rfu")).alias("l10"), r(F.sqrt("rfu")).alias("s"), r(F.pow(F.lit(2.0), F.least(F.log2("rfu"), F.lit(20.0))), 4).alias("back"))
 

@@ -61,14 +61,16 @@ def st7(spark, d):
     return S.robust_z(soma(spark, d), "v", ["assay"], F.col("sampletype") == "SAMPLE").select("row_id", F.round("z", 6).alias("z"))
 
 
-_PAIRS = "(select a.assay x_assay, b.assay y_assay, a.sample, a.v x, b.v y from (select assay, sample, avg(v) v from {soma} where sampletype = 'SAMPLE' and assay in ('10000-3', '10037-4') group by 1, 2) a join (select assay, sample, avg(v) v from {olink} where sampletype = 'SAMPLE' and assay in ('OID20000', 'OID20091', 'OID20182') group by 1, 2) b on a.sample = b.sample)".format(soma=SOMA_SQL, olink=OLINK_SQL)
+_FAMILY = "(select distinct a.seqid x_assay, b.olinkid y_assay from soma_long a join olink_long b on left(a.uniprot, 2) = left(b.uniprot, 2))"
+_PAIRS = f"(select x_assay, y_assay, a.sample, a.v x, b.v y from (select assay x_assay, sample, avg(v) v from {SOMA_SQL} where sampletype = 'SAMPLE' group by 1, 2) a join {_FAMILY} f using (x_assay) join (select assay y_assay, sample, avg(v) v from {OLINK_SQL} where sampletype = 'SAMPLE' group by 1, 2) b using (y_assay) where a.sample = b.sample)"
 
 
 def pair_frame(spark, d):
+    """Values of one sample on both platforms, for assays whose accessions begin alike (a bridge over a shared token)."""
     mean = lambda df, out: df.where("sampletype = 'SAMPLE'").groupBy(F.col("assay").alias(f"{out}_assay"), "sample").agg(F.avg("v").alias(out))
-    x = mean(soma(spark, d).where(F.col("assay").isin("10000-3", "10037-4")), "x")
-    y = mean(olink(spark, d).where(F.col("assay").isin("OID20000", "OID20091", "OID20182")), "y")
-    return x.join(y, "sample")
+    family = lambda name, key, out: table(spark, d, name).select(F.col(key).alias(out), F.substring("uniprot", 1, 2).alias("family")).distinct()
+    pairs = family("soma_long", "seqid", "x_assay").join(family("olink_long", "olinkid", "y_assay"), "family").select("x_assay", "y_assay").distinct()
+    return mean(soma(spark, d), "x").join(pairs, "x_assay").join(mean(olink(spark, d), "y"), ["y_assay", "sample"])
 
 
 @query("st8_pair_correlations", f"with r as (select *, rank() over (partition by x_assay, y_assay order by x) + (count(*) over (partition by x_assay, y_assay, x) - 1) / 2.0 rx, rank() over (partition by x_assay, y_assay order by y) + (count(*) over (partition by x_assay, y_assay, y) - 1) / 2.0 ry from {_PAIRS}) select x_assay, y_assay, count(*) n, round(corr(x, y), 6) pearson, round(corr(rx, ry), 6) spearman from r group by 1, 2")
@@ -143,10 +145,10 @@ def st24b(spark, d):
     return S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE'"), "v", "assay", ["plate"], rounds=1).select("row_id", F.round("resid", 6).alias("resid"))
 
 
-@query("st32_kinship_counts", """with g as (select user_id i, event_type v, least(count(*), 2) % 3 dose from events where user_id <= 60 group by 1, 2)
+@query("st32_kinship_counts", """with g as (select user_id i, event_type v, least(count(*), 2) % 3 dose from events group by 1, 2)
   select x.i a, y.i b, sum(case when x.dose = 1 and y.dose = 1 then 1 else 0 end)::bigint het_het, sum(case when abs(x.dose - y.dose) = 2 then 1 else 0 end)::bigint opposite, count(*) n from g x join g y on x.v = y.v and x.i < y.i group by 1, 2""")
 def st32(spark, d):
-    g = table(spark, d, "events").where("user_id <= 60").groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("v")).agg((F.least(F.count("*"), F.lit(2)) % 3).alias("dose"))
+    g = table(spark, d, "events").groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("v")).agg((F.least(F.count("*"), F.lit(2)) % 3).alias("dose"))
     from tallygrove.operators.genetics import pair_counts
 
     return pair_counts(g, "i", "v", "dose").select("a", "b", "het_het", "opposite", "n")

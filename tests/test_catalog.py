@@ -1,0 +1,22 @@
+import pytest
+
+from tallygrove.plans import catalog
+from tests.parity import duck, same
+
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
+
+
+def test_catalog_is_sound():
+    assert set(ORACLES) <= set(QUERIES)
+    assert {"d19_detection_status", "p3_found", "p4_found"} <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, smoke_dir, name):
+    df = QUERIES[name](spark, smoke_dir)
+    assert len(set(df.columns)) == len(df.columns)
+    rows = df.collect()
+    if name in ORACLES:
+        got = duck(smoke_dir).execute(ORACLES[name])
+        names = [d[0] for d in got.description]
+        assert not same([tuple(r) for r in rows], df.columns, got.fetchall(), names)
