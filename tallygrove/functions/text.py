@@ -35,7 +35,7 @@ def p_text(p: Column, digits: int = 3) -> Column:
 
 
 def mean_sd(mean: Column, sd: Column, digits: int = 1) -> Column:
-    return F.when(mean.isNotNull(), F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ("), F.coalesce(F.format_string(f"%.{digits}f", sd), F.lit("-")), F.lit(")")))
+    return F.when(mean.isNotNull(), F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ("), F.when(sd.isNotNull(), F.format_string(f"%.{digits}f", sd)).otherwise("-"), F.lit(")")))
 
 
 def count_share(n: Column, total: Column, digits: int = 1) -> Column:

@@ -17,12 +17,17 @@ from tallygrove.functions.dist import normal_two_sided, t_quantile, t_two_sided
 
 
 def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """`fit` on every group, its rows in a fixed order, so that results do not depend on the partitioning."""
+    """`fit` on every group, its rows in a fixed order, so that results do not depend on the partitioning. A group whose rows
+    do not determine the model gives no row."""
     names = list(keys)
+    result = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        out = fit(own)
+        try:
+            out = fit(own)
+        except NotEstimable:
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in [*names, *result]})
         for i, k in enumerate(names):
             out.insert(i, k, own[k].iloc[0] if len(own) else None)
         return out
@@ -31,6 +36,10 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], fit: Cal
     return df.groupBy(*names).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", " + schema)
 
 
+class NotEstimable(ValueError):
+    """The rows do not determine the model: too few, one arm, or a singular design."""
+
+
 # --- least squares, residuals, mediation ----------------------------------------------------------------------------
 def dummies(values: Sequence, reference=None) -> tuple[np.ndarray, list]:
     """Indicator columns of all levels but the reference (default: the smallest)."""
@@ -91,6 +100,8 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
     """
     visits = np.unique(visit)
     k = len(visits)
+    if not len(contrasts) or len(y) < x.shape[1] + k * (k + 1) // 2 + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
+        raise NotEstimable(f"{len(y)} rows for {x.shape[1]} coefficients and {k} visits")
     at = np.searchsorted(visits, visit)
     order = np.lexsort((at, subject))
     y, x, subject, at = y[order], x[order], subject[order], at[order]
@@ -193,6 +204,8 @@ def arm_visit_design(arm: Sequence, visit: Sequence, covariates: np.ndarray, con
     cells = [(a, v) for a in arms for v in visits]
     x = np.array([[1.0 if (a, v) == c else 0.0 for c in cells] for a, v in zip(arm, visit, strict=True)])
     z = covariates - covariates.mean(axis=0) if covariates.size else np.zeros((len(arm), 0))
+    if control not in arms:
+        raise NotEstimable(f"no rows of {control}")
     labels = [(a, v) for a in arms if a != control for v in visits]
     c = np.zeros((len(labels), len(cells) + z.shape[1]))
     for i, (a, v) in enumerate(labels):

@@ -205,12 +205,12 @@ def d76(spark, d):
     return e.join(first, "assay").where("plate <> pb").select("assay", "plate", F.round("z", 5).alias("z1"), F.round("zb", 5).alias("z2"), (F.signum("z") == F.signum("zb")).alias("agree"))
 
 
-@query("d77_best_effect_row", f"select plate, arg_max(assay, abs(z)) assay, round(max(abs(z)), 5) z from {_T} group by 1")
+@query("d77_best_effect_row", f"select plate, arg_max(assay, (round(abs(z), 5), assay)) assay, round(max(abs(z)), 5) z from {_T} group by 1")
 def d77(spark, d):
-    return effects(spark, d).groupBy("plate").agg(F.max_by("assay", F.abs("z")).alias("assay"), F.round(F.max(F.abs("z")), 5).alias("z"))
+    return effects(spark, d).groupBy("plate").agg(F.max_by("assay", F.struct(F.round(F.abs("z"), 5), "assay")).alias("assay"), F.round(F.max(F.abs("z")), 5).alias("z"))
 
 
-@query("d79_characteristics", "with a as (select usubjid, arg_min(coalesce(trt01a, 'none'), row_id) arm, arg_min(age, row_id) filter (age is not null) age, arg_min(sex, row_id) filter (sex is not null) sex from adsl group by 1) select coalesce(arm, 'all') arm, count(*) n, printf('%.2f', avg(age)) || ' (' || printf('%.2f', stddev_samp(age)) || ')' age, printf('%d (%.3f%%)', count(*) filter (sex = 'F'), 100.0 * count(*) filter (sex = 'F') / count(*)) women from a group by rollup (arm)")
+@query("d79_characteristics", "with a as (select usubjid, arg_min(coalesce(trt01a, 'none'), row_id) arm, arg_min(age, row_id) filter (age is not null) age, arg_min(sex, row_id) filter (sex is not null) sex from adsl group by 1) select coalesce(arm, 'all') arm, count(*) n, printf('%.2f', round(avg(age), 2)) || ' (' || coalesce(printf('%.2f', round(stddev_samp(age), 2)), '-') || ')' age, printf('%d (%.3f%%)', count(*) filter (sex = 'F'), round(100.0 * count(*) filter (sex = 'F') / count(*), 3)) women from a group by rollup (arm)")
 def d79(spark, d):
     from tallygrove.functions.text import count_share, mean_sd
 

@@ -340,7 +340,7 @@ def f5(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(words).alias("n"), F.element_at(words, 1).alias("first"), F.element_at(words, -1).alias("last"), F.array_contains(words, "red").alias("has_red"), F.size(F.array_intersect(words, F.split(F.lower("p_type"), " "))).alias("common"))
 
 
-@query("f6_print_formats", "select p_brand, printf('%.1f', avg(p_retailprice)) || ' (' || coalesce(printf('%.1f', stddev_samp(p_retailprice)), '-') || ')' price, printf('%d (%.2f%%)', count(*) filter (p_size > 25), 100.0 * count(*) filter (p_size > 25) / count(*)) large, case when avg(p_size) / 50000 < 0.001 then '<0.001' else printf('%.3f', avg(p_size) / 50000) end p from part group by 1")
+@query("f6_print_formats", "select p_brand, printf('%.1f', round(avg(p_retailprice), 1)) || ' (' || coalesce(printf('%.1f', round(stddev_samp(p_retailprice), 1)), '-') || ')' price, printf('%d (%.2f%%)', count(*) filter (p_size > 25), round(100.0 * count(*) filter (p_size > 25) / count(*), 2)) large, case when avg(p_size) / 50000 < 0.001 then '<0.001' else printf('%.3f', round(avg(p_size) / 50000, 3)) end p from part group by 1")
 def f6(spark, d):
     big = F.count_if(F.col("p_size") > 25)
     return table(spark, d, "part").groupBy("p_brand").agg(X.mean_sd(F.avg("p_retailprice"), F.stddev_samp("p_retailprice")).alias("price"), X.count_share(big, F.count("*"), 2).alias("large"), X.p_text(F.avg("p_size") / 50000).alias("p"))

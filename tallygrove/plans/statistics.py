@@ -173,7 +173,7 @@ def st42(spark, d):
     return S.axis_cap(table(spark, d, "olink_long").select(F.col("olinkid").alias("assay"), "npx"), "npx", ["assay"])
 
 
-@query("st43_regression_line", f"select assay, round(regr_slope(v, lod), 6) slope, round(regr_intercept(v, lod), 6) intercept from {OLINK_SQL} where not isnan(lod) group by 1")
+@query("st43_regression_line", f"select assay, round(regr_slope(v, lod), 6) slope, round(regr_intercept(v, lod), 6) intercept from {OLINK_SQL} where not isnan(lod) group by 1 having var_pop(lod) > 0")
 def st43(spark, d):
     return r6(S.simple_ols(olink(spark, d), "lod", "v", ["assay"]), "slope", "intercept").select("assay", "slope", "intercept")
 
