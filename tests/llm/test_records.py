@@ -125,8 +125,9 @@ def test_nearest_ties_bounds_and_nulls(spark):
     assert nearest(spark, [], theirs) == [] and nearest(spark, ours, []) == []
 
 
+@pytest.mark.parametrize("full", [3, 200_000])
 @pytest.mark.parametrize("seed", range(3))
-def test_nearest_random(spark, seed):
+def test_nearest_random(spark, seed, full):
     rng = random.Random(seed)
     who = lambda: rng.choice(["hot"] * 4 + ["b", "c", None])
     ours = [(i, who(), rng.choice([None, rng.randrange(0, 900) / 2])) for i in range(200)]
@@ -136,7 +137,7 @@ def test_nearest_random(spark, seed):
         near = [(abs(t - u), j) for j, f, u in theirs if e is not None and t is not None and f == e and abs(t - u) <= 7]
         if near:
             want.append((i, min(near)[1]))
-    assert nearest(spark, ours, theirs, 7) == sorted(want)
+    assert nearest(spark, ours, theirs, 7, full=full) == sorted(want)
 
 
 def test_splits_keep_groups_and_tubes_together(spark):
