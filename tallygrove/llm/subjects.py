@@ -27,8 +27,8 @@ _SENTENCE = re.compile(r"[.!?。！？]+(?=[\s\"')\]_]|$)|[\r\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """`labelled` bounds the documents that the model is fitted on (those with the smallest hash of their id); `shards` the
-    partitions that train side by side. A sentence of fewer than `short` words counts as one of `short`, so that a stray
+    """`labelled` bounds the documents that the model is fitted on: with more labels, those whose id hash falls into that share
+    of the hash's range, so about that many; `shards` is the number of partitions that train side by side. A sentence of fewer than `short` words counts as one of `short`, so that a stray
     word decides little. `share` is the part of a document's subject sentences that an area needs."""
 
     buckets: int = 1 << 16
@@ -221,7 +221,7 @@ class Scorer:
 
 
 def fit_areas(docs: DataFrame, labels: DataFrame, areas: list[str], s: Settings = Settings(), key: str = "doc_id", text: str = "text", area: str = "area", held_out: int | None = None) -> Weights:
-    """Weights fitted on labelled documents, at most `s.labelled` of them.
+    """Weights fitted on labelled documents, about `s.labelled` of them at most.
 
     `held_out` leaves documents out whose id hash, modulo 10, is that number, for measuring. Labels of unknown areas, and
     labels of documents that do not exist, are ignored; without any label no area is ever given.
@@ -233,7 +233,9 @@ def fit_areas(docs: DataFrame, labels: DataFrame, areas: list[str], s: Settings
     masks = labels.select(F.col(f"`{key}`").alias("k"), bit.alias("bit")).where("bit > 0").distinct().groupBy("k").agg(F.sum("bit").alias("mask"))
     if held_out is not None:
         masks = masks.where(F.pmod(F.xxhash64(F.lit("held"), "k"), F.lit(10)) != held_out)
-    chosen = masks.orderBy(F.xxhash64(F.lit("fit"), "k"), "k").limit(s.labelled)
+    masks = stash.keep(masks, "masks")
+    bound = min(1.0, s.labelled / max(masks.count(), 1))
+    chosen = masks.where(F.pmod(F.xxhash64(F.lit("fit"), "k"), F.lit(1 << 30)) < F.lit(bound * (1 << 30)))
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(chosen, "k").where(F.col("t").isNotNull())
     shard = F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(s.shards)).cast("int")
     data = stash.keep(texts.select(shard.alias("shard"), "k", "t", "mask").repartition(s.shards, "shard"), "labelled")
