@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.operators.stats import MAD_SCALE, finite, median_mad
+from tallygrove.operators.stats import MAD_SCALE, exact_quantiles, finite, median_mad
 
 
 def run_hierarchy(rows: DataFrame, sample: str, run: str, block: str, failed: Column) -> DataFrame:
@@ -49,16 +49,17 @@ def blank_lod(rows: DataFrame, value: str, assay: str, blank: Column, k: float =
 
 def control_lod(rows: DataFrame, value: str, assay: str, control: Column, floor: float = 0.2, k: float = 3.0, least: int = 10) -> DataFrame:
     """Limit of detection per assay from negative controls: median + max(floor, k sd); method `sd` with enough controls, else `floor`."""
-    x = F.when(control, finite(F.col(value)))
-    s = rows.select(assay, x.alias("x")).where("x is not null").groupBy(assay).agg(F.median("x").alias("med"), F.stddev_samp("x").alias("sd"), F.count("*").alias("n"))
+    own = rows.where(control).select(assay, finite(F.col(value)).alias("__tg_v")).where("__tg_v is not null")
+    spread_of = own.groupBy(assay).agg(F.stddev_samp("__tg_v").alias("sd"))
+    s = exact_quantiles(own, "__tg_v", [assay], {"med": 0.5}).join(spread_of, assay)
     spread = F.when((F.col("n") >= least) & F.col("sd").isNotNull(), F.greatest(F.lit(floor), k * F.col("sd"))).otherwise(F.lit(floor))
     return s.select(assay, (F.col("med") + spread).alias("lod"), F.when(F.col("n") >= least, "sd").otherwise("floor").alias("method"), "n")
 
 
 def signal_to_background(rows: DataFrame, value: str, assay: str, signal: Column, blank: Column, least: float = 2.0) -> DataFrame:
-    """Median of the signal rows over the median of the blanks, in one aggregation; flagged below `least`."""
-    x = finite(F.col(value))
-    agg = rows.groupBy(assay).agg(F.median(F.when(signal, x)).alias("signal"), F.median(F.when(blank, x)).alias("background"))
+    """Median of the signal rows over the median of the blanks; flagged below `least`. Assays with neither are left out."""
+    mid = lambda kind, out: exact_quantiles(rows.where(kind).select(assay, value), value, [assay], {out: 0.5}).drop("n")
+    agg = mid(signal, "signal").join(mid(blank, "background"), assay, "full")
     return agg.withColumn("ratio", F.when(F.col("background") > 0, F.col("signal") / F.col("background"))).withColumn("low", F.col("ratio") < least)
 
 

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.session import plan_bytes
+
+#: Frames beyond this estimate have their exact quantiles taken by bracketing, not in one aggregation buffer per group.
+ONE_BUFFER_BYTES = 8 << 30
+
 MAD_SCALE = 1.4826  #: fixed value: makes the median absolute deviation of a normal sample its standard deviation
 
 
@@ -15,29 +20,50 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), tie: Sequence[str] = (), out: str = "fdr") -> DataFrame:
+def _p_bin(p: Column) -> Column:
+    """Monotone bin of a P value: 4,032 equal bins from 1/64 up, 32 for every halving below."""
+    return F.when(p >= 1 / 64, F.floor(p * 4096) + 40_000).otherwise(F.floor((F.log2(F.greatest(p, F.lit(1e-320))) + 1100) * 32)).cast("int")
+
+
+def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr", split: bool | None = None) -> DataFrame:
     """Benjamini-Hochberg step-up FDR within groups; null, NaN, infinite and negative p-values get null and do not count.
 
-    Tied p-values share the smallest adjusted value among them, so ties need no further order. With groups each runs in its
-    own window. The whole-table family has no partition key: ranks then come from counts per distinct p-value, which is
-    what is sorted, not the rows.
+    Tied p-values share the smallest adjusted value among them, so ties need no further order, and what is ranked is one row
+    per distinct p-value. With `split` (the default for the whole table as one family; set it for families that hold much of
+    the table) p-values fall into bins: ranks are a bin's offset plus the rank inside it, and the running minimum is that
+    inside the bin and of the bins above, so no task sorts a whole family.
     """
     value = finite(F.col(p))
-    ok = F.when(value >= 0, value)
-    work = df.withColumn("__tg_p", ok)
+    work = df.withColumn("__tg_p", F.when(value >= 0, value))
     keys = list(by)
-    # per distinct p: the rank of its last row, then a running minimum from the largest p down
+    split = not keys if split is None else split
     per = work.where(F.col("__tg_p").isNotNull()).groupBy(*keys, "__tg_p").agg(F.count("*").alias("__tg_c"))
-    up = Window.partitionBy(*keys).orderBy("__tg_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("__tg_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = per.withColumns({"__tg_r": F.sum("__tg_c").over(up), "__tg_m": F.sum("__tg_c").over(whole)})
-    adj = F.least(F.lit(1.0), F.min(F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r")).over(down))
-    table = ranked.select(*[F.col(k).alias(f"__tg_k{i}") for i, k in enumerate(keys)], F.col("__tg_p").alias("__tg_q"), adj.alias(out))
-    cond = F.col("__tg_p") == F.col("__tg_q")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__tg_k{i}"))
-    return work.join(table, cond, "left").drop("__tg_p", "__tg_q", *[f"__tg_k{i}" for i in range(len(keys))])
+    rows = (Window.unboundedPreceding, Window.currentRow)
+    family = Window.partitionBy(*keys)
+
+    def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+        named = right.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(on)})
+        cond = F.lit(True)
+        for i, k in enumerate(on):
+            cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"__tg_k{i}"))
+        return left.join(named, cond, how).drop(*[f"__tg_k{i}" for i in range(len(on))])
+
+    if split:
+        binned = per.withColumn("__tg_b", _p_bin(F.col("__tg_p")))
+        sums = binned.groupBy(*keys, "__tg_b").agg(F.sum("__tg_c").alias("__tg_n"))
+        offsets = sums.withColumns({"__tg_o": F.coalesce(F.sum("__tg_n").over(family.orderBy("__tg_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__tg_m": F.sum("__tg_n").over(family)}).drop("__tg_n")
+        inside = Window.partitionBy(*keys, "__tg_b")
+        placed = matched(binned, offsets, [*keys, "__tg_b"], "inner")
+        raw = placed.withColumn("__tg_r", F.col("__tg_o") + F.sum("__tg_c").over(inside.orderBy("__tg_p").rowsBetween(*rows))).withColumn("__tg_q", F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r"))
+        least = raw.groupBy(*keys, "__tg_b").agg(F.min("__tg_q").alias("__tg_l"))
+        above = least.withColumn("__tg_a", F.min("__tg_l").over(family.orderBy(F.desc("__tg_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("__tg_l")
+        low = F.min("__tg_q").over(inside.orderBy(F.desc("__tg_p")).rowsBetween(*rows))
+        table = matched(raw.withColumn("__tg_w", low), above, [*keys, "__tg_b"], "inner").select(*keys, "__tg_p", F.least(F.lit(1.0), "__tg_w", "__tg_a").alias(out))
+    else:
+        ranked = per.withColumns({"__tg_r": F.sum("__tg_c").over(family.orderBy("__tg_p").rowsBetween(*rows)), "__tg_m": F.sum("__tg_c").over(family)})
+        low = F.min(F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r")).over(family.orderBy(F.desc("__tg_p")).rowsBetween(*rows))
+        table = ranked.select(*keys, "__tg_p", F.least(F.lit(1.0), low).alias(out))
+    return matched(work, table, [*keys, "__tg_p"], "left").drop("__tg_p")
 
 
 def simes(df: DataFrame, p: str, by: Sequence[str], out: str = "p_simes") -> DataFrame:
@@ -48,14 +74,61 @@ def simes(df: DataFrame, p: str, by: Sequence[str], out: str = "p_simes") -> Dat
     return ranked.groupBy(*by).agg(F.min(F.col("__tg_p") * F.col("__tg_n") / F.col("__tg_i")).alias(out), F.max("__tg_n").alias("n_p"))
 
 
-def median_mad(df: DataFrame, value: str, by: Sequence[str], where: Column | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], spread: bool | None = None, nearest: bool = False) -> DataFrame:
+    """Exact quantiles of the finite values per group, and their count `n`: interpolated linearly, or (`nearest`) the value at
+    index round-half-even(q * (n - 1)).
+
+    Small frames use the built-in aggregate, which holds a group's distinct values in one buffer. Large ones (`spread`, by
+    default decided from the optimizer's size estimate) bracket each quantile with a mergeable summary of known rank error,
+    count what lies below the bracket and sort only the values inside, about a thousandth of the group.
+    """
+    own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null")
+    if not (plan_bytes(own) > ONE_BUFFER_BYTES if spread is None else spread):
+        if nearest:
+            w = Window.partitionBy(*by)
+            ranked = own.withColumns({"__tg_i": F.row_number().over(w.orderBy("__tg_x")) - 1, "__tg_n": F.count("*").over(w)})
+            return ranked.groupBy(*by).agg(F.max("__tg_n").alias("n"), *[F.max(F.when(F.col("__tg_i") == F.bround(F.lit(q) * (F.col("__tg_n") - 1)), F.col("__tg_x"))).alias(name) for name, q in probs.items()])
+        return own.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("__tg_x", p).alias(name) for name, p in probs.items()])
+    keys, accuracy, names = list(by), 20_000, list(probs)
+    ends = [min(max(p + d * 4 / accuracy, 0.0), 1.0) for p in probs.values() for d in (-1, 1)]
+    cut = own.groupBy(*keys).agg(F.count("*").alias("__tg_n"), F.percentile_approx("__tg_x", ends, accuracy).alias("__tg_e"))
+    cond = F.lit(True)
+    named = cut.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
+    for i, k in enumerate(keys):
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"__tg_k{i}"))
+    met = own.join(named, cond) if keys else own.crossJoin(F.broadcast(named))
+    out = cut.select(*keys, F.col("__tg_n").alias("n"))
+    for j, name in enumerate(names):
+        low, high = F.col("__tg_e")[2 * j], F.col("__tg_e")[2 * j + 1]
+        # equal values are one row with a count, so ties of any number stay small
+        near = met.where(F.col("__tg_x").between(low, high)).groupBy(*keys, "__tg_x").agg(F.count("*").alias("__tg_c"), F.first("__tg_n").alias("__tg_n"))
+        # the values next to the bracket serve where the interpolation reaches one rank beyond it
+        below = met.groupBy(*keys).agg(F.count_if(F.col("__tg_x") < low).alias("__tg_b"), F.max(F.when(F.col("__tg_x") < low, F.col("__tg_x"))).alias("__tg_prv"), F.min(F.when(F.col("__tg_x") > high, F.col("__tg_x"))).alias("__tg_nxt"))
+        rank = F.sum("__tg_c").over(Window.partitionBy(*keys).orderBy("__tg_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        safe = below.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
+        placed = near.withColumn("__tg_up", rank)
+        placed = placed.join(safe, cond) if keys else placed.crossJoin(F.broadcast(safe))
+        at = F.lit(probs[name]) * (F.col("__tg_n") - 1)
+        at = F.bround(at) if nearest else at
+        # zero-based ranks that a value covers: up to __tg_b + __tg_up - 1
+        top = F.col("__tg_b") + F.col("__tg_up") - 1
+        one, two = (F.when(F.max(r) < F.max("__tg_b"), F.max("__tg_prv")).otherwise(F.coalesce(F.min(F.when(top >= r, F.col("__tg_x"))), F.max("__tg_nxt"))) for r in (F.floor(at), F.ceil(at)))
+        part = F.max(at - F.floor(at))
+        got = placed.groupBy(*keys).agg((one + (two - one) * part).alias(name))
+        safe = got.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
+        out = (out.join(safe, cond).drop(*[f"__tg_k{i}" for i in range(len(keys))])) if keys else out.crossJoin(F.broadcast(safe))
+    return out
+
+
+def median_mad(df: DataFrame, value: str, by: Sequence[str], where: Column | None = None, spread: bool | None = None) -> DataFrame:
     """Per group the median, the raw MAD and the count of the numbers (of the rows where `where` holds)."""
     x = finite(F.col(value))
-    own = df.select(*[F.col(b) for b in by], F.when(where, x).otherwise(None).alias("__tg_x") if where is not None else x.alias("__tg_x")).where("__tg_x is not null")
-    mid = own.groupBy(*by).agg(F.median("__tg_x").alias("med"), F.count("*").alias("n"))
+    own = df.select(*[F.col(b) for b in by], F.when(where, x).otherwise(None).alias("__tg_v") if where is not None else x.alias("__tg_v")).where("__tg_v is not null")
+    mid = exact_quantiles(own, "__tg_v", by, {"med": 0.5}, spread)
     joined = own.join(mid, list(by)) if by else own.crossJoin(F.broadcast(mid))
-    mad = joined.groupBy(*by).agg(F.median(F.abs(F.col("__tg_x") - F.col("med"))).alias("mad"))
-    return mid.join(mad, list(by)) if by else mid.crossJoin(F.broadcast(mad))
+    far = joined.withColumn("__tg_v", F.abs(F.col("__tg_v") - F.col("med")))
+    mad = exact_quantiles(far, "__tg_v", by, {"mad": 0.5}, spread).drop("n")
+    return (mid.join(mad, list(by)) if by else mid.crossJoin(F.broadcast(mad))).select(*by, "med", "n", "mad")
 
 
 def robust_z(df: DataFrame, value: str, by: Sequence[str], null_mask: Column | None = None, out: str = "z") -> DataFrame:
@@ -94,12 +167,9 @@ def hazen_quantile(df: DataFrame, value: str, weight: str, by: Sequence[str], q:
     return ends.select(*by, value_at.alias(out))
 
 
-def nearest_quantile(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+def nearest_quantile(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], spread: bool | None = None) -> DataFrame:
     """Quantiles by the nearest-rank rule: the value at index round-half-even(q * (n - 1)) of the sorted finite values."""
-    own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null")
-    w = Window.partitionBy(*by)
-    ranked = own.withColumns({"__tg_i": F.row_number().over(w.orderBy("__tg_x")) - 1, "__tg_n": F.count("*").over(w)})
-    return ranked.groupBy(*by).agg(F.max("__tg_n").alias("n"), *[F.max(F.when(F.col("__tg_i") == F.bround(F.lit(q) * (F.col("__tg_n") - 1)), F.col("__tg_x"))).alias(name) for name, q in probs.items()])
+    return exact_quantiles(df, value, by, probs, spread, nearest=True)
 
 
 def tukey_fence(df: DataFrame, value: str, by: Sequence[str], k: float = 1.5) -> DataFrame:

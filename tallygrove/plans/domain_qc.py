@@ -172,7 +172,7 @@ _D19 = f"""with det as (select assay, plate, sum(case when v >= lod then 1 else
 
 @query("d19_detection_status", _D19)
 def d19(spark, d):
-    """Detection by plate with a variation gate: one scan feeds both aggregations."""
+    """Detection by plate with a variation gate; each aggregation reads only its columns and sample type."""
     o = olink(spark, d)
     rates = S.detection_rates(o.where("sampletype = 'SAMPLE'"), "v", "lod", ["assay"], "plate")
     cv = S.plate_cv(o.where("sampletype = 'SAMPLE_CONTROL'"), "v", ["assay"], "plate", True)

@@ -15,12 +15,12 @@ PLATFORMS = (("soma_long", "rfu", "seqid", True), ("olink_long", "npx", "olinkid
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    limits = F.broadcast(table(spark, d, "platform_limits").select("src_table", "min_possible", "max_possible"))  # two rows
+    limits = {r[0]: (r[1], r[2]) for r in table(spark, d, "platform_limits").select("src_table", "min_possible", "max_possible").collect()}  # two rows
     every = None
     for i, (name, value, analyte, log) in enumerate(PLATFORMS):
         rows = table(spark, d, name).where(~F.col("sampletype").eqNullSafe("NEGATIVE_CONTROL"))
-        rows = rows.select("row_id", "plateid", analyte, "read_at", value).join(limits.where(F.col("src_table") == name), F.lit(True), "left")
-        part = readings_of(rows, i, "row_id", ("plateid", analyte), "read_at", value, log, F.col("min_possible"), F.col("max_possible"))
+        low, high = (F.lit(x).cast("double") for x in limits.get(name, (None, None)))
+        part = readings_of(rows, i, "row_id", ("plateid", analyte), "read_at", value, log, low, high)
         every = part if every is None else every.unionByName(part)
     name_of = F.element_at(F.array(*[F.lit(p[0]) for p in PLATFORMS]), F.col("s") + 1)
     return control_chart(every).select(name_of.alias("src_table"), F.col("r").alias("row_id"), "kind")

@@ -65,3 +65,8 @@ class Stash:
                 jvm = self.spark.sparkContext._jvm  # noqa: SLF001
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001

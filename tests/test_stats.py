@@ -21,6 +21,7 @@ def bh(p):
 def test_bh_with_ties_nulls_and_groups(spark):
     rng = np.random.default_rng(0)
     p = np.round(rng.random(200) ** 2, 2)
+    p[:20] = 10.0 ** -rng.integers(3, 300, 20)
     rows = [(i, "a" if i % 3 else "b", float(v)) for i, v in enumerate(p)] + [(900, "a", None), (901, "a", float("nan")), (902, None, 0.5), (903, "a", -0.1), (904, "a", float("inf"))]
     df = spark.createDataFrame(rows, "i int, g string, p double")
     got = {r.i: r.fdr for r in S.bh_fdr(df, "p", ["g"]).collect()}
@@ -29,6 +30,7 @@ def test_bh_with_ties_nulls_and_groups(spark):
         for (i, _), want in zip(own, bh([v for _, v in own]), strict=True):
             assert got[i] == pytest.approx(want)
     assert got[902] == 0.5 and all(got[i] is None for i in (900, 901, 903, 904)) and len(got) == len(rows)
+    assert {r.i: r.fdr for r in S.bh_fdr(df, "p", ["g"], split=True).collect()} == pytest.approx(got)
     whole = {r.i: r.fdr for r in S.bh_fdr(df.where("i < 200"), "p").collect()}
     assert all(whole[i] == pytest.approx(w) for i, w in enumerate(bh(p)))
 
@@ -75,3 +77,20 @@ def test_distributions_against_known_values():
     assert D.neg_log10_p(50.0, 1.0) == pytest.approx((1250 + math.log(50) + 0.5 * math.log(2 * math.pi) - math.log(2) + 1 / 2500) / math.log(10), rel=1e-6)
     assert D.hypergeom_upper(2, 10, 4, 3) == pytest.approx((6 * 6 + 4) / 120)
     assert D.hypergeom_upper(0, 10, 4, 3) == 1.0 and D.hypergeom_upper(4, 10, 4, 3) == 0.0
+
+
+def test_exact_quantiles_by_bracket_equal_the_aggregate(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.normal(size=4000)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [(None, 1.0), (None, 2.0), ("c", None), ("c", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"lo": 0.01, "mid": 0.5, "hi": 0.999, "top": 1.0}
+    one = {r.k: tuple(r) for r in S.exact_quantiles(df, "v", ["k"], probs, spread=False).collect()}
+    two = {r.k: tuple(r) for r in S.exact_quantiles(df, "v", ["k"], probs, spread=True).collect()}
+    assert set(one) == set(two) == {"a", "b", None}
+    for k, want in one.items():
+        assert two[k][1:] == pytest.approx(want[1:])
+    assert S.exact_quantiles(df, "v", [], {"m": 0.5}, spread=True).first().m == pytest.approx(S.exact_quantiles(df, "v", [], {"m": 0.5}, spread=False).first().m)
+    n1, n2 = ({r.k: tuple(r) for r in S.nearest_quantile(df, "v", ["k"], probs, spread=s).collect()} for s in (False, True))
+    assert n1 == n2
+    m1, m2 = ({r.k: tuple(r) for r in S.median_mad(df.where("k is not null"), "v", ["k"], spread=s).collect()} for s in (False, True))
+    assert set(m1) == set(m2) and all(m1[k][1:] == pytest.approx(m2[k][1:]) for k in m1)
