@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallygrove.plans import domain_linkage, domain_models, domain_qc, domain_results, io, relational, screening, statistics
+from tallygrove.plans import domain_linkage, domain_models, domain_more, domain_qc, domain_results, io, relational, screening, statistics
 
-MODULES: tuple = (relational, statistics, domain_qc, domain_linkage, domain_models, domain_results, io, screening)
+MODULES: tuple = (relational, statistics, domain_qc, domain_linkage, domain_models, domain_results, domain_more, io, screening)
 
 
 def queries() -> dict:
