@@ -261,3 +261,17 @@ def upper_threshold(df: DataFrame, value: str, by: Sequence[str], rate: float) -
 def stable_fold(key: Column, folds: int, salt: str = "") -> Column:
     """A fold number that depends on the key, the salt and nothing else, so that rows added later move no other."""
     return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("/"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
+
+
+def partial_correlation(df: DataFrame, x: str, y: str, given: str, by: Sequence[str], least: int = 4) -> DataFrame:
+    """Correlation of x and y per group after removal of a third variable, on rows where all three are finite; null below
+    `least` rows or where two of them determine each other."""
+    named = {"__tg_x": x, "__tg_y": y, "__tg_z": given}
+    ok = df.select(*by, *[finite(F.col(c)).alias(n) for n, c in named.items()]).where("__tg_x is not null and __tg_y is not null and __tg_z is not null")
+    spread = F.lit(True)
+    for n in named:
+        spread = spread & (F.min(n) < F.max(n))
+    r = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.when(spread, F.corr(f"__tg_{a}", f"__tg_{b}")).alias(f"__tg_{a}{b}") for a, b in ("xy", "xz", "yz")])
+    left = (1 - F.col("__tg_xz") ** 2) * (1 - F.col("__tg_yz") ** 2)
+    partial = F.when((F.col("n") >= least) & (left > 1e-12), (F.col("__tg_xy") - F.col("__tg_xz") * F.col("__tg_yz")) / F.sqrt(left))
+    return r.select(*by, "n", F.col("__tg_xy").alias("r"), partial.alias("partial_r"))

@@ -154,6 +154,13 @@ def st40(spark, d):
     return S.correlations(e.join(sig, "assay"), "e", "sig", ["plate"]).select("plate", F.round("spearman", 5).alias("rho"), "n")
 
 
+@query("st34_mixture_scores", "with c as (select l_suppkey, corr(l_extendedprice, l_tax) xy, corr(l_extendedprice, l_quantity) xz, corr(l_tax, l_quantity) yz, count(*) n from lineitem group by 1) select l_suppkey, n, round(xy, 6) r, round((xy - xz * yz) / sqrt((1 - xz ** 2) * (1 - yz ** 2)), 6) partial_r from c where n >= 4")
+def st34(spark, d):
+    """Correlation with a second explanation after the first is taken out (the score of a two-source mixture)."""
+    got = S.partial_correlation(table(spark, d, "lineitem"), "l_extendedprice", "l_tax", "l_quantity", ["l_suppkey"])
+    return got.select("l_suppkey", "n", F.round("r", 6).alias("r"), F.round("partial_r", 6).alias("partial_r"))
+
+
 # --- domain compositions ---------------------------------------------------------------------------------------------
 @query("d4_clinical_merge", "select m.row_id, m.usubjid, a.sex, a.arm from manifest m left join (select usubjid, arg_min(sex, row_id) filter (sex is not null) sex, min(trt01a) arm from adsl group by 1) a on m.usubjid = a.usubjid where m.sampletype = 'SAMPLE'")
 def d4(spark, d):
