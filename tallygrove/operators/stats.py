@@ -144,12 +144,17 @@ def average_rank(value: Column | str, by: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / F.lit(2.0)
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation; null without spread, where the built-in one fails under ANSI rules."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def correlations(df: DataFrame, x: str, y: str, by: Sequence[str], least: int = 3) -> DataFrame:
     """Pearson and Spearman on finite pairs per group, null below `least` pairs or without spread."""
     ok = df.select(*by, finite(F.col(x)).alias("__tg_x"), finite(F.col(y)).alias("__tg_y")).where("__tg_x is not null and __tg_y is not null")
     ranked = ok.withColumns({"__tg_rx": average_rank("__tg_x", by), "__tg_ry": average_rank("__tg_y", by)})
     spread = (F.min("__tg_x") < F.max("__tg_x")) & (F.min("__tg_y") < F.max("__tg_y")) & (F.count("*") >= least)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, F.corr("__tg_x", "__tg_y")).alias("pearson"), F.when(spread, F.corr("__tg_rx", "__tg_ry")).alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, safe_corr("__tg_x", "__tg_y")).alias("pearson"), F.when(spread, safe_corr("__tg_rx", "__tg_ry")).alias("spearman"))
 
 
 def hazen_quantile(df: DataFrame, value: str, weight: str, by: Sequence[str], q: float, out: str) -> DataFrame:
@@ -271,7 +276,7 @@ def partial_correlation(df: DataFrame, x: str, y: str, given: str, by: Sequence[
     spread = F.lit(True)
     for n in named:
         spread = spread & (F.min(n) < F.max(n))
-    r = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.when(spread, F.corr(f"__tg_{a}", f"__tg_{b}")).alias(f"__tg_{a}{b}") for a, b in ("xy", "xz", "yz")])
+    r = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.when(spread, safe_corr(f"__tg_{a}", f"__tg_{b}")).alias(f"__tg_{a}{b}") for a, b in ("xy", "xz", "yz")])
     left = (1 - F.col("__tg_xz") ** 2) * (1 - F.col("__tg_yz") ** 2)
     partial = F.when((F.col("n") >= least) & (left > 1e-12), (F.col("__tg_xy") - F.col("__tg_xz") * F.col("__tg_yz")) / F.sqrt(left))
     return r.select(*by, "n", F.col("__tg_xy").alias("r"), partial.alias("partial_r"))

@@ -309,7 +309,7 @@ def d114(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("library")).agg(F.count_distinct("p_type").alias("terms"), F.count("*").alias("members"), F.count_if(F.col("p_retailprice") > 960).alias("significant"))
 
 
-@query("d115_assay_level_z", f"select plate, round((avg(z) - any_value(mz)) / any_value(sz), 5) z from (select plate, z, avg(z) over () mz, stddev_samp(z) over () sz from {_T}) group by 1")
+@query("d115_assay_level_z", f"select plate, round((avg(z) - any_value(mz)) / any_value(sz), 5) z from (select plate, z, avg(z) over () mz, stddev_samp(z) over () sz from {_T}) group by 1 having any_value(sz) > 0")
 def d115(spark, d):
     e = effects(spark, d)
     base = e.agg(F.avg("z").alias("mz"), F.stddev_samp("z").alias("sz"))

@@ -187,7 +187,7 @@ def d73(spark, d):
 def d74(spark, d):
     l = table(spark, d, "visit_records").where("aval > 0 and not isnan(aval) and usubjid is not null").groupBy("usubjid", "paramcd").agg(F.avg("aval").alias("lab"))
     m = table(spark, d, "model_frame").where("y_value is not null and not isnan(y_value)").groupBy(F.col("group_key").alias("usubjid"), "platform").agg(F.avg("y_value").alias("y"))
-    return r6(l.join(m, "usubjid").groupBy("paramcd", "platform").agg(F.count("*").alias("n"), F.corr(F.log("lab"), "y").alias("r")), "r")
+    return r6(l.join(m, "usubjid").groupBy("paramcd", "platform").agg(F.count("*").alias("n"), S.safe_corr(F.log("lab"), F.col("y")).alias("r")), "r")
 
 
 @query("d75_baseline_flag_records", "with v as (select usubjid, paramcd, arg_min(aval, (case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end, row_id)) b, min(case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end) k from visit_records where aval is not null and not isnan(aval) and usubjid is not null and (ablfl = 'Y' or visitnum = 2) group by 1, 2) select usubjid, paramcd, b baseline, case k when 0 then 'flag' else 'visit' end how from v")
