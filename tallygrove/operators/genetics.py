@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPLEMENT = {"A": "T", "T": "A", "C": "G", "G": "C"}  #: fixed values
 
 
-def pair_counts(dosages: DataFrame, who: str, variant: str, dose: str, block: int = 64) -> DataFrame:
-    """Per pair of individuals: variants where both are heterozygous, where they are opposite homozygotes, heterozygous
-    counts of either side, and variants in common, from hard calls 0, 1 and 2.
+def pair_counts(dosages: DataFrame, who: str, variant: str, dose: str, block: int = 256, chunk: int = 2048) -> DataFrame:
+    """Per pair of individuals (a < b): variants where both are heterozygous, where they are opposite homozygotes, heterozygous
+    counts of either side, and variants called in both, from hard calls 0, 1 and 2.
 
-    A kinship table over all pairs is the result itself. Individuals fall into blocks; every variant's calls of a block
-    travel as one row of arrays, so a variant with many calls sends each block to its partners once, not each call.
+    A table over all pairs is the result itself. Individuals fall into blocks and variants into chunks of bounded size (by a
+    hash; their numbers are counted first). Two blocks of one chunk meet once and are multiplied as matrices; the counts of
+    chunks add up. Null calls and ids are not counted; the last of repeated calls of one cell, by dosage, counts.
     """
-    calls = dosages.where(F.col(dose).isNotNull()).select(F.col(who).alias("i"), F.col(variant).alias("v"), F.round(F.col(dose)).cast("int").alias("g"))
-    packed = calls.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(block))).groupBy("v", "b").agg(F.collect_list(F.struct("i", "g")).alias("c"))
-    x, y = packed.select("v", F.col("b").alias("bx"), F.col("c").alias("cx")), packed.select("v", F.col("b").alias("by"), F.col("c").alias("cy"))
-    # inside one block each pair is met in both orders: keep one
-    within = x.join(y, (x.v == y.v) & (F.col("bx") == F.col("by"))).select(F.explode("cx").alias("p"), "cy").select("p", F.explode("cy").alias("q")).where("p.i < q.i")
-    across = x.join(y, (x.v == y.v) & (F.col("bx") < F.col("by"))).select(F.explode("cx").alias("p"), "cy").select("p", F.explode("cy").alias("q"))
-    pairs = within.unionByName(across)
-    low = F.col("p.i") < F.col("q.i")
-    shaped = pairs.select(F.least("p.i", "q.i").alias("a"), F.greatest("p.i", "q.i").alias("b"), F.when(low, F.col("p.g")).otherwise(F.col("q.g")).alias("ga"), F.when(low, F.col("q.g")).otherwise(F.col("p.g")).alias("gb"))
-    het = lambda c: (F.col(c) == 1).cast("long")
-    return shaped.groupBy("a", "b").agg(
-        F.sum(((F.col("ga") == 1) & (F.col("gb") == 1)).cast("long")).alias("het_het"),
-        F.sum((F.abs(F.col("ga") - F.col("gb")) == 2).cast("long")).alias("opposite"),
-        F.sum(het("ga")).alias("het_a"),
-        F.sum(het("gb")).alias("het_b"),
-        F.count("*").alias("n"),
-    )
+    given = F.col(dose).isNotNull() & F.col(who).isNotNull() & F.col(variant).isNotNull()
+    calls = dosages.where(given).groupBy(F.col(who).alias("i"), F.col(variant).alias("v")).agg(F.max(F.round(F.col(dose))).cast("int").alias("g"))
+    people, variants = calls.agg(F.approx_count_distinct("i"), F.approx_count_distinct("v")).first()
+    nb, nc = max(1, -(-people // block)), max(1, -(-variants // chunk))
+    placed = calls.withColumns({"b": F.pmod(F.xxhash64("i"), F.lit(nb)), "c": F.pmod(F.xxhash64("v"), F.lit(nc))})
+    packed = placed.groupBy("b", "c").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v"), F.collect_list("g").alias("g"))
+    x, y = (packed.select("c", *[F.col(n).alias(f"{n}{k}") for n in ("b", "i", "v", "g")]) for k in (1, 2))
+    met = x.join(y, "c").where(F.col("b1") <= F.col("b2")).drop("c").repartition("b1", "b2")
+    kind = calls.schema["i"].dataType.simpleString()
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                names, columns = np.unique(np.r_[np.asarray(r.v1), np.asarray(r.v2)], return_inverse=True)
+                at = len(r.v1)
+                sides = []
+                for ids, cols, g in ((r.i1, columns[:at], r.g1), (r.i2, columns[at:], r.g2)):
+                    own, rows = np.unique(np.asarray(ids), return_inverse=True)
+                    full = np.full((len(own), len(names)), -1, dtype=np.int8)
+                    full[rows, cols] = np.asarray(g)
+                    sides.append((own, [(full == k).astype(np.float32) for k in (0, 1, 2)], (full >= 0).astype(np.float32)))
+                (ia, ga, ca), (ib, gb, cb) = sides
+                counts = [ga[1] @ gb[1].T, ga[0] @ gb[2].T + ga[2] @ gb[0].T, ga[1] @ cb.T, ca @ gb[1].T, ca @ cb.T]
+                keep = counts[4] > 0
+                if r.b1 == r.b2:
+                    keep &= ia[:, None] < ib[None, :]
+                p, q = np.nonzero(keep)
+                a, b = ia[p], ib[q]
+                swap = a > b
+                hh, opp, ha, hb, n = (c[p, q].astype(np.int64) for c in counts)
+                yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "het_het": hh, "opposite": opp, "het_a": np.where(swap, hb, ha), "het_b": np.where(swap, ha, hb), "n": n})
+
+    got = met.mapInPandas(product, f"a {kind}, b {kind}, het_het long, opposite long, het_a long, het_b long, n long")
+    return got if nc == 1 else got.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("het_het", "opposite", "het_a", "het_b", "n")])
 
 
 def king(counts: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def doses(spark, d):
 
 @query("st32_king_kinship", f"with g as {_DOSE} select x.iid a, y.iid b, round((sum((x.dose = 1 and y.dose = 1)::int) - 2.0 * sum((abs(x.dose - y.dose) = 2)::int)) / nullif(sum((x.dose = 1)::int) + sum((y.dose = 1)::int), 0), 6) kinship, count(*) n from g x join g y on x.variant = y.variant and x.iid < y.iid group by 1, 2")
 def st32(spark, d):
-    k = G.king(G.pair_counts(doses(spark, d), "iid", "variant", "dose", block=8))
+    k = G.king(G.pair_counts(doses(spark, d), "iid", "variant", "dose"))
     return k.select("a", "b", F.round("kinship", 6).alias("kinship"), "n")
 
 
