@@ -243,11 +243,11 @@ def w1(spark, d):
     return table(spark, d, "model_frame").where("sample_ids is not null").select("row_id", (F.min("visitnum").over(w) == F.max("visitnum").over(w)).alias("one_visit"))
 
 
-@query("w3_last_before_dose", "select m.row_id, max(case when m.adt < a.trtsdt then m.adt end) over (partition by m.usubjid) last_predose, coalesce(bool_or(m.visitnum = 2) over (partition by m.usubjid), false) has_baseline from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on m.usubjid = a.usubjid")
+@query("w3_last_before_dose", "select m.row_id, strftime(max(case when m.adt < a.trtsdt then m.adt end) over (partition by m.usubjid), '%Y-%m-%d %H:%M:%S.%f') last_predose, coalesce(bool_or(m.visitnum = 2) over (partition by m.usubjid), false) has_baseline from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on m.usubjid = a.usubjid")
 def w3(spark, d):
     a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trtsdt").alias("trtsdt"))
     w = W.partitionBy("usubjid")
-    return table(spark, d, "manifest").join(a, "usubjid").select("row_id", F.max(F.when(F.col("adt") < F.col("trtsdt"), F.col("adt"))).over(w).alias("last_predose"), F.coalesce(F.bool_or(F.col("visitnum") == 2).over(w), F.lit(False)).alias("has_baseline"))
+    return table(spark, d, "manifest").join(a, "usubjid").select("row_id", F.date_format(F.max(F.when(F.col("adt") < F.col("trtsdt"), F.col("adt"))).over(w), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_predose"), F.coalesce(F.bool_or(F.col("visitnum") == 2).over(w), F.lit(False)).alias("has_baseline"))
 
 
 @query("w6_collisions", "select row_id, count(*) over (partition by accessionnumber, visitnum) n from manifest where sampletype = 'SAMPLE'")
