@@ -91,3 +91,32 @@ def test_big_source_spikes_stay(spark):
     v[where] += rng.choice([-4, 4], 25)
     got = flags(control_chart(frame(spark, source(v)), Chart(block=500)))
     assert {r - 1 for _, r in got} == set(where.tolist())
+
+
+@pytest.mark.parametrize("block", [60, 400])
+def test_split_source_gives_the_same_spikes_as_whole(spark, block):
+    rng = np.random.default_rng(4)
+    v = rng.normal(5, 0.2, 1625)
+    v[900:1030] = rng.normal(2, 0.2, 130)  # a normal second level of 8 %, all in few blocks
+    v[1100:] += 0.5  # a shift
+    v[[100, 950, 1300, 1623]] = [8.0, 9.0, 0.0, -3.0]  # the last one in a block of few readings
+    ties = np.round(rng.normal(3, 0.3, 900), 1)
+    ties[:60] = 1.0
+    rows = source(v) + source(2.0**ties, e2="B", first=5001, log=True) + source(rng.normal(0, 1, 50), e2="C", first=9001)
+    whole = flags(control_chart(frame(spark, rows), Chart(run=6)))
+    cut = flags(control_chart(frame(spark, rows), Chart(run=6, block=block)))
+    assert cut == whole
+    assert {r - 1 for (_, r), k in whole.items() if k == "spike" and r < 5000} >= {100, 950, 1300, 1623}
+
+
+def test_levels_of_a_whole_source_from_ranges(spark):
+    from tallygrove.operators.charts import _levels, _whole_levels
+    from tallygrove.session import Stash
+
+    rng = np.random.default_rng(5)
+    groups = [rng.normal(5, 0.2, 501), np.r_[rng.normal(5, 0.2, 450), rng.normal(9, 0.2, 50)], np.round(rng.normal(0, 1, 400), 1), np.r_[np.full(300, 1.0), np.full(40, 7.0)], np.full(20, 3.0)]
+    rows = [(k, 0, float(x)) for k, g in enumerate(groups) for x in g]
+    got = {r.h: r for r in _whole_levels(spark.createDataFrame(rows, "h long, g int, x double"), Chart(block=90), Stash(spark)).collect()}
+    for k, g in enumerate(groups):
+        lo, hi, scale = (a[0] for a in _levels(np.sort(g)[None, :], np.array([len(g)]), Chart()))
+        assert (got[k].lo, got[k].hi, got[k].base) == pytest.approx((lo, hi, scale), rel=1e-6) and got[k].single == (lo == hi)
