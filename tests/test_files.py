@@ -119,3 +119,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     order = ["day", "plate"]
     assert spark.table("plates_out").orderBy(order).collect() == plate_windows(df, "t", "plate", "v", "lod").orderBy(order).collect()
+
+
+def test_large_files_are_hashed_whole(tmp_path, monkeypatch):
+    from tallygrove.plans import stages
+
+    monkeypatch.setattr(stages, "WHOLE", 1000, raising=False)  # where there is a size for the ends alone, it is passed
+    monkeypatch.setattr(stages, "END", 100, raising=False)
+    big = tmp_path / "big"
+    big.write_bytes(b"a" * 5000)
+    stage = Stage("copy", lambda v: (tmp_path / "out").write_bytes(big.read_bytes()), ["{root}/big"], ["{root}/out"])
+    make = lambda: Runner([stage], {"root": str(tmp_path)}, str(tmp_path / "record.json"))
+    assert make().run() == ["copy"] and make().plan() == []
+    big.write_bytes(b"a" * 2500 + b"b" + b"a" * 2499)
+    assert make().plan() == [("copy", "inputs changed")]
+    assert make().run() == ["copy"] and (tmp_path / "out").read_bytes() == big.read_bytes()
