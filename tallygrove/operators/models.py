@@ -71,8 +71,7 @@ def mediate(y: np.ndarray, m: np.ndarray, common: np.ndarray, treat: np.ndarray,
     draws = {k: [] for k in est}
     for at in range(0, sims, batch):
         idx = rng.integers(0, n, size=(min(batch, sims - at), n))
-        wts = np.zeros((len(idx), n))
-        np.add.at(wts, (np.arange(len(idx))[:, None], idx), 1.0)
+        wts = np.bincount((idx + n * np.arange(len(idx))[:, None]).ravel(), minlength=len(idx) * n).reshape(len(idx), n).astype(float)
         solve = lambda x, t, w=wts: np.einsum("kij,kj->ki", np.linalg.pinv(np.einsum("ki,ip,iq->kpq", w, x, x, optimize=True)), (w * t) @ x)
         one, two = solve(xm, m), solve(xy, y)
         draws["indirect"].append(one[:, 0] * two[:, 1])
@@ -390,6 +389,8 @@ def rotation_null(stat: np.ndarray, ranks: np.ndarray, factor: np.ndarray, draws
     target = norm(rank(ranks))
     rho = float((norm(rank(stat)) * target).mean())
     rng, k = np.random.default_rng(seed), 0
+    if factor.shape[1] > factor.shape[0]:
+        factor = np.linalg.qr(factor.T, mode="r").T  # the same covariance from as few normals as there are statistics
     for at in range(0, draws, chunk):
         z = rng.standard_normal((min(chunk, draws - at), factor.shape[1])) @ factor.T
         k += int((np.abs((norm(rank(z)) * target).mean(axis=1)) >= abs(rho) - 1e-12).sum())

@@ -37,7 +37,7 @@ def assay_samples(df):
 @query("st9_mixture_cut")
 def st9(spark, d):
     v = assay_samples(olink(spark, d))
-    fit = lambda pdf: pd.DataFrame([M.two_gaussians(pdf.v.to_numpy(), starts=4)])
+    fit = lambda pdf: pd.DataFrame([M.two_gaussians(pdf.v.to_numpy())])
     return M.per_group(v, ["assay"], ["sample"], fit, "mean_low double, mean_high double, var_low double, var_high double, weight_high double, cut double, loglik double")
 
 
@@ -49,7 +49,7 @@ def st12(spark, d):
     def fit(pdf):
         treat = (pdf.trt01a != "Placebo").to_numpy(float)
         common = np.column_stack([np.ones(len(pdf)), pdf.age, (pdf.sex == "M").astype(float), pdf.baseline])
-        return pd.DataFrame([M.mediate(pdf["diff"].to_numpy(), pdf.weight.to_numpy(), common, treat, 1000, 0)])
+        return pd.DataFrame([M.mediate(pdf["diff"].to_numpy(), pdf.weight.to_numpy(), common, treat, 100_000, 0)])
 
     names = [f"{k}_{s} double" for k in ("indirect", "direct", "total") for s in ("estimate", "low", "high", "p")]
     return M.per_group(rows, ["platform", "visitnum"], ["usubjid"], fit, ", ".join([*names, "sobel_p double", "share_mediated double"]))
@@ -270,7 +270,7 @@ def st39(spark, d):
     def fit(pdf):
         x = M.knn_impute(wide(pdf).to_numpy())
         z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9)
-        rho, p, err = M.rotation_null(np.median(x, axis=0), np.arange(x.shape[1], dtype=float), z.T / np.sqrt(len(z)), 5000, 500, 0)
+        rho, p, err = M.rotation_null(np.median(x, axis=0), np.arange(x.shape[1], dtype=float), z.T / np.sqrt(len(z)), 1_000_000, 500, 0)
         return pd.DataFrame([{"rho": rho, "p": p, "error": err}])
 
     return M.per_group(v, ["platform"], ["sample", "assay"], fit, "rho double, p double, error double")

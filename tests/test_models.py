@@ -108,3 +108,26 @@ def test_group_kernel_is_order_free(spark):
     fit = lambda pdf: pd.DataFrame([{"first": int(pdf.i.iloc[0]), "n": len(pdf)}])
     got = {r.g: (r.first, r.n) for r in M.per_group(df.orderBy(F.rand(1)), ["g"], ["i"], fit, "first int, n int").collect()}
     assert got == {0: (0, 20), 1: (1, 20), 2: (2, 20)}
+
+
+def test_registered_draws_and_starts(spark, smoke_dir):
+    from tallygrove.plans import domain_models as D
+
+    p = D.st12(spark, smoke_dir).toPandas()[["indirect_p", "direct_p", "total_p"]].to_numpy().ravel()
+    assert len(p) and np.allclose(p * 100_000, np.round(p * 100_000), atol=1e-4) and (np.abs(p * 1000 - np.round(p * 1000)) > 1e-6).any()
+    null = D.st39(spark, smoke_dir).toPandas().iloc[0]
+    assert null.p * (1 - null.p) / null.error**2 == pytest.approx(1_000_000)
+    fits = D.st9(spark, smoke_dir).toPandas().set_index("assay")
+    for assay, own in D.assay_samples(D.olink(spark, smoke_dir)).toPandas().groupby("assay"):
+        assert fits.loglik[assay] == M.two_gaussians(own.sort_values("sample").v.to_numpy(), starts=10)["loglik"]
+
+
+def test_rotation_null_with_more_samples_than_statistics():
+    rng = np.random.default_rng(7)
+    factor = rng.normal(size=(12, 60))
+    stat, ranks = rng.normal(size=12), np.arange(12.0)
+    z = rng.standard_normal((20_000, 60)) @ factor.T
+    rank = lambda a: np.argsort(np.argsort(a, axis=-1), axis=-1).astype(float)
+    null = np.array([np.corrcoef(r, ranks)[0, 1] for r in rank(z)])
+    rho, p, _ = M.rotation_null(stat, ranks, factor, 20_000, 500, 0)
+    assert p == pytest.approx((np.abs(null) >= abs(rho) - 1e-12).mean(), abs=0.02)
