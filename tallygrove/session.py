@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -20,22 +21,39 @@ DEFAULTS = {
 
 
 def get_spark(cores: int | None = None, app: str = "tallygrove", **extra: str) -> SparkSession:
-    """A local session with the engine's defaults; on a cluster the submitted configuration wins."""
+    """A session with the engine's defaults. What was submitted (spark-submit, `--conf`, spark-defaults.conf) wins over
+    them, arguments win over both. Outside local mode neither master nor partition count is set here."""
+    first = SparkConf(loadDefaults=False)
+    first.set("spark.driver.memory", os.environ.get("TALLYGROVE_DRIVER_MEMORY", "8g"))
+    SparkContext._ensure_initialized(conf=first)  # noqa: SLF001  later `--conf` arguments override this one
+    submitted = dict(SparkConf(_jvm=SparkContext._jvm).getAll())  # noqa: SLF001
     cores = cores or os.cpu_count() or 4
+    wanted = dict(DEFAULTS)
+    master = submitted.get("spark.master", "local[*]")
+    if master == "local[*]":
+        wanted["spark.master"] = f"local[{cores}]"
+        submitted.pop("spark.master", None)
+    if is_local(master):
+        wanted["spark.sql.shuffle.partitions"] = str(cores)
     builder = SparkSession.builder.appName(app)
-    if "SPARK_MASTER" not in os.environ:
-        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", os.environ.get("TALLYGROVE_DRIVER_MEMORY", "8g"))
-    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(cores), **extra}.items():
+    for key, value in {**wanted, **{k: v for k, v in submitted.items() if k in wanted}, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Only in local mode a temporary one may stand in for it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tallygrove-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,14 +61,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Stash:
     """Tables written to the shared folder to cut lineage: they survive lost executors and are smaller than row
-    checkpoints. `drop` removes tables that no later step reads."""
+    checkpoints. `drop` removes tables that no later step reads; the rest goes with the application."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _path(self, path: str) -> tuple:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        if not self.count:
+            root, files = self._path(self.root)
+            files.mkdirs(root)
+            files.deleteOnExit(root)
         path = f"{self.root}/{self.count:04d}-{name}"
         self.count += 1
         df.write.mode("overwrite").parquet(path)
@@ -62,9 +88,8 @@ class Stash:
         for df in frames:
             path = getattr(df, "_stash_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm  # noqa: SLF001
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+                target, files = self._path(path)
+                files.delete(target, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
