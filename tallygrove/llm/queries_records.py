@@ -27,14 +27,45 @@ def _tubes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Barcode with accession and visit with its plan come as bundles; that an accession is one participant's decides
+    between subjects of equal trust and recency, because the stated choice goes by these first."""
     best = best_records(
         _tubes(spark, d), "tube", "row_id", "trust_rank", "updated_at",
-        [Bundle("tube_code", ["sampleid"]), Bundle("subject", ["usubjid"]), Bundle("visit", ["visitnum"], F.expr(VISIT_OK))],
+        [
+            Bundle("draw", ["sampleid", "accessionnumber"], F.col("sampleid").isNotNull()),
+            Bundle("subject", ["usubjid"]),
+            Bundle("visit", ["visitnum", "visitnum_planned", "visitnum_source"], F.expr(VISIT_OK)),
+        ],
+        [Dependency("accessionnumber", "usubjid", binding=False)],
         least_rows=2,
     )
     return best.select(F.col("first_row").alias("first_row_id"), "sampleid", "usubjid", F.round(F.col("visitnum") * 10).cast("bigint").alias("visit_code"))
 
 
+#: Codes of one accession that some code of ten digits is at most one changed digit or one swap away from are one tube;
+#: each field then comes from its best usable row.
+P1_SQL = f"""
+with recursive m as (
+  select m.row_id, {SQL_TUBE.format(x='sampleid')} code, {SQL_SUBJECT.format(x='usubjid')} who, nullif(upper(trim(accessionnumber)), '') scope,
+    visitnum, coalesce(trust_rank, 1000000) rank, coalesce(epoch_us(updated_at), -4000000000000000000) upd
+  from manifest m left join record_sources using (record_source)),
+codes as (select distinct scope, code, substr(code, 4) c from m where scope is not null and regexp_full_match(code, 'TB-[0-9]{{10}}')),
+k as (
+  select scope, code, c k from codes
+  union select scope, code, substr(c, 1, (p - 1)::int) || v || substr(c, (p + 1)::int) from codes, range(1, 11) t(p), range(0, 10) u(v)
+  union select scope, code, substr(c, 1, (p - 1)::int) || substr(c, (p + 1)::int, 1) || substr(c, p::int, 1) || substr(c, (p + 2)::int) from codes, range(1, 10) t(p)),
+e as (select distinct x.code a, y.code b from k x join k y on x.scope = y.scope and x.k = y.k and x.code <> y.code),
+walk(n, r) as (select a, a from e union select e.b, walk.r from walk join e on e.a = walk.n),
+tube as (select n, min(r) root from walk group by n),
+r as (select coalesce(root, code) tube, m.* from m left join tube on n = code where code is not null)
+select min(row_id) first_row_id,
+  first(code order by rank, upd desc, row_id) sampleid,
+  first(who order by rank, upd desc, row_id) filter (where who is not null) usubjid,
+  cast(round(first(visitnum order by rank, upd desc, row_id) filter (where visitnum between 1 and 99 and not isnan(visitnum)) * 10) as bigint) visit_code
+from r group by tube having count(*) >= 2
+"""
+
+
 def p1_bundles(spark: SparkSession, d: str) -> DataFrame:
     """Whole bundles: barcode with accession, visit with its plan and source, draw time with its source; one accession is one participant's."""
     best = best_records(
@@ -100,4 +131,4 @@ def p6_genomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_genomes": p6_genomes}
-ORACLES = {"p2_found": P2_SQL, "p6_found": P6_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p6_found": P6_SQL}

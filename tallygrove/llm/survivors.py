@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,11 +30,14 @@ class Bundle:
 
 @dataclass(frozen=True)
 class Dependency:
-    """The survivor's `determinant` must go with the `dependent` value that the most trusted records give it."""
+    """The survivor's `determinant` must go with the `dependent` value that the most trusted records give it.
+
+    A binding dependency comes before trust; any other one only decides between choices of equal trust and recency.
+    """
 
     determinant: str
     dependent: str
-    bundles: tuple[str, str] = field(default=("", ""))
+    binding: bool = True
 
 
 def one_error_links(df: DataFrame, scope: str, code: str, place_limit: int = PLACE_LIMIT) -> DataFrame:
@@ -87,41 +91,71 @@ def tube_ids(records: DataFrame, row: str, barcode: str, accession: str) -> Data
     return narrow.select("row", "code").join(labels, "code", "left").select("row", "code", F.coalesce("root", "code").alias("tube"))
 
 
-def _branch_and_bound(options: list[list[tuple[float, dict, int]]], allowed: list[tuple[int, str, int, str, dict]]) -> list[int]:
-    """Indices of one option per bundle with the largest total score under the pair constraints.
+@dataclass
+class Option:
+    """One value of a bundle in a group: its gain, the dependent values its rules ask for, and those it holds itself."""
+
+    gain: float
+    asks: dict[int, str]
+    holds: dict[int, str]
+
 
-    Options are sorted by falling score. The search goes depth first; a branch ends when its score plus the best scores
-    still open cannot exceed the best full choice. Among equal totals the first found, so the better-ranked, stays. If no
-    choice meets all constraints, the fewest broken ones come first.
+def branch_and_bound(options: list[list[Option]], rules: list[tuple[int, int, float]]) -> list[int]:
+    """One option per bundle with the largest total gain, less the penalty of every broken rule.
+
+    `rules` has (determinant's bundle, dependent's bundle, penalty); a rule is broken if the chosen determinant asks for
+    another value than the chosen dependent holds. Options come by falling gain. The search goes bundle by bundle; a
+    branch ends when its total plus the best gains still open cannot exceed the best full choice. A bundle that no later
+    bundle depends on takes the first option that breaks nothing and the better ones before it by gain alone, found by
+    value. Among equal totals the first found, so the better-ranked, stays.
     """
-    tops = [o[0][0] for o in options]
     rest = [0.0] * (len(options) + 1)
     for i in range(len(options) - 1, -1, -1):
-        rest[i] = rest[i + 1] + tops[i]
-    penalty = rest[0] - sum(o[-1][0] for o in options) + 1.0
-    best: list = [float("-inf"), [0] * len(options)]
-
-    def visit(i: int, score: float, chosen: list[int]) -> None:
-        if score + rest[i] <= best[0]:
-            return
+        rest[i] = rest[i + 1] + options[i][0].gain
+    closing = [[k for k, (p, q, _) in enumerate(rules) if max(p, q) == i] for i in range(len(options))]
+    opening = [any(min(p, q) == i < max(p, q) for p, q, _ in rules) for i in range(len(options))]
+    index: list[dict] = []
+    for i, own in enumerate(options):
+        # where a single rule closes on this bundle and none opens, the best option of every value is enough
+        found: dict = {}
+        if len(closing[i]) == 1 and not opening[i] and rules[closing[i][0]][0] != rules[closing[i][0]][1]:
+            k = closing[i][0]
+            side = "holds" if rules[k][1] == i else "asks"
+            for n, o in enumerate(own):
+                found.setdefault(getattr(o, side).get(k), n)
+        index.append(found)
+    best_total, best_choice = float("-inf"), [0] * len(options)
+    chosen = [0] * len(options)
+
+    def met(k: int) -> bool:
+        p, q, _ = rules[k]
+        ask, hold = options[p][chosen[p]].asks.get(k), options[q][chosen[q]].holds.get(k)
+        return ask is None or hold is None or ask == hold
+
+    def candidates(i: int):
+        if not index[i]:
+            return range(len(options[i]))
+        k = closing[i][0]
+        p, q, _ = rules[k]
+        other = options[p][chosen[p]].asks.get(k) if q == i else options[q][chosen[q]].holds.get(k)
+        picks = {0, *(index[i][v] for v in (other, None) if v in index[i])}
+        return sorted(picks)
+
+    def visit(i: int, total: float) -> None:
+        nonlocal best_total, best_choice
         if i == len(options):
-            best[0], best[1] = score, list(chosen)
+            if total > best_total:
+                best_total, best_choice = total, list(chosen)
             return
-        for k, (gain, values, _) in enumerate(options[i]):
-            if score + gain + rest[i + 1] <= best[0]:
+        for n in candidates(i):
+            gain = options[i][n].gain
+            if total + gain + rest[i + 1] <= best_total:
                 break
-            broken = 0
-            for p, x, q, y, rule in allowed:
-                if max(p, q) != i:
-                    continue
-                xv = values[x] if p == i else options[p][chosen[p]][1][x]
-                yv = values[y] if q == i else options[q][chosen[q]][1][y]
-                if xv in rule and yv is not None and rule[xv] != yv:
-                    broken += 1
-            visit(i + 1, score + gain - penalty * broken, [*chosen, k])
+            chosen[i] = n
+            visit(i + 1, total + gain - sum(rules[k][2] for k in closing[i] if not met(k)))
 
-    visit(0, 0.0, [])
-    return best[1]
+    visit(0, 0.0)
+    return best_choice
 
 
 def best_records(
@@ -136,13 +170,15 @@ def best_records(
 ) -> DataFrame:
     """One surviving record per group: (group, first_row, rows, every bundle field, `<bundle>_row`).
 
-    A bundle comes as a whole from the record that ranks first by trust (1 is best, null worst), then latest `updated`
-    (null oldest), then smallest `row`, among records where the bundle is usable (default: any field given). Without
-    dependencies that choice is the optimum. With them, the dependent value that a determinant's most trusted records
-    give it is looked up over all records, groups whose unconstrained choice meets every dependency keep it (the root
-    bound of the search is then reached), and only the others go through branch and bound over their distinct bundle
-    values, maximising total trust. Bundles that no record can give are null. Null groups have no survivor; repeated
-    rows change nothing; an empty table gives no rows.
+    A bundle comes as a whole from one record. The root of the search takes each bundle from the record that ranks first
+    by trust (1 is best, null worst), then latest `updated` (null oldest), then smallest `row`, among records where the
+    bundle is usable (default: any field given); its bound is the total trust of these. It is computed for all groups as
+    partial aggregates. The value that a determinant goes with is looked up over all records: the one given with most
+    trust, then latest, then most often. Groups whose root meets every dependency end there, because nothing can exceed
+    the bound. All others branch over their distinct bundle values, of which only the best record for each pair of asked
+    and held values is kept, and maximise trust, then recency, with broken dependencies as penalties: larger than any
+    total if they bind, smaller than any difference if not. Bundles that no record can give are null. Null groups have no
+    survivor; repeated rows change nothing; an empty table gives no rows; row ids may be of any ordered type.
     """
     rank = F.coalesce(F.col(f"`{trust}`").cast("int"), F.lit(2**30))
     late = -F.coalesce(F.unix_micros(F.col(f"`{updated}`").cast("timestamp")), F.lit(-(2**62)))
@@ -163,87 +199,64 @@ def best_records(
             cols += [source(i, named[f]).alias(f) for f in b.fields] + [source(i, "order.row").alias(f"{b.name}_row")]
         return df.select(*cols)
 
-    direct = shaped(chosen, lambda i, f: F.col(f"b{i}.{f}"))
     if not dependencies:
-        return direct
+        return shaped(chosen, lambda i, f: F.col(f"b{i}.{f}"))
 
     stash = Stash(records.sparkSession)
     place = {f: (i, named[f]) for i, b in enumerate(bundles) for f in b.fields}
-    chosen = stash.keep(chosen, "chosen")
     checked = chosen
     rules = []
+    broken = F.lit(False)
     for k, d in enumerate(dependencies):
         (i, x), (j, y) = place[d.determinant], place[d.dependent]
         voted = narrow.where(F.col(f"u{i}") & F.col(f"u{j}") & F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"), F.min("order").alias("o"))
-        rule = voted.groupBy("x").agg(F.min(F.struct(-F.col("n"), "o", "y")).alias("v")).select(F.col("x").alias(f"x{k}"), F.col("v.y").alias(f"y{k}"))
+        rule = voted.groupBy("x").agg(F.min(F.struct("o.rank", "o.late", -F.col("n"), "y")).alias("v")).select(F.col("x").alias(f"x{k}"), F.col("v.y").alias(f"y{k}"))
         rule = stash.keep(rule, f"rule{k}")
         rules.append((i, x, j, y, rule, k))
         checked = checked.join(rule, F.col(f"b{i}.{x}") == F.col(f"x{k}"), "left")
-    broken = F.lit(False)
-    for _, _, j, y, _, k in rules:
         broken = broken | F.coalesce(F.col(f"y{k}") != F.col(f"b{j}.{y}"), F.lit(False))
     checked = stash.keep(checked.withColumn("broken", broken), "checked")
-    fine = shaped(checked.where(~F.col("broken")), lambda i, f: F.col(f"b{i}.{f}"))
+    at_root = shaped(checked.where(~F.col("broken")), lambda i, f: F.col(f"b{i}.{f}"))
 
-    # distinct bundle values of the groups in conflict, each with its best record and the values its rules ask for
+    # of the groups in conflict: for each bundle, asked and held values, the best record
     hard = narrow.join(checked.where("broken").select("g"), "g", "left_semi")
     options = None
     for i, b in enumerate(bundles):
-        values = [named[f] for f in b.fields]
-        part = hard.where(F.col(f"u{i}")).groupBy("g", *values).agg(F.min("order").alias("o"))
-        asked = F.lit(None).cast("string")
-        entries = []
+        part = hard.where(F.col(f"u{i}")).groupBy("g", *[named[f] for f in b.fields]).agg(F.min("order").alias("o"))
+        asks = []
         for ii, x, _, _, rule, k in rules:
             if ii == i:
-                part = part.join(rule, F.col(x).eqNullSafe(F.col(f"x{k}")), "left").drop(f"x{k}")
-                entries += [F.lit(str(k)), F.col(f"y{k}").cast("string")]
-        asked = F.to_json(F.create_map(*entries)) if entries else asked
-        held = [F.lit(str(k)) if n == 0 else F.col(y).cast("string") for _, _, j, y, _, k in rules if j == i for n in (0, 1)]
-        part = part.select(
-            "g",
-            F.lit(i).alias("bundle"),
-            F.col("o.rank").alias("rank"),
-            F.col("o.late").alias("late"),
-            F.col("o.row").cast("long").alias("row"),
-            asked.alias("asks"),
-            (F.to_json(F.create_map(*held)) if held else F.lit(None).cast("string")).alias("holds"),
-        )
+                part = part.join(rule, F.col(x) == F.col(f"x{k}"), "left").drop(f"x{k}")
+                asks += [F.lit(k), F.col(f"y{k}").cast("string")]
+        holds = [c for _, _, j, y, _, k in rules if j == i for c in (F.lit(k), F.col(y).cast("string"))]
+        text = lambda entries: F.to_json(F.create_map(*entries)) if entries else F.lit(None).cast("string")
+        part = part.withColumns({"asks": text(asks), "holds": text(holds)}).groupBy("g", "asks", "holds").agg(F.min("o").alias("o"))
+        part = part.select("g", F.lit(i).alias("bundle"), F.col("o.rank").alias("rank"), F.col("o.late").alias("late"), F.col("o.row").alias("row"), "asks", "holds")
         options = part if options is None else options.unionByName(part)
-    n_bundles, pairs = len(bundles), [(i, str(k), j, str(k)) for i, _, j, _, _, k in rules]
+    n_bundles = len(bundles)
+    shape = [(i, j, dependencies[k].binding) for i, _, j, _, _, k in rules]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        ranks = sorted(pdf["rank"].unique(), reverse=True)
-        worth = {r: float(k + 1) for k, r in enumerate(ranks)}
+        read = lambda raw: {int(k): v for k, v in json.loads(raw).items() if v is not None} if raw else {}
+        trusts = {r: n + 1 for n, r in enumerate(sorted(pdf["rank"].unique(), reverse=True))}
+        times = {t: n for n, t in enumerate(sorted(pdf["late"].unique(), reverse=True))}
+        step = 1.0 / ((len(times) + 1) * (n_bundles + 1))  # recency decides only between equal totals of trust
         lists, rows = [], []
         for i in range(n_bundles):
             own = pdf[pdf["bundle"] == i].sort_values(["rank", "late", "row"])
-            lists.append([(worth[r], {"asks": json.loads(a) if a else {}, "holds": json.loads(h) if h else {}}, k) for k, (r, a, h) in enumerate(zip(own["rank"], own["asks"], own["holds"], strict=True))] or [(0.0, {"asks": {}, "holds": {}}, -1)])
-            rows.append(own["row"].tolist())
-        flat = [[(s, {**{f"a{k}": v for k, v in o["asks"].items()}, **{f"h{k}": v for k, v in o["holds"].items()}}, n) for s, o, n in lst] for lst in lists]
-        flat = [[(s, {**{f"a{p[1]}": None for p in pairs}, **{f"h{p[1]}": None for p in pairs}, **v}, n) for s, v, n in lst] for lst in flat]
-        rules_in = [(i, f"a{k}", j, f"h{k2}", _Same()) for i, k, j, k2 in pairs]
-        best = _branch_and_bound(flat, rules_in)
-        out = {"g": [pdf["g"].iloc[0]]}
-        for i in range(n_bundles):
-            out[f"r{i}"] = [rows[i][best[i]] if rows[i] else None]
-        return pd.DataFrame(out)
-
-    schema = T.StructType([narrow.schema["g"], *[T.StructField(f"r{i}", T.LongType()) for i in range(n_bundles)]])
-    solved = options.groupBy("g").applyInPandas(solve, schema)
-    solved = checked.where("broken").select("g", "first_row", "rows").join(solved, "g")
+            lists.append([Option(trusts[r] + step * times[t], read(a), read(h)) for r, t, a, h in zip(own["rank"], own["late"], own["asks"], own["holds"], strict=True)] or [Option(0.0, {}, {})])
+            rows.append(own["row"].tolist() or [None])
+        most = sum(o[0].gain for o in lists) + 1.0
+        best = branch_and_bound(lists, [(i, j, most if binding else step / (2 * len(shape) + 2)) for i, j, binding in shape])
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], **{f"r{i}": [rows[i][best[i]]] for i in range(n_bundles)}})
+
+    row_type = narrow.schema["order"].dataType["row"].dataType
+    schema = T.StructType([narrow.schema["g"], *[T.StructField(f"r{i}", row_type) for i in range(n_bundles)]])
+    solved = stash.keep(options.groupBy("g").applyInPandas(solve, schema), "solved")
+    searched = checked.where("broken").select("g", "first_row", "rows").join(solved, "g")
     for i, b in enumerate(bundles):
-        given = hard.select(F.col("order.row").cast("long").alias(f"r{i}"), F.struct("order", *[named[f] for f in b.fields]).alias(f"b{i}")).groupBy(f"r{i}").agg(F.min(f"b{i}").alias(f"b{i}"))
-        solved = solved.join(given, f"r{i}", "left")
-    return fine.unionByName(shaped(solved, lambda i, f: F.col(f"b{i}.{f}")))
-
-
-class _Same(dict):
-    """A rule whose required value is the key itself; null keys ask for nothing."""
-
-    def __contains__(self, key: object) -> bool:
-        return key is not None
-
-    def __missing__(self, key):
-        return key
+        wanted = solved.select("g", F.col(f"r{i}").alias("r"))
+        given = hard.where(F.col(f"u{i}")).join(wanted, (hard["g"] == wanted["g"]) & (F.col("order.row") == F.col("r")), "left_semi")
+        given = given.groupBy("g").agg(F.min(F.struct("order", *[named[f] for f in b.fields])).alias(f"b{i}"))
+        searched = searched.join(given, "g", "left")
+    return at_root.unionByName(shaped(searched, lambda i, f: F.col(f"b{i}.{f}")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm.nearest import nearest_in_time
 from tallygrove.llm.splits import component_splits, split_report
-from tallygrove.llm.survivors import Bundle, Dependency, _branch_and_bound, _Same, best_records, one_error_links, tube_ids
+from tallygrove.llm.survivors import Bundle, Dependency, Option, best_records, branch_and_bound, one_error_links, tube_ids
 
 T0 = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
@@ -92,22 +92,36 @@ def test_dependency_is_kept_by_the_search(spark):
     assert kept == {"g": ("A", "S1", 4, 1), "h": ("B", "S7", 5, 5)}
 
 
-def test_branch_and_bound_is_the_optimum():
+def test_rule_goes_by_trust_and_text_rows(spark):
+    # one record of trust 1 says P1, two of trust 3 say P2
+    rows = [("r1", "A", "P1", 1, T0, "g"), ("r2", "A", "P2", 3, T0, "g"), ("r3", "A", "P2", 3, T0, "g"), ("r4", None, "P2", 1, T0 + HOUR, "g"), ("r5", "A", None, 1, T0 + HOUR, "g"), ("r6", None, "P9", 1, T0, "h"), ("r7", "A", None, 1, T0, "h"), ("r8", None, "P1", 1, T0, "h")]
+    df = spark.createDataFrame(rows, "id string, acc string, who string, trust int, updated timestamp, g string")
+    bundles = [Bundle("draw", ["acc"]), Bundle("subject", ["who"])]
+    run = lambda binding: {r.g: (r.acc, r.who, r.subject_row) for r in best_records(df, "g", "id", "trust", "updated", bundles, [Dependency("acc", "who", binding)]).collect()}
+    assert run(True) == {"g": ("A", "P1", "r1"), "h": ("A", "P1", "r8")}
+    # not binding: the later record of equal trust stays, but among full ties the dependency decides
+    assert run(False) == {"g": ("A", "P2", "r4"), "h": ("A", "P1", "r8")}
+
+
+@pytest.mark.parametrize("binding", [True, False])
+@pytest.mark.parametrize("rules", [[(0, 1), (0, 2)], [(0, 1), (1, 2)], [(2, 0)], [(1, 0), (2, 0), (1, 2)]])
+def test_branch_and_bound_is_the_optimum(rules, binding):
     rng = random.Random(5)
-    for _ in range(200):
+    for _ in range(150):
         options = []
         for i in range(3):
-            own = sorted(((float(rng.randrange(1, 6)), {"a": rng.choice("xyz") if i == 0 else None, "h": rng.choice(["x", "y", "z", None]) if i else None}, k) for k in range(rng.randrange(1, 5))), key=lambda o: -o[0])
-            options.append(own)
-        rules = [(0, "a", 1, "h", _Same()), (0, "a", 2, "h", _Same())]
+            asks = lambda i=i: {k: v for k, (p, _) in enumerate(rules) if p == i for v in [rng.choice(["x", "y", "z", None])] if v}
+            holds = lambda i=i: {k: v for k, (_, q) in enumerate(rules) if q == i for v in [rng.choice(["x", "y", "z", None])] if v}
+            options.append(sorted((Option(float(rng.randrange(1, 6)), asks(), holds()) for _ in range(rng.randrange(1, 6))), key=lambda o: -o.gain))
 
         def value(pick, options=options):
             chosen = [options[i][k] for i, k in enumerate(pick)]
-            broken = sum(1 for j in (1, 2) if chosen[j][1]["h"] is not None and chosen[j][1]["h"] != chosen[0][1]["a"])
-            return (-broken, sum(c[0] for c in chosen))
+            broken = sum(1 for k, (p, q) in enumerate(rules) if k in chosen[p].asks and k in chosen[q].holds and chosen[p].asks[k] != chosen[q].holds[k])
+            total = sum(c.gain for c in chosen)
+            return (-broken, total) if binding else (total, -broken)
 
         best = max(value(p) for p in itertools.product(*[range(len(o)) for o in options]))
-        assert value(_branch_and_bound(options, rules)) == best
+        assert value(branch_and_bound(options, [(p, q, 100.0 if binding else 0.1) for p, q in rules])) == best
 
 
 def nearest(spark, ours, theirs, tol=48, **kw):
