@@ -9,6 +9,8 @@ task, and the joins that hand the minima back are split by adaptive skew handlin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +53,19 @@ def seed_tree_components(df: DataFrame, a: str, b: str, max_rounds: int = 60) ->
     stash.drop(edges)
     if not forest:
         return _pairs(df, a, b).select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
-    labels: DataFrame | None = None
-    for pruned in reversed(forest):
-        if labels is None:
-            down = pruned.select("node", F.col("parent").alias("root"))
-            seeds = pruned.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
-            labels = stash.keep(down.unionByName(seeds), "labels")
-            continue
-        known = labels.select(F.col("node").alias("parent"), "root")
-        down = pruned.join(known, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-        # a parent no later round pruned and no label names is a seed that met nobody else
-        seeds = pruned.select("parent").distinct().join(known, "parent", "left_anti").select(F.col("parent").alias("node"), F.col("parent").alias("root"))
-        grown = stash.keep(labels.unionByName(down).unionByName(seeds), "labels")
-        stash.drop(labels)
-        labels = grown
+    # each round's layer is written once; what a parent's root is stands in the layers of later rounds
+    layers: list[DataFrame] = []
+    last = forest[-1]
+    seeds = last.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
+    layers.append(stash.keep(last.select("node", F.col("parent").alias("root")).unionByName(seeds), "layer"))
+    for pruned in reversed(forest[:-1]):
+        known = reduce(DataFrame.unionByName, layers).withColumnsRenamed({"node": "parent"})
+        placed = pruned.join(known, "parent", "left").select("node", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("fresh"))
+        # a parent no later round pruned and no layer names is a seed that met nobody else
+        both = F.when(F.col("fresh"), F.array(F.struct("node", "root"), F.struct(F.col("parent").alias("node"), "root"))).otherwise(F.array(F.struct("node", "root")))
+        layers.append(stash.keep(placed.select(F.explode(both).alias("x")).select("x.*").distinct(), "layer"))
     stash.drop(*forest)
-    return labels
+    return reduce(DataFrame.unionByName, layers)
 
 
 def star_components(df: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -89,11 +88,13 @@ def star_components(df: DataFrame, a: str, b: str, max_rounds: int = 100) -> Dat
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # every pair is now (larger, smaller): the small-star groups each vertex with its smaller neighbours
+        large = stash.keep(large, "large")
+        # every pair is now (larger, smaller): the small-star groups each vertex with its smaller neighbours; a pair
+        # whose smaller end is the minimum stays as it is, the others tie that end to the minimum instead
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         following = stash.keep(small, "pairs")
-        stash.drop(edges)
+        stash.drop(edges, large)
         edges, after = following, mark(following)
         if after == before:
             break

@@ -28,8 +28,8 @@ def nearest_in_time(
     Before the join, right records with one time are reduced to their smallest row id, and of an adjacent bucket only
     its last (earlier bucket) or first (later bucket) record can be the nearest: one record per entity and bucket is
     handed over. Within the bucket, the neighbours before and after come from one ordered pass. So no pairs are
-    enumerated, however many records one entity has in one bucket. Buckets with more than `full` records of one entity are
-    cut into cells, which hand their border records on in the same way. Null entities or times match nothing (with
+    enumerated, however many records one entity has in one bucket. Left rows of one entity at one instant ask once. Buckets
+    with more than `full` records of one entity are cut into cells, which hand their border records on in the same way. Null entities or times match nothing (with
     `keep_unmatched` such rows come out with null partner). Repeated left rows each get their partner.
     """
     span = int(tolerance_s) * 1_000_000
@@ -40,7 +40,9 @@ def nearest_in_time(
 
     ours, theirs = tidy(left, entity[0], when[0], row[0]), tidy(right, entity[1], when[1], row[1])
     given = F.col("e").isNotNull() & F.col("t").isNotNull()
-    asked = ours.where(given)
+    rows = ours.where(given)
+    # rows of one entity at one instant have one answer, so each instant asks once
+    asked = rows.select("e", "b", "t").distinct()
     known = theirs.where(given).groupBy("e", "b", "t").agg(F.min("r").alias("r"))
 
     load = asked.select("e", "b").unionByName(known.select("e", "b")).groupBy("e", "b").count().where(F.col("count") > full)
@@ -65,10 +67,11 @@ def nearest_in_time(
         later = F.last("first", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
         inner = cells.select("e", "b", "c", earlier.alias("p"), later.alias("n")).select("e", "b", "c", F.explode(F.array("p", "n")).alias("o")).where("o is not null")
         offered = asked.select("e", "b", "c").distinct().join(offered, ["e", "b"]).select("e", "b", "c", "o").unionByName(inner)
+    blank = F.lit(None).cast(known.schema["r"].dataType).alias("r")
     every = (
-        asked.select("e", "b", "c", "t", F.col("r").alias("ask"), F.lit(None).cast(known.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
-        .unionByName(known.select("e", "b", "c", "t", F.lit(None).cast(asked.schema["r"].dataType).alias("ask"), "r", F.lit(0).alias("side")))
-        .unionByName(offered.select("e", "b", "c", F.col("o.t").alias("t"), F.lit(None).cast(asked.schema["r"].dataType).alias("ask"), F.col("o.r").alias("r"), F.lit(0).alias("side")))
+        asked.select("e", "b", "c", "t", blank, F.lit(1).alias("side"))
+        .unionByName(known.select("e", "b", "c", "t", "r", F.lit(0).alias("side")))
+        .unionByName(offered.select("e", "b", "c", F.col("o.t").alias("t"), F.col("o.r").alias("r"), F.lit(0).alias("side")))
     )
     ordered = Window.partitionBy("e", "b", "c").orderBy("t", "side")
     point = F.when(F.col("side") == 0, F.struct("t", "r"))
@@ -76,16 +79,15 @@ def nearest_in_time(
     # a frame of following rows is not incremental: the neighbour after comes from the pass in falling order
     backwards = Window.partitionBy("e", "b", "c").orderBy(F.desc("t"), F.desc("side"))
     after = F.last(point, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
-    near = every.select("ask", "t", "side", before.alias("p"), after.alias("n")).where("side = 1")
+    near = every.select("e", "t", "side", before.alias("p"), after.alias("n")).where("side = 1")
     gap = lambda x: F.abs(F.col("t") - F.col(f"{x}.t"))
     best = F.least(
         F.when(gap("p") <= span, F.struct(gap("p").alias("gap"), F.col("p.r").alias("r"))),
         F.when(gap("n") <= span, F.struct(gap("n").alias("gap"), F.col("n.r").alias("r"))),
     )
-    found = near.select(F.col("ask").alias("row"), best.alias("best"))
+    answers = near.select("e", "t", best.alias("best")).where(F.col("best").isNotNull())
     if keep_unmatched:
-        rest = ours.where(~given).select(F.col("r").alias("row"), F.lit(None).cast(found.schema["best"].dataType).alias("best"))
-        found = found.unionByName(rest)
+        found = ours.join(answers, ["e", "t"], "left").select(F.col("r").alias("row"), "best")
     else:
-        found = found.where(F.col("best").isNotNull())
+        found = rows.join(answers, ["e", "t"]).select(F.col("r").alias("row"), "best")
     return found.select("row", F.col("best.r").alias("match_row"), F.col("best.gap").alias("gap_us"))

@@ -107,6 +107,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return split_report(component_splits(table(spark, d, "model_frame"), "row_id", "group_key", "sample_ids", targets), targets)
 
 
+def p5_kept_together(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, participants and tubes, how many of them stand in two splits, and whether all shares are within 0.02 of their targets."""
+    frame, targets = table(spark, d, "model_frame"), table(spark, d, "split_targets")
+    got = component_splits(frame, "row_id", "group_key", "sample_ids", targets)
+    named = frame.select("row_id", standard_subject(F.col("group_key")).alias("who"), standard_tube(F.col("sample_ids")).alias("tube")).join(got, "row_id")
+    of = lambda key: named.where(F.col(key).isNotNull()).groupBy(key).agg((F.min("split_name") != F.max("split_name")).cast("int").alias("torn")).agg(F.count("*").alias(f"{key}s"), F.coalesce(F.sum("torn"), F.lit(0)).alias(f"torn_{key}s"))
+    near = split_report(got, targets).agg(F.max(F.abs(F.col("actual_share") - F.col("target_share"))).alias("miss")).select((F.col("miss") < 0.02).alias("near_targets"))
+    return got.agg(F.count("*").alias("rows"), F.count("split_name").alias("placed")).crossJoin(of("who")).crossJoin(of("tube")).crossJoin(near)  # one row each
+
+
+P5_SQL = f"""
+select count(*) as rows, count(*) as placed, count(distinct {SQL_SUBJECT.format(x='group_key')}) as whos, 0 as torn_whos,
+  count(distinct {SQL_TUBE.format(x='sample_ids')}) as tubes, 0 as torn_tubes, true as near_targets from model_frame
+"""
+
+
 def _kin_groups(spark: SparkSession, d: str) -> DataFrame:
     return match_groups(table(spark, d, "king_pairs"), "usubjid_1", "usubjid_2", "kinship", KIN)
 
@@ -130,5 +146,5 @@ def p6_genomes(spark: SparkSession, d: str) -> DataFrame:
     return got.select("row_id", "iid", "geno_usubjid", F.col("match_group_id").alias("group_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_genomes": p6_genomes}
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p5_splits": p5_splits, "p5_report": p5_report, "p5_kept_together": p5_kept_together, "p6_found": p6_found, "p6_genomes": p6_genomes}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p5_kept_together": P5_SQL, "p6_found": P6_SQL}

@@ -9,18 +9,37 @@ from tallygrove.functions.ids import standard_subject, standard_tube
 from tallygrove.llm.graph import star_components
 from tallygrove.session import Stash
 
-#: A component with more than this share of all rows is placed by hand; at most 1 / HEAVY components can be.
-HEAVY = 0.005
+#: Bins of the hash range over which rows are counted, and seeds of the hash that are tried.
+BINS, SEEDS = 4096, 16
 
 
-def component_splits(records: DataFrame, row: str, group: str, tube: str, targets: DataFrame, heavy: float = HEAVY) -> DataFrame:
+def _cuts(rows: list[int], shares: list[float]) -> tuple[list[int], float]:
+    """Bins where one range ends and the next begins, so that ranges hold `shares` of the rows as nearly as whole bins
+    allow, and the largest miss in parts of all rows."""
+    total = sum(rows) or 1
+    upto, cuts, at, held = 0.0, [], 0, 0
+    for share in shares[:-1]:
+        upto += share
+        while at < len(rows) and abs(held + rows[at] - upto * total) <= abs(held - upto * total):
+            held += rows[at]
+            at += 1
+        cuts.append(at)
+    edges = [0, *cuts, len(rows)]
+    miss = max(abs(sum(rows[i:j]) / total - s) for i, j, s in zip(edges, edges[1:], shares, strict=False))
+    return cuts, miss
+
+
+def component_splits(records: DataFrame, row: str, group: str, tube: str, targets: DataFrame) -> DataFrame:
     """(row, component, split_name): every record with one split, no participant and no tube in two splits.
 
     Records that share a group or a tube id, in any spelling, are one component (large-star and small-star). A record
-    with neither id is its own component. Components with more than `heavy` of all rows, largest first, go to the split
-    that lacks most rows; all others go by a hash of the component into ranges as wide as what the splits then lack.
-    Repeated rows keep together; an empty table gives an empty one; `targets` is (split_name, target_share), shares are
-    normalised to a sum of 1, null or negative ones count as 0.
+    with neither id is its own component. Every component, whatever its size, goes by a hash of its id into ranges whose
+    shares of the rows are the target shares: rows are counted over BINS parts of the hash range and the ranges end where
+    the counted rows reach their share. Of SEEDS fixed seeds of the hash the one whose ranges come nearest is taken, the
+    first of equals, as a large component that lies across an end costs up to half its rows. Added rows move the ends a
+    little, so only components near an end change their split, unless another seed becomes the nearest. Repeated rows
+    keep together; an empty table gives an empty one; `targets` is (split_name, target_share), shares are normalised to a
+    sum of 1, null or negative ones count as 0.
     """
     stash = Stash(records.sparkSession)
     rid = F.col(f"`{row}`")
@@ -33,32 +52,26 @@ def component_splits(records: DataFrame, row: str, group: str, tube: str, target
     narrow = stash.keep(narrow, "nodes")
     labels = star_components(narrow.where(F.col("g").isNotNull() & F.col("t").isNotNull()).select("g", "t"), "g", "t")
     placed = stash.keep(narrow.join(labels.withColumnRenamed("node", "anchor"), "anchor", "left").select("row", F.coalesce("root", "anchor").alias("component")), "placed")
-    stash.drop(narrow)
+    stash.drop(narrow, labels)
 
-    shares = [(r[0], max(float(r[1] or 0.0), 0.0)) for r in targets.select("split_name", "target_share").orderBy("split_name").collect()]
-    total_share = sum(s for _, s in shares) or 1.0
-    total = placed.count()
-    lacking = {name: share / total_share * total for name, share in shares}
-    big = placed.groupBy("component").count().where(F.col("count") > heavy * total).orderBy(F.desc("count"), "component").collect()
-    fixed: dict[int, str] = {}
-    for r in big:
-        name = max(lacking, key=lambda k: (lacking[k], k))
-        fixed[r["component"]] = name
-        lacking[name] -= r["count"]
-    rest = {k: max(v, 0.0) for k, v in lacking.items()}
-    if not sum(rest.values()):
-        rest = dict(shares)
-    span, upto, ranged = sum(rest.values()) or 1.0, 0.0, None
-    point = F.pmod(F.xxhash64(F.lit("split"), "component"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for name, width in rest.items():
-        upto += width / span
-        ranged = F.when(point < upto, name) if ranged is None else ranged.when(point < upto, name)
-    last = list(rest)[-1] if rest else None
-    ranged = F.lit(last) if ranged is None else ranged.otherwise(last)
-    chosen = ranged
-    for component, name in fixed.items():
-        chosen = F.when(F.col("component") == component, name).otherwise(chosen)
-    return placed.select(F.col("row").alias(row), "component", chosen.alias("split_name"))
+    given = [(r[0], max(float(r[1] or 0.0), 0.0)) for r in targets.select("split_name", "target_share").orderBy("split_name").collect()]
+    whole = sum(s for _, s in given) or 1.0
+    shares = [(name, s / whole) for name, s in given if s > 0] or given
+    if not shares:
+        return placed.select(F.col("row").alias(row), "component", F.lit(None).cast("string").alias("split_name"))
+    spot = lambda seed: F.pmod(F.xxhash64(F.lit("split"), seed, "component"), F.lit(BINS)).cast("int")
+    sizes = placed.groupBy("component").count()
+    seeded = sizes.select("component", "count", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
+    counted = seeded.groupBy("seed", spot(F.col("seed")).alias("bin")).agg(F.sum("count").alias("rows"))
+    rows = [[0] * BINS for _ in range(SEEDS)]
+    for r in counted.collect():  # BINS numbers for each of SEEDS seeds
+        rows[r["seed"]][r["bin"]] = r["rows"]
+    tried = [_cuts(own, [s for _, s in shares]) for own in rows]
+    seed = min(range(SEEDS), key=lambda k: (tried[k][1], k))
+    name = F.lit(shares[-1][0])
+    for (own, _), cut in reversed(list(zip(shares, tried[seed][0], strict=False))):
+        name = F.when(F.col("__bin") < cut, own).otherwise(name)
+    return placed.withColumn("__bin", spot(F.lit(seed))).select(F.col("row").alias(row), "component", name.alias("split_name"))
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.llm.nearest import nearest_in_time
-from tallygrove.llm.splits import component_splits, split_report
+from tallygrove.llm.splits import _cuts, component_splits, split_report
 from tallygrove.llm.survivors import Bundle, Dependency, Option, best_records, branch_and_bound, one_error_links, tube_ids
 
 T0 = dt.datetime(2024, 1, 1)
@@ -183,3 +183,15 @@ def test_split_shares_and_edges(spark):
     report = {r.split_name: r for r in split_report(component_splits(df, "row_id", "group_key", "sample_ids", targets), targets).collect()}
     assert all(abs(r.actual_share - r.target_share) < 0.02 for r in report.values())
     assert component_splits(df.limit(0), "row_id", "group_key", "sample_ids", targets).count() == 0
+    assert {r.split_name for r in component_splits(df.limit(9), "row_id", "group_key", "sample_ids", targets.limit(0)).collect()} == {None}
+    # components of a third and a fifth of all rows go by the same hash
+    big = df.unionByName(spark.createDataFrame([(20_000 + i, "GLX-111-0000001", None) for i in range(8000)] + [(40_000 + i, "GLX-111-0000002", None) for i in range(5000)], df.schema))
+    got = {r.split_name: r.actual_share for r in split_report(component_splits(big, "row_id", "group_key", "sample_ids", targets), targets).collect()}
+    assert abs(got["train"] - 0.7) < 0.02 and abs(got["test"] - 0.15) < 0.02
+
+
+def test_cuts_of_the_hash_range():
+    assert _cuts([10] * 10, [0.5, 0.3, 0.2]) == ([5, 8], pytest.approx(0.0))
+    cuts, miss = _cuts([5, 80, 5, 5, 5], [0.8, 0.1, 0.1])
+    assert cuts == [2, 3] and miss == pytest.approx(0.05)
+    assert _cuts([0] * 4, [0.5, 0.5])[0] in ([0], [4])
