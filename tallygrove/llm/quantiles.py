@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SECTIONS = 16
 ERROR = 0.02
 #: Values that a level may hold before it is compacted; half of them are protected.
 LEVEL0 = 2 * K * SECTIONS
+#: Neighbouring parts that are merged in one task before the last step.
+FAN = 256
 
 
 class Compactor:
@@ -160,11 +163,17 @@ def _groups(keys: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield rows[0], rows
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Tasks that read a frame without exchanges; no job runs."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()  # noqa: SLF001
+
+
 def sketch_levels(df: DataFrame, measures: dict[str, Column], levels: dict[str, Sequence[Column]]) -> DataFrame:
-    """(level, key array<string>, measure, sketch binary): partial sketches per map task of every level's groups.
+    """(level, key array<string>, measure, part, seq, sketch binary): partial sketches per map task of every level's groups.
 
     `levels` names sets of grouping columns; the table is read once for all of them. Null and NaN values are left out;
-    a null key is a group of its own. Nothing is shuffled: a hot group leaves each task as one bounded sketch.
+    a null key is a group of its own. Nothing is shuffled: a hot group leaves each task as one bounded sketch. `part` is the
+    task's number and `seq` counts its sketches: the order in which they are merged.
     """
     names, level_names = list(measures), list(levels)
     flat = df.select(
@@ -176,9 +185,10 @@ def sketch_levels(df: DataFrame, measures: dict[str, Column], levels: dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Both] = {}
         pending: list[pa.RecordBatch] = []
+        task, seq = TaskContext.get().partitionId(), 0
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal pending
+            nonlocal pending, seq
             if pending:
                 full = pa.Table.from_batches(pending).combine_chunks()
                 pending = []
@@ -205,10 +215,13 @@ def sketch_levels(df: DataFrame, measures: dict[str, Column], levels: dict[str,
                             pa.array([level_names[k[0]] for k, _ in part]),
                             pa.array([list(k[1]) for k, _ in part], pa.list_(pa.string())),
                             pa.array([names[k[2]] for k, _ in part]),
+                            pa.array([task] * len(part), pa.int64()),
+                            pa.array([seq] * len(part), pa.int64()),
                             pa.array([s.pack() for _, s in part], pa.binary()),
                         ],
-                        names=["level", "key", "measure", "sketch"],
+                        names=["level", "key", "measure", "part", "seq", "sketch"],
                     )
+                seq += 1
 
         size = 0
         for batch in batches:
@@ -219,37 +232,36 @@ def sketch_levels(df: DataFrame, measures: dict[str, Column], levels: dict[str,
                 size = 0
         yield from flush(True)
 
-    return flat.mapInArrow(run, "level string, key array<string>, measure string, sketch binary")
-
+    return flat.mapInArrow(run, "level string, key array<string>, measure string, part long, seq long, sketch binary")
 
-def merged_quantiles(sketches: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """(level, key, measure, n, q array<double>): the sketches of each group combined, and its percentiles.
 
-    Sketches may come from any number of partitions, plates or days. The merge reads each group's sketches one by one.
-    """
-    spread = sketches.repartition("level", "key", "measure").sortWithinPartitions("level", "key", "measure")
-    probs = [float(p) for p in probs]
+def _merged(sketches: DataFrame, names: list[str], order: list[str], probs: list[float]) -> DataFrame:
+    """Sketches of equal `names` merged one by one in the stated order: one row each, with its percentiles."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sketches.select(*names).schema)
+    types = sketches.select(*names).schema
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
+    spread = sketches.select(*names, *order, "sketch").repartition(*names).sortWithinPartitions(*names, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
 
         def out(done: list) -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k, _ in done], arrow[f.dataType.simpleString()]) for i, f in enumerate(types)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k, _ in done], pa.string()),
-                    pa.array([list(k[1]) for k, _ in done], pa.list_(pa.string())),
-                    pa.array([k[2] for k, _ in done], pa.string()),
+                    *keys,
                     pa.array([s.lo.n for _, s in done], pa.int64()),
                     pa.array([s.quantiles(probs) for _, s in done], pa.list_(pa.float64())),
                     pa.array([s.pack() for _, s in done], pa.binary()),
                 ],
-                names=["level", "key", "measure", "n", "q", "sketch"],
+                names=[*names, "n", "q", "sketch"],
             )
 
         for batch in batches:
             done = []
-            for level, key, measure, raw in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                name = (level, tuple(key), measure)
+            cols = [batch.column(i).to_pylist() for i in range(len(names))]
+            for *key, raw in zip(*cols, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                name = tuple(tuple(k) if isinstance(k, list) else k for k in key)
                 if name != at:
                     if held is not None:
                         done.append((at, held))
@@ -261,4 +273,20 @@ def merged_quantiles(sketches: DataFrame, probs: Sequence[float]) -> DataFrame:
         if held is not None:
             yield out([(at, held)])
 
-    return spread.mapInArrow(run, "level string, key array<string>, measure string, n long, q array<double>, sketch binary")
+    return spread.mapInArrow(run, f"{kinds}, n long, q array<double>, sketch binary")
+
+
+def merged_quantiles(sketches: DataFrame, probs: Sequence[float], tasks: int | None = None) -> DataFrame:
+    """(level, key, measure, n, q array<double>, sketch): the sketches of each group combined, and its percentiles.
+
+    Sketches may come from any number of partitions, plates or days; `part` and `seq` order them, so the result does not
+    depend on the order of arrival. First FAN neighbouring parts of a group are merged, each such span in its own task,
+    then the spans, so that no task reads all sketches of a hot group. With `tasks` parts, numbered from 0, of at most
+    FAN there is one span, and merging it alone changes nothing: that step is left out.
+    """
+    probs = [float(p) for p in probs]
+    group = ["level", "key", "measure"]
+    if tasks is not None and tasks <= FAN:
+        return _merged(sketches, group, ["part", "seq"], probs)
+    spans = _merged(sketches.withColumn("span", F.floor(F.col("part") / F.lit(FAN)).cast("long")), [*group, "span"], ["part", "seq"], [])
+    return _merged(spans, group, ["span"], probs)

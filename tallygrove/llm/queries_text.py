@@ -31,6 +31,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
+def p9_met(spark: SparkSession, d: str) -> DataFrame:
+    """Listed sources with texts: their weight among these, and whether tokens (to within the longest document) and uses meet the targets."""
+    targets = table(spark, d, "mix_targets")
+    mix = mix_sources(table(spark, d, "documents"), targets)
+    longest = mix.agg(F.max("n_tokens").alias("longest"))
+    report = mix_report(mix, targets).where(F.col("target_weight").isNotNull() & (F.col("tokens") > 0))
+    whole = report.agg(F.sum("target_weight").alias("live"), F.sum("mixed_tokens").alias("all_mixed"))
+    weight = F.col("target_weight") / F.col("live")
+    near = F.abs(F.col("mixed_tokens") - weight * F.col("all_mixed")) <= F.col("longest")
+    return report.crossJoin(whole).crossJoin(longest).select("source", F.round(weight, 6).alias("weight"), "documents", near.alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_met"))  # one row each
+
+
+P9_MET_SQL = """
+select t.source, round(target_weight / sum(target_weight) over (), 6) as weight, n as documents, true as share_met, true as cap_met
+from mix_targets t join (select source, count(*) n from documents group by source having max(length(text)) > 0) using (source)
+"""
+
+
 def _areas(spark: SparkSession, d: str, held_out: int | None = None) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "area_labels")
     names = [r[0] for r in table(spark, d, "subject_areas").select("area").orderBy("area").collect()]  # ten rows
@@ -59,5 +77,5 @@ def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("area").agg(F.count("given").alias("labelled"), F.count("got").alias("found"), F.round(F.try_divide(hit.cast("double"), F.count("got")), 4).alias("precision"), F.round(F.try_divide(hit.cast("double"), F.count("given")), 4).alias("recall"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_lengths": p8_lengths, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_makeup": p10_makeup, "p10_held_out": p10_held_out}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p8_ids": p8_ids, "p8_lengths": p8_lengths, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_met": p9_met, "p10_found": p10_found, "p10_makeup": p10_makeup, "p10_held_out": p10_held_out}
+ORACLES = {"p9_met": P9_MET_SQL}

@@ -56,5 +56,21 @@ def test_days_merge_to_the_same_as_all(spark):
     rows = [(int(i % 30), float(v)) for i, v in enumerate(rng.lognormal(size=30_000))]
     df = spark.createDataFrame(rows, "day int, v double").repartition(5)
     days = merged_quantiles(sketch_levels(df, {"v": F.col("v")}, {"day": [F.col("day")]}), [0.5])
-    every = merged_quantiles(days.select(F.lit("all").alias("level"), F.array(F.lit("all")).alias("key"), "measure", "sketch"), PROBS).collect()[0]
+    every = merged_quantiles(days.select(F.lit("all").alias("level"), F.array(F.lit("all")).alias("key"), "measure", F.lit(0).cast("long").alias("part"), F.col("key")[0].cast("long").alias("seq"), "sketch"), PROBS).collect()[0]
     assert every.n == 30_000 and worst(np.array([v for _, v in rows]), every.q) <= ERROR
+
+
+def test_merge_does_not_depend_on_arrival_and_hot_groups_go_in_spans(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.lognormal(size=60_000)
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(20)
+    parts = sketch_levels(df, {"v": F.col("v")}, {"all": [F.lit("a")]})
+    rows = parts.collect()
+    assert sorted(r.part for r in rows) == list(range(20))
+    kept = lambda order: spark.createDataFrame([rows[i] for i in order], parts.schema).repartition(7)
+    monkeypatch.setattr("tallygrove.llm.quantiles.FAN", 4)
+    one = merged_quantiles(kept(range(20)), PROBS).collect()
+    two = merged_quantiles(kept(rng.permutation(20)), PROBS).collect()
+    assert one == two and len(one) == 1 and one[0].n == 60_000 and worst(x, one[0].q) <= ERROR
+    monkeypatch.setattr("tallygrove.llm.quantiles.FAN", 256)
+    assert merged_quantiles(kept(range(20)), PROBS).collect() == merged_quantiles(kept(rng.permutation(20)), PROBS, 20).collect()
