@@ -1,12 +1,14 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer by corpus-level merge replay (problem 8).
 
-The words of a slice of the corpus are taken together, each distinct word once. An inverted index holds, for every pair of
-neighbouring tokens that has a merge, the positions where it stands. Merges are applied in rank order, each at all of its
-positions, and only the two neighbours of a merged place are looked at again. A merge can only make pairs of later rank,
-because its token exists in no earlier merge, so one pass in rank order gives every word its final tokens.
+Texts fall into words once. Slices of texts keep numbers in place of words, and a list of the words behind the numbers. The
+distinct words of all slices make up the corpus table, in which each word stands once. An inverted index holds, for every
+pair of neighbouring tokens that has a merge, the positions where it stands in the words. Merges are applied in rank
+order, each at all of its positions, and only the two neighbours of a merged place are looked at again. A merge can only
+make pairs of later rank, because its token exists in no earlier merge, so one pass in rank order gives every word its
+final tokens. These are joined back to the slices' word lists, and each slice's numbers are then exchanged for tokens.
 
-Slices are the partitions of the input: nothing is shuffled, and words already replayed in a task are kept (up to
-KEPT_WORDS). The merge table, read once on the driver from the vocabulary file, is of fixed size and broadcast.
+What is shuffled is a slice's distinct words, not every occurrence, and the numbers. The merge table, read once on the
+driver from the vocabulary file, is of fixed size and broadcast.
 """
 
 from __future__ import annotations
@@ -15,14 +17,18 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrove.session import Stash
+
 #: How text falls into words before the merges (fixed value, part of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words that a task remembers before it starts anew, and text bytes that it replays together.
-KEPT_WORDS, SLICE_BYTES = 400_000, 8_000_000
+#: Text bytes of a slice (a longer text is a slice of its own), words that share one index in a task, numbers decoded at once.
+SLICE_BYTES, INDEX_WORDS, PIECE = 16_000_000, 200_000, 2_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -113,68 +119,146 @@ def replay(words: list[bytes], of_byte: list[int], merges: dict[int, tuple[int,
     return out
 
 
-class Replayer:
-    """Encodes lists of texts; words met before are not replayed again."""
+def _coded(docs: DataFrame, kind: str) -> DataFrame:
+    """(slice, k, codes, code, word): a row with the word numbers of each document (k, t), and one for each word of a slice."""
 
-    def __init__(self, of_byte: list[int], merges: dict[int, tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        self.split, self.of_byte, self.merges, self.known = regex.compile(PATTERN).findall, of_byte, merges, {}
+        split = regex.compile(PATTERN).findall
+        number: dict[str, int] = {}
+        size, slice_no = 0, TaskContext.get().partitionId() << 32
 
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        parted = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*parted) - self.known.keys()) if parted else []
-        self.known.update(zip(fresh, replay([w.encode("utf-8", "replace") for w in fresh], self.of_byte, self.merges), strict=True))
-        return parted
+        def rows(count: int, own: int, keys, codes, places, words) -> pa.RecordBatch:
+            blank = lambda t: pa.nulls(count, t)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(count, own)), blank(key_type) if keys is None else keys, blank(pa.binary()) if codes is None else codes, blank(pa.int32()) if places is None else places, blank(pa.binary()) if words is None else words],
+                names=["slice", "k", "codes", "code", "word"],
+            )
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        known = self.known
-        return [[i for w in ws for i in known[w]] for ws in self.words(texts)]
+        def listed(own: int) -> Iterator[pa.RecordBatch]:
+            words = [w.encode("utf-8", "replace") for w in number]
+            for a in range(0, len(words), 50_000):
+                part = words[a : a + 50_000]
+                yield rows(len(part), own, None, None, pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part, pa.binary()))
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        parted = self.words(texts)
-        sizes = {w: len(self.known[w]) for w in set().union(*parted)} if parted else {}
-        return [sum(map(sizes.__getitem__, ws)) for ws in parted]
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field("k").type
+            held, first, pending = [], 0, 0
+            for i, raw in enumerate(batch.column(1)):
+                raw = raw.as_py() or b""
+                closes = size and size + len(raw) > SLICE_BYTES
+                if held and (closes or pending > SLICE_BYTES):
+                    yield rows(len(held), slice_no, batch.column(0).slice(first, len(held)), pa.array(held, pa.binary()), None, None)
+                    held, first, pending = [], i, 0
+                if closes:
+                    yield from listed(slice_no)
+                    number, size, slice_no = {}, 0, slice_no + 1
+                held.append(np.array([number.setdefault(w, len(number)) for w in split(raw.decode("utf-8", "replace"))], dtype="<i4").tobytes())
+                size += len(raw)
+                pending += len(raw)
+            if held:
+                yield rows(len(held), slice_no, batch.column(0).slice(first, len(held)), pa.array(held, pa.binary()), None, None)
+        if number:
+            yield from listed(slice_no)
 
+    return docs.mapInArrow(run, f"slice bigint, k {kind}, codes binary, code int, word binary")
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Rows of a batch in runs of at most SLICE_BYTES of text (a longer text alone)."""
-    texts, at, size = [], 0, 0
-    for i, raw in enumerate(batch.column(1)):
-        raw = raw.as_py()
-        if texts and size + len(raw or b"") > SLICE_BYTES:
-            yield at, i, texts
-            texts, at, size = [], i, 0
-        texts.append(None if raw is None else raw.decode("utf-8", "replace"))
-        size += len(raw or b"")
-    if texts:
-        yield at, len(batch), texts
 
+def _replayed(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, ids): the tokens of distinct words, as bytes of 32-bit numbers."""
+    shared = words.sparkSession.sparkContext.broadcast(load_merges(vocabulary))
 
-def _mapped(docs: DataFrame, key: str, text: str, vocabulary: str, out: str, counting: bool) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_merges(vocabulary))
-    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            ids = [np.array(x, dtype="<i4").tobytes() for x in replay(held, *shared.value)]
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if len(held) >= INDEX_WORDS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return words.mapInArrow(run, "word binary, ids binary")
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a column of bytes, and where each row's begin and end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[: len(data) // 4 * 4].view("<i4") if data else np.zeros(0, np.int32)), offsets
+
+
+def _exchanged(rows: DataFrame, kind: str, key: str, out: str, counting: bool) -> DataFrame:
+    """Documents' word numbers exchanged for tokens; rows are in the order of slices, each slice's words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Replayer(*shared.value)
+        at: int | None = None
+        parts: list[bytes] = []
+        sizes = starts = flat = np.zeros(0, np.int64)
         for batch in batches:
-            for a, b, texts in _slices(batch):
-                got = pa.array(own.count(texts), pa.int64()) if counting else pa.array(own.encode(texts), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), got], names=[key, out])
+            slices = batch.column(0).to_numpy()
+            is_word = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in _runs(slices * 2 + is_word):
+                if is_word[a]:
+                    if at != slices[a]:
+                        at, parts = slices[a], []
+                    parts += batch.column(4).slice(a, b - a).to_pylist()
+                    sizes = np.zeros(0, np.int64)
+                    continue
+                if at != slices[a]:
+                    at, parts, sizes = slices[a], [], np.zeros(0, np.int64)
+                if len(sizes) != len(parts):
+                    sizes = np.array([len(x) // 4 for x in parts], np.int64)
+                    starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<i4")
+                numbers, offsets = _numbers(batch.column(3).slice(a, b - a))
+                lo = 0
+                while lo < b - a:
+                    hi = max(int(np.searchsorted(offsets, offsets[lo] + PIECE, "right")) - 1, lo + 1)
+                    own = numbers[offsets[lo] : offsets[hi]]
+                    upto = np.r_[0, np.cumsum(sizes[own])]
+                    ends = upto[offsets[lo : hi + 1] - offsets[lo]]
+                    if counting:
+                        got = pa.array(np.diff(ends))
+                    else:
+                        place = np.repeat(starts[own] - upto[:-1], sizes[own]) + np.arange(upto[-1])
+                        got = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[place].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(a + lo, hi - lo), got], names=[key, out])
+                    lo = hi
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, `{out}` {'bigint' if counting else 'array<int>'}")
+
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _mapped(docs: DataFrame, key: str, text: str, vocabulary: str, out: str, counting: bool) -> DataFrame:
+    spark: SparkSession = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{key}` {kind}, `{out}` {'bigint' if counting else 'array<int>'}")
+    narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("binary").alias("t"))
+    coded = Stash(spark).keep(_coded(narrow, kind), "coded")
+    listed = coded.where(F.col("word").isNotNull()).select("slice", "code", "word")
+    words = listed.join(_replayed(listed.select("word").distinct(), vocabulary), "word")
+    rows = words.select("slice", F.lit(None).cast(kind).alias("k"), F.lit(True).alias("is_word"), F.lit(None).cast("binary").alias("codes"), "ids", "code")
+    rows = rows.unionByName(coded.where(F.col("word").isNull()).select("slice", "k", F.lit(False).alias("is_word"), "codes", F.lit(None).cast("binary").alias("ids"), F.lit(0).alias("code")))
+    ordered = rows.repartition("slice").sortWithinPartitions("slice", F.desc("is_word"), "code")
+    return _exchanged(ordered.select("slice", "k", "is_word", "codes", "ids"), kind, key, out, counting)
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>): the whole text of every row as token ids, without special tokens.
 
     Strings that look like special tokens are ordinary text. Null and empty texts have the empty list, blank texts the
-    ids of their blanks. Bytes that are no UTF-8 count as U+FFFD. Rows keep their partition; repeated rows are encoded
-    alike; other columns may have any name; an empty table gives no rows.
+    ids of their blanks. Bytes that are no UTF-8 count as U+FFFD. Repeated rows are encoded alike; other columns may have
+    any name; an empty table gives no rows.
     """
     return _mapped(docs, key, text, vocabulary, "ids", False)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrove.llm.bpe import VOCABULARY, Replayer, count_tokens, encode_corpus, load_merges, replay
+from tallygrove.llm.bpe import VOCABULARY, count_tokens, encode_corpus, load_merges, replay
 from tallygrove.llm.mixing import mix_report, mix_sources
 from tallygrove.llm.subjects import Settings, document_areas, fit_areas, sentences
 
@@ -33,6 +33,16 @@ def test_ids_equal_the_public_library(spark, public):
     assert encode_corpus(df.limit(0)).count() == 0
 
 
+def test_many_slices_and_pieces(spark, public, monkeypatch):
+    for name, value in (("SLICE_BYTES", 300), ("INDEX_WORDS", 7), ("PIECE", 20)):
+        monkeypatch.setattr(f"tallygrove.llm.bpe.{name}", value)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["lorem", "ipsum", "Dolor!", "sit", "42", "ämet"]) for _ in range(rng.randrange(0, 90))) for _ in range(60)] + ["x " * 500, None]
+    df = spark.createDataFrame([((i, "a"), t) for i, t in enumerate(texts)], "id struct<n:int,s:string>, text string").repartition(2)
+    got = encode_corpus(df, "id").collect()
+    assert {r.id.n: r.ids for r in got} == {i: public(t) for i, t in enumerate(texts)} and len(got) == len(texts)
+
+
 def test_whole_corpus_table(spark, smoke_dir, public):
     docs = spark.read.parquet(f"{smoke_dir}/documents.parquet").select("doc_id", "text")
     want = {r.doc_id: public(r.text) for r in docs.collect()}
@@ -48,8 +58,6 @@ def test_replay_is_order_free_and_round_trips():
     got = replay(words, of_byte, merges)
     assert [b"".join(back[i] for i in ids) for ids in got] == words
     assert replay(words[::-1], of_byte, merges)[::-1] == got == [replay([w], of_byte, merges)[0] for w in words]
-    own = Replayer(of_byte, merges)
-    assert own.encode(["the the", None])[1] == []
 
 
 DOCS = "doc_id long, text string, source string, copies int"
