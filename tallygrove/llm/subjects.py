@@ -1,10 +1,10 @@
 """Subject areas of documents: averaged word and subword embeddings with independent logistic outputs (problem 10).
 
 A sentence is the mean of its words' vectors, a word the mean of the vectors of itself and of its character n-grams, which
-are hashed into a table of fixed size. Each area has its own logistic output. Training runs in rounds: every partition of
-the labelled sentences makes one pass of mini-batch steps from the shared weights, and the changes of all partitions are
-averaged, row by row over the partitions that touched it, into the next shared weights. Scoring reads every sentence of
-every document.
+are hashed into a table of fixed size. Each area has its own logistic output. The labelled texts are parsed once into word
+numbers and stand in shards, each cut into slices. Every training step is synchronous: all shards compute the gradient of
+one slice at the same weights, the gradients are summed, and one update makes the next weights. Scoring reads every
+sentence of every document.
 """
 
 from __future__ import annotations
@@ -28,18 +28,19 @@ _SENTENCE = re.compile(r"[.!?。！？]+(?=[\s\"')\]_]|$)|[\r\n]+")
 @dataclass(frozen=True)
 class Settings:
     """`labelled` bounds the documents that the model is fitted on: with more labels, those whose id hash falls into that share
-    of the hash's range, so about that many; `shards` is the number of partitions that train side by side. A sentence of fewer than `short` words counts as one of `short`, so that a stray
-    word decides little. `share` is the part of a document's subject sentences that an area needs."""
+    of the hash's range, so about that many; `shards` is the number of partitions that compute gradients side by side, so what
+    a step sends to the driver is at most `shards` times the size of the weights. A sentence of fewer than `short` words counts
+    as one of `short`, so that a stray word decides little. `share` is the part of a document's subject sentences that an area needs."""
 
     buckets: int = 1 << 16
     width: int = 16
     ngrams: tuple[int, ...] = (4, 5)
     labelled: int = 20_000
     shards: int = 6
-    rounds: int = 14
-    untangle: int = 4
-    batch: int = 128
-    pace: float = 0.25
+    slices: int = 4
+    steps: int = 44
+    untangle: int = 14
+    pace: float = 0.1
     short: int = 4
     certain: float = 0.5
     share: float = 0.19
@@ -66,28 +67,22 @@ class Weights:
     rows: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    seen_rows: np.ndarray
-    seen_out: np.ndarray
     areas: list[str] = field(default_factory=list)
 
     @classmethod
     def fresh(cls, s: Settings, areas: list[str]) -> Weights:
         rng = np.random.default_rng(s.seed)
-        k = len(areas)
         rows = ((rng.random((s.buckets, s.width)) - 0.5) / s.width).astype(np.float32)
-        return cls(rows, np.zeros((s.width, k), np.float32), np.full(k, -2.0, np.float32), np.full(s.buckets, 1e-6, np.float32), np.full(k, 1e-6, np.float32), areas)
+        return cls(rows, np.zeros((s.width, len(areas)), np.float32), np.full(len(areas), -2.0, np.float32), areas)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _sum_rows(values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
-    own = index[order]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    return own[starts], np.add.reduceat(values[order], starts, axis=0)
+def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of each index, of 0 to size - 1."""
+    return np.stack([np.bincount(index, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
 
 
 class Lexicon:
@@ -108,70 +103,78 @@ class Lexicon:
         return np.concatenate([np.asarray(f, dtype=np.int64) for f in self.features]), np.r_[0, np.cumsum(sizes)]
 
 
-def train_pass(w: Weights, docs: list[tuple[list[list[str]], int]], s: Settings, round_no: int, shard: int) -> dict[str, np.ndarray]:
-    """One pass over (sentences, area bits) from the weights w; what changed."""
-    lexicon = Lexicon(s)
-    words, sizes, bits = [], [], []
-    for parts, mask in docs:
-        for p in parts:
-            words += [lexicon.of(x) for x in p]
-            sizes.append(len(p))
-            bits.append(mask)
-    k = len(w.areas)
-    rows, out, bias = w.rows.copy(), w.out.copy(), w.bias.copy()
-    seen_rows, seen_out = w.seen_rows.copy(), w.seen_out.copy()
-    touched = np.zeros(s.buckets, dtype=bool)
-    if sizes:
-        words_, sizes_, starts = np.array(words), np.array(sizes), np.r_[0, np.cumsum(sizes)]
-        target_all = ((np.array(bits)[:, None] >> np.arange(k)) & 1).astype(np.float32)
-        feats, fstart = lexicon.flat()
-        order = np.random.default_rng([s.seed, round_no, shard]).permutation(len(sizes))
-        for a in range(0, len(order), s.batch):
-            pick = order[a : a + s.batch]
-            n = sizes_[pick]
-            own = np.concatenate([words_[starts[i] : starts[i + 1]] for i in pick])
-            uniq, inverse = np.unique(own, return_inverse=True)
-            counts = fstart[uniq + 1] - fstart[uniq]
-            begin = np.r_[0, np.cumsum(counts)[:-1]]
-            fidx = feats[np.repeat(fstart[uniq] - begin, counts) + np.arange(counts.sum())]
-            vec = np.add.reduceat(rows[fidx], begin, axis=0) / counts[:, None]
-            edge, full = np.r_[0, np.cumsum(n)[:-1]], np.maximum(n, s.short)[:, None]
-            hidden = np.add.reduceat(vec[inverse], edge, axis=0) / full
-            p = _sigmoid(hidden @ out + bias)
-            target = target_all[pick]
-            if round_no >= s.untangle:
-                # of a document with several areas, a sentence keeps those that it itself speaks for
-                several = target.sum(axis=1) > 1
-                best = (p * target).max(axis=1, keepdims=True)
-                target = np.where(several[:, None] & (p < 0.5 * best), 0.0, target)
-            gap = (p - target).astype(np.float32)
-            g_out, g_hidden = hidden.T @ gap, gap @ out.T
-            seen_out += (g_out**2).mean(axis=0)
-            out -= s.pace * g_out / np.sqrt(seen_out)
-            bias -= 0.1 * s.pace * gap.sum(axis=0) / np.sqrt(seen_out * len(pick))
-            g_word = np.repeat(g_hidden / full, n, axis=0)
-            _, per_word = _sum_rows(g_word, inverse)
-            f_u, g_f = _sum_rows(np.repeat(per_word / counts[:, None], counts, axis=0), fidx)
-            seen_rows[f_u] += (g_f**2).mean(axis=1)
-            rows[f_u] -= s.pace * g_f / np.sqrt(seen_rows[f_u])[:, None]
-            touched[f_u] = True
-    at = np.flatnonzero(touched)
-    return {"at": at.astype(np.int32), "rows": (rows - w.rows)[at], "seen_rows": (seen_rows - w.seen_rows)[at], "out": out - w.out, "bias": bias - w.bias, "seen_out": seen_out - w.seen_out, "n": np.array([len(sizes)], dtype=np.float64)}
-
-
-def combine(w: Weights, changes: list[dict[str, np.ndarray]]) -> Weights:
-    """The weights with the changes of all shards, each row averaged over the shards that touched it."""
-    changes = [c for c in changes if c["n"][0] > 0]
-    if not changes:
-        return w
-    rows, seen, hits = np.zeros_like(w.rows), np.zeros_like(w.seen_rows), np.zeros(len(w.rows), np.float32)
-    for c in changes:
-        rows[c["at"]] += c["rows"]
-        seen[c["at"]] += c["seen_rows"]
-        hits[c["at"]] += 1
-    many = np.maximum(hits, 1)
-    mean = lambda key: np.mean([c[key] for c in changes], axis=0)
-    return Weights(w.rows + rows / many[:, None], w.out + mean("out"), w.bias + mean("bias"), w.seen_rows + seen / many, w.seen_out + mean("seen_out"), w.areas)
+@dataclass
+class Slice:
+    """Sentences as numbers: words of each sentence, buckets of each word, and the areas (document's labels) of each sentence."""
+
+    sizes: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    buckets: np.ndarray
+    marks: np.ndarray
+    areas: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[tuple[list[list[str]], list[int]]], s: Settings) -> Slice:
+        lexicon = Lexicon(s)
+        words, sizes, marks, areas = [], [], [], []
+        for parts, own in docs:
+            for p in parts:
+                words += [lexicon.of(x) for x in p]
+                sizes.append(len(p))
+                marks.append(len(own))
+                areas += own
+        full = lambda x: np.asarray(x, dtype=np.int32)
+        return cls(full(sizes), full(words), full([len(f) for f in lexicon.features]), full([b for f in lexicon.features for b in f]), full(marks), full(areas))
+
+    def pack(self) -> list[bytes]:
+        return [a.tobytes() for a in (self.sizes, self.words, self.counts, self.buckets, self.marks, self.areas)]
+
+    @classmethod
+    def unpack(cls, parts: list[bytes]) -> Slice:
+        return cls(*[np.frombuffer(p, np.int32) for p in parts])
+
+    def gradient(self, w: Weights, s: Settings, untangled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Touched rows, their gradients, and those of outputs and biases, summed over the sentences."""
+        target = np.zeros((len(self.sizes), len(w.areas)), np.float32)
+        target[np.repeat(np.arange(len(self.sizes)), self.marks), self.areas] = 1.0
+        starts = lambda n: np.cumsum(n) - n
+        vec = np.add.reduceat(w.rows[self.buckets], starts(self.counts), axis=0) / self.counts[:, None]
+        full = np.maximum(self.sizes, s.short).astype(np.float32)[:, None]
+        hidden = np.add.reduceat(vec[self.words], starts(self.sizes), axis=0) / full
+        p = _sigmoid(hidden @ w.out + w.bias)
+        if untangled:
+            # of a document with several areas, a sentence keeps those that it itself speaks for
+            best = (p * target).max(axis=1, keepdims=True)
+            target = np.where((target.sum(axis=1) > 1)[:, None] & (p < 0.5 * best), 0.0, target)
+        gap = (p - target).astype(np.float32)
+        per_word = _sums(np.repeat(gap @ w.out.T / full, self.sizes, axis=0), self.words, len(self.counts)) / self.counts[:, None]
+        at, place = np.unique(self.buckets, return_inverse=True)
+        rows = _sums(np.repeat(per_word, self.counts, axis=0), place, len(at))
+        return at.astype(np.int32), rows.astype(np.float32), hidden.T @ gap, gap.sum(axis=0)
+
+
+class Descent:
+    """Weights moved by summed gradients, with running moments of each weight (adaptive moment estimation)."""
+
+    def __init__(self, w: Weights, s: Settings):
+        self.w, self.s, self.step = w, s, 0
+        self.first, self.second = [[np.zeros_like(x) for x in (w.rows, w.out, w.bias)] for _ in range(2)]
+
+    def move(self, gradients: list[tuple[np.ndarray, ...]], sentences_: int) -> None:
+        self.step += 1
+        rows = np.zeros_like(self.w.rows)
+        for at, own, _, _ in gradients:
+            rows[at] += own
+        sums = [rows, sum(g[2] for g in gradients), sum(g[3] for g in gradients)]
+        pace = self.s.pace * (1 - 0.8 * self.step / (self.s.steps + 1))
+        moved = []
+        for x, g, m, v in zip((self.w.rows, self.w.out, self.w.bias), sums, self.first, self.second, strict=True):
+            g = g / np.float32(sentences_)
+            m += 0.1 * (g - m)
+            v += 0.02 * (g * g - v)
+            moved.append((x - pace * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.98**self.step)) + 1e-8)).astype(np.float32))
+        self.w = Weights(*moved, self.w.areas)
 
 
 class Scorer:
@@ -221,48 +224,57 @@ class Scorer:
 
 
 def fit_areas(docs: DataFrame, labels: DataFrame, areas: list[str], s: Settings = Settings(), key: str = "doc_id", text: str = "text", area: str = "area", held_out: int | None = None) -> Weights:
-    """Weights fitted on labelled documents, about `s.labelled` of them at most.
+    """Weights fitted on labelled documents, about `s.labelled` of them at most; any number of areas.
 
     `held_out` leaves documents out whose id hash, modulo 10, is that number, for measuring. Labels of unknown areas, and
     labels of documents that do not exist, are ignored; without any label no area is ever given.
     """
-    stash = Stash(docs.sparkSession)
-    bit = F.lit(0).cast("long")
-    for i, a in enumerate(areas):
-        bit = F.when(F.col(f"`{area}`") == a, F.lit(1 << i)).otherwise(bit)
-    masks = labels.select(F.col(f"`{key}`").alias("k"), bit.alias("bit")).where("bit > 0").distinct().groupBy("k").agg(F.sum("bit").alias("mask"))
+    spark = docs.sparkSession
+    stash = Stash(spark)
+    numbered = spark.createDataFrame(pa.table({"a": pa.array(areas, pa.string()), "number": pa.array(range(len(areas)), pa.int32())}))
+    marks = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{area}`").alias("a")).join(numbered, "a").groupBy("k").agg(F.sort_array(F.collect_set("number")).alias("marks"))
     if held_out is not None:
-        masks = masks.where(F.pmod(F.xxhash64(F.lit("held"), "k"), F.lit(10)) != held_out)
-    masks = stash.keep(masks, "masks")
-    bound = min(1.0, s.labelled / max(masks.count(), 1))
-    chosen = masks.where(F.pmod(F.xxhash64(F.lit("fit"), "k"), F.lit(1 << 30)) < F.lit(bound * (1 << 30)))
+        marks = marks.where(F.pmod(F.xxhash64(F.lit("held"), "k"), F.lit(10)) != held_out)
+    marks = stash.keep(marks, "marks")
+    bound = min(1.0, s.labelled / max(marks.count(), 1))
+    chosen = marks.where(F.pmod(F.xxhash64(F.lit("fit"), "k"), F.lit(1 << 30)) < F.lit(bound * (1 << 30)))
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(chosen, "k").where(F.col("t").isNotNull())
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(s.shards)).cast("int")
-    data = stash.keep(texts.select(shard.alias("shard"), "k", "t", "mask").repartition(s.shards, "shard"), "labelled")
-    spark = docs.sparkSession
-    w = Weights.fresh(s, areas)
-    fields = ("at", "rows", "seen_rows", "out", "bias", "seen_out", "n")
-    for round_no in range(s.rounds):
-        shared = spark.sparkContext.broadcast(w)
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared, round_no=round_no) -> Iterator[pa.RecordBatch]:
-            per: dict[int, list] = {}
+    piece = F.pmod(F.xxhash64(F.lit("shard"), "k"), F.lit(s.shards * s.slices)).cast("int")
+    fields = ("sizes", "words", "counts", "buckets", "marks", "areas")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for n, k, t, m in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                held.setdefault(n, []).append((k, sentences(t), m))
+        for n, rows in sorted(held.items()):
+            made = Slice.of([(p, m) for _, p, m in sorted(rows, key=lambda r: r[0])], s)
+            if len(made.sizes):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([x], pa.binary()) for x in made.pack()]], names=["piece", *fields])
+
+    parsed = texts.select(piece.alias("piece"), "k", "t", "marks").repartition(s.shards * s.slices, "piece").mapInArrow(parse, "piece int, " + ", ".join(f"{f} binary" for f in fields))
+    parsed = stash.keep(parsed, "parsed")
+    # a slice is a table of its own with a file for each shard: steps read it without an exchange
+    slices = [stash.keep(parsed.where(F.pmod("piece", F.lit(s.slices)) == k).repartition(s.shards, F.floor(F.col("piece") / s.slices)), "slice") for k in range(s.slices)]
+    stash.drop(parsed, marks)
+    descent = Descent(Weights.fresh(s, areas), s)
+    for step in range(s.steps):
+        shared, untangled = spark.sparkContext.broadcast(descent.w), step >= s.untangle
+
+        def gradients(batches: Iterator[pa.RecordBatch], shared=shared, untangled=untangled) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for n, k, t, m in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                    per.setdefault(n, []).append((k, sentences(t), m))
-            for n, rows in sorted(per.items()):
-                got = train_pass(shared.value, [(p, m) for _, p, m in sorted(rows, key=lambda r: r[0])], s, round_no, n)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([got[f].tobytes()], pa.binary()) for f in fields]], names=["shard", *fields])
-
-        grouped = data.repartition(s.shards, "shard").mapInArrow(step, "shard long, " + ", ".join(f"`{f}` binary" for f in fields))
-        changes = []
-        for r in sorted(grouped.collect(), key=lambda r: r["shard"]):  # one row of weight changes per shard
-            f32 = lambda f: np.frombuffer(r[f], np.float32)  # noqa: B023,E731
-            changes.append({"at": np.frombuffer(r["at"], np.int32), "rows": f32("rows").reshape(-1, s.width), "seen_rows": f32("seen_rows"), "out": f32("out").reshape(s.width, -1), "bias": f32("bias"), "seen_out": f32("seen_out"), "n": np.frombuffer(r["n"], np.float64)})
-        w = combine(w, changes)
-        shared.unpersist()
-    stash.drop(data)
-    return w
+                for n, *parts in zip(*[b.column(i).to_pylist() for i in range(1 + len(fields))], strict=True):
+                    own = Slice.unpack(parts)
+                    got = own.gradient(shared.value, s, untangled)
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(own.sizes)], pa.int64()), *[pa.array([x.astype(np.int32 if i == 0 else np.float32).tobytes()], pa.binary()) for i, x in enumerate(got)]], names=["piece", "n", "at", "rows", "out", "bias"])
+
+        told = sorted(slices[step % s.slices].mapInArrow(gradients, "piece int, n long, at binary, rows binary, out binary, bias binary").collect(), key=lambda r: r["piece"])  # one row for each shard
+        f32 = lambda raw: np.frombuffer(raw, np.float32)
+        if told:
+            descent.move([(np.frombuffer(r["at"], np.int32), f32(r["rows"]).reshape(-1, s.width), f32(r["out"]).reshape(s.width, -1), f32(r["bias"])) for r in told], sum(r["n"] for r in told))
+        shared.destroy()
+    stash.drop(*slices)
+    return descent.w
 
 
 def document_areas(docs: DataFrame, w: Weights, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm.bpe import VOCABULARY, count_tokens, encode_corpus, load_merges, replay
 from tallygrove.llm.mixing import mix_report, mix_sources
-from tallygrove.llm.subjects import Settings, document_areas, fit_areas, sentences
+from tallygrove.llm.subjects import Descent, Settings, Slice, Weights, _sigmoid, document_areas, fit_areas, sentences
 
 ODD = [
     None, "", " ", "   \n\t ", "Hello world", "aaaaaaaaaaaaaaaa", "it's IT'S we'll", "<|endoftext|> x", "naïve ThÃ© 漢字 😀🇪🇺 ​﻿", "a" * 5000, "ab " * 4000, "1,234.567e-8", "\x00\x1f", " x y",
@@ -123,7 +123,7 @@ def test_areas_on_unseen_documents(spark):
     rows, labels = area_corpus(600)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, area string").repartition(3)
     marks = spark.createDataFrame(labels[: len(labels) // 2] + [(10**9, "tea", "r"), (1, "none such", "r")], "doc_id long, area string, reviewer string")
-    s = Settings(buckets=1 << 12, rounds=10, shards=2)
+    s = Settings(buckets=1 << 12, slices=2, shards=2)
     w = fit_areas(docs, marks, sorted(WORDS), s)
     extra = spark.createDataFrame([(-1, None, ""), (-2, "", ""), (-3, "  ", ""), (-4, "12 34", "")], "doc_id long, text string, area string")
     got = {}
@@ -136,3 +136,36 @@ def test_areas_on_unseen_documents(spark):
     # without labels no area is ever given
     blank = fit_areas(docs, marks.limit(0), sorted(WORDS), s)
     assert document_areas(docs, blank, s).count() == 0 and document_areas(docs.limit(0), w, s).count() == 0
+
+
+def test_gradient_is_the_slope_of_the_loss_and_shards_add_up():
+    s = Settings(buckets=64, width=4)
+    names = [f"a{i}" for i in range(70)]  # more areas than bits of a number
+    docs = [([["tea", "leaf", "cup"], ["rail"]], [0, 69]), ([["wave", "tide", "tea", "harbour", "sail"]], [3]), ([["nothing"]], [])]
+    w = Weights.fresh(s, names)
+    w.out[:] = np.random.default_rng(0).normal(size=w.out.shape)
+
+    def loss(w):
+        total = 0.0
+        for parts, own in docs:
+            y = np.isin(np.arange(70), own)
+            for p in parts:
+                one = Slice.of([([p], own)], s)
+                vec = np.add.reduceat(w.rows[one.buckets].astype(float), np.cumsum(one.counts) - one.counts, axis=0) / one.counts[:, None]
+                q = _sigmoid(vec[one.words].sum(axis=0) / max(len(p), s.short) @ w.out + w.bias)
+                total -= np.log(np.where(y, q, 1 - q)).sum()
+        return total
+
+    at, rows, out, bias = Slice.unpack(Slice.of(docs, s).pack()).gradient(w, s, False)
+    for a, b, part in ((at[0], 1, "rows"), (2, 69, "out"), (3, None, "bias")):
+        slope, base = [], getattr(w, part).copy()
+        for d in (1e-2, -1e-2):
+            moved = base.copy()
+            moved[(a, b) if b is not None else a] += d
+            slope.append(loss(Weights(**{"rows": w.rows, "out": w.out, "bias": w.bias, part: moved}, areas=names)))
+        want = {"rows": rows[0, 1], "out": out[2, 69], "bias": bias[3]}[part]
+        assert (slope[0] - slope[1]) / 2e-2 == pytest.approx(want, rel=2e-2, abs=1e-3)
+    one, two = Descent(w, s), Descent(w, s)
+    one.move([Slice.of(docs, s).gradient(w, s, False)], 4)
+    two.move([Slice.of(docs[:1], s).gradient(w, s, False), Slice.of(docs[1:], s).gradient(w, s, False)], 4)
+    assert np.abs(one.w.rows - two.w.rows).max() < 2e-3 and np.abs(one.w.bias - two.w.bias).max() < 1e-3
