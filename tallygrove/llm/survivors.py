@@ -190,6 +190,9 @@ def best_records(
         *[F.coalesce(u, F.lit(False)).alias(f"u{i}") for i, u in enumerate(usable)],
         *[F.col(f"`{f}`").alias(n) for f, n in named.items()],
     ).where(F.col("g").isNotNull())
+    stash = Stash(records.sparkSession)
+    if dependencies:
+        narrow = stash.keep(narrow, "records")  # read once for the root, every rule, and the groups in conflict
     picks = [F.min(F.when(F.col(f"u{i}"), F.struct("order", *[named[f] for f in b.fields]))).alias(f"b{i}") for i, b in enumerate(bundles)]
     chosen = narrow.groupBy("g").agg(F.min("order.row").alias("first_row"), F.count("*").alias("rows"), *picks).where(F.col("rows") >= least_rows)
 
@@ -202,7 +205,6 @@ def best_records(
     if not dependencies:
         return shaped(chosen, lambda i, f: F.col(f"b{i}.{f}"))
 
-    stash = Stash(records.sparkSession)
     place = {f: (i, named[f]) for i, b in enumerate(bundles) for f in b.fields}
     checked = chosen
     rules = []
@@ -219,7 +221,8 @@ def best_records(
     at_root = shaped(checked.where(~F.col("broken")), lambda i, f: F.col(f"b{i}.{f}"))
 
     # of the groups in conflict: for each bundle, asked and held values, the best record
-    hard = narrow.join(checked.where("broken").select("g"), "g", "left_semi")
+    hard = stash.keep(narrow.join(checked.where("broken").select("g"), "g", "left_semi"), "conflicts")
+    stash.drop(narrow)
     options = None
     for i, b in enumerate(bundles):
         part = hard.where(F.col(f"u{i}")).groupBy("g", *[named[f] for f in b.fields]).agg(F.min("order").alias("o"))
