@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.text import digest
+from tallygrove.session import Stash
 
 
 def apply_corrections(rows: DataFrame, corrections: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -74,3 +75,78 @@ def place(rows: DataFrame, records: DataFrame, row: str, subject: str, day: str,
     found = rows.select(row, label, day).join(best, row, "left")
     reason = F.when(F.col(day).isNull(), "undated").when(F.col("b").isNull(), "none").when(F.col("b.lo") != F.col("b.hi"), "tie").when(F.col("b.lo").eqNullSafe(F.col(label)), "same").otherwise("moved")
     return found.select(row, F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias("placed"), F.col("b.__gap").alias("gap"), reason.alias("reason"))
+
+
+def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every id of a pair of two different non-null ids; root is the smallest id reachable from node.
+
+    Every node takes the least root among its own and its neighbours', then the root of that root, until nothing changes:
+    minima are partial aggregates, so a hub is no larger task than others, and the second step doubles what a round
+    reaches along chains of roots. Order, repeats and self pairs do not matter; an empty table gives no rows.
+    """
+    stash = Stash(pairs.sparkSession)
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    one = pairs.where(x != y).select(x.alias("u"), y.alias("v"))
+    edges = stash.keep(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    roots = stash.keep(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "roots")
+    for _ in range(max_rounds):
+        heard = edges.join(roots.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
+        near = roots.join(heard.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "m").alias("low"))
+        above = roots.select(F.col("node").alias("low"), F.col("root").alias("top"))
+        following = near.join(above, "low", "left").select("node", "root", F.least("low", F.coalesce("top", "low")).alias("fresh"))
+        following = stash.keep(following, "round")
+        settled = following.where("root <> fresh").isEmpty()
+        stash.drop(roots)
+        roots = following.select("node", F.col("fresh").alias("root"))
+        roots._stash_path = following._stash_path  # noqa: SLF001
+        if settled:
+            stash.drop(edges)
+            return roots
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def slot_events(tubes: DataFrame, proposals: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(tube, event): what becomes of each proposed move of a tube to another subject at a visit.
+
+    `tubes` is (tube, subject, visit): the slots as labelled. `proposals` is (tube, subject, target, visit). A move into a
+    free slot is `one_way`; into a slot whose only tube is itself proposed for this tube's label, `reciprocal`; into any
+    other slot, `duplicate_draw`. Of moves that want one slot, none goes (`collision`). A reciprocal move goes only if its
+    partner does, which is repeated until nothing changes (`broken_pair`).
+    """
+    stash = Stash(proposals.sparkSession)
+    slots = tubes.where("visit is not null").select(F.col("subject").alias("target"), "visit", F.col("tube").alias("slot")).distinct()
+    held = slots.groupBy("target", "visit").agg(F.count("*").alias("n"), F.min("slot").alias("slot"))
+    back = proposals.select(F.col("tube").alias("slot"), F.col("target").alias("slot_target"))
+    kind = F.when(F.col("n").isNull(), "one_way").when((F.col("n") == 1) & (F.col("slot_target") == F.col("subject")), "reciprocal").otherwise("duplicate_draw")
+    typed = proposals.join(held, ["target", "visit"], "left").join(back, "slot", "left").withColumn("kind", kind)
+    wanted = typed.where("kind <> 'duplicate_draw'").groupBy("target", "visit").agg(F.count("*").alias("wants"))
+    typed = typed.join(wanted, ["target", "visit"], "left").withColumn("event", F.when((F.col("kind") != "duplicate_draw") & (F.col("wants") > 1), "collision").otherwise(F.col("kind")))
+    now = stash.keep(typed.select("tube", "slot", "event"), "events")
+    for _ in range(max_rounds):
+        going = now.where("event in ('one_way', 'reciprocal')").select(F.col("tube").alias("slot"), F.lit(True).alias("partner_goes")).distinct()
+        lost = (F.col("event") == "reciprocal") & F.col("partner_goes").isNull()
+        following = stash.keep(now.join(going, "slot", "left").select("tube", "slot", F.when(lost, "broken_pair").otherwise(F.col("event")).alias("event"), lost.alias("lost")), "events")
+        stash.drop(now)
+        now = following.select("tube", "slot", "event")
+        now._stash_path = following._stash_path  # noqa: SLF001
+        if following.where("lost").isEmpty():
+            return now.select("tube", "event")
+    raise RuntimeError(f"pairs did not settle in {max_rounds} rounds")
+
+
+def unfit_verdict(self_z: Column, best_z: Column, second_z: Column, related: Column, self_max: float, best_min: float, margin: float) -> Column:
+    """What a failed tube's scores say of its label: no_comparator, consistent_with_label, names_other_subject or uninformative."""
+    names = (self_z < self_max) & (best_z >= best_min) & (best_z - F.coalesce(second_z, F.lit(float("-inf"))) >= margin) & ~F.coalesce(related, F.lit(False))
+    return F.when(self_z.isNull(), "no_comparator").when(self_z >= self_max, "consistent_with_label").when(names, "names_other_subject").otherwise("uninformative")
+
+
+def genotype_overlap(labels: DataFrame, genotypes: DataFrame, label: str, iid: str, least: float = 0.1) -> DataFrame:
+    """(labelled, genotyped, share), one row. Repeated genotype ids, or fewer than `least` of the labelled subjects with a
+    genotype, fail the plan."""
+    repeated = genotypes.where(F.col(iid).isNotNull()).groupBy(iid).agg(F.count("*").alias("n"))
+    once = repeated.select(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated genotype "), F.col(iid).cast("string"))).cast("string")).otherwise(F.col(iid)).alias("g"))
+    named = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("g")).distinct().join(once.withColumn("there", F.lit(1)), "g", "left")
+    got = named.agg(F.count("*").alias("labelled"), F.count("there").alias("genotyped"))
+    share = F.try_divide(F.col("genotyped"), F.col("labelled"))
+    low = F.coalesce(share, F.lit(0.0)) < least
+    return got.select("labelled", "genotyped", F.when(low, F.raise_error(F.concat(F.col("genotyped").cast("string"), F.lit(" of "), F.col("labelled").cast("string"), F.lit(" labelled subjects are genotyped"))).cast("double")).otherwise(share).alias("share"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.operators.stats import MAD_SCALE, exact_quantiles, finite, median_mad
+from tallygrove.operators.stats import MAD_SCALE, exact_quantiles, finite, hazen_quantile, median_mad
 
 
 def run_hierarchy(rows: DataFrame, sample: str, run: str, block: str, failed: Column) -> DataFrame:
@@ -77,7 +77,7 @@ def consolidate(flags: DataFrame, unit: str, flag: str, fail_at: int = 2) -> Dat
 def replace_flags(flags: DataFrame, fresh: DataFrame, unit: str, flag: str) -> DataFrame:
     """The flags with those of the fresh table's kinds replaced by it; distinct."""
     kinds = fresh.select(flag).distinct()
-    return flags.join(F.broadcast(kinds), flag, "left_anti").select(unit, flag).unionByName(fresh.select(unit, flag)).distinct()
+    return flags.join(kinds, flag, "left_anti").select(unit, flag).unionByName(fresh.select(unit, flag)).distinct()
 
 
 def flag_summary(units: DataFrame, flags: DataFrame, unit: str, flag: str, names: Sequence[str], fail: Sequence[str]) -> DataFrame:
@@ -99,14 +99,29 @@ def duplicate_assays(assays: DataFrame, assay: str, target: str, rate: str) -> D
     return several.join(best, target).withColumn("dropped", F.col(assay) != F.col("kept"))
 
 
-def median_iqr_outliers(rows: DataFrame, value: str, sample: str, k: float = 5.0) -> DataFrame:
-    """Samples whose median or interquartile range lies more than k population standard deviations from the mean over samples."""
-    x = finite(F.col(value))
-    per = rows.where(x.isNotNull()).groupBy(sample).agg(F.median(x).alias("med"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), F.count("*").alias("n"))
-    stats = per.agg(F.avg("med").alias("mm"), F.stddev_pop("med").alias("sm"), F.avg("iqr").alias("mi"), F.stddev_pop("iqr").alias("si"))
-    z = lambda v, m, s: F.when(F.col(s) > 0, (F.col(v) - F.col(m)) / F.col(s))
-    out = per.crossJoin(F.broadcast(stats)).withColumns({"z_med": z("med", "mm", "sm"), "z_iqr": z("iqr", "mi", "si")})
-    return out.select(sample, "n", "med", "iqr", "z_med", "z_iqr", F.coalesce((F.abs("z_med") > k) | (F.abs("z_iqr") > k), F.lit(False)).alias("outlier"))
+def median_iqr_outliers(rows: DataFrame, value: str, sample: str, k: float = 5.0, weight: str | None = None, fit: str | None = None) -> DataFrame:
+    """Samples whose weighted median or interquartile range lies more than k standard deviations from the mean.
+
+    Quantiles are Hazen's with the weight of each row's assay (1 without `weight`; rows without a positive weight are left
+    out). Mean and population sd come from the samples whose `fit` is true (all without it); every sample is judged.
+    """
+    own = rows.withColumn("__tg_w", F.col(weight) if weight else F.lit(1.0))
+    q = {name: hazen_quantile(own, value, "__tg_w", [sample], p, name) for name, p in (("med", 0.5), ("q1", 0.25), ("q3", 0.75))}
+    counted = own.where(finite(F.col(value)).isNotNull() & (F.col("__tg_w") > 0)).groupBy(sample).agg(F.count("*").alias("n"), F.bool_or(F.col(fit) if fit else F.lit(True)).alias("in_fit"))
+    per = counted.join(q["med"], sample).join(q["q1"], sample).join(q["q3"], sample).withColumn("iqr", F.col("q3") - F.col("q1"))
+    base = per.where("in_fit")
+    stats = base.agg(F.avg("med").alias("mm"), F.stddev_pop("med").alias("sm"), F.avg("iqr").alias("mi"), F.stddev_pop("iqr").alias("si"))
+    z = lambda v, m, s: F.when(F.col(s) > 0, (F.col(v) - F.col(m)) / F.col(s)).otherwise(0.0)
+    out = per.crossJoin(F.broadcast(stats)).withColumns({"z_med": z("med", "mm", "sm"), "z_iqr": z("iqr", "mi", "si")})  # one row
+    return out.select(sample, "n", "in_fit", "med", "iqr", "z_med", "z_iqr", ((F.abs("z_med") > k) | (F.abs("z_iqr") > k)).alias("outlier"))
+
+
+def rejudged_flags(flags: DataFrame, moved: DataFrame, unit: str, flag: str, rules: dict[str, Column]) -> DataFrame:
+    """Flags after units got new labels: of the moved units, the flags that `rules` names hold exactly where the rule does on
+    the new labels (null counts as not); all other flags stay."""
+    fresh = moved.select(unit, F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.coalesce(c, F.lit(False)).alias("on")) for n, c in rules.items()])).alias("x")).select(unit, F.col("x.f").alias(flag), "x.on")
+    kept = flags.join(fresh.select(unit, flag), [unit, flag], "left_anti").select(unit, flag)
+    return kept.unionByName(fresh.where("on").select(unit, flag)).distinct()
 
 
 def study_counts(rows: DataFrame, sample: str, assay: str, plate: str, kind: str, kinds: Sequence[str]) -> DataFrame:

@@ -134,11 +134,22 @@ def full_coalesced(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
 
 
 def grid(df: DataFrame, axes: Sequence[DataFrame], on: Sequence[str], fill: Mapping) -> DataFrame:
-    """Every combination of the axes' rows, with `fill` where the frame has none. Axes are fixed lists of labels."""
-    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)
+    """Every combination of the axes' rows, with `fill` where the frame has none. The result is that grid, so its size is the
+    product of the axes; how they are paired is left to the optimizer."""
+    every = reduce(lambda a, b: a.crossJoin(b), axes)
     return every.join(df, list(on), "left").fillna(dict(fill))
 
 
+def complete_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The frame with the lookup's values; a row whose key the lookup lacks, or has twice, fails the plan with that key."""
+    there = lookup.select(*on, *values, F.lit(True).alias("__tg_there"))
+    key = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in on])
+    kinds = {f.name: f.dataType for f in lookup.schema}
+    joined = checked_join(df, there, on, "left", "m:1")
+    wanted = lambda v: F.when(F.col("__tg_there"), F.col(v)).otherwise(F.raise_error(F.concat(F.lit("no value for "), key)).cast(kinds[v]))
+    return joined.select(*df.columns, *[wanted(v).alias(v) for v in values])
+
+
 def matched_else(df: DataFrame, preferred: DataFrame, on: Sequence[str], value: str, fallback: Column) -> DataFrame:
     """`value` from the preferred table where it has the key, else the fallback: one left join instead of anti join and union."""
     found = preferred.select(*on, F.col(value).alias("__tg_v"), F.lit(True).alias("__tg_m"))

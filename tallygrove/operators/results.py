@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.operators.linkage import connected_components
 
 def change_from_baseline(df: DataFrame, keys: Sequence[str], visit: str, value: str, baseline) -> DataFrame:
     """Each later row with its key's baseline value, change and percent change; one window, no self join."""
@@ -32,13 +33,28 @@ def fold_change(a: Column, se_a: Column, b: Column, se_b: Column) -> tuple[Colum
     return fc, fc * 0.6931471805599453 * F.sqrt(se_a**2 + se_b**2)
 
 
-def trajectory(early: Column, late: Column, early_sig: Column, late_sig: Column, shift_sig: Column) -> Column:
-    """Course over two visits from signs and significance: sustained, growing, fading, delayed, transient, reversed, none."""
-    e, l, s = (F.coalesce(x, F.lit(False)) for x in (early_sig, late_sig, shift_sig))
-    same = F.signum(early) == F.signum(late)
+def trajectory(early: Column, late: Column, shift: Column, fdr_early: Column, fdr_late: Column, fdr_shift: Column, alpha: float = 0.05) -> Column:
+    """Course of a response over two visits, one of eleven classes.
+
+    None of both changes significant: Null; only the early one: Transient; only the late one: LateOnset, each up or down by
+    its sign; both with opposite signs: Reversal; both with one sign: Progressive if the late-minus-early contrast is
+    significant in that direction, else Sustained."""
+    sig = lambda c: F.coalesce(c < alpha, F.lit(False))
+    e, l, s = sig(fdr_early), sig(fdr_late), sig(fdr_shift)
+    way = lambda x: F.when(x > 0, "up").otherwise("down")
+    named = lambda name, x: F.concat(F.lit(f"{name}_"), way(x))
+    opposite = F.signum(early) != F.signum(late)
+    further = s & (F.signum(shift) == F.signum(early))
     return (
-        F.when(e & l & ~same, "reversed").when(e & l & s & (F.abs(late) > F.abs(early)), "growing").when(e & l & s, "fading").when(e & l, "sustained").when(l, "delayed").when(e, "transient").otherwise("none")
-    )
+        F.when(~e & ~l, "Null").when(~l, named("Transient", early)).when(~e, named("LateOnset", late))
+        .when(opposite, F.concat(F.lit("Reversal_"), way(early), F.lit("_"), way(late)))
+        .when(further, named("Progressive", early)).otherwise(named("Sustained", early))
+    )
+
+
+def interaction_direction(women: Column, men: Column) -> Column:
+    """How an effect in women compares with that in men: opposite_sign, larger_in_F, smaller_in_F or equal."""
+    return F.when((F.signum(women) != F.signum(men)) & (women != 0) & (men != 0), "opposite_sign").when(F.abs(women) > F.abs(men), "larger_in_F").when(F.abs(women) < F.abs(men), "smaller_in_F").otherwise("equal")
 
 
 def mediation_class(total_fdr: Column, indirect_fdr: Column, direct_fdr: Column, indirect: Column, direct: Column, alpha: float = 0.05) -> Column:
@@ -114,16 +130,16 @@ def capped_nlp(df: DataFrame, p: str, factor: float = 1.05) -> DataFrame:
     return df.crossJoin(F.broadcast(top)).withColumn("nlp", F.when(F.col(p) == 0, F.col("__tg_top") * factor).otherwise(raw)).drop("__tg_top")
 
 
-def greedy_clusters(rows: Sequence[tuple[str, Sequence[str]]]) -> list[list[str]]:
-    """Labels merged in order into clusters whose gene lists overlap; a row that bridges clusters joins them."""
-    clusters: list[tuple[list[str], set[str]]] = []
-    for label, genes in rows:
-        own, names = set(genes), [label]
-        rest = []
-        for members, held in clusters:
-            if held & own:
-                names, own = members + names, own | held
-            else:
-                rest.append((members, held))
-        clusters = [*rest, (names, own)]
-    return [m for m, _ in clusters]
+def overlap_clusters(rows: DataFrame, group: str, label: str, gene: str) -> DataFrame:
+    """(group, label, cluster): labels of a group whose gene lists overlap, directly or through others, are one cluster, named
+    by its smallest label. `rows` is (group, label, gene). Labels without genes stand alone.
+
+    Merging lists one after the other gives these clusters in any order; here they are the components of labels and genes.
+    """
+    spell = lambda kind, c: F.concat_ws("\u0001", F.lit(kind), F.col(group).cast("string"), F.col(c).cast("string"))
+    links = rows.where(F.col(gene).isNotNull()).select(spell("g", gene).alias("a"), spell("l", label).alias("b"))
+    roots = connected_components(links, "a", "b").withColumnRenamed("node", "__tg_node")
+    named = rows.select(group, label).distinct().withColumn("__tg_node", spell("l", label)).join(roots, "__tg_node", "left")
+    root = F.coalesce("root", "__tg_node")
+    least = named.groupBy(root.alias("__tg_root")).agg(F.min(label).alias("cluster"))
+    return named.withColumn("__tg_root", root).join(least, "__tg_root").select(group, label, "cluster")

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrove.session import plan_bytes
+from tallygrove.session import Stash, plan_bytes
 
-#: Frames beyond this estimate have their exact quantiles taken by bracketing, not in one aggregation buffer per group.
-ONE_BUFFER_BYTES = 8 << 30
+#: Frames beyond this estimate have their exact quantiles taken by bracketing; up to it, a group's distinct values fit one
+#: aggregation buffer even if one group holds them all. Both ways give the same values.
+ONE_BUFFER_BYTES = 64 << 20
+#: Parts that a group's values are cut into, so that no task orders a whole group.
+PARTS = 64
 
 MAD_SCALE = 1.4826  #: fixed value: makes the median absolute deviation of a normal sample its standard deviation
 
@@ -20,58 +23,70 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, null keys meeting null keys; the keys of the left side stay."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))  # one row: the aggregate of the whole table
+    named = right.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(on)})
+    cond = F.lit(True)
+    for i, k in enumerate(on):
+        cond = cond & left[f"`{k}`"].eqNullSafe(F.col(f"__tg_k{i}"))
+    return left.join(named, cond, how).drop(*[f"__tg_k{i}" for i in range(len(on))])
+
+
 def _p_bin(p: Column) -> Column:
     """Monotone bin of a P value: 4,032 equal bins from 1/64 up, 32 for every halving below."""
     return F.when(p >= 1 / 64, F.floor(p * 4096) + 40_000).otherwise(F.floor((F.log2(F.greatest(p, F.lit(1e-320))) + 1100) * 32)).cast("int")
 
 
-def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr", split: bool | None = None) -> DataFrame:
+def running_sums(per: DataFrame, keys: Sequence[str], order: Sequence[str], measure: str, part: Column | None = None) -> DataFrame:
+    """`per` with `__tg_r`, the sum of `measure` up to and with the row in rising order within its group, `__tg_m`, the
+    group's sum, and `__tg_b`, its part. Rows must be distinct in keys and order.
+
+    Groups are cut into parts by their first order column (by default at approximate quantiles). A row's sum is that of
+    the parts before plus that inside its part, so the largest sort is a part of a group.
+    """
+    if part is None:
+        ends = per.groupBy(*keys).agg(F.percentile_approx(order[0], [i / PARTS for i in range(1, PARTS)], 1000).alias("__tg_e"))
+        cut = matched(per, ends, keys)
+        cut = cut.withColumn("__tg_b", F.size(F.filter("__tg_e", lambda e: e < F.col(order[0])))).drop("__tg_e")
+    else:
+        cut = per.withColumn("__tg_b", part)
+    family = Window.partitionBy(*keys)
+    sums = cut.groupBy(*keys, "__tg_b").agg(F.sum(measure).alias("__tg_n"))
+    before = F.coalesce(F.sum("__tg_n").over(family.orderBy("__tg_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.withColumns({"__tg_o": before, "__tg_m": F.sum("__tg_n").over(family)}).drop("__tg_n")
+    inside = Window.partitionBy(*keys, "__tg_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return matched(cut, offsets, [*keys, "__tg_b"]).withColumn("__tg_r", F.col("__tg_o") + F.sum(measure).over(inside)).drop("__tg_o")
+
+
+def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg step-up FDR within groups; null, NaN, infinite and negative p-values get null and do not count.
 
     Tied p-values share the smallest adjusted value among them, so ties need no further order, and what is ranked is one row
-    per distinct p-value. With `split` (the default for the whole table as one family; set it for families that hold much of
-    the table) p-values fall into bins: ranks are a bin's offset plus the rank inside it, and the running minimum is that
-    inside the bin and of the bins above, so no task sorts a whole family.
+    per distinct p-value. P-values fall into bins: ranks are a bin's offset plus the rank inside it, and the running minimum
+    is that inside the bin and of the bins above, so no task sorts a whole family.
     """
     value = finite(F.col(p))
     work = df.withColumn("__tg_p", F.when(value >= 0, value))
     keys = list(by)
-    split = not keys if split is None else split
     per = work.where(F.col("__tg_p").isNotNull()).groupBy(*keys, "__tg_p").agg(F.count("*").alias("__tg_c"))
-    rows = (Window.unboundedPreceding, Window.currentRow)
-    family = Window.partitionBy(*keys)
-
-    def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-        named = right.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(on)})
-        cond = F.lit(True)
-        for i, k in enumerate(on):
-            cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"__tg_k{i}"))
-        return left.join(named, cond, how).drop(*[f"__tg_k{i}" for i in range(len(on))])
-
-    if split:
-        binned = per.withColumn("__tg_b", _p_bin(F.col("__tg_p")))
-        sums = binned.groupBy(*keys, "__tg_b").agg(F.sum("__tg_c").alias("__tg_n"))
-        offsets = sums.withColumns({"__tg_o": F.coalesce(F.sum("__tg_n").over(family.orderBy("__tg_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__tg_m": F.sum("__tg_n").over(family)}).drop("__tg_n")
-        inside = Window.partitionBy(*keys, "__tg_b")
-        placed = matched(binned, offsets, [*keys, "__tg_b"], "inner")
-        raw = placed.withColumn("__tg_r", F.col("__tg_o") + F.sum("__tg_c").over(inside.orderBy("__tg_p").rowsBetween(*rows))).withColumn("__tg_q", F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r"))
-        least = raw.groupBy(*keys, "__tg_b").agg(F.min("__tg_q").alias("__tg_l"))
-        above = least.withColumn("__tg_a", F.min("__tg_l").over(family.orderBy(F.desc("__tg_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("__tg_l")
-        low = F.min("__tg_q").over(inside.orderBy(F.desc("__tg_p")).rowsBetween(*rows))
-        table = matched(raw.withColumn("__tg_w", low), above, [*keys, "__tg_b"], "inner").select(*keys, "__tg_p", F.least(F.lit(1.0), "__tg_w", "__tg_a").alias(out))
-    else:
-        ranked = per.withColumns({"__tg_r": F.sum("__tg_c").over(family.orderBy("__tg_p").rowsBetween(*rows)), "__tg_m": F.sum("__tg_c").over(family)})
-        low = F.min(F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r")).over(family.orderBy(F.desc("__tg_p")).rowsBetween(*rows))
-        table = ranked.select(*keys, "__tg_p", F.least(F.lit(1.0), low).alias(out))
+    raw = running_sums(per, keys, ["__tg_p"], "__tg_c", _p_bin(F.col("__tg_p"))).withColumn("__tg_q", F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r"))
+    least = raw.groupBy(*keys, "__tg_b").agg(F.min("__tg_q").alias("__tg_l"))
+    above = least.withColumn("__tg_a", F.min("__tg_l").over(Window.partitionBy(*keys).orderBy(F.desc("__tg_b")).rowsBetween(Window.unboundedPreceding, -1))).drop("__tg_l")
+    low = F.min("__tg_q").over(Window.partitionBy(*keys, "__tg_b").orderBy(F.desc("__tg_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    table = matched(raw.withColumn("__tg_w", low), above, [*keys, "__tg_b"]).select(*keys, "__tg_p", F.least(F.lit(1.0), "__tg_w", "__tg_a").alias(out))
     return matched(work, table, [*keys, "__tg_p"], "left").drop("__tg_p")
 
 
 def simes(df: DataFrame, p: str, by: Sequence[str], out: str = "p_simes") -> DataFrame:
-    """Simes combination per group: the least of p(i) * n / i over the sorted finite p-values."""
-    ok = finite(F.col(p))
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__tg_p", ok).where("__tg_p is not null").withColumns({"__tg_i": F.row_number().over(w.orderBy("__tg_p")), "__tg_n": F.count("*").over(w)})
-    return ranked.groupBy(*by).agg(F.min(F.col("__tg_p") * F.col("__tg_n") / F.col("__tg_i")).alias(out), F.max("__tg_n").alias("n_p"))
+    """Simes combination per group: the least of p(i) * n / i over the sorted finite p-values.
+
+    Among tied p-values the last has the least value, so one row per distinct p-value is ranked, in bins.
+    """
+    per = df.select(*by, finite(F.col(p)).alias("__tg_p")).where("__tg_p is not null").groupBy(*by, "__tg_p").agg(F.count("*").alias("__tg_c"))
+    ranked = running_sums(per, by, ["__tg_p"], "__tg_c", _p_bin(F.col("__tg_p")))
+    return ranked.groupBy(*by).agg(F.min(F.col("__tg_p") * F.col("__tg_m") / F.col("__tg_r")).alias(out), F.max("__tg_m").alias("n_p"))
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], spread: bool | None = None, nearest: bool = False) -> DataFrame:
@@ -83,40 +98,32 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: dict[st
     count what lies below the bracket and sort only the values inside, about a thousandth of the group.
     """
     own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null")
+    keys = list(by)
     if not (plan_bytes(own) > ONE_BUFFER_BYTES if spread is None else spread):
-        if nearest:
-            w = Window.partitionBy(*by)
-            ranked = own.withColumns({"__tg_i": F.row_number().over(w.orderBy("__tg_x")) - 1, "__tg_n": F.count("*").over(w)})
-            return ranked.groupBy(*by).agg(F.max("__tg_n").alias("n"), *[F.max(F.when(F.col("__tg_i") == F.bround(F.lit(q) * (F.col("__tg_n") - 1)), F.col("__tg_x"))).alias(name) for name, q in probs.items()])
-        return own.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("__tg_x", p).alias(name) for name, p in probs.items()])
-    keys, accuracy, names = list(by), 20_000, list(probs)
+        if not nearest:
+            return own.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile("__tg_x", p).alias(name) for name, p in probs.items()])
+        ranked = running_sums(own.groupBy(*keys, "__tg_x").agg(F.count("*").alias("__tg_c")), keys, ["__tg_x"], "__tg_c")
+        reached = lambda q: F.col("__tg_r") > F.bround(F.lit(q) * (F.col("__tg_m") - 1))
+        return ranked.groupBy(*keys).agg(F.max("__tg_m").alias("n"), *[F.min(F.when(reached(q), F.col("__tg_x"))).alias(name) for name, q in probs.items()])
+    accuracy, names = 20_000, list(probs)
     ends = [min(max(p + d * 4 / accuracy, 0.0), 1.0) for p in probs.values() for d in (-1, 1)]
     cut = own.groupBy(*keys).agg(F.count("*").alias("__tg_n"), F.percentile_approx("__tg_x", ends, accuracy).alias("__tg_e"))
-    cond = F.lit(True)
-    named = cut.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
-    for i, k in enumerate(keys):
-        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"__tg_k{i}"))
-    met = own.join(named, cond) if keys else own.crossJoin(F.broadcast(named))
+    met = matched(own, cut, keys)
     out = cut.select(*keys, F.col("__tg_n").alias("n"))
     for j, name in enumerate(names):
         low, high = F.col("__tg_e")[2 * j], F.col("__tg_e")[2 * j + 1]
         # equal values are one row with a count, so ties of any number stay small
         near = met.where(F.col("__tg_x").between(low, high)).groupBy(*keys, "__tg_x").agg(F.count("*").alias("__tg_c"), F.first("__tg_n").alias("__tg_n"))
         # the values next to the bracket serve where the interpolation reaches one rank beyond it
-        below = met.groupBy(*keys).agg(F.count_if(F.col("__tg_x") < low).alias("__tg_b"), F.max(F.when(F.col("__tg_x") < low, F.col("__tg_x"))).alias("__tg_prv"), F.min(F.when(F.col("__tg_x") > high, F.col("__tg_x"))).alias("__tg_nxt"))
-        rank = F.sum("__tg_c").over(Window.partitionBy(*keys).orderBy("__tg_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        safe = below.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
-        placed = near.withColumn("__tg_up", rank)
-        placed = placed.join(safe, cond) if keys else placed.crossJoin(F.broadcast(safe))
+        below = met.groupBy(*keys).agg(F.count_if(F.col("__tg_x") < low).alias("__tg_u"), F.max(F.when(F.col("__tg_x") < low, F.col("__tg_x"))).alias("__tg_prv"), F.min(F.when(F.col("__tg_x") > high, F.col("__tg_x"))).alias("__tg_nxt"))
+        placed = matched(running_sums(near, keys, ["__tg_x"], "__tg_c"), below, keys)
         at = F.lit(probs[name]) * (F.col("__tg_n") - 1)
         at = F.bround(at) if nearest else at
-        # zero-based ranks that a value covers: up to __tg_b + __tg_up - 1
-        top = F.col("__tg_b") + F.col("__tg_up") - 1
-        one, two = (F.when(F.max(r) < F.max("__tg_b"), F.max("__tg_prv")).otherwise(F.coalesce(F.min(F.when(top >= r, F.col("__tg_x"))), F.max("__tg_nxt"))) for r in (F.floor(at), F.ceil(at)))
+        # zero-based ranks that a value covers: up to __tg_u + __tg_r - 1
+        top = F.col("__tg_u") + F.col("__tg_r") - 1
+        one, two = (F.when(F.max(r) < F.max("__tg_u"), F.max("__tg_prv")).otherwise(F.coalesce(F.min(F.when(top >= r, F.col("__tg_x"))), F.max("__tg_nxt"))) for r in (F.floor(at), F.ceil(at)))
         part = F.max(at - F.floor(at))
-        got = placed.groupBy(*keys).agg((one + (two - one) * part).alias(name))
-        safe = got.withColumnsRenamed({k: f"__tg_k{i}" for i, k in enumerate(keys)})
-        out = (out.join(safe, cond).drop(*[f"__tg_k{i}" for i in range(len(keys))])) if keys else out.crossJoin(F.broadcast(safe))
+        out = matched(out, placed.groupBy(*keys).agg((one + (two - one) * part).alias(name)), keys)
     return out
 
 
@@ -125,23 +132,28 @@ def median_mad(df: DataFrame, value: str, by: Sequence[str], where: Column | Non
     x = finite(F.col(value))
     own = df.select(*[F.col(b) for b in by], F.when(where, x).otherwise(None).alias("__tg_v") if where is not None else x.alias("__tg_v")).where("__tg_v is not null")
     mid = exact_quantiles(own, "__tg_v", by, {"med": 0.5}, spread)
-    joined = own.join(mid, list(by)) if by else own.crossJoin(F.broadcast(mid))
+    joined = matched(own, mid, by)
     far = joined.withColumn("__tg_v", F.abs(F.col("__tg_v") - F.col("med")))
     mad = exact_quantiles(far, "__tg_v", by, {"mad": 0.5}, spread).drop("n")
-    return (mid.join(mad, list(by)) if by else mid.crossJoin(F.broadcast(mad))).select(*by, "med", "n", "mad")
+    return matched(mid, mad, by).select(*by, "med", "n", "mad")
 
 
 def robust_z(df: DataFrame, value: str, by: Sequence[str], null_mask: Column | None = None, out: str = "z") -> DataFrame:
     """(x - median) / (1.4826 MAD) with both from the rows of the null mask; null where the MAD is 0 or no row is in the mask."""
     base = median_mad(df, value, by, null_mask).drop("n")
-    joined = df.join(base, list(by), "left") if by else df.crossJoin(F.broadcast(base))
+    joined = matched(df, base, by, "left")
     return joined.withColumn(out, F.when(F.col("mad") > 0, (finite(F.col(value)) - F.col("med")) / (F.lit(MAD_SCALE) * F.col("mad")))).drop("med", "mad")
 
 
-def average_rank(value: Column | str, by: Sequence[str]) -> Column:
-    """Average rank of ties within a group (1-based); null values have null ranks and must be filtered before."""
-    col = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / F.lit(2.0)
+def average_ranks(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
+    """The frame with average ranks of ties within groups (1-based); rows without a number have none and do not count.
+
+    Distinct values are ranked in parts of a group and joined back, so no task orders a whole group.
+    """
+    work = df.withColumn("__tg_v", finite(F.col(value).cast("double")))
+    per = work.where("__tg_v is not null").groupBy(*by, "__tg_v").agg(F.count("*").alias("__tg_c"))
+    ranks = running_sums(per, by, ["__tg_v"], "__tg_c").select(*by, "__tg_v", (F.col("__tg_r") - (F.col("__tg_c") - 1) / F.lit(2.0)).alias(out))
+    return matched(work, ranks, [*by, "__tg_v"], "left").drop("__tg_v")
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
@@ -152,7 +164,7 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
 def correlations(df: DataFrame, x: str, y: str, by: Sequence[str], least: int = 3) -> DataFrame:
     """Pearson and Spearman on finite pairs per group, null below `least` pairs or without spread."""
     ok = df.select(*by, finite(F.col(x)).alias("__tg_x"), finite(F.col(y)).alias("__tg_y")).where("__tg_x is not null and __tg_y is not null")
-    ranked = ok.withColumns({"__tg_rx": average_rank("__tg_x", by), "__tg_ry": average_rank("__tg_y", by)})
+    ranked = average_ranks(average_ranks(ok, "__tg_x", by, "__tg_rx"), "__tg_y", by, "__tg_ry")
     spread = (F.min("__tg_x") < F.max("__tg_x")) & (F.min("__tg_y") < F.max("__tg_y")) & (F.count("*") >= least)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, safe_corr("__tg_x", "__tg_y")).alias("pearson"), F.when(spread, safe_corr("__tg_rx", "__tg_ry")).alias("spearman"))
 
@@ -160,12 +172,16 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str], least: int =
 def hazen_quantile(df: DataFrame, value: str, weight: str, by: Sequence[str], q: float, out: str) -> DataFrame:
     """Weighted Hazen quantile per group: values at cumulative weight minus half their own, over the total, interpolated
     linearly between the two neighbours of q and constant beyond the first and last. Weights must be positive."""
-    w = Window.partitionBy(*by).orderBy("__tg_x", "__tg_w")
     own = df.select(*by, finite(F.col(value)).alias("__tg_x"), finite(F.col(weight)).alias("__tg_w")).where("__tg_x is not null and __tg_w > 0")
-    total = F.sum("__tg_w").over(Window.partitionBy(*by))
-    placed = own.withColumn("__tg_p", (F.sum("__tg_w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__tg_w") / 2) / total)
-    low = F.max(F.when(F.col("__tg_p") <= q, F.struct("__tg_p", "__tg_x")))
-    high = F.min(F.when(F.col("__tg_p") >= q, F.struct("__tg_p", "__tg_x")))
+    # equal rows are one with a count: the j-th of them stands at (sum before + (j - 1/2) weight) / total
+    per = own.groupBy(*by, "__tg_x", "__tg_w").agg(F.count("*").alias("__tg_c")).withColumn("__tg_s", F.col("__tg_c") * F.col("__tg_w"))
+    summed = running_sums(per, by, ["__tg_x", "__tg_w"], "__tg_s").withColumn("__tg_f", F.col("__tg_r") - F.col("__tg_s"))
+    turn = (F.lit(q) * F.col("__tg_m") - F.col("__tg_f")) / F.col("__tg_w") + 0.5
+    at = lambda j: (F.col("__tg_f") + (j - 0.5) * F.col("__tg_w")) / F.col("__tg_m")
+    last, next_ = F.least(F.floor(turn), F.col("__tg_c")), F.greatest(F.ceil(turn), F.lit(1))
+    low = F.max(F.when(last >= 1, F.struct(at(last).alias("__tg_p"), "__tg_x")))
+    high = F.min(F.when(next_ <= F.col("__tg_c"), F.struct(at(next_).alias("__tg_p"), "__tg_x")))
+    placed = summed
     ends = placed.groupBy(*by).agg(low.alias("__tg_l"), high.alias("__tg_h"))
     lp, lx, hp, hx = (F.col(c) for c in ("__tg_l.__tg_p", "__tg_l.__tg_x", "__tg_h.__tg_p", "__tg_h.__tg_x"))
     value_at = F.when(F.col("__tg_l").isNull(), hx).when(F.col("__tg_h").isNull(), lx).when(hp == lp, lx).otherwise(lx + (hx - lx) * (F.lit(q) - lp) / (hp - lp))
@@ -217,21 +233,23 @@ def intraclass(df: DataFrame, value: str, unit: Sequence[str], subject: str) ->
 
 def standardise(df: DataFrame, value: str, by: Sequence[str], sample: bool = True, out: str = "z") -> DataFrame:
     """(x - mean) / sd within groups; null where the sd is 0 or undefined."""
-    w = Window.partitionBy(*by)
     x = finite(F.col(value))
-    sd = (F.stddev_samp if sample else F.stddev_pop)(x).over(w)
-    return df.withColumn(out, F.when(sd > 0, (x - F.avg(x).over(w)) / sd))
+    own = df.select(*by, x.alias("__tg_x")).groupBy(*by).agg(F.avg("__tg_x").alias("__tg_a"), (F.stddev_samp if sample else F.stddev_pop)("__tg_x").alias("__tg_d"))
+    return matched(df, own, by, "left").withColumn(out, F.when(F.col("__tg_d") > 0, (x - F.col("__tg_a")) / F.col("__tg_d"))).drop("__tg_a", "__tg_d")
 
 
 def median_polish(df: DataFrame, value: str, unit: str, effects: Sequence[str], rounds: int = 3, clip: float = 6.0, out: str = "resid") -> DataFrame:
     """Residuals after sweeping out group medians of each effect per unit, `rounds` times; then scaled by 1.4826 MAD per
     unit, clipped, and 0 where there is no value or no spread."""
     work = df.withColumn(out, finite(F.col(value)))
+    spread = plan_bytes(work) > ONE_BUFFER_BYTES
+    stash = Stash(df.sparkSession) if spread else None
     for _ in range(rounds):
         for e in effects:
-            mids = work.groupBy(unit, e).agg(F.median(out).alias("__tg_m"))
-            work = work.join(mids, [unit, e], "left").withColumn(out, F.col(out) - F.coalesce("__tg_m", F.lit(0.0))).drop("__tg_m")
-    base = median_mad(work, out, [unit]).select(unit, F.col("mad").alias("__tg_mad"))
+            mids = exact_quantiles(work, out, [unit, e], {"__tg_mid": 0.5}, spread).drop("n")
+            work = matched(work, mids, [unit, e], "left").withColumn(out, F.col(out) - F.coalesce("__tg_mid", F.lit(0.0))).drop("__tg_mid")
+        work = stash.keep(work, "polished") if stash else work  # large frames are read many times in a round
+    base = median_mad(work, out, [unit], spread=spread).select(unit, F.col("mad").alias("__tg_mad"))
     scaled = F.when(F.col("__tg_mad") > 0, F.col(out) / (MAD_SCALE * F.col("__tg_mad")))
     return work.join(base, unit, "left").withColumn(out, F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), scaled)), F.lit(0.0))).drop("__tg_mad")
 
@@ -257,10 +275,10 @@ def axis_cap(df: DataFrame, value: str, by: Sequence[str], ratio: float = 3.0) -
 
 def upper_threshold(df: DataFrame, value: str, by: Sequence[str], rate: float) -> DataFrame:
     """The smallest cut such that at most `rate` of a group's values lie above it: the (k+1)-th largest, k = floor(rate * n)."""
-    own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null")
-    w = Window.partitionBy(*by)
-    ranked = own.withColumns({"__tg_r": F.row_number().over(w.orderBy(F.desc("__tg_x"))), "__tg_n": F.count("*").over(w)})
-    return ranked.where(F.col("__tg_r") == F.floor(F.lit(rate) * F.col("__tg_n")) + 1).select(*by, F.col("__tg_x").alias("cut"), F.col("__tg_n").alias("n"))
+    own = df.select(*by, finite(F.col(value)).alias("__tg_x")).where("__tg_x is not null").groupBy(*by, "__tg_x").agg(F.count("*").alias("__tg_c"))
+    ranked = running_sums(own, by, ["__tg_x"], "__tg_c")
+    above, k = F.col("__tg_m") - F.col("__tg_r"), F.floor(F.lit(rate) * F.col("__tg_m"))
+    return ranked.where((above <= k) & (k < above + F.col("__tg_c"))).select(*by, F.col("__tg_x").alias("cut"), F.col("__tg_m").alias("n"))
 
 
 def stable_fold(key: Column, folds: int, salt: str = "") -> Column:

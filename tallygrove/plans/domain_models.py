@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from tallygrove.operators import models as M
 from tallygrove.operators import stats as S
+from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
 from tallygrove.plans.statistics import olink, soma
-from tallygrove.sources.tables import nan_to_null, table
+from tallygrove.sources.tables import nan_to_null
 
 REG = Registry()
 query = REG.add
 
 
 def subjects(spark, d):
-    return nan_to_null(table(spark, d, "adsl")).where("deleted_at is null").groupBy("usubjid").agg(F.min_by("sex", "row_id").alias("sex"), F.min_by("age", "row_id").cast("double").alias("age"), F.min_by("weightbl", "row_id").alias("weight"), F.min_by("trt01a", "row_id").alias("trt01a"))
+    return nan_to_null(K.table(spark, d, "adsl")).where("deleted_at is null").groupBy("usubjid").agg(F.min_by("sex", "row_id").alias("sex"), F.min_by("age", "row_id").cast("double").alias("age"), F.min_by("weightbl", "row_id").alias("weight"), F.min_by("trt01a", "row_id").alias("trt01a"))
 
 
 def repeated(spark, d):
     """Model rows: one value per participant and visit with the baseline value, arm, sex and age, per platform."""
-    m = table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)")
+    m = K.table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)")
     per = m.groupBy("platform", F.col("group_key").alias("usubjid"), "visitnum").agg(F.avg("y_value").alias("y"))
     base = per.where("visitnum = 2").select("platform", "usubjid", F.col("y").alias("baseline"))
     s = subjects(spark, d).where("sex is not null and age is not null and trt01a is not null")
@@ -71,7 +72,7 @@ def st14(spark, d):
 @query("st15_baseline_ls_means")
 def st15(spark, d):
     """Arm means at baseline, covariates at their means."""
-    m = table(spark, d, "model_frame").where("group_key is not null and visitnum = 2 and y_value is not null and not isnan(y_value)")
+    m = K.table(spark, d, "model_frame").where("group_key is not null and visitnum = 2 and y_value is not null and not isnan(y_value)")
     rows = m.groupBy("platform", F.col("group_key").alias("usubjid")).agg(F.avg("y_value").alias("y")).join(subjects(spark, d).where("sex is not null and age is not null and trt01a is not null"), "usubjid")
 
     def fit(pdf):
@@ -108,7 +109,7 @@ def st16(spark, d):
 @query("st18_variance_shares")
 def st18(spark, d):
     """Shares of fixed effects, participants and error in each platform's values."""
-    m = table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)").select("platform", F.col("group_key").alias("usubjid"), "visitnum", "y_value", "row_id")
+    m = K.table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)").select("platform", F.col("group_key").alias("usubjid"), "visitnum", "y_value", "row_id")
 
     def fit(pdf):
         x = np.column_stack([np.ones(len(pdf)), M.dummies(pdf.visitnum.tolist())[0]])
@@ -124,7 +125,7 @@ def wide(pdf):
 @query("st19_principal_scores")
 def st19(spark, d):
     """First two components of the samples of each plate's platform panel, samples by assays per panel."""
-    o = table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null and npx is not null and not isnan(npx) and abs(npx) < 40")
+    o = K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null and npx is not null and not isnan(npx) and abs(npx) < 40")
     v = o.groupBy("panel", F.col("olinkid").alias("assay"), F.col("sampleid").alias("sample")).agg(F.avg("npx").alias("v"))
 
     def fit(pdf):
@@ -143,7 +144,7 @@ def st20(spark, d):
 
 @query("st22_knn_imputed")
 def st22(spark, d):
-    o = table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null")
+    o = K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null")
     v = nan_to_null(o.select("panel", "olinkid", "sampleid", "npx")).groupBy("panel", F.col("olinkid").alias("assay"), F.col("sampleid").alias("sample")).agg(F.avg("npx").alias("v"))
 
     def fit(pdf):
@@ -158,7 +159,7 @@ def st22(spark, d):
 @query("st30_sex_out_of_fold")
 def st30(spark, d):
     """Out-of-fold probability of male sex from one platform's values of a sample, folds by participant."""
-    m = table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
     v = assay_samples(olink(spark, d)).join(m, "sample").join(subjects(spark, d).where("sex in ('F', 'M')"), "usubjid").withColumn("fold", S.stable_fold(F.col("usubjid"), 5, "sex")).withColumn("platform", F.lit("olink"))
 
     def fit(pdf):
@@ -179,7 +180,7 @@ def d22(spark, d):
 @query("st31_age_out_of_fold")
 def st31(spark, d):
     """Out-of-fold ridge prediction of age and its robust residual."""
-    m = table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
     v = assay_samples(soma(spark, d)).join(m, "sample").join(subjects(spark, d).where("age is not null"), "usubjid").withColumn("fold", S.stable_fold(F.col("usubjid"), 5, "age")).withColumn("platform", F.lit("soma"))
 
     def fit(pdf):

@@ -9,6 +9,7 @@ from tallygrove.functions import text as X
 from tallygrove.operators import qc as Q
 from tallygrove.operators import relational as R
 from tallygrove.operators import stats as S
+from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
 from tallygrove.plans.statistics import OLINK_SQL, SOMA_SQL, olink, r6
 from tallygrove.sources.tables import nan_to_null, table
@@ -17,17 +18,17 @@ REG = Registry()
 query = REG.add
 
 
-@query("d1_cohort_samples", "select sampleid, min(row_id) row_id, any_value(case visitnum when 2 then 0 when 8 then 24 when 20 then 72 end) as \"week\" from (select *, min(visitnum) over (partition by sampleid) lo, max(visitnum) over (partition by sampleid) hi from manifest where visitnum in (2, 8, 20) and sampletype = 'SAMPLE' and manifest_exclude is null and sampleid is not null) where lo = hi group by 1")
+@query("d1_cohort_samples", K.sql("select sampleid, min(row_id) row_id, any_value(case visitnum when 2 then 0 when 8 then 24 when 20 then 72 end) as \"week\" from (select *, min(visitnum) over (partition by sampleid) lo, max(visitnum) over (partition by sampleid) hi from manifest where visitnum in (2, 8, 20) and sampletype = 'SAMPLE' and manifest_exclude is null and sampleid is not null) where lo = hi group by 1"))
 def d1(spark, d):
-    m = table(spark, d, "manifest").where("visitnum in (2, 8, 20) and sampletype = 'SAMPLE' and manifest_exclude is null and sampleid is not null")
+    m = K.table(spark, d, "manifest").where("visitnum in (2, 8, 20) and sampletype = 'SAMPLE' and manifest_exclude is null and sampleid is not null")
     per = m.groupBy("sampleid").agg(F.min("row_id").alias("row_id"), F.min("visitnum").alias("lo"), F.max("visitnum").alias("hi")).where("lo = hi")
     return per.select("sampleid", "row_id", R.mapped(F.col("lo").cast("int"), {2: 0, 8: 24, 20: 72}).alias("week"))
 
 
-@query("d2_study_partition", "select s.row_id from soma_long s where s.sampletype = 'SAMPLE' and exists (select 1 from manifest m where m.sampleid = s.sampleid and m.sampletype = 'SAMPLE') and exists (select 1 from (select seqid from soma_long where sampletype = 'NEGATIVE_CONTROL' group by 1 having count(*) > 3) a where a.seqid = s.seqid)")
+@query("d2_study_partition", K.sql("select s.row_id from soma_long s where s.sampletype = 'SAMPLE' and exists (select 1 from manifest m where m.sampleid = s.sampleid and m.sampletype = 'SAMPLE') and exists (select 1 from (select seqid from soma_long where sampletype = 'NEGATIVE_CONTROL' group by 1 having count(*) > 3) a where a.seqid = s.seqid)"))
 def d2(spark, d):
-    s = table(spark, d, "soma_long")
-    samples = table(spark, d, "manifest").where("sampletype = 'SAMPLE'").select("sampleid")
+    s = K.table(spark, d, "soma_long")
+    samples = K.table(spark, d, "manifest").where("sampletype = 'SAMPLE'").select("sampleid")
     assays = s.where("sampletype = 'NEGATIVE_CONTROL'").groupBy("seqid").count().where("count > 3").select("seqid")
     return s.where("sampletype = 'SAMPLE'").join(samples, "sampleid", "left_semi").join(assays, "seqid", "left_semi").select("row_id")
 
@@ -39,20 +40,20 @@ def d3(spark, d):
     return table(spark, d, "olink_long").select("row_id", kind.alias("kind"), F.col("sampletype").eqNullSafe(kind).alias("agrees"))
 
 
-@query("d5_visit_age", "with a as (select usubjid, min(age) age from adsl group by 1), m as (select row_id, usubjid, adt, coalesce(min(case when visitnum = 2 then adt end) over (partition by usubjid), min(adt) over (partition by usubjid)) anchor from manifest where adt is not null and usubjid is not null) select row_id, round(age + date_diff('day', cast(anchor as date), cast(adt as date)) / 365.0, 6) visit_age from m join a using (usubjid) where age is not null")
+@query("d5_visit_age", K.sql("with a as (select usubjid, min(age) age from adsl group by 1), m as (select row_id, usubjid, adt, coalesce(min(case when visitnum = 2 then adt end) over (partition by usubjid), min(adt) over (partition by usubjid)) anchor from manifest where adt is not null and usubjid is not null) select row_id, round(age + date_diff('day', cast(anchor as date), cast(adt as date)) / 365.0, 6) visit_age from m join a using (usubjid) where age is not null"))
 def d5(spark, d):
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("age").alias("age")).where("age is not null")
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("age").alias("age")).where("age is not null")
     w = W.partitionBy("usubjid")
-    m = table(spark, d, "manifest").where("adt is not null and usubjid is not null")
+    m = K.table(spark, d, "manifest").where("adt is not null and usubjid is not null")
     m = m.withColumn("anchor", F.coalesce(F.min(F.when(F.col("visitnum") == 2, F.col("adt"))).over(w), F.min("adt").over(w)))
     return m.join(a, "usubjid").select("row_id", F.round(F.col("age") + F.datediff("adt", "anchor") / 365.0, 6).alias("visit_age"))
 
 
-@query("d6_reassignment", "with mv as (select sampleid, max(usubjid) new_subject from manifest where record_source = 'lims' and usubjid is not null group by 1) select m.row_id, coalesce(mv.new_subject, m.usubjid) usubjid, coalesce(mv.new_subject <> m.usubjid, false) moved, a.sex from manifest m left join mv using (sampleid) left join (select usubjid, min(sex) sex from adsl group by 1) a on a.usubjid = coalesce(mv.new_subject, m.usubjid)")
+@query("d6_reassignment", K.sql("with mv as (select sampleid, max(usubjid) new_subject from manifest where record_source = 'lims' and usubjid is not null group by 1) select m.row_id, coalesce(mv.new_subject, m.usubjid) usubjid, coalesce(mv.new_subject <> m.usubjid, false) moved, a.sex from manifest m left join mv using (sampleid) left join (select usubjid, min(sex) sex from adsl group by 1) a on a.usubjid = coalesce(mv.new_subject, m.usubjid)"))
 def d6(spark, d):
-    m = table(spark, d, "manifest").select("row_id", "sampleid", "usubjid", "record_source")
+    m = K.table(spark, d, "manifest").select("row_id", "sampleid", "usubjid", "record_source")
     mv = m.where("record_source = 'lims' and usubjid is not null").groupBy("sampleid").agg(F.max("usubjid").alias("new_subject"))
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("sex").alias("sex"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("sex").alias("sex"))
     moved = m.join(mv, "sampleid", "left").select("row_id", F.coalesce("new_subject", "usubjid").alias("usubjid"), F.coalesce(F.col("new_subject") != F.col("usubjid"), F.lit(False)).alias("moved"))
     return R.checked_join(moved, a, ["usubjid"], "left", "m:1").select("row_id", "usubjid", "moved", "sex")
 
@@ -61,7 +62,7 @@ _H = "h as (select sampleid, plateid, wellid, bool_or(rowcheck = 'FLAG') block_f
 
 
 def _soma_samples(spark, d):
-    return table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null")
+    return K.table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null")
 
 
 @query("d8_run_hierarchy", f"with {_H} select sampleid, plateid, wellid, block_fail, run_fail, sample_fail from h join r using (sampleid, plateid) join s using (sampleid)")
@@ -187,15 +188,40 @@ def d20(spark, d):
     return Q.duplicate_assays(a, "assay", "target", "rate").select("assay", "target", "copies", "kept", "dropped")
 
 
-@query("d21_median_iqr_outliers", f"with p as (select sample, median(v) med, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iqr, count(*) n from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null group by 1), s as (select avg(med) mm, stddev_pop(med) sm, avg(iqr) mi, stddev_pop(iqr) si from p) select sample, n, round(med, 6) med, round(iqr, 6) iqr, round((med - mm) / sm, 5) z_med, round((iqr - mi) / si, 5) z_iqr, abs((med - mm) / sm) > 3 or abs((iqr - mi) / si) > 3 outlier from p, s")
+_D21 = f"""o as (select sample, assay, v, lod from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null), w as (select assay, avg(case when v >= lod then 1.0 else 0.0 end) w from o where lod is not null and not isnan(lod) group by 1),
+  x as (select sample, v, w, (sum(w) over (partition by sample order by v, w rows between unbounded preceding and current row) - w / 2) / sum(w) over (partition by sample) p from o join w using (assay) where w > 0),
+  f as (select sampleid sample, bool_and(sampleqc = 'PASS') in_fit from olink_long where sampletype = 'SAMPLE' and sampleid is not null group by 1)"""
+_HAZEN = "case when max(p) filter (p <= {q}) is null then arg_min(v, (p, v)) when min(p) filter (p >= {q}) is null then arg_max(v, (p, v)) when max(p) filter (p <= {q}) = min(p) filter (p >= {q}) then arg_max(v, (p, v)) filter (p <= {q}) else arg_max(v, (p, v)) filter (p <= {q}) + (arg_min(v, (p, v)) filter (p >= {q}) - arg_max(v, (p, v)) filter (p <= {q})) * ({q} - max(p) filter (p <= {q})) / (min(p) filter (p >= {q}) - max(p) filter (p <= {q})) end"
+
+
+@query("d21_median_iqr_outliers", K.sql(f"with {_D21}, h as (select sample, count(*) n, {_HAZEN.format(q=0.5)} med, {_HAZEN.format(q=0.75)} - {_HAZEN.format(q=0.25)} iqr from x group by 1), s as (select avg(med) mm, stddev_pop(med) sm, avg(iqr) mi, stddev_pop(iqr) si from h join f using (sample) where in_fit) select sample, n, in_fit, round(med, 6) med, round(iqr, 6) iqr, round((med - mm) / sm, 5) z_med, round((iqr - mi) / si, 5) z_iqr, abs((med - mm) / sm) > 3 or abs((iqr - mi) / si) > 3 outlier from h join f using (sample), s"))
 def d21(spark, d):
-    got = Q.median_iqr_outliers(olink(spark, d).where("sampletype = 'SAMPLE' and sample is not null"), "v", "sample", 3.0)
+    """Assays weigh by their detection rate; mean and sd come from the samples whose rows all pass."""
+    o = olink(spark, d).where("sampletype = 'SAMPLE' and sample is not null")
+    w = o.where("lod is not null and not isnan(lod)").groupBy("assay").agg(F.avg((F.col("v") >= F.col("lod")).cast("double")).alias("w"))
+    fit = K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.bool_and(F.col("sampleqc") == "PASS").alias("fit"))
+    got = Q.median_iqr_outliers(o.join(w, "assay").join(fit, "sample"), "v", "sample", 3.0, "w", "fit")
     return got.withColumns({"med": F.round("med", 6), "iqr": F.round("iqr", 6), "z_med": F.round("z_med", 5), "z_iqr": F.round("z_iqr", 5)})
 
 
-@query("d23_subject_spread_fence", "with s as (select usubjid, stddev_samp(aval) sd, count(*) n from visit_records where paramcd = 'WEIGHT' and aval is not null and not isnan(aval) and usubjid is not null group by 1 having count(*) > 2), r as (select *, row_number() over (order by sd) - 1 i, count(*) over () m from s), q as (select max(sd) filter (i = round_even(0.25 * (m - 1), 0)) q1, max(sd) filter (i = round_even(0.75 * (m - 1), 0)) q3 from r) select usubjid, round(sd, 6) sd, n, sd > q3 + 1.5 * (q3 - q1) outlier from s, q")
+@query("d7_rejudged_flags", K.sql("""with mv as (select sampleid tube, max(usubjid) fresh from manifest where record_source = 'lims' and usubjid is not null group by 1), t as (select sampleid tube, arg_min(usubjid, row_id) who from manifest where sampleid is not null and usubjid is not null group by 1),
+  a as (select usubjid who, arg_min(trt01a, row_id) arm, arg_min(age, row_id) age from adsl group by 1), old as (select tube, 'no_arm' flag from t left join a using (who) where arm is null union all select tube, 'minor' from t left join a using (who) where age < 18 union all select distinct sampleid, 'excluded' from manifest where manifest_exclude is not null and sampleid is not null),
+  m as (select tube, arm, age from t join mv using (tube) left join a on a.who = fresh where fresh <> t.who), new as (select tube, 'no_arm' flag from m where arm is null union all select tube, 'minor' from m where age < 18)
+  select tube, flag from old where not (flag in ('no_arm', 'minor') and tube in (select tube from m)) union select tube, flag from new"""))
+def d7(spark, d):
+    """Flags on a tube's subject, judged anew for tubes that the lims moves to another subject."""
+    m = K.table(spark, d, "manifest").where("sampleid is not null")
+    t = m.where("usubjid is not null").groupBy(F.col("sampleid").alias("tube")).agg(F.min_by("usubjid", "row_id").alias("who"), F.max(F.when(F.col("record_source") == "lims", F.col("usubjid"))).alias("fresh"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min_by("trt01a", "row_id").alias("arm"), F.min_by("age", "row_id").alias("age"))
+    led = lambda c: t.join(a.withColumnRenamed("usubjid", c), c, "left")
+    first = led("who")
+    flags = first.where("arm is null").select("tube", F.lit("no_arm").alias("flag")).unionByName(first.where("age < 18").select("tube", F.lit("minor").alias("flag"))).unionByName(m.where("manifest_exclude is not null").select(F.col("sampleid").alias("tube"), F.lit("excluded").alias("flag")).distinct())
+    return Q.rejudged_flags(flags, led("fresh").where("fresh <> who"), "tube", "flag", {"no_arm": F.col("arm").isNull(), "minor": F.col("age") < 18})
+
+
+@query("d23_subject_spread_fence", K.sql("with s as (select usubjid, stddev_samp(aval) sd, count(*) n from visit_records where paramcd = 'WEIGHT' and aval is not null and not isnan(aval) and usubjid is not null group by 1 having count(*) > 2), r as (select *, row_number() over (order by sd) - 1 i, count(*) over () m from s), q as (select max(sd) filter (i = round_even(0.25 * (m - 1), 0)) q1, max(sd) filter (i = round_even(0.75 * (m - 1), 0)) q3 from r) select usubjid, round(sd, 6) sd, n, sd > q3 + 1.5 * (q3 - q1) outlier from s, q"))
 def d23(spark, d):
-    v = nan_to_null(table(spark, d, "visit_records")).where("paramcd = 'WEIGHT' and aval is not null and usubjid is not null")
+    v = nan_to_null(K.table(spark, d, "visit_records")).where("paramcd = 'WEIGHT' and aval is not null and usubjid is not null")
     s = v.groupBy("usubjid").agg(F.stddev_samp("aval").alias("sd"), F.count("*").alias("n")).where("n > 2").withColumn("family", F.lit(1))
     fence = S.tukey_fence(s, "sd", ["family"]).select("family", "high")
     return s.join(F.broadcast(fence), "family").select("usubjid", F.round("sd", 6).alias("sd"), "n", (F.col("sd") > F.col("high")).alias("outlier"))
@@ -205,7 +231,7 @@ _REASON = "case when usubjid is null then 'no subject' when adt is null then 'no
 
 
 def reasons(spark, d):
-    m = nan_to_null(table(spark, d, "manifest"))
+    m = nan_to_null(K.table(spark, d, "manifest"))
     return m.withColumn("reason", R.first_reason([
         ("no subject", F.col("usubjid").isNull()), ("no date", F.col("adt").isNull()), ("no visit", F.col("visitnum").isNull()), ("impossible visit", ~F.col("visitnum").between(1, 99)), ("excluded", F.col("manifest_exclude").isNotNull()),
     ]))
@@ -236,15 +262,15 @@ def d30(spark, d):
     return every.where("usubjid is not null and adt is not null").groupBy("usubjid").agg(F.date_format(F.max("adt"), "yyyy-MM-dd HH:mm:ss").alias("screened"))
 
 
-@query("d29_dose_timing", "select m.row_id, date_diff('day', a.trtsdt, cast(m.adt as date)) days_since_first from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on a.usubjid = m.usubjid where m.adt is not null and a.trtsdt is not null")
+@query("d29_dose_timing", K.sql("select m.row_id, date_diff('day', a.trtsdt, cast(m.adt as date)) days_since_first from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on a.usubjid = m.usubjid where m.adt is not null and a.trtsdt is not null"))
 def d29(spark, d):
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trtsdt").alias("trtsdt")).where("trtsdt is not null")
-    return table(spark, d, "manifest").where("adt is not null").join(a, "usubjid").select("row_id", F.datediff("adt", "trtsdt").alias("days_since_first"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trtsdt").alias("trtsdt")).where("trtsdt is not null")
+    return K.table(spark, d, "manifest").where("adt is not null").join(a, "usubjid").select("row_id", F.datediff("adt", "trtsdt").alias("days_since_first"))
 
 
-@query("d53_breakdown_by_arm", f"with a as (select usubjid, min(trt01a) arm from adsl group by 1) select coalesce(arm, 'unknown') arm, coalesce({_REASON}, 'kept') reason, count(*) n, round(count(*) / sum(count(*)) over (partition by coalesce(arm, 'unknown')), 6) share from manifest left join a using (usubjid) group by 1, 2")
+@query("d53_breakdown_by_arm", K.sql(f"with a as (select usubjid, min(trt01a) arm from adsl group by 1) select coalesce(arm, 'unknown') arm, coalesce({_REASON}, 'kept') reason, count(*) n, round(count(*) / sum(count(*)) over (partition by coalesce(arm, 'unknown')), 6) share from manifest left join a using (usubjid) group by 1, 2"))
 def d53(spark, d):
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trt01a").alias("arm"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trt01a").alias("arm"))
     n = reasons(spark, d).join(a, "usubjid", "left").groupBy(F.coalesce("arm", F.lit("unknown")).alias("arm"), F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("arm")), 6))
 
@@ -255,10 +281,10 @@ def d82(spark, d):
     return table(spark, d, "manifest").select("row_id", F.coalesce(F.when(t.isin("true", "y", "yes", "1"), True).when(t.isin("false", "n", "no", "0", ""), False), F.lit(False)).alias("bridge"))
 
 
-@query("d83_no_manifest_row", "select distinct sampleid from soma_long s where sampletype = 'SAMPLE' and sampleid is not null and not exists (select 1 from manifest m where m.sampleid = s.sampleid and m.manifest_exclude is null)")
+@query("d83_no_manifest_row", K.sql("select distinct sampleid from soma_long s where sampletype = 'SAMPLE' and sampleid is not null and not exists (select 1 from manifest m where m.sampleid = s.sampleid and m.manifest_exclude is null)"))
 def d83(spark, d):
-    good = table(spark, d, "manifest").where("manifest_exclude is null").select("sampleid")
-    return table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null").select("sampleid").distinct().join(good, "sampleid", "left_anti")
+    good = K.table(spark, d, "manifest").where("manifest_exclude is null").select("sampleid")
+    return K.table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null").select("sampleid").distinct().join(good, "sampleid", "left_anti")
 
 
 @query("d85_study_counts", "select count(distinct case when sampletype = 'SAMPLE' then sampleid end) samples, count(distinct case when sampletype = 'NEGATIVE_CONTROL' then sampleid end) negative_controls, count(distinct case when sampletype = 'PLATE_CONTROL' then sampleid end) plate_controls, count(distinct olinkid) assays, count(distinct plateid) plates from olink_long")

@@ -10,18 +10,20 @@ from tallygrove.functions.text import term_label
 from tallygrove.operators import relational as R
 from tallygrove.operators import results as O
 from tallygrove.operators import stats as S
+from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
+from tallygrove.plans.sqldist import sql_t_two_sided
 from tallygrove.plans.statistics import OLINK_SQL, olink, r6
 from tallygrove.sources.tables import nan_to_null, table
 
 REG = Registry()
 query = REG.add
 
-_M = "(select platform, group_key g, visitnum v, avg(y_value) y from model_frame where group_key is not null and y_value is not null and not isnan(y_value) group by 1, 2, 3)"
+_M = K.sql("(select platform, group_key g, visitnum v, avg(y_value) y from model_frame where group_key is not null and y_value is not null and not isnan(y_value) group by 1, 2, 3)")
 
 
 def means(spark, d):
-    m = table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)")
+    m = K.table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)")
     return m.groupBy("platform", F.col("group_key").alias("g"), F.col("visitnum").alias("v")).agg(F.avg("y_value").alias("y"))
 
 
@@ -31,9 +33,9 @@ def d54(spark, d):
     return c.select("platform", "g", "v", F.round("change", 6).alias("change"), F.round("pct_change", 4).alias("pct_change"))
 
 
-@query("d55_weight_change_wide", "with w as (select usubjid, max(case when visitnum = 2 then aval end) b, max(case when visitnum = 8 then aval end) w8, max(case when visitnum = 20 then aval end) w20 from visit_records where paramcd = 'WEIGHT' and aval is not null and not isnan(aval) and usubjid is not null group by 1) select usubjid, round(100 * (w8 - b) / b, 4) + 0.0 pct8, round(100 * (w20 - b) / b, 4) + 0.0 pct20, round(coalesce(100 * (w20 - b) / b, 100 * (w8 - b) / b), 4) + 0.0 latest from w where b > 0")
+@query("d55_weight_change_wide", K.sql("with w as (select usubjid, max(case when visitnum = 2 then aval end) b, max(case when visitnum = 8 then aval end) w8, max(case when visitnum = 20 then aval end) w20 from visit_records where paramcd = 'WEIGHT' and aval is not null and not isnan(aval) and usubjid is not null group by 1) select usubjid, round(100 * (w8 - b) / b, 4) + 0.0 pct8, round(100 * (w20 - b) / b, 4) + 0.0 pct20, round(coalesce(100 * (w20 - b) / b, 100 * (w8 - b) / b), 4) + 0.0 latest from w where b > 0"))
 def d55(spark, d):
-    v = nan_to_null(table(spark, d, "visit_records")).where("paramcd = 'WEIGHT' and aval is not null and usubjid is not null")
+    v = nan_to_null(K.table(spark, d, "visit_records")).where("paramcd = 'WEIGHT' and aval is not null and usubjid is not null")
     at = lambda n: F.max(F.when(F.col("visitnum") == n, F.col("aval")))
     w = v.groupBy("usubjid").agg(at(2).alias("b"), at(8).alias("w8"), at(20).alias("w20")).where("b > 0")
     pct = lambda c: 100 * (F.col(c) - F.col("b")) / F.col("b")
@@ -73,21 +75,67 @@ def effects(spark, d):
     return b.select("assay", "plate", "n", (F.col("m") - F.col("mb")).alias("e"), ((F.col("m") - F.col("mb")) / F.sqrt(F.col("se") ** 2 + F.col("sb") ** 2)).alias("z"))
 
 
-@query("d58_contrast_fdr_counts")
+#: Changes of each analyte from baseline (visit 2) at visits 8 and 20: tube -> participant and visit by its first manifest row.
+_CHANGES = K.sql(f"""(with t as (select sampleid sample, arg_min(usubjid, row_id) who, arg_min(visitnum, row_id) visit from manifest where sampleid is not null and usubjid is not null and visitnum in (2, 8, 20) group by 1),
+  v as (select assay, sample, avg(v) v from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null group by 1, 2), y as (select assay, who, visit, avg(v) y from v join t using (sample) group by 1, 2, 3),
+  w as (select assay, who, max(y) filter (visit = 8) - max(y) filter (visit = 2) c8, max(y) filter (visit = 20) - max(y) filter (visit = 2) c20 from y group by 1, 2),
+  s as (select usubjid who, arg_min(trt01a, row_id) arm, arg_min(sex, row_id) sex from adsl where deleted_at is null group by 1)
+  select assay, who, arm, sex, c8, c20 from w join s using (who) where arm is not null and (c8 is not null or c20 is not null))""")
+_MOMENTS = "avg({x}) e_{n}, stddev_samp({x}) / sqrt(count({x})) s_{n}, count({x}) - 1 d_{n}"
+
+
+def changes(spark, d):
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null and visitnum in (2, 8, 20)")
+    t = m.groupBy(F.col("sampleid").alias("sample")).agg(F.min_by("usubjid", "row_id").alias("who"), F.min_by("visitnum", "row_id").alias("visit"))
+    v = olink(spark, d).where("sampletype = 'SAMPLE' and sample is not null").groupBy("assay", "sample").agg(F.avg("v").alias("v"))
+    y = v.join(t, "sample").groupBy("assay", "who", "visit").agg(F.avg("v").alias("y"))
+    at = lambda n: F.max(F.when(F.col("visit") == n, F.col("y")))
+    w = y.groupBy("assay", "who").agg((at(8) - at(2)).alias("c8"), (at(20) - at(2)).alias("c20")).where("c8 is not null or c20 is not null")
+    s = K.table(spark, d, "adsl").where("deleted_at is null").groupBy(F.col("usubjid").alias("who")).agg(F.min_by("trt01a", "row_id").alias("arm"), F.min_by("sex", "row_id").alias("sex"))
+    return w.join(s.where("arm is not null"), "who").select("assay", "who", "arm", "sex", "c8", "c20")
+
+
+def moments(x, n):
+    return [F.avg(x).alias(f"e_{n}"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias(f"s_{n}"), (F.count(x) - 1).alias(f"d_{n}")]
+
+
+def _fdr_sql(frame, p, by):
+    """FDR within groups, from a CTE with a P column: the step-up as window functions."""
+    n = f"count({p}) over (partition by {by})"
+    i = f"count({p}) over (partition by {by} order by {p} range between unbounded preceding and current row)"
+    return f"(select *, least(1.0, min(q0) over (partition by {by} order by {p} desc nulls last range between unbounded preceding and current row)) fdr_{p} from (select *, {p} * {n} / {i} q0 from {frame}) where {p} is not null union all select *, null::double q0, null::double from {frame} where {p} is null)"
+
+
+_ARMS = f"""(select assay, arm, {', '.join(_MOMENTS.format(x=x, n=n) for x, n in (('c8', 'e'), ('c20', 'l'), ('c20 - c8', 's')))} from {_CHANGES} group by 1, 2)"""
+_P = lambda n: f"case when s_{n} > 0 and d_{n} > 0 then {sql_t_two_sided(f'(e_{n} / s_{n})', f'd_{n}')} end p_{n}"
+_CLASSIFIED = f"""a as (select *, {_P('e')}, {_P('l')}, {_P('s')} from {_ARMS}), b1 as (select assay, arm, fdr_p_e fe from {_fdr_sql('a', 'p_e', 'arm')}), b2 as (select assay, arm, fdr_p_l fl from {_fdr_sql('a', 'p_l', 'arm')}), b3 as (select assay, arm, fdr_p_s fs from {_fdr_sql('a', 'p_s', 'arm')})"""
+
+
+def arm_courses(spark, d):
+    """Within-arm changes at both visits and their difference, with P and FDR over analytes within arm and window."""
+    a = changes(spark, d).groupBy("assay", "arm").agg(*moments("c8", "e"), *moments("c20", "l"), *moments(F.col("c20") - F.col("c8"), "s"))
+    # the three windows as rows, so that one pass makes all families
+    rows = a.select("assay", "arm", F.explode(F.array(*[F.struct(F.lit(n).alias("w"), F.col(f"e_{n}").alias("e"), F.col(f"s_{n}").alias("se"), F.col(f"d_{n}").cast("double").alias("df")) for n in "els"])).alias("x")).select("assay", "arm", "x.*")
+    ok = (F.col("se") > 0) & (F.col("df") > 0)
+    rows = S.bh_fdr(rows.withColumn("p", F.when(ok, t_p_value(F.when(ok, F.col("e") / F.col("se")), F.col("df")))), "p", ["arm", "w"], "f")
+    at = lambda n, c: F.max(F.when(F.col("w") == n, F.col(c)))
+    return rows.groupBy("assay", "arm").agg(*[at(n, c).alias(k) for n in "els" for c, k in (("e", f"e_{n}"), ("se", f"s_{n}"), ("df", f"d_{n}"), ("p", f"p_{n}"), ("f", f"f{n}"))])
+
+
+@query("d58_contrast_fdr_counts", f"with a as (select *, case when d_l > 0 and s_l > 0 then {sql_t_two_sided('(e_l / s_l)', 'd_l')} end p_l from {_ARMS}), f as {_fdr_sql('a', 'p_l', 'arm')} select arm, count(*) n, count(*) filter (fdr_p_l < 0.05) significant, count(*) filter (p_l < 0.05) nominal from f group by 1")
 def d58(spark, d):
-    """Significant effects per plate after FDR within the plate's family."""
-    e = effects(spark, d).withColumn("p", t_p_value("z", (F.col("n") - 1).cast("double")))
-    return S.bh_fdr(e, "p", ["plate"]).groupBy("plate").agg(F.count("*").alias("n"), F.count_if(F.col("fdr") < 0.05).alias("significant"))
+    """Significant late changes per arm after FDR within the arm's family."""
+    return arm_courses(spark, d).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("fl") < 0.05).alias("significant"), F.count_if(F.col("p_l") < 0.05).alias("nominal"))
 
 
-@query("d60_trajectory_classes", f"""with t as (select *, row_number() over (partition by assay order by plate) r from {_T}), w as (select assay, max(case when r = 1 then e end) e1, max(case when r = 2 then e end) e2, max(case when r = 1 then z end) z1, max(case when r = 2 then z end) z2 from t group by 1)
-  select assay, case when abs(z1) > 1 and abs(z2) > 1 and sign(e1) <> sign(e2) then 'reversed' when abs(z1) > 1 and abs(z2) > 1 and abs(z2 - z1) > 1 and abs(e2) > abs(e1) then 'growing' when abs(z1) > 1 and abs(z2) > 1 and abs(z2 - z1) > 1 then 'fading' when abs(z1) > 1 and abs(z2) > 1 then 'sustained' when coalesce(abs(z2) > 1, false) then 'delayed' when coalesce(abs(z1) > 1, false) then 'transient' else 'none' end as class from w""")
+@query("d60_trajectory_classes", f"""with {_CLASSIFIED}, c as (select a.*, coalesce(fe < 0.3, false) se, coalesce(fl < 0.3, false) sl, coalesce(fs < 0.3, false) ss from a join b1 using (assay, arm) join b2 using (assay, arm) join b3 using (assay, arm))
+  select assay, arm, case when not se and not sl then 'Null' when not sl then 'Transient_' || case when e_e > 0 then 'up' else 'down' end when not se then 'LateOnset_' || case when e_l > 0 then 'up' else 'down' end
+    when sign(e_e) <> sign(e_l) then 'Reversal_' || case when e_e > 0 then 'up_' else 'down_' end || case when e_l > 0 then 'up' else 'down' end
+    when ss and sign(e_s) = sign(e_e) then 'Progressive_' || case when e_e > 0 then 'up' else 'down' end else 'Sustained_' || case when e_e > 0 then 'up' else 'down' end end class from c""")
 def d60(spark, d):
-    t = effects(spark, d).withColumn("r", F.row_number().over(W.partitionBy("assay").orderBy("plate"))).where("r <= 2")
-    at = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
-    w = t.groupBy("assay").agg(at("e", 1).alias("e1"), at("e", 2).alias("e2"), at("z", 1).alias("z1"), at("z", 2).alias("z2"))
-    big = lambda c: F.abs(c) > 1
-    return w.select("assay", O.trajectory(F.col("e1"), F.col("e2"), big(F.col("z1")), big(F.col("z2")), big(F.col("z2") - F.col("z1"))).alias("class"))
+    """The level of 0.3 fits these tables' small effects; the operator's default is 0.05."""
+    c = arm_courses(spark, d)
+    return c.select("assay", "arm", O.trajectory(F.col("e_e"), F.col("e_l"), F.col("e_s"), F.col("fe"), F.col("fl"), F.col("fs"), 0.3).alias("class"))
 
 
 _MC = "(select l_orderkey o, l_linenumber n, l_discount a, l_tax b, abs(l_discount * 10 - l_tax * 12) c, l_quantity - 25 i, l_extendedprice - 35000 x from lineitem)"
@@ -183,16 +231,16 @@ def d73(spark, d):
     return p.select("p_partkey", "z.a", "z.b").where("a is not null and b is not null")
 
 
-@query("d74_lab_pairing", "with l as (select usubjid, paramcd, avg(aval) lab from visit_records where aval > 0 and not isnan(aval) and usubjid is not null group by 1, 2), m as (select group_key usubjid, platform, avg(y_value) y from model_frame where y_value is not null and not isnan(y_value) group by 1, 2) select paramcd, platform, count(*) n, round(corr(ln(lab), y), 6) r from l join m using (usubjid) group by 1, 2")
+@query("d74_lab_pairing", K.sql("with l as (select usubjid, paramcd, avg(aval) lab from visit_records where aval > 0 and not isnan(aval) and usubjid is not null group by 1, 2), m as (select group_key usubjid, platform, avg(y_value) y from model_frame where y_value is not null and not isnan(y_value) group by 1, 2) select paramcd, platform, count(*) n, round(corr(ln(lab), y), 6) r from l join m using (usubjid) group by 1, 2"))
 def d74(spark, d):
-    l = table(spark, d, "visit_records").where("aval > 0 and not isnan(aval) and usubjid is not null").groupBy("usubjid", "paramcd").agg(F.avg("aval").alias("lab"))
-    m = table(spark, d, "model_frame").where("y_value is not null and not isnan(y_value)").groupBy(F.col("group_key").alias("usubjid"), "platform").agg(F.avg("y_value").alias("y"))
+    l = K.table(spark, d, "visit_records").where("aval > 0 and not isnan(aval) and usubjid is not null").groupBy("usubjid", "paramcd").agg(F.avg("aval").alias("lab"))
+    m = K.table(spark, d, "model_frame").where("y_value is not null and not isnan(y_value)").groupBy(F.col("group_key").alias("usubjid"), "platform").agg(F.avg("y_value").alias("y"))
     return r6(l.join(m, "usubjid").groupBy("paramcd", "platform").agg(F.count("*").alias("n"), S.safe_corr(F.log("lab"), F.col("y")).alias("r")), "r")
 
 
-@query("d75_baseline_flag_records", "with v as (select usubjid, paramcd, arg_min(aval, (case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end, row_id)) b, min(case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end) k from visit_records where aval is not null and not isnan(aval) and usubjid is not null and (ablfl = 'Y' or visitnum = 2) group by 1, 2) select usubjid, paramcd, b baseline, case k when 0 then 'flag' else 'visit' end how from v")
+@query("d75_baseline_flag_records", K.sql("with v as (select usubjid, paramcd, arg_min(aval, (case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end, row_id)) b, min(case when ablfl = 'Y' then 0 when visitnum = 2 then 1 else 2 end) k from visit_records where aval is not null and not isnan(aval) and usubjid is not null and (ablfl = 'Y' or visitnum = 2) group by 1, 2) select usubjid, paramcd, b baseline, case k when 0 then 'flag' else 'visit' end how from v"))
 def d75(spark, d):
-    v = nan_to_null(table(spark, d, "visit_records")).where("aval is not null and usubjid is not null and (ablfl = 'Y' or visitnum = 2)")
+    v = nan_to_null(K.table(spark, d, "visit_records")).where("aval is not null and usubjid is not null and (ablfl = 'Y' or visitnum = 2)")
     k = F.when(F.col("ablfl") == "Y", 0).when(F.col("visitnum") == 2, 1).otherwise(2)
     g = v.withColumn("k", k).groupBy("usubjid", "paramcd").agg(F.min_by("aval", F.struct("k", "row_id")).alias("baseline"), F.min("k").alias("k"))
     return g.select("usubjid", "paramcd", "baseline", F.when(F.col("k") == 0, "flag").otherwise("visit").alias("how"))
@@ -210,19 +258,19 @@ def d77(spark, d):
     return effects(spark, d).groupBy("plate").agg(F.max_by("assay", F.struct(F.round(F.abs("z"), 5), "assay")).alias("assay"), F.round(F.max(F.abs("z")), 5).alias("z"))
 
 
-@query("d79_characteristics", "with a as (select usubjid, arg_min(coalesce(trt01a, 'none'), row_id) arm, arg_min(age, row_id) filter (age is not null) age, arg_min(sex, row_id) filter (sex is not null) sex from adsl group by 1) select coalesce(arm, 'all') arm, count(*) n, printf('%.2f', round(avg(age), 2)) || ' (' || coalesce(printf('%.2f', round(stddev_samp(age), 2)), '-') || ')' age, printf('%d (%.3f%%)', count(*) filter (sex = 'F'), round(100.0 * count(*) filter (sex = 'F') / count(*), 3)) women from a group by rollup (arm)")
+@query("d79_characteristics", K.sql("with a as (select usubjid, arg_min(coalesce(trt01a, 'none'), row_id) arm, arg_min(age, row_id) filter (age is not null) age, arg_min(sex, row_id) filter (sex is not null) sex from adsl group by 1) select coalesce(arm, 'all') arm, count(*) n, printf('%.2f', round(avg(age), 2)) || ' (' || coalesce(printf('%.2f', round(stddev_samp(age), 2)), '-') || ')' age, printf('%d (%.3f%%)', count(*) filter (sex = 'F'), round(100.0 * count(*) filter (sex = 'F') / count(*), 3)) women from a group by rollup (arm)"))
 def d79(spark, d):
     from tallygrove.functions.text import count_share, mean_sd
 
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_id")))
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min_by(F.coalesce("trt01a", F.lit("none")), "row_id").alias("arm"), first("age").alias("age"), first("sex").alias("sex"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min_by(F.coalesce("trt01a", F.lit("none")), "row_id").alias("arm"), first("age").alias("age"), first("sex").alias("sex"))
     return a.rollup("arm").agg(F.count("*").alias("n"), mean_sd(F.avg("age"), F.stddev_samp("age"), 2).alias("age"), count_share(F.count_if(F.col("sex") == "F"), F.count("*"), 3).alias("women")).withColumn("arm", F.coalesce("arm", F.lit("all")))
 
 
-@query("d107_first_draw", "select usubjid, min(adt)::date::varchar first_draw, round(min(age) + date_diff('day', min(trtsdt), min(adt)::date) / 365.25, 5) age_at_draw from manifest join (select usubjid, min(age) age, min(trtsdt) trtsdt from adsl group by 1) using (usubjid) where adt is not null and age is not null group by 1")
+@query("d107_first_draw", K.sql("select usubjid, min(adt)::date::varchar first_draw, round(min(age) + date_diff('day', min(trtsdt), min(adt)::date) / 365.25, 5) age_at_draw from manifest join (select usubjid, min(age) age, min(trtsdt) trtsdt from adsl group by 1) using (usubjid) where adt is not null and age is not null group by 1"))
 def d107(spark, d):
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("age").alias("age"), F.min("trtsdt").alias("trtsdt")).where("age is not null")
-    g = table(spark, d, "manifest").where("adt is not null").join(a, "usubjid").groupBy("usubjid").agg(F.min("adt").alias("f"), F.min("age").alias("age"), F.min("trtsdt").alias("trtsdt"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("age").alias("age"), F.min("trtsdt").alias("trtsdt")).where("age is not null")
+    g = K.table(spark, d, "manifest").where("adt is not null").join(a, "usubjid").groupBy("usubjid").agg(F.min("adt").alias("f"), F.min("age").alias("age"), F.min("trtsdt").alias("trtsdt"))
     return g.select("usubjid", F.to_date("f").cast("string").alias("first_draw"), F.round(F.col("age") + F.datediff("f", "trtsdt") / 365.25, 5).alias("age_at_draw"))
 
 
@@ -232,9 +280,9 @@ def d109(spark, d):
     return s.select("marker", "genes", F.concat("t", F.lit(" ("), "marker", F.lit(")")).alias("label"))
 
 
-@query("d111_one_plate_per_sample", "select sampleid, regexp_extract(min(plateid), '-0*([0-9]+)$', 1)::int plate_no, min(plateid) = max(plateid) one_plate from soma_long where sampletype = 'SAMPLE' and sampleid is not null group by 1")
+@query("d111_one_plate_per_sample", K.sql("select sampleid, regexp_extract(min(plateid), '-0*([0-9]+)$', 1)::int plate_no, min(plateid) = max(plateid) one_plate from soma_long where sampletype = 'SAMPLE' and sampleid is not null group by 1"))
 def d111(spark, d):
-    s = table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null").groupBy("sampleid").agg(F.min("plateid").alias("lo"), F.max("plateid").alias("hi"))
+    s = K.table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null").groupBy("sampleid").agg(F.min("plateid").alias("lo"), F.max("plateid").alias("hi"))
     return s.select("sampleid", F.regexp_extract("lo", "-0*([0-9]+)$", 1).cast("int").alias("plate_no"), (F.col("lo") == F.col("hi")).alias("one_plate"))
 
 
@@ -263,9 +311,9 @@ def d132(spark, d):
     return effects(spark, d).select("assay", "plate", F.when(z > 2, "++").when(z > 1, "+").when(z < -2, "--").when(z < -1, "-").otherwise("0").alias("bucket"))
 
 
-@query("d133_counts_with_totals", "select coalesce(platform, 'both') platform, coalesce(visitnum::varchar, 'all') visit, count(*) n, count(distinct group_key) subjects from model_frame group by cube (platform, visitnum)")
+@query("d133_counts_with_totals", K.sql("select coalesce(platform, 'both') platform, coalesce(visitnum::varchar, 'all') visit, count(*) n, count(distinct group_key) subjects from model_frame group by cube (platform, visitnum)"))
 def d133(spark, d):
-    m = table(spark, d, "model_frame").withColumn("visit", F.col("visitnum").cast("string"))
+    m = K.table(spark, d, "model_frame").withColumn("visit", F.col("visitnum").cast("string"))
     return m.cube("platform", "visit").agg(F.count("*").alias("n"), F.count_distinct("group_key").alias("subjects")).select(F.coalesce("platform", F.lit("both")).alias("platform"), F.coalesce("visit", F.lit("all")).alias("visit"), "n", "subjects")
 
 
@@ -275,9 +323,9 @@ def d135(spark, d):
     return O.capped_nlp(x, "p").select("o", "n", F.round("nlp", 6).alias("nlp"), (F.col("p") < 0.02).alias("significant"))
 
 
-@query("d138_median_visits", "select median(n) visits, max(n) most from (select usubjid, count(distinct visitnum) n from visit_records where usubjid is not null and visitnum is not null group by 1)")
+@query("d138_median_visits", K.sql("select median(n) visits, max(n) most from (select usubjid, count(distinct visitnum) n from visit_records where usubjid is not null and visitnum is not null group by 1)"))
 def d138(spark, d):
-    v = table(spark, d, "visit_records").where("usubjid is not null and visitnum is not null").groupBy("usubjid").agg(F.count_distinct("visitnum").alias("n"))
+    v = K.table(spark, d, "visit_records").where("usubjid is not null and visitnum is not null").groupBy("usubjid").agg(F.count_distinct("visitnum").alias("n"))
     return v.agg(F.median("n").alias("visits"), F.max("n").alias("most"))
 
 

@@ -79,7 +79,8 @@ def s22(spark, d):
 
 @query("s16_file_digests")
 def s16(spark, d):
-    return S.file_digests(spark, f"{d}/region.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "sha256")
+    """Every parquet file of the folder's tables."""
+    return S.file_digests(spark, f"{d}/*.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "sha256")
 
 
 @query("o7_content_fingerprint", "select count(*) rows, count(distinct o_orderkey) keys from orders")

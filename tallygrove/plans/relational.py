@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tallygrove.functions import text as X
 from tallygrove.functions.ids import SQL_SUBJECT, standard_subject
 from tallygrove.operators import relational as R
+from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
 from tallygrove.sources.tables import nan_to_null, table
 
@@ -81,17 +82,17 @@ def j1(spark, d):
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "o_orderpriority", "c_mktsegment")
 
 
-@query("j3_checked_many_to_one", "select m.row_id, m.sid, a.sex, a.age::double age from (select row_id, usubjid u, siteid sid from (select row_id, group_key usubjid, siteid from model_frame)) m left join (select usubjid, arg_min(sex, row_id) filter (sex is not null) sex, arg_min(age, row_id) filter (age is not null) age from adsl group by 1) a on m.u = a.usubjid")
+@query("j3_checked_many_to_one", K.sql("select m.row_id, m.sid, a.sex, a.age::double age from (select row_id, usubjid u, siteid sid from (select row_id, group_key usubjid, siteid from model_frame)) m left join (select usubjid, arg_min(sex, row_id) filter (sex is not null) sex, arg_min(age, row_id) filter (age is not null) age from adsl group by 1) a on m.u = a.usubjid"))
 def j3(spark, d):
-    firsts = table(spark, d, "adsl").groupBy("usubjid").agg(F.min_by("sex", F.when(F.col("sex").isNotNull(), F.col("row_id"))).alias("sex"), F.min_by("age", F.when(F.col("age").isNotNull(), F.col("row_id"))).alias("age"))
-    m = table(spark, d, "model_frame").select("row_id", F.col("group_key").alias("usubjid"), F.col("siteid").alias("sid"))
+    firsts = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min_by("sex", F.when(F.col("sex").isNotNull(), F.col("row_id"))).alias("sex"), F.min_by("age", F.when(F.col("age").isNotNull(), F.col("row_id"))).alias("age"))
+    m = K.table(spark, d, "model_frame").select("row_id", F.col("group_key").alias("usubjid"), F.col("siteid").alias("sid"))
     return R.checked_join(m, firsts, ["usubjid"], "left", "m:1").drop("usubjid").withColumn("age", F.col("age").cast("double"))
 
 
-@query("j4_semi", "select row_id, sampleid from manifest m where exists (select 1 from adsl a where a.usubjid = m.usubjid and a.deleted_at is null)")
+@query("j4_semi", K.sql("select row_id, sampleid from manifest m where exists (select 1 from adsl a where a.usubjid = m.usubjid and a.deleted_at is null)"))
 def j4(spark, d):
-    held = table(spark, d, "adsl").where("deleted_at is null").select("usubjid")
-    return table(spark, d, "manifest").join(held, "usubjid", "left_semi").select("row_id", "sampleid")
+    held = K.table(spark, d, "adsl").where("deleted_at is null").select("usubjid")
+    return K.table(spark, d, "manifest").join(held, "usubjid", "left_semi").select("row_id", "sampleid")
 
 
 @query("j5_anti", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
@@ -100,10 +101,10 @@ def j5(spark, d):
     return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@query("j6_full_coalesced", "select coalesce(a.u, b.u) u, coalesce(a.draws, 0) draws, coalesce(b.labs, 0) labs from (select usubjid u, count(*) draws from manifest where usubjid is not null group by 1) a full join (select usubjid u, count(*) labs from visit_records where usubjid is not null group by 1) b on a.u = b.u")
+@query("j6_full_coalesced", K.sql("select coalesce(a.u, b.u) u, coalesce(a.draws, 0) draws, coalesce(b.labs, 0) labs from (select usubjid u, count(*) draws from manifest where usubjid is not null group by 1) a full join (select usubjid u, count(*) labs from visit_records where usubjid is not null group by 1) b on a.u = b.u"))
 def j6(spark, d):
-    draws = table(spark, d, "manifest").where("usubjid is not null").groupBy(F.col("usubjid").alias("u")).agg(F.count("*").alias("draws"))
-    labs = table(spark, d, "visit_records").where("usubjid is not null").groupBy(F.col("usubjid").alias("u")).agg(F.count("*").alias("labs"))
+    draws = K.table(spark, d, "manifest").where("usubjid is not null").groupBy(F.col("usubjid").alias("u")).agg(F.count("*").alias("draws"))
+    labs = K.table(spark, d, "visit_records").where("usubjid is not null").groupBy(F.col("usubjid").alias("u")).agg(F.count("*").alias("labs"))
     return R.full_coalesced(draws, labs, ["u"]).fillna(0)
 
 
@@ -243,11 +244,11 @@ def w1(spark, d):
     return table(spark, d, "model_frame").where("sample_ids is not null").select("row_id", (F.min("visitnum").over(w) == F.max("visitnum").over(w)).alias("one_visit"))
 
 
-@query("w3_last_before_dose", "select m.row_id, strftime(max(case when m.adt < a.trtsdt then m.adt end) over (partition by m.usubjid), '%Y-%m-%d %H:%M:%S.%f') last_predose, coalesce(bool_or(m.visitnum = 2) over (partition by m.usubjid), false) has_baseline from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on m.usubjid = a.usubjid")
+@query("w3_last_before_dose", K.sql("select m.row_id, strftime(max(case when m.adt < a.trtsdt then m.adt end) over (partition by m.usubjid), '%Y-%m-%d %H:%M:%S.%f') last_predose, coalesce(bool_or(m.visitnum = 2) over (partition by m.usubjid), false) has_baseline from manifest m join (select usubjid, min(trtsdt) trtsdt from adsl group by 1) a on m.usubjid = a.usubjid"))
 def w3(spark, d):
-    a = table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trtsdt").alias("trtsdt"))
+    a = K.table(spark, d, "adsl").groupBy("usubjid").agg(F.min("trtsdt").alias("trtsdt"))
     w = W.partitionBy("usubjid")
-    return table(spark, d, "manifest").join(a, "usubjid").select("row_id", F.date_format(F.max(F.when(F.col("adt") < F.col("trtsdt"), F.col("adt"))).over(w), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_predose"), F.coalesce(F.bool_or(F.col("visitnum") == 2).over(w), F.lit(False)).alias("has_baseline"))
+    return K.table(spark, d, "manifest").join(a, "usubjid").select("row_id", F.date_format(F.max(F.when(F.col("adt") < F.col("trtsdt"), F.col("adt"))).over(w), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_predose"), F.coalesce(F.bool_or(F.col("visitnum") == 2).over(w), F.lit(False)).alias("has_baseline"))
 
 
 @query("w6_collisions", "select row_id, count(*) over (partition by accessionnumber, visitnum) n from manifest where sampletype = 'SAMPLE'")
@@ -255,10 +256,10 @@ def w6(spark, d):
     return table(spark, d, "manifest").where("sampletype = 'SAMPLE'").select("row_id", F.count("*").over(W.partitionBy("accessionnumber", "visitnum")).alias("n"))
 
 
-@query("w7_date_order_check", "select row_id, coalesce(adt < max(adt) over (partition by usubjid order by visitnum, row_id rows between unbounded preceding and 1 preceding), false) out_of_order from manifest where usubjid is not null and adt is not null and visitnum is not null and not isnan(visitnum)")
+@query("w7_date_order_check", K.sql("select row_id, coalesce(adt < max(adt) over (partition by usubjid order by visitnum, row_id rows between unbounded preceding and 1 preceding), false) out_of_order from manifest where usubjid is not null and adt is not null and visitnum is not null and not isnan(visitnum)"))
 def w7(spark, d):
     w = W.partitionBy("usubjid").orderBy("visitnum", "row_id").rowsBetween(W.unboundedPreceding, -1)
-    m = nan_to_null(table(spark, d, "manifest")).where("usubjid is not null and adt is not null and visitnum is not null")
+    m = nan_to_null(K.table(spark, d, "manifest")).where("usubjid is not null and adt is not null and visitnum is not null")
     return m.select("row_id", F.coalesce(F.col("adt") < F.max("adt").over(w), F.lit(False)).alias("out_of_order"))
 
 

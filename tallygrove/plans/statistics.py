@@ -6,24 +6,26 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.dist import hypergeom_p_value, t_p_value
 from tallygrove.operators import stats as S
+from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
+from tallygrove.plans.sqldist import sql_t_two_sided
 from tallygrove.sources.tables import table
 
 REG = Registry()
 query = REG.add
 
 #: Readings of study samples as (assay, plate, sample, value on the log2 scale), without values that cannot be.
-SOMA_SQL = "(select row_id, seqid assay, plateid plate, sampleid sample, sampletype, log2(rfu) v, lod from soma_long where rfu is not null and not isnan(rfu) and rfu > 0.1 and rfu < 1000000)"
-OLINK_SQL = "(select row_id, olinkid assay, plateid plate, sampleid sample, sampletype, npx v, lod from olink_long where npx is not null and not isnan(npx) and abs(npx) < 40)"
+SOMA_SQL = K.sql("(select row_id, seqid assay, plateid plate, sampleid sample, sampletype, log2(rfu) v, lod from soma_long where rfu is not null and not isnan(rfu) and rfu > 0.1 and rfu < 1000000)")
+OLINK_SQL = K.sql("(select row_id, olinkid assay, plateid plate, sampleid sample, sampletype, npx v, lod from olink_long where npx is not null and not isnan(npx) and abs(npx) < 40)")
 
 
 def soma(spark, d):
-    s = table(spark, d, "soma_long").where("rfu is not null and not isnan(rfu) and rfu > 0.1 and rfu < 1000000")
+    s = K.table(spark, d, "soma_long").where("rfu is not null and not isnan(rfu) and rfu > 0.1 and rfu < 1000000")
     return s.select("row_id", F.col("seqid").alias("assay"), F.col("plateid").alias("plate"), F.col("sampleid").alias("sample"), "sampletype", F.log2("rfu").alias("v"), "lod")
 
 
 def olink(spark, d):
-    o = table(spark, d, "olink_long").where("npx is not null and not isnan(npx) and abs(npx) < 40")
+    o = K.table(spark, d, "olink_long").where("npx is not null and not isnan(npx) and abs(npx) < 40")
     return o.select("row_id", F.col("olinkid").alias("assay"), F.col("plateid").alias("plate"), F.col("sampleid").alias("sample"), "sampletype", F.col("npx").alias("v"), "lod")
 
 
@@ -78,11 +80,14 @@ def st8(spark, d):
     return r6(S.correlations(pair_frame(spark, d), "x", "y", ["x_assay", "y_assay"]), "pearson", "spearman")
 
 
-@query("st8_correlation_p_values")
+_RHO = f"with r as (select *, rank() over (partition by x_assay, y_assay order by x) + (count(*) over (partition by x_assay, y_assay, x) - 1) / 2.0 rx, rank() over (partition by x_assay, y_assay order by y) + (count(*) over (partition by x_assay, y_assay, y) - 1) / 2.0 ry from {_PAIRS}), c as (select x_assay, y_assay, count(*) n, corr(x, y) pearson, corr(rx, ry) spearman from r group by 1, 2)"
+
+
+@query("st8_correlation_p_values", f"{_RHO}, t as (select *, spearman * sqrt((n - 2) / greatest(1 - spearman ** 2, 1e-300)) t from c where n >= 10 and spearman is not null) select x_assay, y_assay, n, round(spearman, 6) spearman, round({sql_t_two_sided('t', '(n - 2)')}, 6) p from t")
 def st8p(spark, d):
     c = S.correlations(pair_frame(spark, d), "x", "y", ["x_assay", "y_assay"], least=10)
     t = F.col("spearman") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("spearman") ** 2, F.lit(1e-300)))
-    return c.withColumn("p", t_p_value(t, (F.col("n") - 2).cast("double")))
+    return r6(c.where("spearman is not null").withColumn("p", t_p_value(t, (F.col("n") - 2).cast("double"))), "spearman", "p").drop("pearson")
 
 
 @query("st10_ols", "select l_suppkey s, count(*) n, round(covar_pop(l_quantity, l_extendedprice) / var_pop(l_quantity), 4) slope, round(avg(l_extendedprice) - covar_pop(l_quantity, l_extendedprice) / var_pop(l_quantity) * avg(l_quantity), 4) intercept, round(sqrt(greatest(count(*) * (var_pop(l_extendedprice) - covar_pop(l_quantity, l_extendedprice) ** 2 / var_pop(l_quantity)), 0) / greatest(count(*) - 2, 1) / (count(*) * var_pop(l_quantity))), 4) se_slope from lineitem group by 1")
@@ -162,10 +167,14 @@ def st37(spark, d):
     return p.groupBy(F.col("p_brand").alias("term")).agg(F.count("*").alias("m"), F.count_if(hit).alias("k")).crossJoin(F.broadcast(u))
 
 
-@query("st37_overrepresentation_p")
+_CHOOSE = "lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - ({b}) + 1)"
+_TAIL = f"list_sum(list_transform(range(k, least(m, d) + 1), lambda i: case when d - i <= n - m then exp({_CHOOSE.format(a='m', b='i')} + {_CHOOSE.format(a='(n - m)', b='d - i')} - ({_CHOOSE.format(a='n', b='d')})) else 0 end))"
+
+
+@query("st37_overrepresentation_p", f"with u as (select count(*) n, count(*) filter (p_retailprice > 930) d from part), c as (select p_brand term, count(*) m, count(*) filter (p_retailprice > 930) k, any_value(n) n, any_value(d) d from part, u group by 1) select term, m, k, n, d, round({_TAIL}, 6) p from c")
 def st37p(spark, d):
     c = st37(spark, d)
-    return c.withColumn("p", hypergeom_p_value("k", "n", "m", "d"))
+    return r6(c.withColumn("p", hypergeom_p_value("k", "n", "m", "d")), "p")
 
 
 @query("st42_axis_cap", "with t as (select assay, abs(v) a, row_number() over (partition by assay order by abs(v) desc) r from (select olinkid assay, npx v from olink_long where npx is not null and not isnan(npx))) select assay, case when max(a) filter (r = 2) > 0 and max(a) filter (r = 1) > 3 * max(a) filter (r = 2) then max(a) filter (r = 2) end cap, max(a) filter (r = 1) largest from t where r <= 2 group by 1")

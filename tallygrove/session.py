@@ -93,5 +93,6 @@ class Stash:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    """The bytes of the tables that a frame reads, by the optimizer's statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
