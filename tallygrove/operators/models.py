@@ -90,40 +90,49 @@ def mediate(y: np.ndarray, m: np.ndarray, common: np.ndarray, treat: np.ndarray,
 
 
 # --- repeated measures -----------------------------------------------------------------------------------------------
-def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, contrasts: np.ndarray, steps: int = 60) -> dict[str, np.ndarray]:
-    """Mixed model for repeated measures: unstructured covariance over visits, REML, Satterthwaite degrees of freedom.
-
-    Subjects may lack visits. The covariance is parametrised by the log-Cholesky factor and fitted by Newton steps on the
-    profiled REML criterion with numeric derivatives, halved until it falls. Returns the contrasts' estimates, standard
-    errors, df, t, P and the covariance matrix.
+def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, contrasts: np.ndarray, steps: int = 60, group: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Mixed model for repeated measures: unstructured covariance over visits, REML, Kenward-Roger errors and df (linear).
+
+    Subjects may lack visits. With `group` (one label per row, constant within a subject) each group has a covariance of its
+    own. Covariances are parametrised by their log-Cholesky factors and fitted by Newton steps on the profiled REML
+    criterion with numeric derivatives, halved until it falls. The coefficients' covariance gets Kenward and Roger's
+    small-sample correction, without second derivatives of the covariance, which vanish in its elements; the inverse of
+    the observed information of these elements is their covariance. For one-row contrasts Kenward and Roger's df equals
+    Satterthwaite's, and the F scale is 1. Returns the contrasts' estimates, errors (`se_plain` uncorrected), df, t, P and
+    the covariances.
     """
     visits = np.unique(visit)
     k = len(visits)
-    if not len(contrasts) or len(y) < x.shape[1] + k * (k + 1) // 2 + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
+    kinds = np.unique(group) if group is not None else np.array([0])
+    tri = [(i, j) for i in range(k) for j in range(i + 1)]
+    m = len(tri)
+    if not len(contrasts) or len(y) < x.shape[1] + m * len(kinds) + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
         raise NotEstimable(f"{len(y)} rows for {x.shape[1]} coefficients and {k} visits")
     at = np.searchsorted(visits, visit)
+    of = np.searchsorted(kinds, group) if group is not None else np.zeros(len(y), np.int64)
     order = np.lexsort((at, subject))
-    y, x, subject, at = y[order], x[order], subject[order], at[order]
+    y, x, subject, at, of = y[order], x[order], subject[order], at[order], of[order]
     starts = np.flatnonzero(np.r_[True, subject[1:] != subject[:-1]])
-    # subjects with the same visits share one covariance block
+    # subjects of a group with the same visits share one covariance block
     blocks: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
     for a, b in zip(starts, np.r_[starts[1:], len(y)], strict=True):
-        blocks.setdefault(tuple(at[a:b]), []).append((x[a:b], y[a:b]))
-    groups = [(np.array(p), np.stack([u for u, _ in v]), np.stack([w for _, w in v])) for p, v in blocks.items()]
-    tri = [(i, j) for i in range(k) for j in range(i + 1)]
+        blocks.setdefault((of[a], *at[a:b]), []).append((x[a:b], y[a:b]))
+    groups = [(p[0], np.array(p[1:]), np.stack([u for u, _ in v]), np.stack([w for _, w in v])) for p, v in blocks.items()]
     p = x.shape[1]
 
-    def sigma(theta: np.ndarray) -> np.ndarray:
-        low = np.zeros((k, k))
-        for t, (i, j) in zip(theta, tri, strict=True):
-            low[i, j] = math.exp(np.clip(t, -30, 30)) if i == j else t
-        return low @ low.T
+    def sigmas(theta: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for g in range(len(kinds)):
+            low = np.zeros((k, k))
+            for t, (i, j) in zip(theta[g * m : (g + 1) * m], tri, strict=True):
+                low[i, j] = math.exp(np.clip(t, -30, 30)) if i == j else t
+            out.append(low @ low.T)
+        return out
 
-    def parts(theta: np.ndarray):
-        s = sigma(theta)
+    def parts(covs: list[np.ndarray]):
         xtx, xty, yty, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for pattern, bx, by in groups:
-            own = s[np.ix_(pattern, pattern)]
+        for g, pattern, bx, by in groups:
+            own = covs[g][np.ix_(pattern, pattern)]
             sign, ld = np.linalg.slogdet(own)
             if sign <= 0:
                 return None
@@ -134,8 +143,8 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
             logdet += ld * len(by)
         return xtx, xty, yty, logdet
 
-    def reml(theta: np.ndarray) -> float:
-        got = parts(theta)
+    def criterion(covs: list[np.ndarray]) -> float:
+        got = parts(covs)
         if got is None:
             return math.inf
         xtx, xty, yty, logdet = got
@@ -144,24 +153,25 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
             return math.inf
         return logdet + ld + yty - float(xty @ np.linalg.solve(xtx, xty))
 
+    reml = lambda theta: criterion(sigmas(theta))
     resid = ols(x, y)[2]
-    theta = np.array([math.log(max(resid[at == i].std(), 1e-3)) if i == j else 0.0 for i, j in tri])
-
-    def derivatives(fn, t0: np.ndarray, h: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-        m, f0 = len(t0), fn(t0)
-        g, hess = np.zeros(m), np.zeros((m, m))
-        e = np.eye(m) * h
-        plus, minus = [fn(t0 + e[i]) for i in range(m)], [fn(t0 - e[i]) for i in range(m)]
-        for i in range(m):
-            g[i] = (plus[i] - minus[i]) / (2 * h)
-            hess[i, i] = (plus[i] - 2 * f0 + minus[i]) / h**2
+    theta = np.array([math.log(max(resid[(at == i) & (of == g)].std() if ((at == i) & (of == g)).any() else 1.0, 1e-3)) if i == j else 0.0 for g in range(len(kinds)) for i, j in tri])
+
+    def derivatives(fn, t0: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q, f0 = len(t0), fn(t0)
+        g, hess = np.zeros(q), np.zeros((q, q))
+        e = np.diag(h)
+        plus, minus = [fn(t0 + e[i]) for i in range(q)], [fn(t0 - e[i]) for i in range(q)]
+        for i in range(q):
+            g[i] = (plus[i] - minus[i]) / (2 * h[i])
+            hess[i, i] = (plus[i] - 2 * f0 + minus[i]) / h[i] ** 2
             for j in range(i):
-                hess[i, j] = hess[j, i] = (fn(t0 + e[i] + e[j]) - plus[i] - plus[j] + 2 * f0 - minus[i] - minus[j] + fn(t0 - e[i] - e[j])) / (2 * h**2)
+                hess[i, j] = hess[j, i] = (fn(t0 + e[i] + e[j]) - plus[i] - plus[j] + 2 * f0 - minus[i] - minus[j] + fn(t0 - e[i] - e[j])) / (2 * h[i] * h[j])
         return g, hess
 
     value = reml(theta)
     for _ in range(steps):
-        g, hess = derivatives(reml, theta)
+        g, hess = derivatives(reml, theta, np.full(len(theta), 1e-4))
         vals, vecs = np.linalg.eigh(hess)
         step = vecs @ ((vecs.T @ g) / np.maximum(np.abs(vals), 1e-6))
         scale = 1.0
@@ -175,25 +185,75 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
         value = fresh
         if done:
             break
-    xtx, xty, _, _ = parts(theta)
-    cov = np.linalg.inv(xtx)
-    beta = cov @ xty
+    covs = sigmas(theta)
+    xtx, xty, _, _ = parts(covs)
+    phi = np.linalg.inv(xtx)
+    beta = phi @ xty
     est = contrasts @ beta
-    var = np.einsum("cp,pq,cq->c", contrasts, cov, contrasts)
-    _, hess = derivatives(reml, theta)
-    info = np.linalg.pinv(hess / 2)  # the criterion is -2 log REML: its half has the inverse variance of theta
-    grad = np.zeros((len(theta), len(contrasts)))
-    for i in range(len(theta)):
-        e = np.zeros(len(theta))
-        e[i] = 1e-4
-        up, down = (np.linalg.inv(parts(theta + s * e)[0]) for s in (1, -1))
-        grad[i] = (np.einsum("cp,pq,cq->c", contrasts, up, contrasts) - np.einsum("cp,pq,cq->c", contrasts, down, contrasts)) / 2e-4
+    plain = np.einsum("cp,pq,cq->c", contrasts, phi, contrasts)
+
+    # in the elements of the covariances: P_i = -X' W D_i W X, Q_ij = X' W D_i W D_j W X, with D_i the derivative of V
+    elements = np.concatenate([[c[i, j] for i, j in tri] for c in covs])
+
+    def of_elements(v: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for g in range(len(kinds)):
+            c = np.zeros((k, k))
+            for t, (i, j) in zip(v[g * m : (g + 1) * m], tri, strict=True):
+                c[i, j] = c[j, i] = t
+            out.append(c)
+        return out
+
+    size = np.concatenate([[math.sqrt(c[i, i] * c[j, j]) for i, j in tri] for c in covs])
+    _, hess = derivatives(lambda v: criterion(of_elements(v)), elements, 1e-3 * size)
+    info = np.linalg.pinv(hess / 2)  # the criterion is -2 log REML: its half has the inverse covariance of the elements
+    total = len(elements)
+    first, second = np.zeros((total, p, p)), np.zeros((total, total, p, p))
+    for g, pattern, bx, _ in groups:
+        w = np.linalg.inv(covs[g][np.ix_(pattern, pattern)])
+        slopes = {}
+        for q, (i, j) in enumerate(tri):
+            d = np.zeros((k, k))
+            d[i, j] = d[j, i] = 1.0
+            slopes[g * m + q] = d[np.ix_(pattern, pattern)]
+        for i, d in slopes.items():
+            first[i] -= np.einsum("nip,ij,njq->pq", bx, w @ d @ w, bx, optimize=True)
+            for j, e in slopes.items():
+                second[i, j] += np.einsum("nip,ij,njq->pq", bx, w @ d @ w @ e @ w, bx, optimize=True)
+    inner = np.einsum("ij,ijpq->pq", info, second) - np.einsum("ij,ipa,ab,jbq->pq", info, first, phi, first, optimize=True)
+    adjusted = phi + 2 * phi @ ((inner + inner.T) / 2) @ phi
+    var = np.einsum("cp,pq,cq->c", contrasts, adjusted, contrasts)
+    grad = -np.einsum("cp,pa,iab,bq,cq->ic", contrasts, phi, first, phi, contrasts, optimize=True)
     spread = np.einsum("ic,ij,jc->c", grad, info, grad)
-    df = np.where(spread > 0, 2 * var**2 / np.maximum(spread, 1e-300), len(starts) - 1.0)
+    df = np.where(spread > 0, 2 * plain**2 / np.maximum(spread, 1e-300), len(starts) - 1.0)
     df = np.clip(df, 1.0, len(y) - p)
-    se = np.sqrt(var)
+    se = np.sqrt(np.maximum(var, plain * 1e-6))
     t = est / se
-    return {"estimate": est, "se": se, "df": df, "t": t, "p": t_two_sided(t, df), "beta": beta, "sigma": sigma(theta), "reml": np.array([value])}
+    return {"estimate": est, "se": se, "se_plain": np.sqrt(plain), "df": df, "t": t, "p": t_two_sided(t, df), "beta": beta, "sigma": covs[0], "sigmas": np.array(covs), "reml": np.array([value]), "score": derivatives(reml, theta, np.full(len(theta), 1e-4))[0]}
+
+
+def cell_design(cells: Sequence[tuple], covariates: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Cell-means design of the observed cells and centred covariates (means weighted by observed frequency, so that a cell's
+    coefficient is its least-squares mean under proportional weights), and the cells in order."""
+    levels = sorted(set(cells), key=lambda c: tuple(map(str, c)))
+    number = {c: i for i, c in enumerate(levels)}
+    x = np.zeros((len(cells), len(levels)))
+    x[np.arange(len(cells)), [number[c] for c in cells]] = 1.0
+    z = covariates - covariates.mean(axis=0) if covariates.size else np.zeros((len(cells), 0))
+    return np.column_stack([x, z]), levels
+
+
+def cell_contrasts(levels: Sequence[tuple], width: int, wanted: Sequence[dict[tuple, float]]) -> np.ndarray:
+    """Contrast rows from cell weights; a contrast with a cell that was not observed is all NaN."""
+    number = {c: i for i, c in enumerate(levels)}
+    out = np.zeros((len(wanted), width))
+    for r, weights in enumerate(wanted):
+        for cell, w in weights.items():
+            if cell in number:
+                out[r, number[cell]] = w
+            else:
+                out[r] = np.nan
+    return out
 
 
 def arm_visit_design(arm: Sequence, visit: Sequence, covariates: np.ndarray, control) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
@@ -301,52 +361,141 @@ def knn_impute(x: np.ndarray, donors: np.ndarray | None = None, k: int = 5, bloc
     return out
 
 
-def ridge_out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alphas: Sequence[float]) -> tuple[np.ndarray, float]:
-    """Out-of-fold ridge predictions at the penalty with the least out-of-fold error; columns standardised on the training part."""
-    best = (math.inf, np.full(len(y), y.mean()), float(alphas[0]))
+#: Ridge penalties that cross-validation chooses from: thirteen, half a decade apart, from 1e-2 to 1e4.
+RIDGE_ALPHAS = tuple(10.0 ** (-2 + 0.5 * i) for i in range(13))
+
+
+def scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """Columns standardised by the training rows' mean and sd."""
+    m, s = train.mean(axis=0), train.std(axis=0)
+    s = np.where(s > 0, s, 1.0)
+    return [(v - m) / s for v in (train, *others)]
+
+
+def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept with penalty alpha on the centred problem."""
+    mx, my = x.mean(axis=0), y.mean()
+    z = x - mx
+    b = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - my))
+    return b, float(my - mx @ b)
+
+
+def grouped_ridge(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alphas: Sequence[float] = RIDGE_ALPHAS) -> tuple[np.ndarray, float, float]:
+    """Ridge whose penalty has the least summed squared error over given (grouped) folds, the smallest on a tie; refitted on
+    all rows. Coefficients, intercept, penalty."""
+    best = (math.inf, float(alphas[0]))
     for alpha in alphas:
-        pred = np.full(len(y), np.nan)
+        sse = 0.0
         for f in np.unique(fold):
             tr, te = fold != f, fold == f
-            if tr.sum() < 2:
-                pred[te] = y.mean()
+            if tr.any():
+                b, c = ridge(x[tr], y[tr], alpha)
+                sse += float(((y[te] - x[te] @ b - c) ** 2).sum())
+        if sse < best[0]:
+            best = (sse, float(alpha))
+    b, c = ridge(x, y, best[1])
+    return b, c, best[1]
+
+
+def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, steps: int = 2000, tol: float = 1e-9) -> tuple[np.ndarray, float]:
+    """Minimum of |y - xb - c|^2 / 2n + alpha (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2) by cyclic coordinate descent."""
+    n, p = x.shape
+    mx, my = x.mean(axis=0), y.mean()
+    z = x - mx
+    gram, q = z.T @ z / n, z.T @ (y - my) / n
+    b = np.zeros(p)
+    for _ in range(steps):
+        moved = 0.0
+        for j in range(p):
+            if gram[j, j] <= 0:
                 continue
-            m, s = x[tr].mean(axis=0), x[tr].std(axis=0)
-            z = (x - m) / np.where(s > 0, s, 1.0)
-            b = np.linalg.solve(z[tr].T @ z[tr] + alpha * np.eye(x.shape[1]), z[tr].T @ (y[tr] - y[tr].mean()))
-            pred[te] = y[tr].mean() + z[te] @ b
-        err = float(((pred - y) ** 2).mean())
-        if err < best[0]:
-            best = (err, pred, float(alpha))
-    return best[1], best[2]
-
-
-def logistic_out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Out-of-fold probabilities of an L2 logistic model with balanced class weights, by Newton steps."""
+            r = q[j] - gram[j] @ b + gram[j, j] * b[j]
+            fresh = math.copysign(max(abs(r) - alpha * l1_ratio, 0.0), r) / (gram[j, j] + alpha * (1 - l1_ratio))
+            moved, b[j] = max(moved, abs(fresh - b[j])), fresh
+        if moved < tol:
+            break
+    return b, float(my - mx @ b)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, penalty: str = "l2", steps: int = 3000, tol: float = 1e-8) -> tuple[np.ndarray, float]:
+    """Logistic model with balanced class weights and penalty |b|^2 / 2 or |b|_1 against c times the loss: accelerated
+    proximal gradient steps, the intercept free."""
+    n1 = y.sum()
+    w = c * np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * (len(y) - n1)))
+    z = np.column_stack([np.ones(len(x)), x])
+    bound = 0.25 * np.linalg.eigvalsh((z * w[:, None]).T @ z).max() + (1.0 if penalty == "l2" else 0.0)
+    b = np.zeros(z.shape[1])
+    v, turn = b.copy(), 1.0
+    for _ in range(steps):
+        g = z.T @ (w * (1 / (1 + np.exp(-np.clip(z @ v, -30, 30))) - y))
+        if penalty == "l2":
+            g[1:] += v[1:]
+        fresh = v - g / bound
+        if penalty == "l1":
+            fresh[1:] = np.sign(fresh[1:]) * np.maximum(np.abs(fresh[1:]) - 1 / bound, 0.0)
+        again = (1 + math.sqrt(1 + 4 * turn * turn)) / 2
+        if (v - fresh) @ (fresh - b) > 0:  # restart where momentum points uphill
+            again, v = 1.0, fresh
+        else:
+            v = fresh + (turn - 1) / again * (fresh - b)
+        moved = np.abs(fresh - b).max()
+        b, turn = fresh, again
+        if moved < tol:
+            break
+    return b[1:], float(b[0])
+
+
+def logistic_out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, c: float = 1.0, penalty: str = "l2") -> np.ndarray:
+    """Out-of-fold probabilities; columns standardised on the training part. A fold whose training part has one class gets it."""
     out = np.full(len(y), np.nan)
     for f in np.unique(fold):
         tr, te = fold != f, fold == f
-        m, s = x[tr].mean(axis=0), x[tr].std(axis=0)
-        z = np.column_stack([np.ones(len(x)), (x - m) / np.where(s > 0, s, 1.0)])
         n1 = y[tr].sum()
         if n1 in (0, tr.sum()):
             out[te] = float(n1 > 0)
             continue
-        w = np.where(y[tr] == 1, tr.sum() / (2 * n1), tr.sum() / (2 * (tr.sum() - n1)))
-        pen = np.r_[0.0, np.full(x.shape[1], 1 / c)]
-        b = np.zeros(z.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z[tr] @ b, -30, 30)))
-            g = z[tr].T @ (w * (p - y[tr])) + pen * b
-            h = (z[tr] * (w * p * (1 - p))[:, None]).T @ z[tr] + np.diag(pen + 1e-9)
-            step = np.linalg.solve(h, g)
-            b -= step
-            if np.abs(step).max() < 1e-9:
-                break
-        out[te] = 1 / (1 + np.exp(-np.clip(z[te] @ b, -30, 30)))
+        zt, ze = scaled(x[tr], x[te])
+        b, b0 = logistic(zt, y[tr], c, penalty)
+        out[te] = 1 / (1 + np.exp(-np.clip(ze @ b + b0, -30, 30)))
     return out
 
 
+def regress_out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, inner: np.ndarray, model: str = "ridge", alpha: float = 0.1667, l1_ratio: float = 0.5, clip: float | None = None) -> dict[str, np.ndarray]:
+    """Out-of-fold predictions and bias-corrected residuals of `ridge` (penalty by grouped folds) or `elasticnet`.
+
+    `fold` and `inner` are two independent groupings of the rows by subject. Residuals are predicted minus actual. From them
+    a line in the actual value is taken that is fitted, for each outer fold, on its training rows' inner out-of-fold
+    residuals, so that held-out values never enter it.
+    """
+    def fitted(xt: np.ndarray, yt: np.ndarray, ft: np.ndarray, xe: np.ndarray) -> np.ndarray:
+        zt, ze = scaled(xt, xe)
+        if clip is not None:
+            zt, ze = np.clip(zt, -clip, clip), np.clip(ze, -clip, clip)
+        if model == "elasticnet":
+            b, b0 = elastic_net(zt, yt, alpha, l1_ratio)
+        else:
+            b, b0, _ = grouped_ridge(zt, yt, ft)
+        return ze @ b + b0
+
+    pred, corrected = np.full(len(y), np.nan), np.full(len(y), np.nan)
+    for f in np.unique(fold):
+        tr, te = fold != f, fold == f
+        if tr.sum() < 3:
+            pred[te] = y.mean()
+            corrected[te] = pred[te] - y[te]
+            continue
+        pred[te] = fitted(x[tr], y[tr], inner[tr], x[te])
+        own = np.full(tr.sum(), np.nan)
+        for g in np.unique(inner[tr]):
+            a, b = inner[tr] != g, inner[tr] == g
+            own[b] = fitted(x[tr][a], y[tr][a], inner[tr][a], x[tr][b]) if a.sum() >= 3 else y[tr].mean()
+        yt = y[tr]
+        slope = float(((yt - yt.mean()) * (own - yt)).sum() / max(((yt - yt.mean()) ** 2).sum(), 1e-300))
+        line = (own - yt).mean() + slope * (y[te] - yt.mean())
+        corrected[te] = pred[te] - y[te] - line
+    return {"predicted": pred, "corrected": corrected}
+
+
 # --- matrices of samples ---------------------------------------------------------------------------------------------
 def principal_scores(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, loadings and variance shares of the first k components of the standardised columns (NaN: column median);
@@ -362,6 +511,23 @@ def principal_scores(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return u[:, :k] * d[:k] * sign, vt[:k].T * sign, share[:k]
 
 
+def outlier_components(x: np.ndarray, fit: np.ndarray, weights: np.ndarray, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all rows on the first k components of the fit rows, and the same in the fit rows' standard deviations.
+
+    Columns are standardised by the fit rows and scaled by the root of their weights; missing cells must be imputed."""
+    if fit.sum() < 3 or x.shape[1] < 2:
+        raise NotEstimable("the fit needs three rows and two columns")
+    m, s = x[fit].mean(axis=0), x[fit].std(axis=0)
+    z = (x - m) / np.where(s > 0, s, 1.0) * np.sqrt(weights)
+    centre = z[fit].mean(axis=0)
+    _, _, vt = np.linalg.svd(z[fit] - centre, full_matrices=False)
+    v = vt[: min(k, len(vt))]
+    v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
+    scores = (z - centre) @ v.T
+    sd = scores[fit].std(axis=0)
+    return scores, scores / np.where(sd > 0, sd, 1.0)
+
+
 def without_components(z: np.ndarray, fit: np.ndarray, k: int) -> np.ndarray:
     """Rows of z with the first k right singular directions of the fit rows projected out."""
     _, _, vt = np.linalg.svd(z[fit], full_matrices=False)

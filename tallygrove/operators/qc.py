@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.operators.stats import MAD_SCALE, exact_quantiles, finite, hazen_quantile, median_mad
+from tallygrove.operators.stats import MAD_SCALE, correlations, exact_quantiles, finite, hazen_quantile, median_mad
 
 
 def run_hierarchy(rows: DataFrame, sample: str, run: str, block: str, failed: Column) -> DataFrame:
@@ -116,6 +116,26 @@ def median_iqr_outliers(rows: DataFrame, value: str, sample: str, k: float = 5.0
     return out.select(sample, "n", "in_fit", "med", "iqr", "z_med", "z_iqr", ((F.abs("z_med") > k) | (F.abs("z_iqr") > k)).alias("outlier"))
 
 
+def window_end(status: Column, last_dose: Column, days: int, stops: Sequence[Column] = ()) -> Column:
+    """End of the on-treatment window: for DISCONTINUED the last dose plus `days`, none from dosing otherwise; the earliest
+    stop date moves it forward. A discontinued subject without a last dose has no window."""
+    out = status == "DISCONTINUED"
+    base = F.when(out, F.date_add(last_dose, days))
+    first = F.least(base, *stops) if stops else base  # nulls do not count
+    return F.when(~F.coalesce(out & last_dose.isNull(), F.lit(False)), first)
+
+
+def duplicate_agreement(values: DataFrame, duplicates: DataFrame, assay: str, sample: str, value: str, least: float = 0.8) -> DataFrame:
+    """(assay, kept, n, spearman, label) of every dropped duplicate and the assay kept in its place, over the samples of both:
+    `concordant` from `least` up, `discordant` below, `unknown` without a correlation."""
+    pairs = duplicates.where("dropped").select(F.col(assay).alias("a"), F.col("kept").alias("b"))
+    side = lambda k, v: values.select(F.col(assay).alias(k), F.col(sample).alias("s"), F.col(value).alias(v))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "s"])
+    rho = correlations(met, "x", "y", ["a", "b"], least=3).select("a", "b", "n", "spearman")
+    label = F.when(F.col("spearman") >= least, "concordant").when(F.col("spearman") < least, "discordant").otherwise("unknown")
+    return pairs.join(rho, ["a", "b"], "left").select(F.col("a").alias(assay), F.col("b").alias("kept"), F.coalesce("n", F.lit(0)).alias("n"), "spearman", label.alias("label"))
+
+
 def rejudged_flags(flags: DataFrame, moved: DataFrame, unit: str, flag: str, rules: dict[str, Column]) -> DataFrame:
     """Flags after units got new labels: of the moved units, the flags that `rules` names hold exactly where the rule does on
     the new labels (null counts as not); all other flags stay."""

@@ -286,6 +286,23 @@ def stable_fold(key: Column, folds: int, salt: str = "") -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("/"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
 
 
+def digest_folds(df: DataFrame, key: str, folds: int, seed: int = 0, salt: str = "outer") -> DataFrame:
+    """(key, fold) of every distinct key: an 8-byte BLAKE2b digest of seed, salt and key, modulo the number of folds.
+
+    A key's fold depends on nothing else, and partitions of different salts are independent. Distinct keys are hashed in
+    Arrow batches, as no built-in function gives this digest."""
+    import hashlib
+
+    import pandas as pd
+
+    def fold(keys):
+        number = lambda k: int.from_bytes(hashlib.blake2b(f"{seed}\x1f{salt}\x1f{k}".encode(), digest_size=8).digest(), "big")
+        return keys.map(lambda k: None if k is None else number(k) % folds).astype("Int32")
+
+    fold.__annotations__ = {"keys": pd.Series, "return": pd.Series}
+    return df.select(key).distinct().withColumn("fold", F.pandas_udf(fold, "int")(F.col(key).cast("string")))
+
+
 def partial_correlation(df: DataFrame, x: str, y: str, given: str, by: Sequence[str], least: int = 4) -> DataFrame:
     """Correlation of x and y per group after removal of a third variable, on rows where all three are finite; null below
     `least` rows or where two of them determine each other."""

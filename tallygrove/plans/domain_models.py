@@ -1,5 +1,6 @@
-"""Queries of models and numeric kernels. They have no
-SQL statement and are tested against closed forms, brute force and simulated truth in tests/test_models.py."""
+"""Queries of models and numeric kernels. Fits that SQL cannot
+state are tested against closed forms, brute force and simulated truth in tests/test_models.py, and their `_checks` queries
+compare what must hold of every fit (rows, scores of zero, sums, bounds) with SQL."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from tallygrove.operators import models as M
 from tallygrove.operators import stats as S
 from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
-from tallygrove.plans.statistics import olink, soma
+from tallygrove.plans.statistics import OLINK_SQL, olink, soma
 from tallygrove.sources.tables import nan_to_null
 
 REG = Registry()
@@ -31,6 +32,22 @@ def repeated(spark, d):
     return per.where("visitnum in (8, 20)").join(base, ["platform", "usubjid"]).join(s, "usubjid").withColumn("diff", F.col("y") - F.col("baseline"))
 
 
+def repeated_assays(spark, d):
+    """Rows of `repeated` for every analyte: a tube's participant and visit come from its first manifest row."""
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null and visitnum in (2, 8, 20)")
+    t = m.groupBy(F.col("sampleid").alias("sample")).agg(F.min_by("usubjid", "row_id").alias("usubjid"), F.min_by("visitnum", "row_id").cast("int").alias("visitnum"))
+    y = assay_samples(olink(spark, d)).join(t, "sample").groupBy("assay", "usubjid", "visitnum").agg(F.avg("v").alias("y"))
+    base = y.where("visitnum = 2").select("assay", "usubjid", F.col("y").alias("baseline"))
+    s = subjects(spark, d).where("sex in ('F', 'M') and age is not null and trt01a is not null")
+    return y.where("visitnum in (8, 20)").join(base, ["assay", "usubjid"]).join(s, "usubjid").withColumn("diff", F.col("y") - F.col("baseline"))
+
+
+_REPEATED = K.sql(f"""(with t as (select sampleid sample, arg_min(usubjid, row_id) who, arg_min(visitnum, row_id) visit from manifest where sampleid is not null and usubjid is not null and visitnum in (2, 8, 20) group by 1),
+  v as (select assay, sample, avg(v) v from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null group by 1, 2), y as (select assay, who, visit, avg(v) y from v join t using (sample) group by 1, 2, 3),
+  s as (select usubjid who, arg_min(sex, row_id) sex, arg_min(age, row_id) age, arg_min(trt01a, row_id) arm from adsl where deleted_at is null group by 1)
+  select a.assay, who, a.visit, a.y - b.y as diff, b.y baseline, sex, age, arm from y a join (select assay, who, y from y where visit = 2) b using (assay, who) join s using (who) where a.visit in (8, 20) and sex in ('F', 'M') and age is not null and arm is not null)""")
+
+
 def assay_samples(df):
     return df.where("sampletype = 'SAMPLE' and sample is not null").groupBy("assay", "sample").agg(F.avg("v").alias("v"))
 
@@ -38,14 +55,26 @@ def assay_samples(df):
 @query("st9_mixture_cut")
 def st9(spark, d):
     v = assay_samples(olink(spark, d))
-    fit = lambda pdf: pd.DataFrame([M.two_gaussians(pdf.v.to_numpy())])
-    return M.per_group(v, ["assay"], ["sample"], fit, "mean_low double, mean_high double, var_low double, var_high double, weight_high double, cut double, loglik double")
+    fit = lambda pdf: pd.DataFrame([{**M.two_gaussians(pdf.v.to_numpy()), "n": len(pdf)}])
+    return M.per_group(v, ["assay"], ["sample"], fit, "mean_low double, mean_high double, var_low double, var_high double, weight_high double, cut double, loglik double, n long")
 
 
-@query("st12_mediation_bootstrap")
-def st12(spark, d):
-    """Mediation of arm on change by weight, per platform and visit."""
-    rows = repeated(spark, d).where("weight is not null")
+@query("st9_mixture_checks", f"with v as (select assay, sample, avg(v) v from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null group by 1, 2) select assay, count(*) n, round(avg(v), 4) mean, true as ordered, true as better_than_one from v group by 1")
+def st9_checks(spark, d):
+    """The mixture's mean is the sample's, its means are in order around the cut, and it fits no worse than one component."""
+    f = st9(spark, d)
+    one = assay_samples(olink(spark, d)).groupBy("assay").agg(F.var_pop("v").alias("var"))
+    mean = F.col("mean_low") * (1 - F.col("weight_high")) + F.col("mean_high") * F.col("weight_high")
+    single = -0.5 * (F.log(2 * np.pi * F.col("var")) + 1)
+    return f.join(one, "assay").select("assay", "n", F.round(mean, 4).alias("mean"), ((F.col("mean_low") <= F.col("cut")) & (F.col("cut") <= F.col("mean_high"))).alias("ordered"), (F.col("loglik") >= single - 0.01).alias("better_than_one"))
+
+
+def _mediation_rows(spark, d):
+    return repeated(spark, d).where("weight is not null")
+
+
+def _mediation(rows):
+    """100,000 bootstrap draws per platform and visit."""
 
     def fit(pdf):
         treat = (pdf.trt01a != "Placebo").to_numpy(float)
@@ -56,66 +85,148 @@ def st12(spark, d):
     return M.per_group(rows, ["platform", "visitnum"], ["usubjid"], fit, ", ".join([*names, "sobel_p double", "share_mediated double"]))
 
 
+@query("st12_mediation_bootstrap")
+def st12(spark, d):
+    """Mediation of arm on change by weight, per platform and visit."""
+    return _mediation(_mediation_rows(spark, d))
+
+
+@query("d62_mediation_checks", K.sql("select platform, visitnum, true as ordered, true as adds_up, true as p_on_grid from model_frame where visitnum in (8, 20) group by 1, 2"))
+def d62(spark, d):
+    """The mediation of every visit, fitted visit by visit with finished visits kept: intervals hold the estimate's order, the
+    effects add up, and P values are multiples of one draw's share."""
+    from tallygrove.plans.stages import by_visit
+    from tallygrove.session import Stash
+
+    rows = _mediation_rows(spark, d)
+    fitted = by_visit(rows, "visitnum", (8, 20), _mediation, Stash(spark).root)
+    whole = lambda c: F.abs(F.col(c) * 100_000 - F.round(F.col(c) * 100_000)) < 1e-4
+    return fitted.select("platform", "visitnum", ((F.col("indirect_low") <= F.col("indirect_high")) & (F.col("total_low") <= F.col("total_high"))).alias("ordered"), (F.abs(F.col("indirect_estimate") + F.col("direct_estimate") - F.col("total_estimate")) < 1e-9).alias("adds_up"), (whole("indirect_p") & whole("direct_p") & whole("total_p")).alias("p_on_grid"))
+
+
 @query("st14_mmrm_contrasts")
 def st14(spark, d):
-    """Arm contrasts of change at each visit: unstructured REML over visits, covariates baseline, age and sex."""
+    """Arm contrasts of change at each visit, a fit for each analyte: unstructured REML over visits, covariates baseline, age
+    and sex, Kenward-Roger errors and df."""
 
     def fit(pdf):
         cov = np.column_stack([pdf.baseline, pdf.age, (pdf.sex == "M").astype(float)])
         x, c, labels = M.arm_visit_design(pdf.trt01a.tolist(), pdf.visitnum.tolist(), cov, "Placebo" if (pdf.trt01a == "Placebo").any() else sorted(pdf.trt01a)[0])
         r = M.mmrm(pdf["diff"].to_numpy(), x, pd.factorize(pdf.usubjid)[0], pdf.visitnum.to_numpy(), c)
-        return pd.DataFrame({"arm": [a for a, _ in labels], "visit": [int(v) for _, v in labels], "estimate": r["estimate"], "se": r["se"], "df": r["df"], "p": r["p"]})
+        return pd.DataFrame({"arm": [a for a, _ in labels], "visit": [int(v) for _, v in labels], "estimate": r["estimate"], "se": r["se"], "df": r["df"], "p": r["p"], "rows": len(pdf), "score": float(np.abs(r["score"]).max()), "inflation": r["se"] / r["se_plain"]})
+
+    return M.per_group(repeated_assays(spark, d), ["assay"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, df double, p double, rows long, score double, inflation double")
+
+
+@query("st14_mmrm_checks", f"select assay, arm, visit::int visit, any_value(n) as rows, true as at_optimum, true as no_smaller_error, true as in_range from (select *, count(*) over (partition by assay) n from {_REPEATED}) where arm <> 'Placebo' group by 1, 2, 3")
+def st14_checks(spark, d):
+    """Every contrast is there, the criterion's slope is zero, the correction shrinks no error, df and P are in range."""
+    return st14(spark, d).select("assay", "arm", "visit", "rows", (F.col("score") < 0.05).alias("at_optimum"), (F.col("inflation") > 0.999).alias("no_smaller_error"), ((F.col("df") >= 1) & F.col("p").between(0, 1) & (F.col("se") > 0)).alias("in_range"))
+
 
-    return M.per_group(repeated(spark, d), ["platform"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, df double, p double")
+_BASE = K.sql("""(select platform, usubjid, y, sex, age, arm from (select platform, group_key usubjid, avg(y_value) y from model_frame where group_key is not null and visitnum = 2 and y_value is not null and not isnan(y_value) group by 1, 2)
+  join (select usubjid, arg_min(sex, row_id) sex, arg_min(age, row_id) age, arg_min(trt01a, row_id) arm from adsl where deleted_at is null group by 1) using (usubjid) where sex is not null and age is not null and arm is not null)""")
 
 
-@query("st15_baseline_ls_means")
+@query("st15_baseline_ls_means", f"""with b as (select platform, arm, y, age::double a, (sex = 'M')::int::double s from {_BASE}), g as (select platform, arm, count(*) n, avg(y) my, avg(a) ma, avg(s) ms from b group by 1, 2), t as (select platform, count(*) n, count(distinct arm) k, avg(a) ta, avg(s) ts from b group by 1),
+  w as (select platform, sum((a - ma) ** 2) aa, sum((a - ma) * (s - ms)) as_, sum((s - ms) ** 2) ss, sum((a - ma) * (y - my)) ay, sum((s - ms) * (y - my)) sy, sum((y - my) ** 2) yy from b join g using (platform, arm) group by 1),
+  c as (select *, aa * ss - as_ * as_ det, (ay * ss - sy * as_) / (aa * ss - as_ * as_) ba, (sy * aa - ay * as_) / (aa * ss - as_ * as_) bs from w)
+  select platform, arm, round(my - ba * (ma - ta) - bs * (ms - ts), 6) ls_mean, round(sqrt((yy - ba * ay - bs * sy) / (t.n - k - 2) * (1.0 / g.n + ((ma - ta) ** 2 * ss - 2 * (ma - ta) * (ms - ts) * as_ + (ms - ts) ** 2 * aa) / det)), 6) se from g join t using (platform) join c using (platform)""")
 def st15(spark, d):
-    """Arm means at baseline, covariates at their means."""
+    """Arm means at baseline with covariates at their means, the sexes weighted by their frequency."""
     m = K.table(spark, d, "model_frame").where("group_key is not null and visitnum = 2 and y_value is not null and not isnan(y_value)")
     rows = m.groupBy("platform", F.col("group_key").alias("usubjid")).agg(F.avg("y_value").alias("y")).join(subjects(spark, d).where("sex is not null and age is not null and trt01a is not null"), "usubjid")
 
     def fit(pdf):
-        arms = sorted(pdf.trt01a.unique())
-        cells = np.array([[1.0 if a == b else 0.0 for b in arms] for a in pdf.trt01a])
-        z = np.column_stack([pdf.age, (pdf.sex == "M").astype(float)])
-        b, se, _ = M.ols(np.column_stack([cells, z - z.mean(axis=0)]), pdf.y.to_numpy())
-        return pd.DataFrame({"arm": arms, "ls_mean": b[: len(arms)], "se": se[: len(arms)]})
+        x, arms = M.cell_design([(a,) for a in pdf.trt01a], np.column_stack([pdf.age, (pdf.sex == "M").astype(float)]))
+        b, se, _ = M.ols(x, pdf.y.to_numpy())
+        return pd.DataFrame({"arm": [a for (a,) in arms], "ls_mean": b[: len(arms)].round(6), "se": se[: len(arms)].round(6)})
 
     return M.per_group(rows, ["platform"], ["usubjid"], fit, "arm string, ls_mean double, se double")
 
 
 @query("st16_sex_interaction")
 def st16(spark, d):
-    """Difference between the sexes of the arm contrast at each visit, each sex with its own covariance."""
+    """Difference between the sexes of the arm contrast at each visit: one model with cells of sex, arm and visit and a
+    covariance for each sex; the contrast has the weights 1, -1, -1, 1."""
 
     def fit(pdf):
-        out = []
-        for sex, own in pdf.groupby("sex"):
-            cov = np.column_stack([own.baseline, own.age])
-            x, c, labels = M.arm_visit_design(own.trt01a.tolist(), own.visitnum.tolist(), cov, "Placebo")
-            r = M.mmrm(own["diff"].to_numpy(), x, pd.factorize(own.usubjid)[0], own.visitnum.to_numpy(), c)
-            out += [{"arm": a, "visit": int(v), "sex": sex, "e": e, "s": s, "df": f} for (a, v), e, s, f in zip(labels, r["estimate"], r["se"], r["df"], strict=True)]
-        t = pd.DataFrame(out)
-        f, m = t[t.sex == "F"].set_index(["arm", "visit"]), t[t.sex == "M"].set_index(["arm", "visit"])
-        both = f.join(m, lsuffix="_f", rsuffix="_m", how="inner").reset_index()
-        est, se = both.e_f - both.e_m, np.sqrt(both.s_f**2 + both.s_m**2)
-        df = se**4 / (both.s_f**4 / both.df_f + both.s_m**4 / both.df_m)
-        return pd.DataFrame({"arm": both.arm, "visit": both.visit, "estimate": est, "se": se, "df": df, "p": M.t_two_sided(est / se, df)})
+        cells = list(zip(pdf.sex, pdf.trt01a, pdf.visitnum, strict=True))
+        x, levels = M.cell_design(cells, np.column_stack([pdf.baseline, pdf.age]))
+        pairs = sorted({(a, v) for _, a, v in levels if a != "Placebo"})
+        wanted = [{("F", a, v): 1.0, ("F", "Placebo", v): -1.0, ("M", a, v): -1.0, ("M", "Placebo", v): 1.0} for a, v in pairs]
+        c = M.cell_contrasts(levels, x.shape[1], wanted)
+        ok = ~np.isnan(c).any(axis=1)
+        r = M.mmrm(pdf["diff"].to_numpy(), x, pd.factorize(pdf.usubjid)[0], pdf.visitnum.to_numpy(), c[ok], group=pdf.sex.to_numpy())
+        kept = [p for p, o in zip(pairs, ok, strict=True) if o]
+        return pd.DataFrame({"arm": [a for a, _ in kept], "visit": [int(v) for _, v in kept], "estimate": r["estimate"], "se": r["se"], "df": r["df"], "p": r["p"]})
+
+    return M.per_group(repeated_assays(spark, d), ["assay"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, df double, p double")
+
+
+@query("st17_genotype_cells")
+def st17(spark, d):
+    """Arm contrasts at each visit within carriers and others (here: participants with a close relative among the genomes):
+    one model with cells of class, arm and visit."""
+    kin = K.table(spark, d, "king_pairs").where("kinship > 0.2 and not isnan(kinship) and usubjid_1 <> usubjid_2")
+    kin = kin.select(F.explode(F.array("usubjid_1", "usubjid_2")).alias("usubjid")).distinct().withColumn("carrier", F.lit(True))
+    rows = repeated_assays(spark, d).join(kin, "usubjid", "left").withColumn("carrier", F.coalesce("carrier", F.lit(False)))
+
+    def fit(pdf):
+        cells = list(zip(pdf.carrier.astype(bool), pdf.trt01a, pdf.visitnum, strict=True))
+        x, levels = M.cell_design(cells, np.column_stack([pdf.baseline, pdf.age, (pdf.sex == "M").astype(float)]))
+        wanted = sorted((g, a, v) for g, a, v in levels if a != "Placebo")
+        c = M.cell_contrasts(levels, x.shape[1], [{(g, a, v): 1.0, (g, "Placebo", v): -1.0} for g, a, v in wanted])
+        ok = ~np.isnan(c).any(axis=1)
+        r = M.mmrm(pdf["diff"].to_numpy(), x, pd.factorize(pdf.usubjid)[0], pdf.visitnum.to_numpy(), c[ok])
+        kept = [w for w, o in zip(wanted, ok, strict=True) if o]
+        return pd.DataFrame({"carrier": [bool(w[0]) for w in kept], "arm": [w[1] for w in kept], "visit": [int(w[2]) for w in kept], "estimate": r["estimate"], "se": r["se"], "p": r["p"]})
+
+    return M.per_group(rows, ["assay"], ["usubjid", "visitnum"], fit, "carrier boolean, arm string, visit int, estimate double, se double, p double")
+
+
+@query("st11_residuals")
+def st11(spark, d):
+    """Change after removal of baseline, age and sex, per analyte and visit."""
+
+    def fit(pdf):
+        x = np.column_stack([np.ones(len(pdf)), pdf.baseline, pdf.age, (pdf.sex == "M").astype(float)])
+        return pd.DataFrame({"usubjid": pdf.usubjid, "arm": pdf.trt01a, "residual": M.ols(x, pdf["diff"].to_numpy())[2]})
+
+    return M.per_group(repeated_assays(spark, d), ["assay", "visitnum"], ["usubjid"], fit, "usubjid string, arm string, residual double")
 
-    return M.per_group(repeated(spark, d), ["platform"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, df double, p double")
+
+@query("st11_residual_checks", f"select assay, visit::int visitnum, count(*) n, 0.0::double as total, 0.0::double as with_baseline, 0.0::double as with_age, 0.0::double as with_sex, true as no_larger from {_REPEATED} group by 1, 2")
+def st11_checks(spark, d):
+    """Residuals are orthogonal to every covariate and vary no more than the changes."""
+    r = repeated_assays(spark, d).join(st11(spark, d).select("assay", "visitnum", "usubjid", "residual"), ["assay", "visitnum", "usubjid"])
+    zero = lambda c: F.round(F.abs(F.sum(F.col("residual") * c)), 5)
+    return r.groupBy("assay", "visitnum").agg(F.count("*").alias("n"), zero(F.lit(1.0)).alias("total"), zero(F.col("baseline")).alias("with_baseline"), zero(F.col("age")).alias("with_age"), zero((F.col("sex") == "M").cast("double")).alias("with_sex"), (F.var_pop("residual") <= F.var_pop("diff") + 1e-9).alias("no_larger"))
 
 
 @query("st18_variance_shares")
 def st18(spark, d):
-    """Shares of fixed effects, participants and error in each platform's values."""
-    m = K.table(spark, d, "model_frame").where("group_key is not null and y_value is not null and not isnan(y_value)").select("platform", F.col("group_key").alias("usubjid"), "visitnum", "y_value", "row_id")
+    """Shares of fixed effects (visit and arm), participants and error in each panel's principal components."""
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null and visitnum in (2, 8, 20)")
+    t = m.groupBy(F.col("sampleid").alias("sample")).agg(F.min_by("usubjid", "row_id").alias("usubjid"), F.min_by("visitnum", "row_id").cast("int").alias("visitnum"))
+    pcs = st19(spark, d).select("panel", "sample", F.explode(F.create_map(F.lit("pc1"), F.col("pc1"), F.lit("pc2"), F.col("pc2"))).alias("component", "y"))
+    rows = pcs.join(t, "sample").join(subjects(spark, d).where("trt01a is not null").select("usubjid", "trt01a"), "usubjid")
 
     def fit(pdf):
-        x = np.column_stack([np.ones(len(pdf)), M.dummies(pdf.visitnum.tolist())[0]])
-        return pd.DataFrame([M.random_intercept(pdf.y_value.to_numpy(), x, pdf.usubjid.to_numpy())])
+        x = np.column_stack([np.ones(len(pdf)), M.dummies(pdf.visitnum.tolist())[0], M.dummies(pdf.trt01a.tolist())[0]])
+        return pd.DataFrame([M.random_intercept(pdf.y.to_numpy(), x, pdf.usubjid.to_numpy())])
+
+    return M.per_group(rows, ["panel", "component"], ["usubjid", "sample"], fit, "var_subject double, var_error double, var_fixed double, share_fixed double, share_subject double, share_error double")
 
-    return M.per_group(m, ["platform"], ["usubjid", "row_id"], fit, "var_subject double, var_error double, var_fixed double, share_fixed double, share_subject double, share_error double")
+
+@query("st18_share_checks", "select panel, unnest(['pc1', 'pc2']) component, 1.0::double as total, true as in_range from (select distinct panel from olink_long)")
+def st18_checks(spark, d):
+    s = st18(spark, d)
+    shares = ("share_fixed", "share_subject", "share_error")
+    fine = F.lit(True)
+    for c in shares:
+        fine = fine & F.col(c).between(0, 1)
+    return s.select("panel", "component", F.round(F.col(shares[0]) + F.col(shares[1]) + F.col(shares[2]), 6).alias("total"), fine.alias("in_range"))
 
 
 def wide(pdf):
@@ -138,8 +249,29 @@ def st19(spark, d):
 
 @query("st20_pca_outliers")
 def st20(spark, d):
-    z = S.standardise(S.standardise(st19(spark, d), "pc1", ["panel"], sample=False, out="z1"), "pc2", ["panel"], sample=False, out="z2")
-    return z.select("panel", "sample", "z1", "z2", F.coalesce((F.abs("z1") > 5) | (F.abs("z2") > 5), F.lit(False)).alias("outlier"))
+    """Samples far out on one of two components: fitted on the samples whose rows all pass, columns weighted by detection
+    rate, gaps imputed from the fit samples; every sample is judged."""
+    o = K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null")
+    fits = o.groupBy(F.col("sampleid").alias("sample")).agg(F.bool_and(F.col("sampleqc") == "PASS").alias("fit"))
+    good = o.where("npx is not null and not isnan(npx) and abs(npx) < 40")
+    rates = good.where("lod is not null and not isnan(lod)").groupBy(F.col("olinkid").alias("assay")).agg(F.avg((F.col("npx") >= F.col("lod")).cast("double")).alias("rate"))
+    v = good.groupBy("panel", F.col("olinkid").alias("assay"), F.col("sampleid").alias("sample")).agg(F.avg("npx").alias("v")).join(rates, "assay").join(fits, "sample")
+
+    def fit(pdf):
+        x = wide(pdf)
+        own = pdf.groupby("sample").fit.first().reindex(x.index).to_numpy(bool)
+        w = pdf.groupby("assay").rate.first().reindex(x.columns).to_numpy(float)
+        full = M.knn_impute(x.to_numpy(), own)
+        _, z = M.outlier_components(full, own, w, 2)
+        return pd.DataFrame({"sample": x.index, "in_fit": own, "z1": z[:, 0], "z2": z[:, 1] if z.shape[1] > 1 else 0.0, "outlier": (np.abs(z) > 5).any(axis=1)})
+
+    return M.per_group(v, ["panel"], ["sample", "assay"], fit, "sample string, in_fit boolean, z1 double, z2 double, outlier boolean")
+
+
+@query("st20_outlier_checks", K.sql("with g as (select panel, sampleid s from olink_long where sampletype = 'SAMPLE' and sampleid is not null and npx is not null and not isnan(npx) and abs(npx) < 40 group by 1, 2), f as (select sampleid s, bool_and(sampleqc = 'PASS') ok from olink_long where sampletype = 'SAMPLE' and sampleid is not null group by 1) select panel, count(*) samples, count(*) filter (ok) fitted, 0.0::double as centre, 1.0::double as spread from g join f using (s) group by 1"))
+def st20_checks(spark, d):
+    """Fit samples have mean 0 and standard deviation 1 on each component."""
+    return st20(spark, d).groupBy("panel").agg(F.count("*").alias("samples"), F.count_if("in_fit").alias("fitted"), F.round(F.abs(F.avg(F.when(F.col("in_fit"), F.col("z1")))), 5).alias("centre"), F.round(F.stddev_pop(F.when(F.col("in_fit"), F.col("z1"))), 5).alias("spread"))
 
 
 @query("st22_knn_imputed")
@@ -156,20 +288,25 @@ def st22(spark, d):
     return M.per_group(v, ["panel"], ["sample", "assay"], fit, "sample string, assay string, imputed double")
 
 
+def _tube_subjects(spark, d):
+    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null")
+    return m.groupBy(F.col("sampleid").alias("sample")).agg(F.min_by("usubjid", "row_id").alias("usubjid"))
+
+
 @query("st30_sex_out_of_fold")
 def st30(spark, d):
-    """Out-of-fold probability of male sex from one platform's values of a sample, folds by participant."""
-    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
-    v = assay_samples(olink(spark, d)).join(m, "sample").join(subjects(spark, d).where("sex in ('F', 'M')"), "usubjid").withColumn("fold", S.stable_fold(F.col("usubjid"), 5, "sex")).withColumn("platform", F.lit("olink"))
+    """Out-of-fold probability of male sex from one platform's values of a sample, folds by participant, with both penalties."""
+    v = assay_samples(olink(spark, d)).join(_tube_subjects(spark, d), "sample").join(subjects(spark, d).where("sex in ('F', 'M')"), "usubjid")
+    v = v.join(S.digest_folds(v, "usubjid", 5, 0, "outer"), "usubjid").withColumn("platform", F.lit("olink"))
 
     def fit(pdf):
         x = pdf.pivot_table(index=["sample", "usubjid", "sex", "fold"], columns="assay", values="v").sort_index()
         full = M.knn_impute(x.to_numpy())
         meta = x.index.to_frame(index=False)
-        p = M.logistic_out_of_fold(full, (meta.sex == "M").to_numpy(float), meta.fold.to_numpy(), 0.1)
-        return pd.DataFrame({"sample": meta["sample"], "sex": meta.sex, "p_male": p})
+        y, fold = (meta.sex == "M").to_numpy(float), meta.fold.to_numpy()
+        return pd.DataFrame({"sample": meta["sample"], "sex": meta.sex, "p_male": M.logistic_out_of_fold(full, y, fold, 0.1), "p_male_l1": M.logistic_out_of_fold(full, y, fold, 0.1, "l1")})
 
-    return M.per_group(v, ["platform"], ["sample", "assay"], fit, "sample string, sex string, p_male double")
+    return M.per_group(v, ["platform"], ["sample", "assay"], fit, "sample string, sex string, p_male double, p_male_l1 double")
 
 
 @query("d22_sex_discordance")
@@ -179,37 +316,63 @@ def d22(spark, d):
 
 @query("st31_age_out_of_fold")
 def st31(spark, d):
-    """Out-of-fold ridge prediction of age and its robust residual."""
-    m = K.table(spark, d, "manifest").where("sampleid is not null and usubjid is not null").groupBy(F.col("sampleid").alias("sample")).agg(F.min("usubjid").alias("usubjid"))
-    v = assay_samples(soma(spark, d)).join(m, "sample").join(subjects(spark, d).where("age is not null"), "usubjid").withColumn("fold", S.stable_fold(F.col("usubjid"), 5, "age")).withColumn("platform", F.lit("soma"))
+    """Out-of-fold predictions of age by ridge (penalty by grouped folds) and elastic net, their bias-corrected residuals, and
+    the robust z of the ridge's."""
+    v = assay_samples(soma(spark, d)).join(_tube_subjects(spark, d), "sample").join(subjects(spark, d).where("age is not null"), "usubjid")
+    v = v.join(S.digest_folds(v, "usubjid", 5, 0, "outer"), "usubjid").join(S.digest_folds(v, "usubjid", 5, 0, "inner").withColumnRenamed("fold", "inner"), "usubjid").withColumn("platform", F.lit("soma"))
 
     def fit(pdf):
-        x = pdf.pivot_table(index=["sample", "usubjid", "age", "fold"], columns="assay", values="v").sort_index()
+        x = pdf.pivot_table(index=["sample", "usubjid", "age", "fold", "inner"], columns="assay", values="v").sort_index()
         meta = x.index.to_frame(index=False)
-        pred, alpha = M.ridge_out_of_fold(M.knn_impute(x.to_numpy()), meta.age.to_numpy(float), meta.fold.to_numpy(), [1.0, 10.0, 100.0, 1000.0])
-        return pd.DataFrame({"sample": meta["sample"], "usubjid": meta.usubjid, "age": meta.age.astype(float), "predicted": pred, "alpha": alpha})
+        full, y = M.knn_impute(x.to_numpy()), meta.age.to_numpy(float)
+        r, e = (M.regress_out_of_fold(full, y, meta.fold.to_numpy(), meta["inner"].to_numpy(), model) for model in ("ridge", "elasticnet"))
+        return pd.DataFrame({"sample": meta["sample"], "usubjid": meta.usubjid, "age": y, "predicted": r["predicted"], "residual": r["corrected"], "predicted_net": e["predicted"], "residual_net": e["corrected"]})
+
+    got = M.per_group(v, ["platform"], ["sample", "assay"], fit, "sample string, usubjid string, age double, predicted double, residual double, predicted_net double, residual_net double")
+    return S.robust_z(got, "residual", ["platform"])
 
-    got = M.per_group(v, ["platform"], ["sample", "assay"], fit, "sample string, usubjid string, age double, predicted double, alpha double")
-    return S.robust_z(got.withColumn("residual", F.col("age") - F.col("predicted")), "residual", ["platform"])
+
+def _polished(spark, d):
+    """(assay, sample, x, who, fold): polished values of study samples with participant and fold."""
+    v = S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE' and sample is not null"), "v", "assay", ["plate"])
+    cells = v.groupBy("assay", "sample").agg(F.avg("resid").alias("x"), F.min("row_id").alias("r"))
+    cells = cells.join(_tube_subjects(spark, d).withColumnRenamed("usubjid", "who"), "sample")
+    return cells.join(S.digest_folds(cells, "who", 5, 0, "identity"), "who")
+
+
+def fold_weights(cells, least: float = 0.1, cap: float = 0.95):
+    """(f, assay, mean, weight): for each fold, from the participants outside it, an assay's mean and its weight icc / (1 -
+    icc), for assays with an intraclass correlation above `least`."""
+    folds = cells.select(F.col("fold").alias("f")).distinct()  # five
+    train = cells.join(folds, F.col("fold") != F.col("f"))
+    mean = train.groupBy("f", "assay").agg(F.avg("x").alias("mean"))
+    centred = train.join(mean, ["f", "assay"]).withColumn("c", F.col("x") - F.col("mean"))
+    icc = S.intraclass(centred, "c", ["f", "assay"], "who").where(F.col("icc") > least)
+    return mean.join(icc, ["f", "assay"]).select("f", "assay", "mean", (F.col("icc") / (1 - F.least("icc", F.lit(cap)))).alias("weight"))
 
 
 @query("st27_sample_similarity")
 def st27(spark, d):
     """Best and second-best partner, among all study samples, of each query sample (first row id divisible by 50) by the
-    correlation of polished, standardised values.
+    cross-fitted correlation: a query's assays are chosen and weighted by the intraclass correlations of the other folds.
 
     Samples are packed into blocks of arrays. The queries, a fixed fiftieth, meet every block once, and each meeting is one
     matrix product that keeps two partners per query."""
-    v = S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE' and sample is not null"), "v", "assay", ["plate"])
-    cells = v.groupBy("assay", "sample").agg(F.avg("resid").alias("x"), F.min("row_id").alias("r"))
-    panel = cells.select("assay").distinct().agg(F.array_sort(F.collect_set("assay")).alias("panel"))  # the assays of one platform
-    full = cells.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("assay", "x"))).alias("m"), F.min("r").alias("r")).crossJoin(F.broadcast(panel))
-    rows = full.select("sample", "r", F.transform("panel", lambda a: F.coalesce(F.try_element_at("m", a), F.lit(0.0))).alias("x"))
-    pack = lambda df, n: df.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(n))).groupBy("b").agg(F.collect_list(F.struct("sample", "x")).alias("rows"))
+    from tallygrove.operators.relational import best_two
+    from tallygrove.session import Stash
+
+    stash = Stash(spark)
+    cells = stash.keep(_polished(spark, d), "cells")
+    w = stash.keep(fold_weights(cells, 0.02), "weights")
+    scaled = lambda df: df.join(w, "assay").groupBy("f", "sample").agg(F.map_from_entries(F.collect_list(F.struct("assay", ((F.col("x") - F.col("mean")) * F.sqrt("weight")).alias("x")))).alias("m"), F.first("fold").alias("fold"), F.min("r").alias("r"))
+    panel = w.groupBy("f").agg(F.array_sort(F.collect_set("assay")).alias("panel"))  # the assays of one platform
+    rows = scaled(cells).join(panel, "f").select("f", "fold", "sample", "r", F.transform("panel", lambda a: F.coalesce(F.try_element_at("m", a), F.lit(0.0))).alias("x"))
+    rows = stash.keep(rows, "arrays")
+    pack = lambda df, n: df.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(n))).groupBy("f", "b").agg(F.collect_list(F.struct("sample", "x")).alias("rows"))
     n = cells.agg(F.count_distinct("sample")).first()[0]
-    wide, narrow = max(1, n // 2048), max(1, n // 50 // 512)  # samples of a block stay bounded as tables grow
-    x = pack(rows.where("r % 50 = 0"), narrow).select(F.col("b").alias("bx"), F.col("rows").alias("rx"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("by"))
-    y = pack(rows, wide).select(F.col("b").alias("by"), F.col("rows").alias("ry"))
+    wide_, narrow = max(1, n // 2048), max(1, n // 50 // 512)  # samples of a block stay bounded as tables grow
+    x = pack(rows.where("r % 50 = 0 and fold = f"), narrow).select("f", F.col("rows").alias("rx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide_ - 1).cast("long"))).alias("by"))
+    y = pack(rows, wide_).select("f", F.col("b").alias("by"), F.col("rows").alias("ry"))
 
     def product(batches):
         for pdf in batches:
@@ -222,9 +385,7 @@ def st27(spark, d):
                 top = np.argsort(-s, axis=1, kind="stable")[:, :2]
                 yield pd.DataFrame({"sample": np.repeat(na, top.shape[1]), "partner": [nb[j] for j in top.ravel()], "r": np.take_along_axis(s, top, axis=1).ravel()})
 
-    from tallygrove.operators.relational import best_two
-
-    return best_two(x.join(y, "by").select("rx", "ry").mapInPandas(product, "sample string, partner string, r double").where("r > -1e300"), ["sample"], "partner", "r")
+    return best_two(x.join(y, ["f", "by"]).select("rx", "ry").mapInPandas(product, "sample string, partner string, r double").where("r > -1e300"), ["sample"], "partner", "r")
 
 
 @query("st25_without_components")
@@ -243,8 +404,22 @@ def st25(spark, d):
 
 @query("st35_huber_location")
 def st35(spark, d):
-    fit = lambda pdf: pd.DataFrame([{"location": M.huber_location(pdf.v.to_numpy()), "n": len(pdf)}])
-    return M.per_group(assay_samples(soma(spark, d)), ["assay"], ["sample"], fit, "location double, n long")
+    """Scores of tubes against genotypes less the leave-one-out robust location that the genotypes' components explain."""
+    from tallygrove.operators import genetics as G
+    from tallygrove.plans.domain_linkage import _observed, _predicted
+
+    predicted = _predicted(spark, d)
+    flat = predicted.select(F.lit("all").alias("set"), F.col("geno").alias("sample"), F.col("protein").alias("assay"), F.col("y").alias("v"))
+
+    def fit(pdf):
+        x = wide(pdf)
+        scores, _, _ = M.principal_scores(x.to_numpy(), 2)
+        return pd.DataFrame({"geno": x.index, "pc1": scores[:, 0], "pc2": scores[:, 1]})
+
+    pcs = M.per_group(flat, ["set"], ["sample", "assay"], fit, "geno long, pc1 double, pc2 double")
+    who = _observed(spark, d).select("tube", "who").distinct()
+    z = G.score_matrix(_observed(spark, d), predicted).where("z is not null").join(who, "tube").select("tube", "who", "geno", "z")
+    return G.centred_scores(z, pcs, ["pc1", "pc2"])
 
 
 @query("st38_camera_sets")

@@ -13,7 +13,7 @@ from tallygrove.operators import models as M
 from tallygrove.operators import relational as R
 from tallygrove.operators import results as O
 from tallygrove.operators import stats as S
-from tallygrove.plans.domain_models import assay_samples, repeated, subjects, wide
+from tallygrove.plans.domain_models import assay_samples, subjects, wide
 from tallygrove.plans.domain_linkage import _CAT
 from tallygrove.plans.domain_results import _CHANGES, _CLASSIFIED, _LS, _T, arm_courses, changes, effects, ls_means
 from tallygrove.plans import keys as K
@@ -120,37 +120,12 @@ def st4(spark, d):
     return effects(spark, d).select("assay", "plate", F.round("z", 5).alias("z"), F.round(z_p_value("z"), 6).alias("p"))
 
 
-@query("st11_residuals")
-def st11(spark, d):
-    """Change after removal of baseline, age and sex, per platform and visit."""
-
-    def fit(pdf):
-        x = np.column_stack([np.ones(len(pdf)), pdf.baseline, pdf.age, (pdf.sex == "M").astype(float)])
-        return pd.DataFrame({"usubjid": pdf.usubjid, "arm": pdf.trt01a, "residual": M.ols(x, pdf["diff"].to_numpy())[2]})
-
-    return M.per_group(repeated(spark, d), ["platform", "visitnum"], ["usubjid"], fit, "usubjid string, arm string, residual double")
-
-
 @query("st13_design_columns", K.sql("select usubjid, (sex = 'M')::int::double sex_m, (arm = 'Veltide-10_mg')::int::double high from (select usubjid, arg_min(sex, row_id) sex, regexp_replace(regexp_replace(arg_min(trt01a, row_id), '\\s+([0-9])', '-\\1', 'g'), '\\s+', '_', 'g') arm from adsl where deleted_at is null group by 1) where sex is not null and arm is not null"))
 def st13(spark, d):
     s = subjects(spark, d).where("sex is not null and trt01a is not null").withColumn("arm", arm_name(F.col("trt01a")))
     return s.select("usubjid", (F.col("sex") == "M").cast("int").cast("double").alias("sex_m"), (F.col("arm") == "Veltide-10_mg").cast("int").cast("double").alias("high"))
 
 
-@query("st17_genotype_cells")
-def st17(spark, d):
-    """Arm contrasts at each visit within carriers and others of a marker (here: kin of a genotyped pair)."""
-    kin = K.table(spark, d, "king_pairs").where("kinship > 0.2 and not isnan(kinship)").select(F.col("usubjid_1").alias("usubjid")).distinct().withColumn("carrier", F.lit(True))
-    rows = repeated(spark, d).join(kin, "usubjid", "left").withColumn("carrier", F.coalesce("carrier", F.lit(False)))
-
-    def fit(pdf):
-        x, c, labels = M.arm_visit_design(pdf.trt01a.tolist(), pdf.visitnum.tolist(), np.column_stack([pdf.baseline, pdf.age]), "Placebo")
-        r = M.mmrm(pdf["diff"].to_numpy(), x, pd.factorize(pdf.usubjid)[0], pdf.visitnum.to_numpy(), c)
-        return pd.DataFrame({"arm": [a for a, _ in labels], "visit": [int(v) for _, v in labels], "estimate": r["estimate"], "se": r["se"], "p": r["p"]})
-
-    return M.per_group(rows, ["platform", "carrier"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, p double")
-
-
 @query("st40_signature_correlations", f"with e as (select assay, plate, e from {_T}), s as (select assay, avg(e * e) sig from e group by 1), r as (select plate, rank() over (partition by plate order by e) + (count(*) over (partition by plate, e) - 1) / 2.0 re, rank() over (partition by plate order by sig) + (count(*) over (partition by plate, sig) - 1) / 2.0 rs from e join s using (assay)) select plate, round(corr(re, rs), 5) rho, count(*) n from r group by 1")
 def st40(spark, d):
     e = effects(spark, d).select("assay", "plate", "e")

@@ -188,6 +188,32 @@ def d20(spark, d):
     return Q.duplicate_assays(a, "assay", "target", "rate").select("assay", "target", "copies", "kept", "dropped")
 
 
+@query("d20_duplicate_agreement", f"""with v as (select assay, sample, avg(v) v from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null group by 1, 2), r as (select olinkid assay, min(panel) target, avg(case when npx >= lod then 1.0 else 0.0 end) filter (lod is not null and not isnan(lod) and npx is not null and not isnan(npx)) rate from olink_long where sampletype = 'SAMPLE' group by 1),
+  k as (select assay, first_value(assay) over (partition by target order by round(rate, 6) desc, assay) kept from r), p as (select x.assay, kept, x.v x, y.v y from k join v x using (assay) join v y on y.assay = kept and y.sample = x.sample where k.assay <> kept),
+  q as (select assay, kept, rank() over (partition by assay order by x) + (count(*) over (partition by assay, x) - 1) / 2.0 rx, rank() over (partition by assay order by y) + (count(*) over (partition by assay, y) - 1) / 2.0 ry from p) select assay, kept, count(*) n, round(corr(rx, ry), 6) spearman, case when corr(rx, ry) >= 0.3 then 'concordant' else 'discordant' end "label" from q group by 1, 2""")
+def d20_agreement(spark, d):
+    """Analytes of a panel as copies of one target: the best detected stays, the others get their rank correlation with it."""
+    raw = nan_to_null(table(spark, d, "olink_long").where("sampletype = 'SAMPLE'"))
+    seen = F.when(F.col("lod").isNotNull() & F.col("npx").isNotNull(), (F.col("npx") >= F.col("lod")).cast("double"))
+    rates = raw.groupBy(F.col("olinkid").alias("assay")).agg(F.min("panel").alias("target"), F.round(F.avg(seen), 6).alias("rate"))
+    v = olink(spark, d).where("sampletype = 'SAMPLE' and sample is not null").groupBy("assay", "sample").agg(F.avg("v").alias("v"))
+    return r6(Q.duplicate_agreement(v, Q.duplicate_assays(rates, "assay", "target", "rate"), "assay", "sample", "v", 0.3), "spearman")
+
+
+_D27 = K.sql("""(with a as (select usubjid, case when bool_or(deleted_at is not null) then 'DISCONTINUED' else 'COMPLETED' end status from adsl where usubjid is not null group by 1), v as (select usubjid, cast(max(adt) filter (visitnum <= 20) as date) last_dose, cast(min(adt) filter (paramcd = 'GLUC' and aval > 9) as date) stop from visit_records where usubjid is not null group by 1)
+  select usubjid, status, last_dose, case when status = 'DISCONTINUED' and last_dose is null then null else least(case when status = 'DISCONTINUED' then last_dose + 28 end, stop) end window_end from a left join v using (usubjid))""")
+
+
+@query("d27_window_end", f"select usubjid, status, strftime(last_dose, '%Y-%m-%d') last_dose, strftime(window_end, '%Y-%m-%d') window_end from {_D27}")
+def d27(spark, d):
+    """On-treatment windows: withdrawn participants 28 days after their last scheduled visit, a high glucose as stop event."""
+    a = K.table(spark, d, "adsl").where("usubjid is not null").groupBy("usubjid").agg(F.when(F.bool_or(F.col("deleted_at").isNotNull()), "DISCONTINUED").otherwise("COMPLETED").alias("status"))
+    v = nan_to_null(K.table(spark, d, "visit_records")).where("usubjid is not null").groupBy("usubjid").agg(F.to_date(F.max(F.when(F.col("visitnum") <= 20, F.col("adt")))).alias("last_dose"), F.to_date(F.min(F.when((F.col("paramcd") == "GLUC") & (F.col("aval") > 9), F.col("adt")))).alias("stop"))
+    w = a.join(v, "usubjid", "left").withColumn("window_end", Q.window_end(F.col("status"), F.col("last_dose"), 28, [F.col("stop")]))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return w.select("usubjid", "status", day("last_dose"), day("window_end"))
+
+
 _D21 = f"""o as (select sample, assay, v, lod from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null), w as (select assay, avg(case when v >= lod then 1.0 else 0.0 end) w from o where lod is not null and not isnan(lod) group by 1),
   x as (select sample, v, w, (sum(w) over (partition by sample order by v, w rows between unbounded preceding and current row) - w / 2) / sum(w) over (partition by sample) p from o join w using (assay) where w > 0),
   f as (select sampleid sample, bool_and(sampleqc = 'PASS') in_fit from olink_long where sampletype = 'SAMPLE' and sampleid is not null group by 1)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import glob
 import hashlib
 import inspect
@@ -12,6 +13,9 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -58,6 +62,58 @@ def fingerprint(path: str) -> str:
     return digest.hexdigest()
 
 
+def code_fingerprint(source: str) -> str:
+    """Hash of what Python source does: comments, layout and docstrings do not count."""
+    tree = ast.parse(source)
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and node.body:
+            first = node.body[0]
+            if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+                node.body = node.body[1:] or [ast.Pass()]
+    return hashlib.sha256(ast.dump(tree).encode()).hexdigest()
+
+
+def import_closure(start: str, root: str) -> list[str]:
+    """Python files under `root` that the file `start` imports, directly or through others, itself included. Imports are read
+    from the source, so those inside functions count; modules outside `root` do not."""
+    found, todo = set(), [os.path.abspath(start)]
+    top = os.path.abspath(root)
+    while todo:
+        path = todo.pop()
+        if path in found:
+            continue
+        found.add(path)
+        with open(path, encoding="utf-8") as file:
+            tree = ast.parse(file.read())
+        here = os.path.relpath(os.path.dirname(path), top).split(os.sep)
+        for node in ast.walk(tree):
+            names = []
+            if isinstance(node, ast.Import):
+                names = [a.name.split(".") for a in node.names]
+            elif isinstance(node, ast.ImportFrom):
+                base = [p for p in here[: len(here) - node.level + 1] if p != "."] if node.level else []
+                own = base + (node.module.split(".") if node.module else [])
+                names = [own, *[[*own, a.name] for a in node.names]]
+            for parts in names:
+                for k in range(1, len(parts) + 1):
+                    stem = os.path.join(top, *parts[:k])
+                    todo += [p for p in (f"{stem}.py", os.path.join(stem, "__init__.py")) if os.path.isfile(p)]
+    return sorted(found)
+
+
+def by_visit(rows: DataFrame, visit: str, visits: Sequence, fit: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """`fit` of the rows of every visit, one folder for each under `folder`; visits that are finished there are not fitted
+    again, so an interrupted run goes on where it stopped."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    for v in visits:
+        path = f"{folder}/visit-{v}"
+        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not mark.getFileSystem(conf).exists(mark):
+            fit(rows.where(F.col(visit) == v)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*[f"{folder}/visit-{v}" for v in visits])
+
+
 class Runner:
     """Runs stages in their order. A record beside the outputs holds what a stage read and how; a stage is skipped if that is
     unchanged, its outputs are as it left them, and no earlier stage it reads from ran."""
