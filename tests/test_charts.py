@@ -120,3 +120,16 @@ def test_levels_of_a_whole_source_from_ranges(spark):
     for k, g in enumerate(groups):
         lo, hi, scale = (a[0] for a in _levels(np.sort(g)[None, :], np.array([len(g)]), Chart()))
         assert (got[k].lo, got[k].hi, got[k].base) == pytest.approx((lo, hi, scale), rel=1e-6) and got[k].single == (lo == hi)
+
+
+@pytest.mark.parametrize(("block", "n"), [(7, 701), (25, 1002), (250, 1258), (1000, 2004)])
+def test_short_last_blocks_lose_no_spike(spark, block, n):
+    """Spikes in every part and in the last readings; the last block has one to eight readings."""
+    rng = np.random.default_rng(block)
+    v = rng.normal(5, 0.2, n)
+    where = np.r_[rng.choice(n - 30, 12, replace=False), n - 2]
+    v[where] += rng.choice([-4, 4], len(where))
+    v[n // 2 : n // 2 + n // 9] += 2.0  # a second level of its own time
+    df = frame(spark, source(v))
+    whole, cut = flags(control_chart(df)), flags(control_chart(df, Chart(block=block)))
+    assert cut == whole and {r - 1 for _, r in whole} >= set(where.tolist()) - set(range(n // 2, n // 2 + n // 9))

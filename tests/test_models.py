@@ -72,8 +72,10 @@ def test_mixture_knn_ridge_logistic():
     d = np.sqrt(((gaps[0, :3] - brute[:, :3]) ** 2).sum(axis=1))
     assert full[0, 3] == pytest.approx(brute[np.argsort(d, kind="stable")[:3], 3].mean())
     z, fold = rng.normal(size=(200, 5)), np.arange(200) % 5
-    pred, _ = M.ridge_out_of_fold(z, z @ [1, 2, 0, 0, 0] + rng.normal(0, 0.1, 200), fold, [0.1, 10.0])
-    assert np.corrcoef(pred, z @ [1, 2, 0, 0, 0])[0, 1] > 0.99
+    target = z @ [1, 2, 0, 0, 0] + rng.normal(0, 0.1, 200)
+    for model in ("ridge", "elasticnet"):
+        got = M.regress_out_of_fold(z, target, fold, np.arange(200) % 4, model, alpha=0.01)
+        assert np.corrcoef(got["predicted"], z @ [1, 2, 0, 0, 0])[0, 1] > 0.99
     lab = (z[:, 0] + rng.normal(0, 0.3, 200) > 0).astype(float)
     p = M.logistic_out_of_fold(z, lab, fold)
     assert ((p > 0.5) == (lab == 1)).mean() > 0.85
@@ -131,3 +133,131 @@ def test_rotation_null_with_more_samples_than_statistics():
     null = np.array([np.corrcoef(r, ranks)[0, 1] for r in rank(z)])
     rho, p, _ = M.rotation_null(stat, ranks, factor, 20_000, 500, 0)
     assert p == pytest.approx((np.abs(null) >= abs(rho) - 1e-12).mean(), abs=0.02)
+
+
+def test_corrected_errors_match_the_formula_written_out():
+    """Kenward and Roger's covariance from whole matrices, with derivatives in the covariance's elements."""
+    rng = np.random.default_rng(8)
+    n, k = 18, 3
+    e = rng.multivariate_normal([0, 0, 0], [[1, 0.5, 0.2], [0.5, 1.5, 0.4], [0.2, 0.4, 2.0]], n)
+    arm = np.array(["a", "b"])[np.arange(n) % 2]
+    keep = rng.random((n, k)) > 0.25
+    keep[:, 0] = True
+    s, v = np.nonzero(keep)
+    y = e[s, v] + (arm[s] == "b")
+    x, c, _ = M.arm_visit_design(arm[s].tolist(), v.tolist(), rng.normal(size=n)[s][:, None], "a")
+    r = M.mmrm(y, x, s, v, c)
+    tri = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def whole(sigma):
+        full = np.zeros((len(y), len(y)))
+        for p in np.unique(s):
+            at = np.flatnonzero(s == p)
+            full[np.ix_(at, at)] = sigma[np.ix_(v[at], v[at])]
+        return full
+
+    def criterion(theta):
+        sigma = np.zeros((k, k))
+        for t, (i, j) in zip(theta, tri, strict=True):
+            sigma[i, j] = sigma[j, i] = t
+        w = np.linalg.inv(whole(sigma))
+        a = x.T @ w @ x
+        b = np.linalg.solve(a, x.T @ w @ y)
+        return np.linalg.slogdet(whole(sigma))[1] + np.linalg.slogdet(a)[1] + (y - x @ b) @ w @ (y - x @ b)
+
+    theta = np.array([r["sigma"][i, j] for i, j in tri])
+    h = 1e-3
+    hess = np.zeros((6, 6))
+    for i in range(6):
+        for j in range(6):
+            di, dj = np.eye(6)[i] * h, np.eye(6)[j] * h
+            hess[i, j] = (criterion(theta + di + dj) - criterion(theta + di - dj) - criterion(theta - di + dj) + criterion(theta - di - dj)) / (4 * h * h)
+    info = np.linalg.inv(hess / 2)
+    w = np.linalg.inv(whole(r["sigma"]))
+    phi = np.linalg.inv(x.T @ w @ x)
+    ds = []
+    for i, j in tri:
+        d = np.zeros((k, k))
+        d[i, j] = d[j, i] = 1
+        ds.append(whole(d))
+    ps = [-x.T @ w @ d @ w @ x for d in ds]
+    inner = sum(info[i, j] * (x.T @ w @ ds[i] @ w @ ds[j] @ w @ x - ps[i] @ phi @ ps[j]) for i in range(6) for j in range(6))
+    cov = phi + 2 * phi @ inner @ phi
+    assert r["se"] == pytest.approx(np.sqrt(np.einsum("cp,pq,cq->c", c, cov, c)), rel=5e-3)
+    assert np.all(r["se"] >= r["se_plain"] * 0.999)
+    # degrees of freedom: 2 / A with A = sum of W_ij (l'FP_iFl)(l'FP_jFl) / (l'Fl)^2
+    for row, df in zip(c, r["df"], strict=True):
+        g = np.array([row @ phi @ p @ phi @ row for p in ps])
+        assert df == pytest.approx(2 * (row @ phi @ row) ** 2 / (g @ info @ g), rel=2e-2)
+    assert np.abs(r["score"]).max() < 0.05
+
+
+def test_one_model_with_a_covariance_for_each_group_is_the_groups_fits():
+    """Without shared coefficients the joint model falls apart into the groups' own."""
+    rng = np.random.default_rng(9)
+    n = 80
+    sex, arm = np.array(["F", "M"])[np.arange(n) % 2], np.array(["a", "b"])[(np.arange(n) // 2) % 2]
+    y = rng.normal(size=(n, 2)) * np.where(sex == "F", 1.0, 3.0)[:, None]
+    s, v = np.repeat(np.arange(n), 2), np.tile([8, 20], n)
+    x, cells = M.cell_design(list(zip(sex[s], arm[s], v, strict=True)), np.zeros((2 * n, 0)))
+    c = M.cell_contrasts(cells, x.shape[1], [{("F", "b", 20): 1.0, ("F", "a", 20): -1.0, ("M", "b", 20): -1.0, ("M", "a", 20): 1.0}, {("F", "z", 8): 1.0}])
+    assert np.isnan(c[1]).all()
+    joint = M.mmrm(y.ravel(), x, s, v, c[:1], group=sex[s])
+    own = {}
+    for g in "FM":
+        at = sex[s] == g
+        xg, cg, labels = M.arm_visit_design(arm[s][at].tolist(), v[at].tolist(), np.zeros((at.sum(), 0)), "a")
+        own[g] = M.mmrm(y.ravel()[at], xg, s[at], v[at], cg)
+    k = labels.index(("b", 20))
+    assert joint["estimate"][0] == pytest.approx(own["F"]["estimate"][k] - own["M"]["estimate"][k], abs=1e-6)
+    assert joint["se"][0] == pytest.approx(np.hypot(own["F"]["se"][k], own["M"]["se"][k]), rel=1e-3)
+    for g, fitted in zip("FM", joint["sigmas"], strict=True):
+        assert fitted == pytest.approx(own[g]["sigma"], rel=1e-2, abs=1e-2)
+
+
+def test_penalised_fits_meet_their_conditions():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(150, 6))
+    y = x @ [1.5, -1, 0, 0, 0, 0.02] + rng.normal(0, 0.5, 150)
+    b, c = M.elastic_net(x, y, 0.2, 0.5)
+    r = y - x @ b - c
+    g = x.T @ r / 150 - 0.1 * b
+    assert np.allclose(g[b != 0], 0.1 * np.sign(b[b != 0]), atol=1e-6) and np.all(np.abs(g[b == 0]) <= 0.1 + 1e-9) and (b == 0).any() and abs(r.mean()) < 1e-9
+    lab = (x[:, 0] + 0.3 * rng.normal(size=150) > 0.6).astype(float)
+    w = np.where(lab == 1, 150 / (2 * lab.sum()), 150 / (2 * (150 - lab.sum())))
+    for penalty in ("l1", "l2"):
+        b, c = M.logistic(x, lab, 0.3, penalty)
+        g = -0.3 * (x.T @ (w * (1 / (1 + np.exp(-x @ b - c)) - lab)))
+        assert abs((w * (1 / (1 + np.exp(-x @ b - c)) - lab)).sum()) < 1e-4
+        if penalty == "l2":
+            assert np.allclose(g, b, atol=1e-4)
+        else:
+            assert np.allclose(g[b != 0], np.sign(b[b != 0]), atol=1e-4) and np.all(np.abs(g[b == 0]) <= 1 + 1e-6) and (b == 0).any()
+    fold = np.arange(150) % 5
+    b, c, alpha = M.grouped_ridge(x, y, fold)
+    z = x - x.mean(axis=0)
+    assert np.allclose(z.T @ (y - y.mean() - z @ b), alpha * b, atol=1e-8)
+    errors = {a: sum(((y[fold == f] - x[fold == f] @ bb - cc) ** 2).sum() for f in range(5) for bb, cc in [M.ridge(x[fold != f], y[fold != f], a)]) for a in M.RIDGE_ALPHAS}
+    assert alpha == min(errors, key=errors.get) and len(M.RIDGE_ALPHAS) == 13 and M.RIDGE_ALPHAS[-1] == pytest.approx(1e4)
+
+
+def test_residuals_lose_their_line_in_the_actual_value():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 4))
+    y = 50 + 5 * x[:, 0] + rng.normal(0, 10, 400)  # weak: plain residuals fall with the actual value
+    got = M.regress_out_of_fold(x, y, np.arange(400) % 5, np.arange(400) // 5 % 4)
+    slope = lambda r: np.polyfit(y, r, 1)[0]
+    assert slope(got["predicted"] - y) < -0.5 and abs(slope(got["corrected"])) < 0.05
+
+
+def test_outlier_components_come_from_the_fit_rows():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 8))
+    x[0] = 40
+    fit = np.arange(60) > 0
+    scores, z = M.outlier_components(x, fit, np.ones(8), 2)
+    assert np.abs(z[0]).max() > 5 > np.abs(z[1:]).max() and np.allclose(z[fit].std(axis=0), 1) and np.allclose(scores[fit].mean(axis=0), 0, atol=1e-9)
+    light = np.r_[0.0, np.ones(7)]
+    assert np.array_equal(M.outlier_components(x, fit, light, 2)[0], M.outlier_components(np.column_stack([rng.normal(size=60) * 9, x[:, 1:]]), fit, light, 2)[0])
+    with pytest.raises(M.NotEstimable):
+        M.outlier_components(x, np.arange(60) < 2, np.ones(8))
