@@ -291,6 +291,40 @@ def allele_frequency(dosages: DataFrame, variant: str, dose: str) -> DataFrame:
     return dosages.groupBy(variant).agg(af.alias("alt_freq"), F.least(af, 1 - af).alias("maf"), F.count(dose).alias("calls"))
 
 
+def linked_variants(dosages: DataFrame, who: str, variant: str, dose: str, window: str, least_r2: float, least_n: int = 10) -> DataFrame:
+    """(a, b, r2), a < b: variants of one window whose dosages correlate with r^2 above `least_r2` over at least `least_n`
+    individuals called in both. Windows bound the pairs that meet."""
+    calls = dosages.where(F.col(dose).isNotNull()).select(F.col(who).alias("i"), F.col(window).alias("w"), F.col(variant).alias("v"), F.col(dose).cast("double").alias("g"))
+    x, y = calls.withColumnsRenamed({"v": "a", "g": "ga"}), calls.withColumnsRenamed({"v": "b", "g": "gb"})
+    r = x.join(y, ["i", "w"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), safe_corr("ga", "gb").alias("r"))
+    return r.where((F.col("n") >= least_n) & (F.col("r") ** 2 > least_r2)).select("a", "b", (F.col("r") ** 2).alias("r2"))
+
+
+def prune(dosages: DataFrame, links: DataFrame, variant: str, dose: str, max_rounds: int = 60) -> DataFrame:
+    """(variant, kept): going through the variants by falling minor allele frequency (ties: smaller id), each is kept unless a
+    kept one is linked to it.
+
+    Done in rounds for all at once: a variant whose linked predecessors are all dropped is kept, one with a kept
+    predecessor is dropped, until all are decided.
+    """
+    stash = Stash(dosages.sparkSession)
+    rank = allele_frequency(dosages, variant, dose).select(F.col(variant).alias("v"), F.struct((-F.col("maf")).alias("m"), F.col(variant).alias("v")).alias("o"))
+    rank = stash.keep(rank, "ranks")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    o = lambda c: rank.select(F.col("v").alias(c), F.col("o").alias(f"o{c}"))
+    before = stash.keep(both.join(o("a"), "a").join(o("b"), "b").where("ob < oa").select(F.col("a").alias("v"), F.col("b").alias("p")), "before")
+    state = stash.keep(rank.select("v", F.lit(None).cast("boolean").alias("kept")), "state")
+    for _ in range(max_rounds):
+        seen = before.join(state.withColumnRenamed("v", "p"), "p").groupBy("v").agg(F.bool_or("kept").alias("hit"), F.count_if(F.col("kept").isNull()).alias("open"))
+        fresh = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        following = stash.keep(state.join(seen, "v", "left").select("v", fresh.alias("kept")), "state")
+        stash.drop(state)
+        state = following
+        if state.where("kept is null").isEmpty():
+            return state.withColumnRenamed("v", variant)
+    raise RuntimeError(f"pruning did not settle in {max_rounds} rounds")
+
+
 def genotype_scores(dosages: DataFrame, weights: DataFrame, who: str, variant: str, dose: str) -> DataFrame:
     """Predicted level per protein and individual: the sum of dosage times effect over the protein's variants."""
     return dosages.join(weights, variant).where(F.col(dose).isNotNull()).groupBy("protein", who).agg(F.sum(F.col(dose) * F.col("beta")).alias("predicted"), F.count("*").alias("variants"))

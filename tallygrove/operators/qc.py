@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +90,13 @@ def flag_summary(units: DataFrame, flags: DataFrame, unit: str, flag: str, names
     return joined.withColumn("status", F.when(any_of(fail), "FAIL").when(any_of([n for n in names if n not in fail]), "WARN").otherwise("PASS"))
 
 
+def run_steps(units: DataFrame, unit: str, steps: Mapping[str, DataFrame], fail: Sequence[str]) -> DataFrame:
+    """Units with a boolean per step and their status: each step is the table of the units that it flags, `fail` names the
+    steps that fail a unit (the others warn). Steps are independent, so they are planned and run together."""
+    flags = reduce(lambda a, b: a.unionByName(b), [df.select(unit, F.lit(name).alias("flag")).distinct() for name, df in steps.items()])
+    return flag_summary(units, flags, unit, "flag", list(steps), fail)
+
+
 def duplicate_assays(assays: DataFrame, assay: str, target: str, rate: str) -> DataFrame:
     """Assays that share a target: the one detected most stays (ties: smaller id), the others are marked."""
     from tallygrove.operators.relational import keep_first

@@ -24,7 +24,7 @@ _U, _T = SQL_SUBJECT.format(x="usubjid"), SQL_TUBE.format(x="sampleid")
 
 @query("d33_tube_records_by_priority", f"select {_T} tube, arg_min(usubjid, (trust_rank, row_id)) filter (usubjid is not null) usubjid, arg_min(record_source, (trust_rank, row_id)) source, count(*) n from manifest join record_sources using (record_source) where {_T} is not null group by 1")
 def d33(spark, d):
-    m = table(spark, d, "manifest").join(F.broadcast(table(spark, d, "record_sources")), "record_source").withColumn("tube", standard_tube(F.col("sampleid"))).where("tube is not null")
+    m = table(spark, d, "manifest").join(table(spark, d, "record_sources"), "record_source").withColumn("tube", standard_tube(F.col("sampleid"))).where("tube is not null")
     order = F.struct("trust_rank", "row_id")
     return m.groupBy("tube").agg(F.min_by("usubjid", F.when(F.col("usubjid").isNotNull(), order)).alias("usubjid"), F.min_by("record_source", order).alias("source"), F.count("*").alias("n"))
 
@@ -123,6 +123,20 @@ def st33(spark, d):
     return S.standardise(p, "predicted", ["protein"], sample=False).select("protein", "iid", F.round("predicted", 6).alias("predicted"), F.round("z", 5).alias("z"))
 
 
+@query("st44_ld_pruned", f"""with g as {_DOSE}, s as (select variant, least(sum(dose) / (2.0 * count(*)), 1 - sum(dose) / (2.0 * count(*))) maf from g group by 1), k as (select g.*, variant // 40 win from g),
+  p as (select x.variant a, y.variant b, corr(x.dose, y.dose) r, count(*) n from k x join k y on x.iid = y.iid and x.win = y.win and x.variant < y.variant group by 1, 2), l as (select a, b from p where n >= 5 and not isnan(r) and r * r > 0.4)
+  select count(*) variants, (select count(*) from l) linked, true as independent, true as nothing_more from s""")
+def st44(spark, d):
+    """Variants left after pruning by squared correlation inside windows: no two left are linked, and every one dropped is."""
+    g = doses(spark, d)
+    links = G.linked_variants(g.withColumn("win", F.floor(F.col("variant") / 40)), "iid", "variant", "dose", "win", 0.4, 5)
+    kept = G.prune(g, links, "variant", "dose")
+    hit = links.join(kept.where("kept").select(F.col("variant").alias("a")), "a", "left_semi").join(kept.where("kept").select(F.col("variant").alias("b")), "b", "left_semi").agg(F.count("*").alias("bad"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    free = kept.where("not kept").select(F.col("variant").alias("a")).join(both.join(kept.where("kept").select(F.col("variant").alias("b")), "b", "left_semi"), "a", "left_anti").agg(F.count("*").alias("free"))
+    return kept.agg(F.count("*").alias("variants")).crossJoin(links.agg(F.count("*").alias("linked"))).crossJoin(hit).crossJoin(free).select("variants", "linked", (F.col("bad") == 0).alias("independent"), (F.col("free") == 0).alias("nothing_more"))  # one row each
+
+
 @query("d101_allele_frequency", f"select variant, round(sum(dose) / (2.0 * count(dose)), 6) alt_freq, round(least(sum(dose) / (2.0 * count(dose)), 1 - sum(dose) / (2.0 * count(dose))), 6) maf, count(dose) calls from {_DOSE} group by 1")
 def d101(spark, d):
     f = G.allele_frequency(doses(spark, d), "variant", "dose")

@@ -14,7 +14,7 @@ from tallygrove.operators import relational as R
 from tallygrove.operators import results as O
 from tallygrove.operators import stats as S
 from tallygrove.plans.domain_models import assay_samples, subjects, wide
-from tallygrove.plans.domain_linkage import _CAT
+from tallygrove.plans.domain_linkage import _CAT, _PAIRS, kin_pairs
 from tallygrove.plans.domain_results import _CHANGES, _CLASSIFIED, _LS, _T, arm_courses, changes, effects, ls_means
 from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
@@ -269,10 +269,10 @@ def d100(spark, d):
     return c.join(out, ["catalog", "protein"], "left_anti").groupBy("catalog").agg(F.count("*").alias("n"), F.count_distinct("protein").alias("proteins"))
 
 
-@query("d105_named_donor", K.sql("select usubjid_1 a, arg_max(usubjid_2, (kinship, usubjid_2)) donor, max(kinship) k from king_pairs where kinship is not null and not isnan(kinship) and usubjid_1 <> usubjid_2 group by 1 having max(kinship) >= 0.2"))
+@query("d105_named_donor", f"with {_PAIRS} select a, arg_max(b, (k, b)) donor, max(k) k from pairs group by 1 having max(k) >= 0.2")
 def d105(spark, d):
-    k = K.table(spark, d, "king_pairs").where("kinship is not null and not isnan(kinship) and usubjid_1 <> usubjid_2")
-    return k.groupBy(F.col("usubjid_1").alias("a")).agg(F.max_by("usubjid_2", F.struct("kinship", "usubjid_2")).alias("donor"), F.max("kinship").alias("k")).where("k >= 0.2")
+    """The closest relative of every participant, whichever side of a pair they stand on."""
+    return kin_pairs(spark, d).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("donor"), F.max("k").alias("k")).where("k >= 0.2")
 
 
 @query("d108_genotyped_subjects", K.sql("select distinct g.geno_usubjid from genomes g join manifest m on m.usubjid = g.geno_usubjid where g.call_rate >= 0.97"))

@@ -230,6 +230,15 @@ def d21(spark, d):
     return got.withColumns({"med": F.round("med", 6), "iqr": F.round("iqr", 6), "z_med": F.round("z_med", 5), "z_iqr": F.round("z_iqr", 5)})
 
 
+@query("d88_outlier_steps", K.sql(f"with {_D21}, h as (select sample, {_HAZEN.format(q=0.5)} med, {_HAZEN.format(q=0.75)} - {_HAZEN.format(q=0.25)} iqr from x group by 1), s as (select avg(med) mm, stddev_pop(med) sm, avg(iqr) mi, stddev_pop(iqr) si from h join f using (sample) where in_fit), m as (select sample from h, s where abs((med - mm) / sm) > 3 or abs((iqr - mi) / si) > 3), u as (select sampleid sample, avg(case when sampleqc <> 'PASS' then 1.0 else 0.0 end) > 0.1 warned, count(distinct olinkid) < 20 few from olink_long where sampletype = 'SAMPLE' and sampleid is not null group by 1) select sample, sample in (select sample from m) median_iqr, coalesce(warned, false) row_warnings, few few_values, case when sample in (select sample from m) then 'FAIL' when warned or few then 'WARN' else 'PASS' end status from u"))
+def d88(spark, d):
+    """The sample steps in one go: far medians or ranges fail a sample, many warned rows or few analytes warn."""
+    o = K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null")
+    per = o.groupBy(F.col("sampleid").alias("sample")).agg(F.avg((F.col("sampleqc") != "PASS").cast("double")).alias("share"), F.count_distinct("olinkid").alias("n"))
+    steps = {"median_iqr": d21(spark, d).where("outlier").select("sample"), "row_warnings": per.where("share > 0.1").select("sample"), "few_values": per.where("n < 20").select("sample")}
+    return Q.run_steps(per.select("sample"), "sample", steps, ["median_iqr"])
+
+
 @query("d7_rejudged_flags", K.sql("""with mv as (select sampleid tube, max(usubjid) fresh from manifest where record_source = 'lims' and usubjid is not null group by 1), t as (select sampleid tube, arg_min(usubjid, row_id) who from manifest where sampleid is not null and usubjid is not null group by 1),
   a as (select usubjid who, arg_min(trt01a, row_id) arm, arg_min(age, row_id) age from adsl group by 1), old as (select tube, 'no_arm' flag from t left join a using (who) where arm is null union all select tube, 'minor' from t left join a using (who) where age < 18 union all select distinct sampleid, 'excluded' from manifest where manifest_exclude is not null and sampleid is not null),
   m as (select tube, arm, age from t join mv using (tube) left join a on a.who = fresh where fresh <> t.who), new as (select tube, 'no_arm' flag from m where arm is null union all select tube, 'minor' from m where age < 18)

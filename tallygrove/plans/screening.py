@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.ids import SQL_SUBJECT, SQL_TUBE, standard_subject, standard_tube
-from tallygrove.operators.charts import control_chart, readings_of
+from tallygrove.operators.charts import Chart, control_chart, readings_of
 from tallygrove.operators.orphans import orphan_references
 from tallygrove.sources.tables import table
 
@@ -14,7 +14,7 @@ from tallygrove.sources.tables import table
 PLATFORMS = (("soma_long", "rfu", "seqid", True), ("olink_long", "npx", "olinkid", False))
 
 
-def _flags(spark: SparkSession, d: str) -> DataFrame:
+def _flags(spark: SparkSession, d: str, chart: Chart = Chart()) -> DataFrame:
     limits = {r[0]: (r[1], r[2]) for r in table(spark, d, "platform_limits").select("src_table", "min_possible", "max_possible").collect()}  # two rows
     every = None
     for i, (name, value, analyte, log) in enumerate(PLATFORMS):
@@ -23,7 +23,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
         part = readings_of(rows, i, "row_id", ("plateid", analyte), "read_at", value, log, low, high)
         every = part if every is None else every.unionByName(part)
     name_of = F.element_at(F.array(*[F.lit(p[0]) for p in PLATFORMS]), F.col("s") + 1)
-    return control_chart(every).select(name_of.alias("src_table"), F.col("r").alias("row_id"), "kind")
+    return control_chart(every, chart).select(name_of.alias("src_table"), F.col("r").alias("row_id"), "kind")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,23 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).groupBy("src_table", "kind").agg(F.count("*").alias("readings"))
 
 
+def p3_limits_and_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What the charts say without their spikes: readings that cannot be, and runs of equal ones."""
+    return _flags(spark, d, Chart(limit=float("inf")))
+
+
+P3_RUNS_SQL = """
+with c as (
+  select 'soma_long' src_table, row_id, plateid || '/' || seqid source, read_at t, rfu v from soma_long where sampletype is distinct from 'NEGATIVE_CONTROL' and rfu is not null and not isnan(rfu) union all
+  select 'olink_long', row_id, plateid || '/' || olinkid, read_at, npx from olink_long where sampletype is distinct from 'NEGATIVE_CONTROL' and npx is not null and not isnan(npx)),
+w as (select *, v is distinct from lag(v) over (partition by src_table, source order by t, row_id) turn from c),
+r as (select *, sum(turn::int) over (partition by src_table, source order by t, row_id) run from w),
+n as (select src_table, source, run from r group by 1, 2, 3 having count(distinct t) >= 5)
+select src_table, row_id, case when v < min_possible or v > max_possible then 'limit' else 'stuck' end kind
+from r join platform_limits using (src_table) left join n using (src_table, source, run) where v < min_possible or v > max_possible or n.run is not null
+"""
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     adsl, manifest = table(spark, d, "adsl"), table(spark, d, "manifest")
     subject, tube = standard_subject(F.col("usubjid")), standard_tube(F.col("sampleid"))
@@ -76,5 +93,5 @@ select src_table, row_id, t, case when n = 0 then 'missing' when first > t then
 P4_SQL = f"select src_table, row_id, kind from ({_P4})"
 P4_COUNTS_SQL = f"select src_table, strftime(t, '%Y-%m') period, kind, count(*) orphans from ({_P4}) group by 1, 2, 3"
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_counts": p4_counts}
-ORACLES = {"p4_found": P4_SQL, "p4_counts": P4_COUNTS_SQL}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p3_limits_and_runs": p3_limits_and_runs, "p4_found": p4_found, "p4_counts": p4_counts}
+ORACLES = {"p3_limits_and_runs": P3_RUNS_SQL, "p4_found": P4_SQL, "p4_counts": P4_COUNTS_SQL}

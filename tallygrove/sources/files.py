@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import hashlib
 import io
 import json
 import os
 import re
-import shutil
-import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,12 +60,21 @@ def typed_text(text: DataFrame, ids: Sequence[str] = ID_COLUMNS) -> DataFrame:
     return text.select(*[(quoted[c].cast(kind[c]) if kind.get(c, "string") != "string" else F.col(f"`{c}`")).alias(c) for c in text.columns])
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (local, or by its URI) and the path on it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
 def single_match(folder: str, pattern: str) -> str:
     """The only file of a folder that fits the pattern."""
-    found = sorted(glob.glob(os.path.join(folder, pattern)))
+    files, root = filesystem(folder)
+    held = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    found = sorted(i.base_name for i in held if fnmatch.fnmatch(i.base_name, pattern))
     if len(found) != 1:
         raise FileNotFoundError(f"{pattern} fits {len(found)} files in {folder}, not one")
-    return found[0]
+    return f"{folder.rstrip('/')}/{found[0]}"
 
 
 def header_table(spark: SparkSession, path: str, cell: str, sep: str = ",") -> DataFrame:
@@ -179,8 +189,9 @@ def corrected_gene_sets(sets: DataFrame, corrections: DataFrame) -> DataFrame:
 
 # --- checks and sinks -------------------------------------------------------------------------------------------------
 def sha256_of(path: str, block: int = 1 << 20) -> str:
+    files, own = filesystem(path)
     digest = hashlib.sha256()
-    with open(path, "rb") as f:
+    with files.open_input_stream(own) as f:
         while part := f.read(block):
             digest.update(part)
     return digest.hexdigest()
@@ -192,16 +203,25 @@ def verify_sha256(path: str, want: str) -> None:
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, length, sha256) of files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(pattern).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files of any size: listed by Spark, hashed in pieces by the tasks that open them."""
+    listed = spark.read.format("binaryFile").load(pattern).select("path", "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(sha256=[sha256_of(p) for p in pdf.path])
+
+    return listed.mapInPandas(run, "path string, length long, sha256 string")
 
 
 def write_delimited(df: DataFrame, path: str, order: Sequence[str], sep: str = "\t") -> None:
     """One sorted text file with a header, for tables that people read. Large tables go to parquet instead."""
     folder = f"{path}.parts"
     df.orderBy(*[F.asc_nulls_last(c) for c in order]).coalesce(1).write.mode("overwrite").csv(folder, header=True, sep=sep)
-    os.replace(single_match(folder, "part-*.csv"), path)
-    shutil.rmtree(folder)
+    files, own = filesystem(folder)
+    if files.get_file_info(filesystem(path)[1]).type != fs.FileType.NotFound:
+        files.delete_file(filesystem(path)[1])
+    files.move(filesystem(single_match(folder, "part-*.csv"))[1], filesystem(path)[1])
+    files.delete_dir(own)
 
 
 def write_partitioned(df: DataFrame, folder: str, by: Sequence[str]) -> None:
@@ -227,21 +247,23 @@ class Publication:
         self.target = target.rstrip("/")
 
     def __enter__(self) -> str:
-        os.makedirs(os.path.dirname(self.target) or ".", exist_ok=True)
-        self.stage = tempfile.mkdtemp(prefix=f".{os.path.basename(self.target)}-", dir=os.path.dirname(self.target) or ".")
+        head, _, name = self.target.rpartition("/")
+        self.stage = f"{head}{'/' if head else ''}.{name}-{uuid.uuid4().hex[:8]}"
+        self.files, self.own = filesystem(self.stage)
+        self.files.create_dir(self.own)
         return self.stage
 
     def __exit__(self, kind, *_) -> None:
         if kind is not None:
-            shutil.rmtree(self.stage, ignore_errors=True)
+            self.files.delete_dir(self.own)
             return
-        old = None
-        if os.path.exists(self.target):
-            old = f"{self.stage}-old"
-            os.rename(self.target, old)
-        os.rename(self.stage, self.target)
+        place, old = filesystem(self.target)[1], None
+        if self.files.get_file_info(place).type != fs.FileType.NotFound:
+            old = f"{self.own}-old"
+            self.files.move(place, old)
+        self.files.move(self.own, place)
         if old:
-            shutil.rmtree(old)
+            self.files.delete_dir(old)
 
 
 # --- workbooks --------------------------------------------------------------------------------------------------------

@@ -220,3 +220,20 @@ def test_weighted_outliers_use_the_fit_rows(spark):
     rows = [(f"s{s}", a, float(v), float(w), s != 0) for s in range(30) for a, (v, w) in enumerate(zip(rng.normal(20 if s == 0 else 0, 1, 12), itertools.cycle([1.0, 0.5, 0.0]), strict=False))]
     got = {r.s: r for r in Q.median_iqr_outliers(spark.createDataFrame(rows, "s string, a int, v double, w double, fit boolean"), "v", "s", 5.0, "w", "fit").collect()}
     assert [k for k, r in got.items() if r.outlier] == ["s0"] and not got["s0"].in_fit and got["s1"].n == 8
+
+
+def test_pruning_is_the_greedy_order(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3, (12, 80))
+    g = np.array([np.where(rng.random(80) < 0.15, rng.integers(0, 3, 80), base[v // 4]) for v in range(48)])
+    df = spark.createDataFrame([(i, v, int(g[v, i]), v // 12) for v in range(48) for i in range(80)], "iid int, v int, dose int, win int")
+    links = G.linked_variants(df, "iid", "v", "dose", "win", 0.3)
+    got = {r.v: r.kept for r in G.prune(df, links, "v", "dose").collect()}
+    r2 = np.corrcoef(g) ** 2
+    af = g.mean(axis=1) / 2
+    kept = set()
+    for v in sorted(range(48), key=lambda v: (-min(af[v], 1 - af[v]), v)):
+        if not any(r2[v, k] > 0.3 and k // 12 == v // 12 for k in kept):
+            kept.add(v)
+    assert {v for v, k in got.items() if k} == kept and len(got) == 48 and len(kept) < 40
+    assert all(r.kept for r in G.prune(df, links.limit(0), "v", "dose").collect())
