@@ -20,7 +20,7 @@ VISIT_OK = "visitnum is not null and not isnan(visitnum) and visitnum between 1
 def _tubes(spark: SparkSession, d: str) -> DataFrame:
     """Manifest rows with their tube, standard ids and the trust of their source (a fixed table of five rows)."""
     m = table(spark, d, "manifest")
-    trust = F.broadcast(table(spark, d, "record_sources").select("record_source", "trust_rank"))
+    trust = table(spark, d, "record_sources").select("record_source", "trust_rank")
     tubes = tube_ids(m, "row_id", "sampleid", "accessionnumber").select(F.col("row").alias("row_id"), "tube")
     clean = m.withColumns({"sampleid": standard_tube(F.col("sampleid")), "usubjid": standard_subject(F.col("usubjid"))})
     return clean.join(tubes, "row_id").join(trust, "record_source", "left")
