@@ -172,6 +172,8 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
     value = reml(theta)
     for _ in range(steps):
         g, hess = derivatives(reml, theta, np.full(len(theta), 1e-4))
+        if not np.isfinite(hess).all():
+            raise NotEstimable("the criterion has no curvature")
         vals, vecs = np.linalg.eigh(hess)
         step = vecs @ ((vecs.T @ g) / np.maximum(np.abs(vals), 1e-6))
         scale = 1.0
@@ -206,6 +208,8 @@ def mmrm(y: np.ndarray, x: np.ndarray, subject: np.ndarray, visit: np.ndarray, c
 
     size = np.concatenate([[math.sqrt(c[i, i] * c[j, j]) for i, j in tri] for c in covs])
     _, hess = derivatives(lambda v: criterion(of_elements(v)), elements, 1e-3 * size)
+    if not np.isfinite(hess).all():
+        raise NotEstimable("the covariance lies at its limit")
     info = np.linalg.pinv(hess / 2)  # the criterion is -2 log REML: its half has the inverse covariance of the elements
     total = len(elements)
     first, second = np.zeros((total, p, p)), np.zeros((total, total, p, p))

@@ -281,6 +281,25 @@ def upper_threshold(df: DataFrame, value: str, by: Sequence[str], rate: float) -
     return ranked.where((above <= k) & (k < above + F.col("__tg_c"))).select(*by, F.col("__tg_x").alias("cut"), F.col("__tg_m").alias("n"))
 
 
+def camera_sets(members: DataFrame, term: str, stat: str, correlation: float = 0.01) -> DataFrame:
+    """(term, n, t, p, direction): competitive test of each set's mean statistic against the rest of the universe, with the
+    variance inflated for a fixed correlation between members.
+
+    `members` holds each member of the universe once, with its set (null for none). Sets of all members have no row."""
+    from tallygrove.functions.dist import t_p_value
+
+    x = finite(F.col(stat))
+    own = members.select(term, x.alias("__tg_x")).where("__tg_x is not null")
+    all_ = own.agg(F.count("*").alias("__tg_n"), F.avg("__tg_x").alias("__tg_a"), F.var_samp("__tg_x").alias("__tg_v"))
+    sets = own.where(F.col(term).isNotNull()).groupBy(term).agg(F.count("*").alias("n"), F.avg("__tg_x").alias("__tg_m"))
+    n, m = F.col("__tg_n"), F.col("n")
+    j = sets.crossJoin(F.broadcast(all_)).where((n > m) & (n > 2)).withColumn("__tg_d", n / (n - m) * (F.col("__tg_m") - F.col("__tg_a")))  # one row
+    pooled = F.greatest(((n - 1) * F.col("__tg_v") - F.col("__tg_d") ** 2 * m * (n - m) / n) / (n - 2), F.lit(1e-300))
+    t = F.col("__tg_d") / F.sqrt(pooled * ((1 + (m - 1) * correlation) / m + 1 / (n - m)))
+    out = j.withColumn("t", t).withColumn("p", t_p_value("t", (n - 2).cast("double")))
+    return out.select(term, "n", "t", "p", F.when(F.col("t") > 0, "Up").otherwise("Down").alias("direction"))
+
+
 def stable_fold(key: Column, folds: int, salt: str = "") -> Column:
     """A fold number that depends on the key, the salt and nothing else, so that rows added later move no other."""
     return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("/"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")

@@ -124,12 +124,12 @@ def st33(spark, d):
 
 
 @query("st44_ld_pruned", f"""with g as {_DOSE}, s as (select variant, least(sum(dose) / (2.0 * count(*)), 1 - sum(dose) / (2.0 * count(*))) maf from g group by 1), k as (select g.*, variant // 40 win from g),
-  p as (select x.variant a, y.variant b, corr(x.dose, y.dose) r, count(*) n from k x join k y on x.iid = y.iid and x.win = y.win and x.variant < y.variant group by 1, 2), l as (select a, b from p where n >= 5 and not isnan(r) and r * r > 0.4)
+  p as (select x.variant a, y.variant b, corr(x.dose, y.dose) r, count(*) n from k x join k y on x.iid = y.iid and x.win = y.win and x.variant < y.variant group by 1, 2), l as (select a, b from p where n >= 5 and not isnan(r) and r * r > 0.413)
   select count(*) variants, (select count(*) from l) linked, true as independent, true as nothing_more from s""")
 def st44(spark, d):
     """Variants left after pruning by squared correlation inside windows: no two left are linked, and every one dropped is."""
     g = doses(spark, d)
-    links = G.linked_variants(g.withColumn("win", F.floor(F.col("variant") / 40)), "iid", "variant", "dose", "win", 0.4, 5)
+    links = G.linked_variants(g.withColumn("win", F.floor(F.col("variant") / 40)), "iid", "variant", "dose", "win", 0.413, 5)
     kept = G.prune(g, links, "variant", "dose")
     hit = links.join(kept.where("kept").select(F.col("variant").alias("a")), "a", "left_semi").join(kept.where("kept").select(F.col("variant").alias("b")), "b", "left_semi").agg(F.count("*").alias("bad"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

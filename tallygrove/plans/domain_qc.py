@@ -65,12 +65,12 @@ def _soma_samples(spark, d):
     return K.table(spark, d, "soma_long").where("sampletype = 'SAMPLE' and sampleid is not null")
 
 
-@query("d8_run_hierarchy", f"with {_H} select sampleid, plateid, wellid, block_fail, run_fail, sample_fail from h join r using (sampleid, plateid) join s using (sampleid)")
+@query("d8_run_hierarchy", K.sql(f"with {_H} select sampleid, plateid, wellid, block_fail, run_fail, sample_fail from h join r using (sampleid, plateid) join s using (sampleid)"))
 def d8(spark, d):
     return Q.run_hierarchy(_soma_samples(spark, d), "sampleid", "plateid", "wellid", F.col("rowcheck") == "FLAG")
 
 
-@query("d8_kept_values", f"with {_H} select row_id, case when not block_fail and not isnan(rfu) then rfu end rfu from soma_long l join h using (sampleid, plateid, wellid) join r using (sampleid, plateid) join s using (sampleid) where l.sampletype = 'SAMPLE' and not (run_fail and not sample_fail)")
+@query("d8_kept_values", K.sql(f"with {_H} select row_id, case when not block_fail and not isnan(rfu) then rfu end rfu from soma_long l join h using (sampleid, plateid, wellid) join r using (sampleid, plateid) join s using (sampleid) where l.sampletype = 'SAMPLE' and not (run_fail and not sample_fail)"))
 def d8b(spark, d):
     rows = nan_to_null(_soma_samples(spark, d))
     verdicts = Q.run_hierarchy(rows, "sampleid", "plateid", "wellid", F.col("rowcheck") == "FLAG")
@@ -272,12 +272,12 @@ def reasons(spark, d):
     ]))
 
 
-@query("d31_first_reason_table", f"select coalesce({_REASON}, 'kept') reason, record_source, count(*) samples, count(distinct usubjid) subjects from manifest group by 1, 2")
+@query("d31_first_reason_table", K.sql(f"select coalesce({_REASON}, 'kept') reason, record_source, count(*) samples, count(distinct usubjid) subjects from manifest group by 1, 2"))
 def d31(spark, d):
     return Q.exclusion_counts(reasons(spark, d), "reason", ["record_source"], "usubjid")
 
 
-@query("d26_cascade_survivors", f"with r as (select coalesce({_REASON}, 'kept') reason from manifest), k as (select reason, count(*) n, case reason when 'no subject' then 1 when 'no date' then 2 when 'no visit' then 3 when 'impossible visit' then 4 when 'excluded' then 5 else 6 end step from r group by 1) select step, reason, n lost, (sum(n) over () - sum(n) over (order by step))::bigint left_over from k")
+@query("d26_cascade_survivors", K.sql(f"with r as (select coalesce({_REASON}, 'kept') reason from manifest), k as (select reason, count(*) n, case reason when 'no subject' then 1 when 'no date' then 2 when 'no visit' then 3 when 'impossible visit' then 4 when 'excluded' then 5 else 6 end step from r group by 1) select step, reason, n lost, (sum(n) over () - sum(n) over (order by step))::bigint left_over from k"))
 def d26(spark, d):
     order = {"no subject": 1, "no date": 2, "no visit": 3, "impossible visit": 4, "excluded": 5, "kept": 6}
     k = reasons(spark, d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("lost"))
@@ -285,7 +285,7 @@ def d26(spark, d):
     return k.withColumn("left_over", F.sum("lost").over(W.partitionBy()) - F.sum("lost").over(W.orderBy("step"))).select("step", "reason", "lost", "left_over")
 
 
-@query("d32_root_reason", f"with r as (select row_id, usubjid, visitnum, {_REASON} reason from manifest where usubjid is not null) select usubjid, arg_min(reason, row_id) filter (reason is not null) root, count(*) n, count(reason) lost from r group by 1 having count(reason) > 0")
+@query("d32_root_reason", K.sql(f"with r as (select row_id, usubjid, visitnum, {_REASON} reason from manifest where usubjid is not null) select usubjid, arg_min(reason, row_id) filter (reason is not null) root, count(*) n, count(reason) lost from r group by 1 having count(reason) > 0"))
 def d32(spark, d):
     r = reasons(spark, d).where("usubjid is not null")
     return r.groupBy("usubjid").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("row_id"))).alias("root"), F.count("*").alias("n"), F.count("reason").alias("lost")).where("lost > 0")
@@ -349,9 +349,9 @@ def d94(spark, d):
     return m.groupBy("sampleid").agg(F.size(F.collect_set("manifest_correction")).cast("bigint").alias("kinds"), F.min("manifest_correction").alias("first"))
 
 
-@query("d95_exclusion_frame", f"select row_id, sampleid, usubjid, coalesce({_REASON}, 'kept') reason, true assayed from manifest where sampleid in (select sampleid from soma_long) union all select row_id, sampleid, usubjid, coalesce({_REASON}, 'not assayed'), false from manifest where sampleid is null or sampleid not in (select sampleid from soma_long where sampleid is not null)")
+@query("d95_exclusion_frame", K.sql(f"select row_id, sampleid, usubjid, coalesce({_REASON}, 'kept') reason, true assayed from manifest where sampleid in (select sampleid from soma_long) union all select row_id, sampleid, usubjid, coalesce({_REASON}, 'not assayed'), false from manifest where sampleid is null or sampleid not in (select sampleid from soma_long where sampleid is not null)"))
 def d95(spark, d):
-    seen = table(spark, d, "soma_long").where("sampleid is not null").select("sampleid", F.lit(True).alias("assayed")).distinct()
+    seen = K.table(spark, d, "soma_long").where("sampleid is not null").select("sampleid", F.lit(True).alias("assayed")).distinct()
     r = reasons(spark, d).join(seen, "sampleid", "left").withColumn("assayed", F.coalesce("assayed", F.lit(False)))
     return r.select("row_id", "sampleid", "usubjid", F.coalesce("reason", F.when(F.col("assayed"), "kept").otherwise("not assayed")).alias("reason"), "assayed")
 
