@@ -243,12 +243,12 @@ def median_polish(df: DataFrame, value: str, unit: str, effects: Sequence[str],
     unit, clipped, and 0 where there is no value or no spread."""
     work = df.withColumn(out, finite(F.col(value)))
     spread = plan_bytes(work) > ONE_BUFFER_BYTES
-    stash = Stash(df.sparkSession) if spread else None
+    stash = Stash(df.sparkSession)
     for _ in range(rounds):
         for e in effects:
             mids = exact_quantiles(work, out, [unit, e], {"__tg_mid": 0.5}, spread).drop("n")
             work = matched(work, mids, [unit, e], "left").withColumn(out, F.col(out) - F.coalesce("__tg_mid", F.lit(0.0))).drop("__tg_mid")
-        work = stash.keep(work, "polished") if stash else work  # large frames are read many times in a round
+        work = stash.keep(work, "polished")  # every sweep reads the values twice, so plans would double with each
     base = median_mad(work, out, [unit], spread=spread).select(unit, F.col("mad").alias("__tg_mad"))
     scaled = F.when(F.col("__tg_mad") > 0, F.col(out) / (MAD_SCALE * F.col("__tg_mad")))
     return work.join(base, unit, "left").withColumn(out, F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), scaled)), F.lit(0.0))).drop("__tg_mad")

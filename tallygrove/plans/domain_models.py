@@ -13,7 +13,7 @@ from tallygrove.operators import stats as S
 from tallygrove.plans import keys as K
 from tallygrove.plans.registry import Registry
 from tallygrove.plans.sqldist import sql_t_two_sided
-from tallygrove.plans.statistics import OLINK_SQL, olink, soma
+from tallygrove.plans.statistics import OLINK_SQL, SOMA_SQL, olink, soma
 from tallygrove.sources.tables import nan_to_null
 
 REG = Registry()
@@ -435,6 +435,46 @@ def st38(spark, d):
     return S.bh_fdr(got, "p").select(F.col("p_brand").alias("term"), "n", *[F.round(c, 6).alias(c) for c in ("t", "p")], "direction", F.round("fdr", 6).alias("fdr"))
 
 
+_TUBES = K.sql("(select sampleid sample, arg_min(usubjid, row_id) who from manifest where sampleid is not null and usubjid is not null group by 1)")
+_PEOPLE = K.sql("(select usubjid who, arg_min(sex, row_id) sex, arg_min(age, row_id) age from adsl where deleted_at is null group by 1)")
+
+
+@query("st19_score_checks", K.sql("select panel, count(distinct sampleid) n, 0.0::double as centre1, 0.0::double as centre2, true as in_range from olink_long where sampletype = 'SAMPLE' and sampleid is not null and npx is not null and not isnan(npx) and abs(npx) < 40 group by 1"))
+def st19_checks(spark, d):
+    """Component scores are centred, uncorrelated, and the first share lies between 0 and 1."""
+    zero = lambda c: F.round(F.abs(F.avg(c)), 6)
+    tied = F.abs(F.covar_pop("pc1", "pc2")) < 1e-6 * (F.var_pop("pc1") + 1)
+    return st19(spark, d).groupBy("panel").agg(F.count("*").alias("n"), zero("pc1").alias("centre1"), zero("pc2").alias("centre2"), (tied & (F.min("share1") > 0) & (F.max("share1") <= 1)).alias("in_range"))
+
+
+@query("st22_imputation_checks", K.sql("with c as (select panel, olinkid a, sampleid s, avg(npx) filter (not isnan(npx)) v from olink_long where sampletype = 'SAMPLE' and sampleid is not null group by 1, 2, 3), n as (select panel, count(distinct a) * count(distinct s) cells, count(v) given from c group by 1) select panel, cells - given gaps, true as between_donors from n where cells > given"))
+def st22_checks(spark, d):
+    """Every gap, and nothing else, is imputed, by a mean of given values."""
+    o = nan_to_null(K.table(spark, d, "olink_long").where("sampletype = 'SAMPLE' and sampleid is not null").select("panel", "olinkid", "npx"))
+    ends = o.groupBy("panel", F.col("olinkid").alias("assay")).agg(F.min("npx").alias("lo"), F.max("npx").alias("hi"))
+    return st22(spark, d).join(ends, ["panel", "assay"]).groupBy("panel").agg(F.count("*").alias("gaps"), F.bool_and(F.col("imputed").between(F.col("lo"), F.col("hi"))).alias("between_donors"))
+
+
+@query("st25_projection_checks", f"select count(distinct sample) n, true as no_larger from {OLINK_SQL} where sampletype = 'SAMPLE' and sample is not null")
+def st25_checks(spark, d):
+    """What is left after projection is at most all of a sample's variation."""
+    return st25(spark, d).agg(F.count("*").alias("n"), F.bool_and((F.col("kept") >= 0) & (F.col("kept") <= 1 + 1e-9)).alias("no_larger"))
+
+
+@query("st30_probability_checks", f"select count(distinct sample) n, true as in_range, count(distinct sample) filter (sex = 'M') men from {OLINK_SQL} join {_TUBES} using (sample) join {_PEOPLE} using (who) where sampletype = 'SAMPLE' and sex in ('F', 'M')")
+def st30_checks(spark, d):
+    fine = F.col("p_male").between(0, 1) & F.col("p_male_l1").between(0, 1)
+    return st30(spark, d).agg(F.count("*").alias("n"), F.bool_and(fine).alias("in_range"), F.count_if(F.col("sex") == "M").alias("men"))
+
+
+@query("st31_prediction_checks", f"select count(distinct sample) n, round(sum(age) / 1.0, 4) as ages, true as predicted from (select distinct sample, age from {SOMA_SQL} join {_TUBES} using (sample) join {_PEOPLE} using (who) where sampletype = 'SAMPLE' and age is not null)")
+def st31_checks(spark, d):
+    whole = F.lit(True)
+    for c in ("predicted", "residual", "predicted_net", "residual_net"):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    return st31(spark, d).agg(F.count("*").alias("n"), F.round(F.sum("age"), 4).alias("ages"), F.bool_and(whole).alias("predicted"))
+
+
 @query("st39_rotation_null")
 def st39(spark, d):
     """Rank correlation of assay effects with a signature against rotations that keep the assays' correlation."""

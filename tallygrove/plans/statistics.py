@@ -140,9 +140,35 @@ def st29(spark, d):
     return a.groupBy(S.stable_fold(F.col("usubjid"), 5, "s1").alias("fold")).agg(F.count("*").alias("n"), F.count_distinct("usubjid").alias("subjects"))
 
 
-@query("st24_median_polish")
+def _swept(first: str, effects: tuple[str, ...], rounds: int) -> str:
+    """CTEs c0, c1, ... that sweep the medians of each effect out of r in turn, and the last one's name."""
+    parts, n = [f"c0 as ({first})"], 0
+    for _ in range(rounds):
+        for e in effects:
+            parts.append(f"c{n + 1} as (select * replace (r - median(r) over (partition by assay, {e}) as r) from c{n})")
+            n += 1
+    return ", ".join(parts), f"c{n}"
+
+
+_POLISH, _LAST = _swept(
+    K.sql(f"""select s.row_id, assay, plate, arm || '/' || visit cell, v r from {SOMA_SQL} s left join (select sampleid, arg_min(usubjid, row_id) filter (usubjid is not null) who, arg_min(visitnum::int, row_id) filter (visitnum between 1 and 99 and not isnan(visitnum)) visit from manifest where sampleid is not null group by 1) t on t.sampleid = s.sample
+    left join (select usubjid, arg_min(trt01a, row_id) filter (trt01a is not null) arm from adsl where usubjid is not null group by 1) a on a.usubjid = t.who where sampletype = 'SAMPLE'"""),
+    ("cell", "plate"), 3,
+)
+
+
+@query("st24_median_polish", f"with {_POLISH}, m as (select assay, median(r) med from {_LAST} group by 1), k as (select assay, median(abs(r - med)) mad from {_LAST} join m using (assay) group by 1) select row_id, assay, round(case when mad > 0 then greatest(-6, least(6, r / (1.4826 * mad))) else 0 end, 6) + 0.0 resid from {_LAST} join k using (assay)")
 def st24(spark, d):
-    return S.median_polish(soma(spark, d).where("sampletype = 'SAMPLE'"), "v", "assay", ["plate"]).select("row_id", "assay", F.round("resid", 6).alias("resid"))
+    """Medians of arm by visit and of plates swept out of each analyte's values in turn, three rounds; samples without arm or
+    visit are a group of their own."""
+    m = K.table(spark, d, "manifest").where("sampleid is not null")
+    fits = F.col("visitnum").between(1, 99) & ~F.isnan("visitnum")
+    t = m.groupBy(F.col("sampleid").alias("sample")).agg(F.min_by("usubjid", F.when(F.col("usubjid").isNotNull(), F.col("row_id"))).alias("usubjid"), F.min_by(F.col("visitnum"), F.when(fits, F.col("row_id"))).alias("visit"))
+    a = K.table(spark, d, "adsl").where("usubjid is not null").groupBy("usubjid").agg(F.min_by("trt01a", F.when(F.col("trt01a").isNotNull(), F.col("row_id"))).alias("arm"))
+    # DuckDB rounds a half visit to the nearest even number, as bround does
+    cells = t.join(a, "usubjid", "left").select("sample", F.concat("arm", F.lit("/"), F.bround("visit").cast("int").cast("string")).alias("cell"))
+    rows = soma(spark, d).where("sampletype = 'SAMPLE'").join(cells, "sample", "left")
+    return S.median_polish(rows, "v", "assay", ["cell", "plate"]).select("row_id", "assay", F.round("resid", 6).alias("resid"))
 
 
 @query("st24_one_sweep", f"with a as (select *, v - median(v) over (partition by assay, plate) r from {SOMA_SQL} where sampletype = 'SAMPLE'), m as (select assay, median(r) med from a group by 1), k as (select assay, median(abs(r - med)) mad from a join m using (assay) group by 1) select row_id, round(case when mad > 0 then greatest(-6, least(6, r / (1.4826 * mad))) else 0 end, 6) resid from a join k using (assay)")
