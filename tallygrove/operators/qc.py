@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.operators.stats import MAD_SCALE, correlations, exact_quantiles, finite, hazen_quantile, median_mad
+from tallygrove.operators.stats import MAD_SCALE, correlations, exact_quantiles, finite, hazen_quantiles, median_mad
 
 
 def run_hierarchy(rows: DataFrame, sample: str, run: str, block: str, failed: Column) -> DataFrame:
@@ -113,9 +113,9 @@ def median_iqr_outliers(rows: DataFrame, value: str, sample: str, k: float = 5.0
     out). Mean and population sd come from the samples whose `fit` is true (all without it); every sample is judged.
     """
     own = rows.withColumn("__tg_w", F.col(weight) if weight else F.lit(1.0))
-    q = {name: hazen_quantile(own, value, "__tg_w", [sample], p, name) for name, p in (("med", 0.5), ("q1", 0.25), ("q3", 0.75))}
+    q = hazen_quantiles(own, value, "__tg_w", [sample], {"med": 0.5, "q1": 0.25, "q3": 0.75})
     counted = own.where(finite(F.col(value)).isNotNull() & (F.col("__tg_w") > 0)).groupBy(sample).agg(F.count("*").alias("n"), F.bool_or(F.col(fit) if fit else F.lit(True)).alias("in_fit"))
-    per = counted.join(q["med"], sample).join(q["q1"], sample).join(q["q3"], sample).withColumn("iqr", F.col("q3") - F.col("q1"))
+    per = counted.join(q, sample).withColumn("iqr", F.col("q3") - F.col("q1"))
     base = per.where("in_fit")
     stats = base.agg(F.avg("med").alias("mm"), F.stddev_pop("med").alias("sm"), F.avg("iqr").alias("mi"), F.stddev_pop("iqr").alias("si"))
     z = lambda v, m, s: F.when(F.col(s) > 0, (F.col(v) - F.col(m)) / F.col(s)).otherwise(0.0)

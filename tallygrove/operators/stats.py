@@ -169,23 +169,33 @@ def correlations(df: DataFrame, x: str, y: str, by: Sequence[str], least: int =
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, safe_corr("__tg_x", "__tg_y")).alias("pearson"), F.when(spread, safe_corr("__tg_rx", "__tg_ry")).alias("spearman"))
 
 
-def hazen_quantile(df: DataFrame, value: str, weight: str, by: Sequence[str], q: float, out: str) -> DataFrame:
-    """Weighted Hazen quantile per group: values at cumulative weight minus half their own, over the total, interpolated
-    linearly between the two neighbours of q and constant beyond the first and last. Weights must be positive."""
+def hazen_quantiles(df: DataFrame, value: str, weight: str, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Weighted Hazen quantiles per group: values at cumulative weight minus half their own, over the total, interpolated
+    linearly between the two neighbours of each quantile and constant beyond the first and last. Weights must be positive."""
     own = df.select(*by, finite(F.col(value)).alias("__tg_x"), finite(F.col(weight)).alias("__tg_w")).where("__tg_x is not null and __tg_w > 0")
     # equal rows are one with a count: the j-th of them stands at (sum before + (j - 1/2) weight) / total
     per = own.groupBy(*by, "__tg_x", "__tg_w").agg(F.count("*").alias("__tg_c")).withColumn("__tg_s", F.col("__tg_c") * F.col("__tg_w"))
     summed = running_sums(per, by, ["__tg_x", "__tg_w"], "__tg_s").withColumn("__tg_f", F.col("__tg_r") - F.col("__tg_s"))
-    turn = (F.lit(q) * F.col("__tg_m") - F.col("__tg_f")) / F.col("__tg_w") + 0.5
     at = lambda j: (F.col("__tg_f") + (j - 0.5) * F.col("__tg_w")) / F.col("__tg_m")
-    last, next_ = F.least(F.floor(turn), F.col("__tg_c")), F.greatest(F.ceil(turn), F.lit(1))
-    low = F.max(F.when(last >= 1, F.struct(at(last).alias("__tg_p"), "__tg_x")))
-    high = F.min(F.when(next_ <= F.col("__tg_c"), F.struct(at(next_).alias("__tg_p"), "__tg_x")))
-    placed = summed
-    ends = placed.groupBy(*by).agg(low.alias("__tg_l"), high.alias("__tg_h"))
-    lp, lx, hp, hx = (F.col(c) for c in ("__tg_l.__tg_p", "__tg_l.__tg_x", "__tg_h.__tg_p", "__tg_h.__tg_x"))
-    value_at = F.when(F.col("__tg_l").isNull(), hx).when(F.col("__tg_h").isNull(), lx).when(hp == lp, lx).otherwise(lx + (hx - lx) * (F.lit(q) - lp) / (hp - lp))
-    return ends.select(*by, value_at.alias(out))
+    ends = []
+    for name, q in probs.items():
+        turn = (F.lit(q) * F.col("__tg_m") - F.col("__tg_f")) / F.col("__tg_w") + 0.5
+        last, next_ = F.least(F.floor(turn), F.col("__tg_c")), F.greatest(F.ceil(turn), F.lit(1))
+        ends.append(F.max(F.when(last >= 1, F.struct(at(last).alias("p"), F.col("__tg_x").alias("x")))).alias(f"__tg_l_{name}"))
+        ends.append(F.min(F.when(next_ <= F.col("__tg_c"), F.struct(at(next_).alias("p"), F.col("__tg_x").alias("x")))).alias(f"__tg_h_{name}"))
+    met = summed.groupBy(*by).agg(*ends)
+
+    def between(name: str, q: float) -> Column:
+        l, h = F.col(f"__tg_l_{name}"), F.col(f"__tg_h_{name}")
+        inner = l["x"] + (h["x"] - l["x"]) * (F.lit(q) - l["p"]) / (h["p"] - l["p"])
+        return F.when(l.isNull(), h["x"]).when(h.isNull(), l["x"]).when(h["p"] == l["p"], l["x"]).otherwise(inner)
+
+    return met.select(*by, *[between(name, q).alias(name) for name, q in probs.items()])
+
+
+def hazen_quantile(df: DataFrame, value: str, weight: str, by: Sequence[str], q: float, out: str) -> DataFrame:
+    """One weighted Hazen quantile per group."""
+    return hazen_quantiles(df, value, weight, by, {out: q})
 
 
 def nearest_quantile(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], spread: bool | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,9 +42,19 @@ def get_spark(cores: int | None = None, app: str = "tallygrove", **extra: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable for the Python workers of every executor, wherever they start. Sessions that were not
+    made here need it called once, or the package on the workers' path."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallygrove-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tallygrove"), "zip", os.path.dirname(root), os.path.basename(root)))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it when they start
+
+
 def is_local(master: str) -> bool:
     """Whether driver and executors are one process."""
     return master == "local" or master.startswith("local[")
