@@ -132,6 +132,55 @@ def test_second_genotype_of_a_mixture(spark):
     assert got[1][0] == 7 and got[1][1] > max(got[0][1], got[2][1])
 
 
+def test_score_matrix_over_blocks_and_gaps(spark):
+    rng = np.random.default_rng(4)
+    obs, pred = rng.normal(size=(9, 8)), rng.normal(size=(14, 8))
+    obs[rng.random(obs.shape) < 0.3], pred[rng.random(pred.shape) < 0.2] = np.nan, np.nan
+    pred[3, ~np.isnan(pred[3])] = 2.0  # no spread: no row
+    o = spark.createDataFrame([(f"t{t}", f"p{p}", float(obs[t, p])) for t, p in np.argwhere(~np.isnan(obs))], "tube string, protein string, x double")
+    y = spark.createDataFrame([(int(g), f"p{p}", float(pred[g, p])) for g, p in np.argwhere(~np.isnan(pred))], "geno long, protein string, y double")
+    want = {}
+    for t, g in np.ndindex(9, 14):
+        both = ~np.isnan(obs[t]) & ~np.isnan(pred[g])
+        if both.sum() >= 3 and g != 3:
+            want[f"t{t}", g] = np.corrcoef(obs[t, both], pred[g, both])[0, 1]
+    frame = G.score_matrix(o, y)
+    got = {(r.tube, r.geno): r for r in frame.collect()}
+    assert {k: r.r for k, r in got.items()} == pytest.approx(want, abs=1e-12)
+    for t in range(9):
+        own = np.array([v for (k, _), v in want.items() if k == f"t{t}"])
+        if len(own):
+            mad = 1.4826 * np.median(np.abs(own - np.median(own)))
+            for (k, g), r in got.items():
+                assert k != f"t{t}" or r.z == (pytest.approx((r.r - np.median(own)) / mad, abs=1e-9) if mad > 0 else None)
+    same = G.row_correlations(np.array([[1.0, 1.0, 1.0, 5.0], [1.0, 1.0 + 1e-7, 1.0, np.nan]]), np.array([[1.0, 2.0, 4.0, np.nan]]))
+    assert np.isnan(same[0, 0]) and same[1, 0] == pytest.approx(np.corrcoef([1.0, 1.0 + 1e-7, 1.0], [1.0, 2.0, 4.0])[0, 1])
+    shuffled = frame._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert shuffled.count("Exchange hashpartitioning(tube") == 0  # pairs are made where they are used, never exchanged
+
+
+def _chain(spark):
+    rng = np.random.default_rng(5)
+    pred, obs = rng.normal(size=(20, 9)), rng.normal(size=(30, 9))
+    obs[rng.random(obs.shape) < 0.2] = np.nan
+    pred[7] = pred[8]  # nearly repeats the label of tubes 7 and 27
+    o = spark.createDataFrame([(int(t), int(t % 22 if t < 28 else 8), int(p), float(obs[t, p])) for t, p in np.argwhere(~np.isnan(obs))], "tube long, who long, protein long, x double")
+    y = spark.createDataFrame([(int(g), int(p), float(pred[g, p])) for g, p in np.ndindex(pred.shape)], "geno long, protein long, y double")
+    return o, y, o.select("tube", "who").distinct()
+
+
+def test_mixtures_of_a_matrix_are_those_of_its_table(spark):
+    o, y, who = _chain(spark)
+    table = G.score_matrix(o.drop("who"), y).join(who, "tube").select("tube", "who", "geno", "r")
+    want = {r.tube: (r.who, r.second, r.mixture_z) for r in G.mixture_scores(table, G.prediction_correlations(y)).collect()}
+    frame = G.matrix_mixtures(o, y)
+    got = {r.tube: (r.who, r.second, r.mixture_z) for r in frame.collect()}
+    assert len(want) > 20 and got.keys() == want.keys()
+    for t, (w, second, z) in want.items():
+        assert got[t][:2] == (w, second) and got[t][2] == pytest.approx(z, abs=1e-6)
+    assert "hashpartitioning(tube" not in frame._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
 def test_location_leaves_the_own_value_out():
     rng = np.random.default_rng(2)
     x = np.column_stack([np.ones(30), rng.normal(size=30)])
@@ -161,6 +210,17 @@ def test_scores_less_their_location(spark):
     assert all(got["few", g] == 1.0 for g in range(3))
 
 
+def test_locations_of_a_matrix_are_those_of_its_table(spark):
+    o, y, who = _chain(spark)
+    pcs = np.random.default_rng(6).normal(size=(19, 2))  # genotype 19 has none
+    comps = spark.createDataFrame([(g, float(a), float(b)) for g, (a, b) in enumerate(pcs)], "geno long, pc1 double, pc2 double")
+    z = G.score_matrix(o.drop("who"), y).where("z is not null").join(who, "tube").select("tube", "who", "geno", "z")
+    want = {(r.tube, r.geno): r.z for r in G.centred_scores(z, comps, ["pc1", "pc2"]).collect()}
+    frame = G.matrix_locations(o, y, comps, ["pc1", "pc2"])
+    assert {(r.tube, r.geno): r.z for r in frame.collect()} == pytest.approx(want, abs=1e-9) and len(want) > 400
+    assert "hashpartitioning(tube" not in frame._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
 def test_windows_flags_courses_and_folds(spark):
     rows = [("D", "2024-01-01", None), ("D", None, "2024-05-01"), ("C", "2024-01-01", None), ("C", None, "2024-02-01"), ("D", "2024-01-01", "2024-01-05")]
     df = spark.createDataFrame(rows, "s string, l string, e string").withColumn("s", F.when(F.col("s") == "D", "DISCONTINUED").otherwise("COMPLETED"))
