@@ -58,6 +58,10 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return beta, np.sqrt(np.maximum(np.diag(inv), 0) * sigma2), resid
 
 
+#: Weights of a batch of bootstrap draws held at once.
+BOOTSTRAP_CELLS = 4_000_000
+
+
 def mediate(y: np.ndarray, m: np.ndarray, common: np.ndarray, treat: np.ndarray, sims: int, seed: int, batch: int = 2000) -> dict[str, float]:
     """Mediation by the product of coefficients: indirect a*b, direct, total; percentile intervals and P values from a
     bootstrap over rows (batches bound its memory), and Sobel's analytic P of the indirect effect."""
@@ -69,11 +73,21 @@ def mediate(y: np.ndarray, m: np.ndarray, common: np.ndarray, treat: np.ndarray,
     est = {"indirect": a * b, "direct": direct, "total": a * b + direct}
     rng = np.random.default_rng(seed)
     draws = {k: [] for k in est}
+    batch = max(1, min(batch, BOOTSTRAP_CELLS // n))  # draws follow one another in the generator, however they are batched
+    # both models' weighted cross products, and those with the outcomes, are one product with the weights of the draws
+    full = np.column_stack([xy, y])
+    iu = np.triu_indices(full.shape[1])
+    products = np.ascontiguousarray(full[:, iu[0]] * full[:, iu[1]])
+    first = np.r_[0, 2 : xy.shape[1]]  # the mediator is column 1
     for at in range(0, sims, batch):
-        idx = rng.integers(0, n, size=(min(batch, sims - at), n))
-        wts = np.bincount((idx + n * np.arange(len(idx))[:, None]).ravel(), minlength=len(idx) * n).reshape(len(idx), n).astype(float)
-        solve = lambda x, t, w=wts: np.einsum("kij,kj->ki", np.linalg.pinv(np.einsum("ki,ip,iq->kpq", w, x, x, optimize=True)), (w * t) @ x)
-        one, two = solve(xm, m), solve(xy, y)
+        k = min(batch, sims - at)
+        wts = np.empty((k, n))
+        for row in wts:
+            row[:] = np.bincount(rng.integers(0, n, size=n), minlength=n)
+        g = np.zeros((k, full.shape[1], full.shape[1]))
+        g[:, iu[0], iu[1]] = g[:, iu[1], iu[0]] = wts @ products
+        solve = lambda own, t, g=g: np.einsum("kij,kj->ki", np.linalg.pinv(g[:, own[:, None], own]), g[:, own, t])
+        one, two = solve(first, 1), solve(np.arange(xy.shape[1]), xy.shape[1])
         draws["indirect"].append(one[:, 0] * two[:, 1])
         draws["direct"].append(two[:, 0])
         draws["total"].append(one[:, 0] * two[:, 1] + two[:, 0])
