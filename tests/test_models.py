@@ -57,6 +57,30 @@ def test_mediation():
     assert M.mediate(y, m, np.ones((400, 1)), t, 500, 0, batch=500)["indirect_low"] == pytest.approx(got["indirect_low"], abs=0.2)
 
 
+def test_bootstrap_memory_is_bounded_and_draws_stay():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n = 20_000
+    t = (np.arange(n) % 2).astype(float)
+    m = t + rng.normal(size=n)
+    y = 2 * m + 0.5 * t + rng.normal(size=n)
+    common = np.column_stack([np.ones(n), rng.normal(size=n)])
+    tracemalloc.start()
+    got = M.mediate(y, m, common, t, 600, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 600 draws of 20,000 rows, in indexes and weights, are some 300 MB
+    assert {k: pytest.approx(v, rel=1e-9) for k, v in got.items()} == M.mediate(y, m, common, t, 600, 3, batch=7)
+    draws = np.random.default_rng(3).integers(0, n, size=(600, n))  # the generator's one sequence
+    xm, xy = np.column_stack([t, common]), np.column_stack([t, m, common])
+    boot = []
+    for idx in draws[:600]:
+        a, b = np.linalg.lstsq(xm[idx], m[idx], rcond=None)[0], np.linalg.lstsq(xy[idx], y[idx], rcond=None)[0]
+        boot.append(a[0] * b[1])
+    assert [got["indirect_low"], got["indirect_high"]] == pytest.approx(np.percentile(boot, [2.5, 97.5]), rel=1e-9)
+
+
 def test_mixture_knn_ridge_logistic():
     rng = np.random.default_rng(3)
     x = np.r_[rng.normal(0, 0.5, 600), rng.normal(4, 1.0, 400)]
