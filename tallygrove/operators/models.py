@@ -358,27 +358,84 @@ def two_gaussians(x: np.ndarray, starts: int = 10, steps: int = 500, floor: floa
 
 def knn_impute(x: np.ndarray, donors: np.ndarray | None = None, k: int = 5, block: int = 256) -> np.ndarray:
     """NaN cells replaced by the mean of the k nearest donors that have the cell, by Euclidean distance over the columns both
-    have, scaled up for those that are missing; the column mean where no donor has it."""
+    have, scaled up for those that are missing; the column mean where no donor has it.
+
+    Rows that lack the same columns are searched together, in blocks that meet the donors in blocks. A product of matrices
+    gives the distances; donors that may be among the nearest are measured again exactly, so ties go to the first donor.
+    """
     out, own = x.copy(), x if donors is None else x[donors]
-    have = ~np.isnan(own)
-    filled, cols = np.where(have, own, 0.0), x.shape[1]
-    means = np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in own.T])
+    have, cols = ~np.isnan(own), x.shape[1]
+    count = have.sum(axis=0)
+    means = np.where(count > 0, np.nansum(own, axis=0) / np.maximum(count, 1), 0.0)
     need = np.flatnonzero(np.isnan(x).any(axis=1))
-    for a in range(0, len(need), block):
-        rows = need[a : a + block]
-        mine = ~np.isnan(x[rows])
-        v = np.where(mine, x[rows], 0.0)
-        both = mine.astype(float) @ have.T.astype(float)
-        d = (v**2) @ have.T - 2 * v @ filled.T + mine.astype(float) @ (filled**2).T
-        d = np.where(both > 0, np.maximum(d, 0) * cols / np.maximum(both, 1), np.inf)
-        rank = np.argsort(d, axis=1, kind="stable")
-        for i, r in enumerate(rows):
-            for j in np.flatnonzero(~mine[i]):
-                near = [q for q in rank[i] if have[q, j] and np.isfinite(d[i, q])][:k]
-                out[r, j] = own[near, j].mean() if near else means[j]
+    if not len(need) or not len(own):
+        out[need] = np.where(np.isnan(out[need]), means, out[need])
+        return out
+    filled = np.where(have, own - means, 0.0)  # distances are the same about the means, and lose fewer digits
+    patterns, of = np.unique(np.isnan(x[need]), axis=0, return_inverse=True)
+    of = of.ravel()
+    for p, lacks in enumerate(patterns):
+        given = np.flatnonzero(~lacks)
+        rows = need[of == p]
+        if not len(given):
+            out[rows] = means
+            continue
+        v = x[np.ix_(rows, given)] - means[given]
+        for j in np.flatnonzero(lacks):
+            able = np.flatnonzero(have[:, j])
+            whole = have[np.ix_(able, given)].all(axis=1)
+            for a in range(0, len(rows), block):
+                own_rows = slice(a, a + block)
+                near, found = _nearest(v[own_rows], filled[:, given], have[:, given], able[whole], able[~whole], cols, k)
+                total = found.sum(axis=1)
+                mean = np.where(found, own[near, j], 0.0).sum(axis=1) / np.maximum(total, 1)
+                out[rows[own_rows], j] = np.where(total > 0, mean, means[j])
     return out
 
 
+def _nearest(v: np.ndarray, filled: np.ndarray, have: np.ndarray, whole: np.ndarray, partial: np.ndarray, cols: int, k: int, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes, found) of the k nearest donors of every row of v, nearest first. Donors `whole` have all columns of v, those
+    `partial` not; donors that share no column are not found."""
+    n, g = v.shape
+    step = max(1024, cells // n)
+    best_d, best_i = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+    square = (v**2).sum(axis=1)
+    size = 1.0 + square.max()
+    for donors, full in ((whole, True), (partial, False)):
+        for at in [0, *range(1024, len(donors), step)] if len(donors) else []:
+            own = donors[at : at + (step if at else 1024)]
+            f = filled[own]
+            norms = (f**2).sum(axis=1)
+            slack = 1e-11 * cols * (size + norms.max())
+            if full:
+                d, add, times = np.column_stack([-2.0 * v, np.ones(n)]) @ np.column_stack([f, norms]).T, square, cols / g  # the rest goes into the limit
+            else:
+                both = have[own].sum(axis=1)
+                d = np.column_stack([v**2, -2.0 * v]) @ np.column_stack([have[own], f]).T
+                d += norms
+                d *= cols / np.maximum(both, 1)
+                d[:, both == 0] = np.inf
+                add, times = np.zeros(n), 1.0
+            limit = best_d[:, -1]
+            if not np.isfinite(limit).all():
+                limit = np.minimum(limit, (np.partition(d, k - 1, axis=1)[:, k - 1] + add) * times if len(own) >= k else np.inf)
+            r, c = np.nonzero(d <= ((limit + slack) / times - add)[:, None])
+            keep = np.isfinite(d[r, c])
+            r, c = r[keep], c[keep]
+            if not len(r):
+                continue
+            both = have[own[c]]
+            exact = (np.where(both, v[r] - f[c], 0.0) ** 2).sum(axis=1) * cols / both.sum(axis=1)
+            old = np.isfinite(best_d)
+            rows, ids, ds = np.r_[np.nonzero(old)[0], r], np.r_[best_i[old], own[c]], np.r_[best_d[old], exact]
+            order = np.lexsort((ids, ds, rows))
+            rows, ids, ds = rows[order], ids[order], ds[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            top = rank < k
+            best_d[rows[top], rank[top]], best_i[rows[top], rank[top]] = ds[top], ids[top]
+    return best_i, np.isfinite(best_d)
+
+
 #: Ridge penalties that cross-validation chooses from: thirteen, half a decade apart, from 1e-2 to 1e4.
 RIDGE_ALPHAS = tuple(10.0 ** (-2 + 0.5 * i) for i in range(13))
 
@@ -401,16 +458,17 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float
 def grouped_ridge(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alphas: Sequence[float] = RIDGE_ALPHAS) -> tuple[np.ndarray, float, float]:
     """Ridge whose penalty has the least summed squared error over given (grouped) folds, the smallest on a tie; refitted on
     all rows. Coefficients, intercept, penalty."""
-    best = (math.inf, float(alphas[0]))
-    for alpha in alphas:
-        sse = 0.0
-        for f in np.unique(fold):
-            tr, te = fold != f, fold == f
-            if tr.any():
-                b, c = ridge(x[tr], y[tr], alpha)
-                sse += float(((y[te] - x[te] @ b - c) ** 2).sum())
-        if sse < best[0]:
-            best = (sse, float(alpha))
+    sse = np.zeros(len(alphas))
+    for f in np.unique(fold):
+        tr, te = fold != f, fold == f
+        if tr.any():
+            mx, my, xe, ye = x[tr].mean(axis=0), y[tr].mean(), x[te], y[te]
+            z = x[tr] - mx
+            gram, q = z.T @ z, z.T @ (y[tr] - my)  # the same for every penalty
+            for i, alpha in enumerate(alphas):
+                own = np.linalg.solve(gram + alpha * np.eye(x.shape[1]), q)
+                sse[i] += float(((ye - xe @ own - float(my - mx @ own)) ** 2).sum())
+    best = (sse.min(), float(alphas[int(np.argmin(sse))]))
     b, c = ridge(x, y, best[1])
     return b, c, best[1]
 

@@ -105,6 +105,46 @@ def test_mixture_knn_ridge_logistic():
     assert ((p > 0.5) == (lab == 1)).mean() > 0.85
 
 
+def _imputed_by_hand(x, own, k=5):
+    out = x.copy()
+    for i, j in np.argwhere(np.isnan(x)):
+        both = ~np.isnan(own) & ~np.isnan(x[i])
+        able = np.flatnonzero(~np.isnan(own[:, j]) & both.any(axis=1))
+        d = [((x[i] - own[q])[both[q]] ** 2).sum() * x.shape[1] / both[q].sum() for q in able]
+        near = able[np.argsort(d, kind="stable")[:k]]
+        rest = own[:, j][~np.isnan(own[:, j])]
+        out[i, j] = own[near, j].mean() if len(near) else rest.mean() if len(rest) else 0.0
+    return out
+
+
+def test_neighbours_with_gaps_ties_and_few_donors():
+    rng = np.random.default_rng(9)
+    for x in (np.where(rng.random((300, 6)) < 0.3, np.nan, rng.normal(size=(300, 6))), np.where(rng.random((200, 4)) < 0.15, np.nan, rng.integers(0, 3, (200, 4)).astype(float)), np.where(rng.random((5, 3)) < 0.4, np.nan, rng.normal(size=(5, 3))), np.full((3, 2), np.nan)):
+        for donors in (None, rng.random(len(x)) < 0.7):
+            assert M.knn_impute(x, donors) == pytest.approx(_imputed_by_hand(x, x if donors is None else x[donors]), abs=1e-9)
+
+
+def test_neighbours_hold_bounded_blocks():
+    import tracemalloc
+
+    x = np.random.default_rng(10).normal(size=(20_000, 8))
+    x[:300, 3] = np.nan
+    tracemalloc.start()
+    full = M.knn_impute(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and not np.isnan(full).any()  # 256 rows by 20,000 donors in five arrays are over 200 MB
+
+
+def test_samples_are_rows_of_a_matrix(spark):
+    from tallygrove.plans import domain_models as D
+
+    v = spark.createDataFrame([("p", "s1", "b", 2.0), ("p", "s1", "a", 1.0), ("p", "s2", "b", None), ("p", "s3", "c", 3.0), ("q", "s1", "z", 9.0), ("q", "s1", None, 8.0)], "panel string, sample string, assay string, v double")
+    got = D.matrix_rows(v, ["panel"], ["sample"]).orderBy("panel", "sample").toPandas()
+    assert got["sample"].tolist() == ["s1", "s2", "s3", "s1"]  # one row each, not one for each cell
+    assert np.array_equal(D.matrix(got[got.panel == "p"]), [[1, 2, np.nan], [np.nan] * 3, [np.nan, np.nan, 3]], equal_nan=True) and D.matrix(got[got.panel == "q"]).tolist() == [[9.0]]
+
+
 def test_matrix_kernels():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(100, 2)) @ rng.normal(size=(2, 6)) + rng.normal(0, 0.01, (100, 6))
