@@ -13,7 +13,7 @@ from tallygrove.operators import models as M
 from tallygrove.operators import relational as R
 from tallygrove.operators import results as O
 from tallygrove.operators import stats as S
-from tallygrove.plans.domain_models import assay_samples, subjects, wide
+from tallygrove.plans.domain_models import assay_samples, matrix, matrix_rows, subjects
 from tallygrove.plans.domain_linkage import _CAT, _PAIRS, kin_pairs
 from tallygrove.plans.domain_results import _CHANGES, _CLASSIFIED, _LS, _T, arm_courses, changes, effects, ls_means
 from tallygrove.plans import keys as K
@@ -166,11 +166,10 @@ def d25(spark, d):
     v = assay_samples(olink(spark, d)).withColumn("platform", F.lit("olink"))
 
     def fit(pdf):
-        x = wide(pdf)
-        x = x.loc[:, x.isna().mean() <= 0.1]
-        return pd.DataFrame({"sample": x.index, "features": list(M.knn_impute(x.to_numpy()))})
+        x = matrix(pdf)
+        return pd.DataFrame({"sample": pdf["sample"], "features": list(M.knn_impute(x[:, np.isnan(x).mean(axis=0) <= 0.1]))})
 
-    return M.per_group(v, ["platform"], ["sample", "assay"], fit, "sample string, features array<double>")
+    return M.per_group(matrix_rows(v, ["platform"], ["sample"]), ["platform"], ["sample"], fit, "sample string, features array<double>")
 
 
 @query("d28_first_visit_window", K.sql("select usubjid, strftime(min(adt) filter (visitnum = 2), '%Y-%m-%d') baseline, count(*) filter (adt >= first_dose) after_dose from manifest join (select usubjid, min(trtsdt) first_dose from adsl group by 1) using (usubjid) where adt is not null group by 1"))
