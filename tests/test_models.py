@@ -124,6 +124,16 @@ def test_neighbours_with_gaps_ties_and_few_donors():
             assert M.knn_impute(x, donors) == pytest.approx(_imputed_by_hand(x, x if donors is None else x[donors]), abs=1e-9)
 
 
+def test_far_values_make_no_more_candidates(monkeypatch):
+    x = np.random.default_rng(11).normal(size=(3000, 5))
+    x[7, 0], x[8, 1], x[:40, 2] = 1e7, -3e6, np.nan
+    seen, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or real(keys))
+    full = M.knn_impute(x)
+    assert sum(seen) < 40 * 200  # all pairs are 40 by 3,000
+    assert full == pytest.approx(_imputed_by_hand(x, x), abs=1e-9)
+
+
 def test_neighbours_hold_bounded_blocks():
     import tracemalloc
 
