@@ -80,28 +80,28 @@ def place(rows: DataFrame, records: DataFrame, row: str, subject: str, day: str,
 def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every id of a pair of two different non-null ids; root is the smallest id reachable from node.
 
-    Every node takes the least root among its own and its neighbours', then the root of that root, until nothing changes:
-    minima are partial aggregates, so a hub is no larger task than others, and the second step doubles what a round
-    reaches along chains of roots. Order, repeats and self pairs do not matter; an empty table gives no rows.
+    Large-star and small-star by turns, until the pairs are stars: the first ties every larger neighbour of a node to the
+    least id of its closed neighbourhood, the second the node and its smaller neighbours to their least. Ties replace pairs,
+    so paths shorten by a factor in each round however long they are and wherever their small ids lie. Minima are partial
+    aggregates, so a hub is no larger task than others. Order, repeats and self pairs do not matter; an empty table gives no
+    rows.
     """
     stash = Stash(pairs.sparkSession)
     x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-    one = pairs.where(x != y).select(x.alias("u"), y.alias("v"))
-    edges = stash.keep(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    roots = stash.keep(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "roots")
+    edges = stash.keep(pairs.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        heard = edges.join(roots.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        near = roots.join(heard.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "m").alias("low"))
-        above = roots.select(F.col("node").alias("low"), F.col("root").alias("top"))
-        following = near.join(above, "low", "left").select("node", "root", F.least("low", F.coalesce("top", "low")).alias("fresh"))
-        following = stash.keep(following, "round")
-        settled = following.where("root <> fresh").isEmpty()
-        stash.drop(roots)
-        roots = following.select("node", F.col("fresh").alias("root"))
-        roots._stash_path = following._stash_path  # noqa: SLF001
-        if settled:
-            stash.drop(edges)
-            return roots
+        # stars: no node is tied to two, none is both tied and a centre
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+        if ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied > 1 or tied = 1 and centre = 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
+        large = stash.keep(both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(floor, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        following = stash.keep(small, "edges")
+        stash.drop(edges, large)
+        edges = following
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

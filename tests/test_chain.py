@@ -41,6 +41,17 @@ def test_components(spark):
     assert L.connected_components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
+def test_components_of_long_paths_settle_in_few_rounds(spark):
+    """The second-smallest id amid a path that starts with the smallest: no root hears of it but along the path."""
+    rng = random.Random(1)
+    rest = rng.sample(range(2, 10_000), 160)
+    path = [0, *rest[:80], 1, *rest[80:]]
+    flat = list(itertools.pairwise(path))
+    rng.shuffle(flat)
+    got = {r.node: r.root for r in L.connected_components(spark.createDataFrame(flat, "x long, y long"), "x", "y", max_rounds=12).collect()}
+    assert got == dict.fromkeys(path, 0)
+
+
 def test_overlap_clusters_in_any_order(spark):
     rows = [("b", 1, "g1"), ("b", 2, "g2"), ("b", 3, "g1"), ("b", 3, "g2"), ("b", 4, "g9"), ("c", 5, "g1"), ("c", 6, None)]
     got = {(r.t, r.k): r.cluster for r in O.overlap_clusters(spark.createDataFrame(rows, "t string, k long, gene string"), "t", "k", "gene").collect()}
