@@ -335,3 +335,13 @@ def test_outlier_components_come_from_the_fit_rows():
     assert np.array_equal(M.outlier_components(x, fit, light, 2)[0], M.outlier_components(np.column_stack([rng.normal(size=60) * 9, x[:, 1:]]), fit, light, 2)[0])
     with pytest.raises(M.NotEstimable):
         M.outlier_components(x, np.arange(60) < 2, np.ones(8))
+
+
+def test_age_models_are_fitted_once_however_often_the_scale_reads_them(spark, smoke_dir):
+    from tallygrove.plans import domain_models as D
+
+    got = D.st31(spark, smoke_dir)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001  the robust z reads what was kept
+    rows = got.toPandas()
+    left = rows.residual - rows.residual.median()
+    assert len(rows) > 100 and np.allclose(rows.z, left / (1.4826 * left.abs().median()))
