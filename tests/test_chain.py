@@ -232,6 +232,14 @@ def test_locations_of_a_matrix_are_those_of_its_table(spark):
     assert "hashpartitioning(tube" not in frame._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
 
 
+def test_genotypes_are_sent_to_tasks_not_to_blocks(spark):
+    o, y, _ = _chain(spark)
+    frame = G.score_matrix(o.drop("who"), y)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "FlatMapGroupsInPandas" not in plan and "RepartitionByExpression" in plan  # a group for each block would exchange all genotypes with each
+    assert frame.count() > 400
+
+
 def test_windows_flags_courses_and_folds(spark):
     rows = [("D", "2024-01-01", None), ("D", None, "2024-05-01"), ("C", "2024-01-01", None), ("C", None, "2024-02-01"), ("D", "2024-01-01", "2024-01-05")]
     df = spark.createDataFrame(rows, "s string, l string, e string").withColumn("s", F.when(F.col("s") == "D", "DISCONTINUED").otherwise("COMPLETED"))
