@@ -345,3 +345,12 @@ def test_age_models_are_fitted_once_however_often_the_scale_reads_them(spark, sm
     rows = got.toPandas()
     left = rows.residual - rows.residual.median()
     assert len(rows) > 100 and np.allclose(rows.z, left / (1.4826 * left.abs().median()))
+
+
+def test_checks_of_the_age_models_fit_none_again(spark, smoke_dir):
+    from tallygrove.plans import domain_models as D
+
+    got = D.st31_checks(spark, smoke_dir)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    row = got.first()
+    assert row.n > 100 and row.predicted
